@@ -31,9 +31,9 @@ def parse_size(text: Column, strict: bool = True) -> Column:
     trimmed = F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     digits = F.regexp_extract(trimmed, f"^{SIZE_PATTERN}$", 1)
     letter = F.lower(F.regexp_extract(trimmed, f"^{SIZE_PATTERN}$", 2))
-    # instr gives 1..4 for k m g t; an empty letter (plain bytes) also gives 1, so it is tested first.
-    power = F.when(letter == "", F.lit(0)).otherwise(F.instr(F.lit(SIZE_LETTERS), letter))
-    factor = F.shiftleft(F.lit(1).cast("bigint"), power * 10)
+    factor = F.lit(1).cast("bigint")
+    for power, unit in enumerate(SIZE_LETTERS, start=1):
+        factor = F.when(letter == unit, F.lit(1 << (10 * power)).cast("bigint")).otherwise(factor)
     # Leading zeros are legal; 19 significant digits are the most a long can hold.
     significant = F.regexp_replace(digits, "^0+(?=[0-9])", "")
     wide = F.when((digits != "") & (F.length(significant) <= 19), significant.cast("decimal(38,0)"))

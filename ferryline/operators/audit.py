@@ -10,17 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-JOB_EVENTS = T.StructType.fromDDL(
+
+def _schema(columns: str) -> T.StructType:
+    types = {"string": T.StringType, "int": T.IntegerType, "bigint": T.LongType, "boolean": T.BooleanType}
+    types["timestamp"] = T.TimestampType
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, types[kind]()) for name, kind in pairs])
+
+
+JOB_EVENTS = _schema(
     "job_id string, event_time timestamp, parallelism int, error string, queue_size int, queued boolean,"
     " source_type string, sink_type string, source_data_type string, sink_data_type string,"
     " special_converter_name string, special_converter_subtype string, special_converter_args string,"
     " queue_time timestamp, creation_time timestamp, start_time timestamp, running_time timestamp,"
     " finish_time timestamp"
 )
-WORKER_EVENTS = T.StructType.fromDDL(
+WORKER_EVENTS = _schema(
     "job_id string, event_time timestamp, worker_type string, worker_state string, thread_num int, error string"
 )
-COUNTERS = T.StructType.fromDDL("job_id string, event_time timestamp, side string, name string, counter_val bigint")
+COUNTERS = _schema("job_id string, event_time timestamp, side string, name string, counter_val bigint")
 
 # Worker states and counter names.
 STARTED, FINISHED, ERROR = "STARTED", "FINISHED", "ERROR"

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
@@ -72,7 +71,6 @@ class ProtoRegistry:
         return sorted(self._types)
 
 
-@lru_cache(maxsize=64)
 def _message_class(descriptor_set: bytes, message: str) -> type[Message]:
     pool = descriptor_pool.DescriptorPool()
     for file in descriptor_pb2.FileDescriptorSet.FromString(descriptor_set).file:
@@ -83,6 +81,13 @@ def _message_class(descriptor_set: bytes, message: str) -> type[Message]:
         raise SpecError(f"message {message!r} is not in the descriptor set") from None
 
 
+def _built_once(built: list[type[Message]], descriptor_set: bytes, message: str) -> type[Message]:
+    """The class kept in a task's own ``built``, which is empty when the task is sent out."""
+    if not built:
+        built.append(_message_class(descriptor_set, message))
+    return built[0]
+
+
 def describe(
     package: str,
     messages: Mapping[str, Iterable[tuple[str, int, str]]],
@@ -195,9 +200,10 @@ def decode(value: Column, proto: ProtoType, on_error: str = "fail", engine: str
     descriptor_set, message = proto.descriptor_set, proto.message
     schema = proto.schema()
     arrow_type = to_arrow_type(schema)
+    built: list[type[Message]] = []
 
     def parse(values: pa.Array) -> pa.Array:
-        cls = _message_class(descriptor_set, message)
+        cls = _built_once(built, descriptor_set, message)
         read = _message_reader(cls.DESCRIPTOR)
 
         def one(raw: bytes | None) -> dict[str, Any] | None:
@@ -253,16 +259,17 @@ def _scalar(field: FieldDescriptor, value: Any) -> Any:
 def encode(struct: Column, proto: ProtoType) -> Column:
     """A struct with the message's field names as message bytes."""
     descriptor_set, message = proto.descriptor_set, proto.message
+    built: list[type[Message]] = []
 
     def build(rows: pa.Array) -> pa.Array:
-        cls = _message_class(descriptor_set, message)
+        cls = _built_once(built, descriptor_set, message)
 
         def one(row: Mapping[str, Any] | None) -> bytes | None:
             if row is None:
                 return None
-            built = cls()
-            _fill(built, row)
-            return built.SerializeToString(deterministic=True)
+            filled = cls()
+            _fill(filled, row)
+            return filled.SerializeToString(deterministic=True)
 
         return pa.array([one(r) for r in rows.to_pylist()], type=pa.binary())
 
@@ -272,9 +279,10 @@ def encode(struct: Column, proto: ProtoType) -> Column:
 def json_to_bytes(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
     """JSON text (protobuf's JSON mapping) as message bytes; unknown fields are ignored."""
     descriptor_set, message = proto.descriptor_set, proto.message
+    built: list[type[Message]] = []
 
     def build(texts: pa.Array) -> pa.Array:
-        cls = _message_class(descriptor_set, message)
+        cls = _built_once(built, descriptor_set, message)
 
         def one(value: str | None) -> bytes | None:
             if value is None:
