@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ferryline.errors import SpecError
 from ferryline.functions import codecs
-from ferryline.functions.units import size_option
 from ferryline.operators import audit, protobuf
 from ferryline.operators.convert import Conversion, Converter, ConverterRegistry, convert
 from ferryline.operators.segment import json_element_cost
@@ -33,9 +32,6 @@ SECTIONS = {
     ("sink", Platform.LOCAL_FS): "localSink",
 }
 
-# What a simple type looks like as a column of a file or of a decoded record.
-_SIMPLE = {DataType.LONG, DataType.INTEGER, DataType.STRING, DataType.UUID, DataType.JSON}
-
 
 @dataclass
 class Side:
@@ -128,75 +124,51 @@ def _check_places(source: Side, sink: Side, env: Environment) -> None:
 
 
 def read(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
-    """The source as rows (worker, seq, ts_ms, value).
-
-    ``worker`` and ``seq`` give the order elements reach the sink in: topic partition and offset, or the
-    reading task and the position in it.
-    """
+    """The source as rows (ts_ms, value). Values are bytes for protobuf, else the decoded type."""
     options, kind = job.source.options, job.source.data_type
-    if job.source.platform is Platform.KAFKA:
-        bounds = topic_source.RecordRange(
-            int(options["from"]), int(options["to"]), topic_source.RangeType.parse(options["rangeType"])
-        )
-        rows = topic_source.records(topic_source.read(env.topics[options["topic"]], bounds))
-        rows = rows.select(
-            F.pmod("partition", F.lit(job.parallelism)).cast("bigint").alias("worker"),
-            F.struct("partition", "offset").alias("seq"),
-            "ts_ms",
-            "value",
-        )
-        if kind in _SIMPLE:
-            rows = codecs.decode_records(rows, kind, job.conversion.on_error, "value")
+    if job.source.platform is not Platform.KAFKA:
+        return _read_files(spark, job, env).select(F.lit(None).cast("bigint").alias("ts_ms"), "value")
+    bounds = topic_source.RecordRange(
+        int(options["from"]), int(options["to"]), topic_source.RangeType.parse(options["rangeType"])
+    )
+    rows = topic_source.records(topic_source.read(env.topics[options["topic"]], bounds)).select("ts_ms", "value")
+    if kind is DataType.PROTOBUF:
         return rows
-    return _number(_read_files(spark, job, env), job.parallelism)
+    return codecs.decode_records(rows, kind, job.conversion.on_error, "value")
 
 
 def _read_files(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
     options = job.source.options
     if job.source.platform is Platform.S3:
-        root = env.buckets[options["bucket"]].rstrip("/")
-        wanted = file_source.FileRange(
-            tuple(f"{root}/{p}" for p in options.get("objectNamePrefixes") or ()), options.get("from"), options.get("to")
-        )
-        listing = file_source.list_files(spark, root)
-        plain = F.regexp_replace("key", r"^file:(//)?", "")
-        chosen = file_source.require_some(file_source.select_objects(listing.withColumn("key", plain), wanted))
-        # Objects matched twice are read twice, so the listing itself (not a path pattern) is the input.
-        paths = [r.key for r in chosen.select("key").toLocalIterator()]
+        root = env.buckets[options["bucket"]]
+        prefixes = tuple(options.get("objectNamePrefixes") or ())
+        wanted = file_source.FileRange(prefixes, options.get("from"), options.get("to"))
+        file_source.list_objects(spark, root, wanted)
+        return file_source.read_objects(root, wanted, lambda path, times: _read_path(spark, job, path, times, True))
+    path, recursive = options["parentPath"], bool(options.get("recursive", False))
+    wanted = file_source.FileRange(tuple(options.get("prefixes") or ()), options.get("from"), options.get("to"))
+    listing = file_source.list_files(spark, path, recursive)
+    if file_source.is_file(listing, path):
         wanted = file_source.FileRange()
     else:
-        wanted = file_source.FileRange(tuple(options.get("prefixes") or ()), options.get("from"), options.get("to"))
-        recursive = bool(options.get("recursive", False))
-        path = options["parentPath"]
-        listing = file_source.list_files(spark, path, recursive)
-        if file_source.is_file(listing, path):
-            wanted = file_source.FileRange()
-        else:
-            file_source.require_some(file_source.select_files(listing, wanted))
-        paths = [path]
-    recursive = job.source.platform is Platform.S3 or bool(options.get("recursive", False))
+        file_source.require_some(file_source.select_files(listing, wanted))
+    return _read_path(spark, job, path, wanted, recursive)
+
+
+def _read_path(spark: SparkSession, job: Job, path: str, wanted: file_source.FileRange, recursive: bool) -> DataFrame:
     if job.source.data_type is DataType.JSON:
-        return file_source.read_json_arrays(spark, paths, wanted, recursive)
+        return file_source.read_json_arrays(spark, path, wanted, recursive)
     proto = job.conversion.protos.get(job.source.message)
-    messages = file_source.read_messages(spark, paths, proto.schema(), wanted, recursive)
+    messages = file_source.read_messages(spark, path, proto.schema(), wanted, recursive)
     struct = F.struct(*[F.col(f"`{c}`") for c in proto.schema().names])
     return messages.select(protobuf.encode(struct, proto).alias("value"))
 
 
-def _number(rows: DataFrame, parallelism: int) -> DataFrame:
-    position = F.monotonically_increasing_id()
-    return rows.select(
-        F.pmod(F.spark_partition_id(), F.lit(parallelism)).cast("bigint").alias("worker"),
-        position.alias("seq"),
-        F.lit(None).cast("bigint").alias("ts_ms"),
-        "value",
-    )
-
-
 def write(rows: DataFrame, job: Job, env: Environment) -> None:
+    """Rows to the sink as they come: every task is a worker, nothing is shuffled."""
     options, kind = job.sink.options, job.sink.data_type
     if job.sink.platform is Platform.KAFKA:
-        if kind in _SIMPLE:
+        if kind is not DataType.PROTOBUF:
             rows = rows.withColumn("value", codecs.encode(kind, F.col("value")))
         topic = options["topic"]
         parts = list(env.topic_partitions.get(topic, (0,)))
@@ -205,22 +177,18 @@ def write(rows: DataFrame, job: Job, env: Environment) -> None:
         return
     limits = options.get("fileSegmentator") or {}
     size, count = limits.get("maxSizePerFile"), limits.get("maxElementsPerFile")
-    size = size_option(size) if isinstance(size, str) else size
-    layout = "flat"
+    root, layout = options.get("parentPath") or options.get("dir"), "flat"
     if job.sink.platform is Platform.S3:
         root, layout = env.buckets[options["bucket"]], "object"
-    else:
-        root = options["parentPath"] if job.sink.platform is Platform.HDFS else options["dir"]
     if kind is DataType.JSON:
-        file_sink.write_json_arrays(rows, root, job.job_id, max_bytes=size, max_count=count, layout=layout)
+        file_sink.write_as_they_come(rows.select("value"), root, job.job_id, "json", size, count, layout)
         return
     proto = job.conversion.protos.get(job.sink.message)
     # The encoded message is the size estimate; the file then holds the message's own columns.
-    sized = rows.select("worker", "seq", json_element_cost(F.col("value")).alias("_size"), "value")
-    decoded = sized.withColumn("message", protobuf.decode(F.col("value"), proto))
-    columns = decoded.select("worker", "seq", "_size", "message.*")
-    cut = file_sink.assign_segments(columns, "worker", ["seq"], F.col("_size"), size, count).drop("_size")
-    file_sink.write_segments(cut, root, job.job_id, ["seq"], "parquet", layout)
+    sized = rows.select(json_element_cost(F.col("value")).alias(file_sink.SIZE_COLUMN), "value")
+    messages = sized.withColumn("message", protobuf.decode(F.col("value"), proto))
+    columns = messages.select(file_sink.SIZE_COLUMN, "message.*")
+    file_sink.write_as_they_come(columns, root, job.job_id, "parquet", size, count, layout)
 
 
 def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: audit.AuditLog | None = None, **conversion: Any) -> Job:

@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 THREE_DAYS_MS = 3 * 86_400_000
 
 
-def _as_topic(events: DataFrame, partition: Column, disorder: bool = False) -> DataFrame:
+def _as_topic(events: DataFrame, partition: Column, disorder: bool = False, value: str = "props") -> DataFrame:
     """The events table with the columns of Spark's Kafka source; event ids are the offsets."""
     time = F.col("ts").cast("timestamp")
     if disorder:
@@ -52,7 +52,7 @@ def _as_topic(events: DataFrame, partition: Column, disorder: bool = False) -> D
         time = F.when(F.col("event_id") % 97 == 0, late).otherwise(time)
     return events.select(
         F.lit(None).cast("binary").alias("key"),
-        F.col("props").cast("binary").alias("value"),
+        F.col(value).cast("binary").alias("value"),
         F.lit("events").alias("topic"),
         partition.cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
@@ -559,7 +559,9 @@ def video_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "click").alias("clicked"),
     )
     proto = bundled_protos.bundled().get("VideoAd")
-    return table(spark, sf_dir, "events").select("event_id", protobuf.encode(event, proto).alias("value"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", protobuf.encode(event, proto).alias("value_bytes")
+    )
 
 
 def _json_fields(text: Column, names: list[str]) -> list[Column]:
@@ -572,15 +574,15 @@ VIDEO_AD_FIELDS = ["timestamp", "randomId", "impressionId", "requestId", "abTest
 @register
 def proto_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     proto = bundled_protos.bundled().get("VideoAd")
-    decoded = video_ads(spark, sf_dir).withColumn("m", protobuf.decode(F.col("value"), proto))
+    decoded = video_ads(spark, sf_dir).withColumn("m", protobuf.decode(F.col("value_bytes"), proto))
     return decoded.select("event_id", "m.*").withColumn("clicked", F.col("clicked").cast("int"))
 
 
 @register
 def proto_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = Conversion(DataType.PROTOBUF, DataType.JSON, "VideoAd")
-    rows = convert(video_ads(spark, sf_dir), ConverterRegistry().choose(chosen))
-    return rows.select("event_id", *_json_fields(F.col("value"), VIDEO_AD_FIELDS))
+    rows = convert(video_ads(spark, sf_dir), ConverterRegistry().choose(chosen), "value_bytes")
+    return rows.select("event_id", *_json_fields(F.col("value_bytes"), VIDEO_AD_FIELDS))
 
 
 @register
@@ -614,8 +616,8 @@ def proto_flat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         DataType.PROTOBUF, DataType.JSON, "VideoAd", converter="proto-flat-json", converter_type="video_ad_named"
     )
     chosen.specs.add(spec)
-    rows = convert(video_ads(spark, sf_dir), ConverterRegistry().choose(chosen))
-    return rows.select("event_id", *_json_fields(F.col("value"), [f"flat_{n}" for n in VIDEO_AD_FIELDS]))
+    rows = convert(video_ads(spark, sf_dir), ConverterRegistry().choose(chosen), "value_bytes")
+    return rows.select("event_id", *_json_fields(F.col("value_bytes"), [f"flat_{n}" for n in VIDEO_AD_FIELDS]))
 
 
 @register
@@ -840,10 +842,7 @@ def job_topic_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def job_proto_topic_to_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole job: a time range of a protobuf topic, converted to JSON, spread over another topic."""
-    ads = video_ads(spark, sf_dir)
-    events = table(spark, sf_dir, "events").join(ads, "event_id")
-    topic = _as_topic(events, F.col("user_id") % 4).drop("value")
-    topic = topic.join(ads.withColumnRenamed("event_id", "offset"), "offset")
+    topic = _as_topic(video_ads(spark, sf_dir), F.col("user_id") % 4, value="value_bytes")
     bounds = time_bounds(spark, sf_dir)
     out = shared_path(spark, "topic")
     spec = {
@@ -984,9 +983,9 @@ def stream_offset_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def stream_to_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_path(spark, "stream")
-    rows = _event_stream(spark, sf_dir).select((F.col("user_id") % 4).alias("worker"), "event_id", F.col("props").alias("value"))
+    rows = _event_stream(spark, sf_dir).select(F.col("props").alias("value"))
     available_now.drain_to_json_arrays(
-        rows, f"{work}/out", "events", f"{work}/checkpoint", "worker", ["event_id"], max_bytes="8 kb", max_count=300
+        rows, f"{work}/out", "events", f"{work}/checkpoint", max_bytes="8 kb", max_count=300
     )
     back = file_source.read_json_array_lines(spark, f"{work}/out")
     return back.groupBy("value").agg(F.count("*").alias("n"))

@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -70,13 +71,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collect_if_short(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list[Row] | None:
+    """The rows of ``df`` if there are at most ``max_rows``, else None; never more than that is fetched."""
+    head = df.limit(max_rows + 1).collect()
+    return head if len(head) <= max_rows else None
+
+
+def broadcast_rows(spark: SparkSession, rows: list[Row], schema: StructType) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else ``df`` as it is.
 
-    The check reads at most ``max_rows + 1`` rows; when it passes those rows are the side, so the side is
-    computed once. When it fails the join that follows is an ordinary shuffle join.
+    When the check passes the fetched rows are the side, so the side is computed once. When it fails the join
+    that follows is an ordinary shuffle join.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    rows = collect_if_short(df, max_rows)
+    return df if rows is None else broadcast_rows(df.sparkSession, rows, df.schema)

@@ -1,13 +1,19 @@
 """File sinks: one file per (worker, segment), named by job, worker and running number.
 
-``SegmentedFiles`` is a Spark data source writer. Its input arrives clustered by (worker, segment) and in
-element order; each task writes its files under names of its own attempt, and the driver moves the files of
-the attempts Spark committed to their final names. A retried or duplicated task therefore leaves no half file.
+``SegmentedFiles`` is a Spark data source writer with two kinds of input:
+
+* rows (worker, segment_id, content...) that arrive clustered by (worker, segment) and in element order;
+* plain content rows, where each task is a worker and cuts its own rows as they stream past. Nothing is
+  shuffled, and Spark's input splitting keeps the workers even.
+
+Each task writes its files under names of its own attempt, and the driver moves the files of the attempts
+Spark committed to their final names. A retried or duplicated task therefore leaves no half file.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -15,15 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ferryline.errors import SpecError
-from ferryline.operators.segment import assign_segments, json_element_cost
+from ferryline.functions.units import size_option
+from ferryline.operators.segment import NO_LIMIT, assign_segments, cut_batch, json_element_cost
 
 # The frame of a JSON array file.
 ARRAY_OPEN, ARRAY_BETWEEN, ARRAY_CLOSE = b"[\n", b",\n", b"\n]"
@@ -88,23 +97,31 @@ class _ParquetFile:
         self._stream.close()
 
 
+SIZE_COLUMN = "_size"
+
+
 class SegmentedFilesWriter(DataSourceArrowWriter):
-    """Options: path, job, format (json or parquet), layout (job, flat or object)."""
+    """Options: path, job, format (json or parquet), layout (job, flat or object), max_bytes, max_count."""
 
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
         self.root = options["path"].rstrip("/")
         self.job = options["job"]
         self.format = options.get("format", "json")
         self.layout = options.get("layout", "job")
+        self.max_bytes = int(options.get("max_bytes") or NO_LIMIT)
+        self.max_count = int(options.get("max_count") or NO_LIMIT)
         self.attempt_root = f"{self.root}/_attempts-{uuid.uuid4().hex}"
+        self.replace = options.get("replace") == "true"
+        self.placed = schema.names[:2] == ["worker", "segment_id"]
         if self.format not in ("json", "parquet"):
             raise SpecError(f"unknown file format {self.format!r}")
         if self.layout not in ("job", "flat", "object"):
             raise SpecError(f"unknown layout {self.layout!r}")
-        if schema.names[:2] != ["worker", "segment_id"] or len(schema.names) < 3:
-            raise SpecError("rows must be (worker, segment_id, value columns...)")
-        if self.format == "json" and len(schema.names) != 3:
-            raise SpecError("a JSON array file takes one text column")
+        if self.max_bytes < 1 or self.max_count < 1:
+            raise SpecError("limits must be positive")
+        content = [n for n in schema.names[2 if self.placed else 0 :] if n != SIZE_COLUMN]
+        if not content or (self.format == "json" and len(content) != 1):
+            raise SpecError("a JSON array file takes one text column, a Parquet file at least one column")
 
     def _final_name(self, worker: int, segment: int) -> str:
         name = f"{self.job}-{worker}-{segment}"
@@ -118,29 +135,50 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
         stream = filesystem.open_output_stream(path)
         return _JsonArrayFile(stream) if self.format == "json" else _ParquetFile(stream, schema)
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
-        filesystem, attempt_root = open_filesystem(self.attempt_root)
-        folder = f"{attempt_root}/{uuid.uuid4().hex}"
-        filesystem.create_dir(folder, recursive=True)
-        files: list[tuple[str, str]] = []
-        current, out = None, None
-        for batch in iterator:
+    def _pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+        """Stretches of rows that belong to one file, in order."""
+        task, state = TaskContext.get().partitionId(), (0, 0, 0)
+        for batch in batches:
             if batch.num_rows == 0:
                 continue
-            worker = batch.column(0).to_numpy(zero_copy_only=False)
-            segment = batch.column(1).to_numpy(zero_copy_only=False)
-            values = batch.select(batch.schema.names[2:])
+            names = batch.schema.names
+            content = batch.select([n for n in names[2 if self.placed else 0 :] if n != SIZE_COLUMN])
+            if self.placed:
+                worker = batch.column(0).to_numpy(zero_copy_only=False)
+                segment = batch.column(1).to_numpy(zero_copy_only=False)
+            else:
+                worker = np.full(batch.num_rows, task, np.int64)
+                segment, *rest = cut_batch(self._cost(batch), *state, self.max_bytes, self.max_count)
+                state = tuple(rest)
             changes = np.flatnonzero((worker[1:] != worker[:-1]) | (segment[1:] != segment[:-1])) + 1
             edges = [0, *changes.tolist(), batch.num_rows]
             for low, high in zip(edges[:-1], edges[1:]):
-                here = (int(worker[low]), int(segment[low]))
-                if here != current:
-                    if out is not None:
-                        out.close()
-                    held = f"{folder}/{here[0]}-{here[1]}"
-                    out, current = self._open(filesystem, held, values.schema), here
-                    files.append((held, self._final_name(*here)))
-                out.write(values.slice(low, high - low))
+                yield (int(worker[low]), int(segment[low])), content.slice(low, high - low)
+
+    def _cost(self, batch: pa.RecordBatch) -> np.ndarray:
+        if SIZE_COLUMN in batch.schema.names:
+            sizes = batch.column(batch.schema.get_field_index(SIZE_COLUMN))
+        elif self.format == "json":
+            sizes = pc.add(pc.cast(pc.binary_length(batch.column(0)), pa.int64()), 2)
+        else:
+            return np.ones(batch.num_rows, np.int64)
+        return sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
+        filesystem, attempt_root = open_filesystem(self.attempt_root)
+        folder = f"{attempt_root}/{uuid.uuid4().hex}"
+        files: list[tuple[str, str]] = []
+        current, out = None, None
+        for here, rows in self._pieces(iterator):
+            if here != current:
+                if out is None:
+                    filesystem.create_dir(folder, recursive=True)
+                else:
+                    out.close()
+                held = f"{folder}/{here[0]}-{here[1]}"
+                out, current = self._open(filesystem, held, rows.schema), here
+                files.append((held, self._final_name(*here)))
+            out.write(rows)
         if out is not None:
             out.close()
         return WrittenFiles(files)
@@ -148,6 +186,8 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WrittenFiles | None]) -> None:
         filesystem, attempt_root = open_filesystem(self.attempt_root)
         moves = [(held, open_filesystem(final)[1]) for m in messages if m is not None for held, final in m.files]
+        if self.replace:
+            self._delete_own(filesystem)
         with ThreadPoolExecutor(MOVE_THREADS) as pool:
             taken = list(pool.map(lambda move: _exists(filesystem, move[1]), moves))
             if any(taken):
@@ -159,6 +199,13 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
         if filesystem.get_file_info(attempt_root).type == pafs.FileType.Directory:
             filesystem.delete_dir(attempt_root)
 
+    def _delete_own(self, filesystem: pafs.FileSystem) -> None:
+        own = re.compile(rf"{re.escape(self.job)}-\d+-\d+(\.{self.format})?")
+        selector = pafs.FileSelector(open_filesystem(self.root)[1], recursive=self.layout == "job", allow_not_found=True)
+        for info in filesystem.get_file_info(selector):
+            if info.type == pafs.FileType.File and own.fullmatch(info.base_name) and self.attempt_root not in info.path:
+                filesystem.delete_file(info.path)
+
     def abort(self, messages: list[WrittenFiles | None]) -> None:
         filesystem, attempt_root = open_filesystem(self.attempt_root)
         if filesystem.get_file_info(attempt_root).type == pafs.FileType.Directory:
@@ -201,6 +248,32 @@ def write_segments(
     )
 
 
+def write_as_they_come(
+    rows: DataFrame,
+    path: str,
+    job: str,
+    file_format: str = "json",
+    max_bytes: int | str | None = None,
+    max_count: int | None = None,
+    layout: str = "flat",
+    replace: bool = False,
+) -> None:
+    """Write content rows with each task as a worker that cuts its own files; no shuffle.
+
+    A column named ``_size`` gives the bytes of a row and is not written; JSON texts are measured as they are.
+    A file that exists already is an error, or with ``replace`` all of the job's own files give way.
+    """
+    rows.sparkSession.dataSource.register(SegmentedFiles)
+    options: dict[str, str | int] = {"path": path, "job": job, "format": file_format, "layout": layout}
+    if max_bytes is not None:
+        options["max_bytes"] = size_option(max_bytes) if isinstance(max_bytes, str) else max_bytes
+    if max_count is not None:
+        options["max_count"] = max_count
+    if replace:
+        options["replace"] = "true"
+    rows.write.format("segmented_files").mode("append").options(**options).save()
+
+
 def write_json_arrays(
     rows: DataFrame,
     path: str,
@@ -212,7 +285,11 @@ def write_json_arrays(
     max_count: int | None = None,
     layout: str = "job",
 ) -> None:
-    """JSON texts as array files, cut by size or count, whichever is met first. No rows, no files."""
+    """JSON texts as array files, cut by size or count, whichever is met first. No rows, no files.
+
+    Worker and order are columns here, so the files do not depend on how Spark splits the input. Where that
+    does not matter, ``write_as_they_come`` does without the shuffle.
+    """
     order = order or ["seq"]
     narrow = rows.select(F.col(worker).alias("worker"), *order, F.col(value).alias("value"))
     cut = assign_segments(narrow, "worker", order, json_element_cost(F.col("value")), max_bytes, max_count)
@@ -287,8 +364,3 @@ def write_objects(rows: DataFrame, path: str, key: str = "key", content: str = "
     rows.sparkSession.dataSource.register(ObjectBytes)
     picked = rows.select(F.col(key).alias("key"), F.col(content).alias("content"))
     picked.write.format("object_bytes").mode("append").options(path=path).save()
-
-
-def register_sinks(spark: SparkSession) -> None:
-    spark.dataSource.register(SegmentedFiles)
-    spark.dataSource.register(ObjectBytes)

@@ -7,8 +7,10 @@ drops files while the scan is planned.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 from ferryline.errors import EmptyRangeError, SpecError
 
 LONG_MAX = 2**63 - 1
+NOTHING_FOUND = "no file or object lies in the requested range"
 
 
 @dataclass(frozen=True)
@@ -82,9 +85,49 @@ def select_files(listing: DataFrame, wanted: FileRange) -> DataFrame:
     return listing.filter(wanted.has_prefix(F.col("name")) & wanted.in_time(F.col("modified_ms")))
 
 
+def object_glob(root: str, prefix: str) -> str:
+    """Every key of a bucket that starts with ``prefix``, as a path pattern."""
+    return f"{root.rstrip('/')}/{re.sub(r'([\\{}*?,]|\[|\])', lambda m: chr(92) + m.group(1), prefix)}*"
+
+
+def _per_prefix(root: str, wanted: FileRange, read: Callable[[str, FileRange], DataFrame]) -> DataFrame | None:
+    """``read`` for each prefix in turn, as one DataFrame; None when no object matches any of them."""
+    in_time = FileRange((), wanted.modified_from, wanted.modified_to)
+    found: list[DataFrame] = []
+    for prefix in wanted.prefixes or ("",):
+        try:
+            found.append(read(object_glob(root, prefix) if prefix else root, in_time))
+        except SpecError:
+            continue
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def list_objects(spark: SparkSession, root: str, wanted: FileRange) -> DataFrame:
+    """The objects of a bucket in range, over every prefix in turn; finding none is an error."""
+    listed = _per_prefix(root, wanted, lambda path, times: select_files(list_files(spark, path), times))
+    if listed is None:
+        raise EmptyRangeError(NOTHING_FOUND)
+    return require_some(listed)
+
+
+def read_objects(root: str, wanted: FileRange, read: Callable[[str, FileRange], DataFrame]) -> DataFrame:
+    """The contents of a bucket's objects in range; one that matches two prefixes is read twice.
+
+    ``read`` is one of the readers below for a path and a range, for example
+    ``lambda path, times: read_json_arrays(spark, path, times)``.
+    """
+    rows = _per_prefix(root, wanted, read)
+    if rows is None:
+        raise EmptyRangeError(NOTHING_FOUND)
+    return rows
+
+
 def require_some(listing: DataFrame) -> DataFrame:
     if listing.isEmpty():
-        raise EmptyRangeError("no file or object lies in the requested range")
+        raise EmptyRangeError(NOTHING_FOUND)
     return listing
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferryline.errors import EmptyRangeError, SpecError
-from ferryline.session import checked_broadcast
+from ferryline.session import broadcast_rows, collect_if_short
+
+NOTHING_IN_RANGE = "no partition has offsets or timestamps that satisfy the range"
 
 
 class RangeType(Enum):
@@ -101,33 +103,43 @@ def resolve_times(topic: DataFrame, bounds: RecordRange) -> DataFrame:
     )
 
 
-def resolve(topic: DataFrame, bounds: RecordRange) -> DataFrame:
-    by_time = bounds.kind is RangeType.TIME
-    return resolve_times(topic, bounds) if by_time else resolve_offsets(topic, bounds)
-
-
 def read_offsets(topic: DataFrame, bounds: RecordRange) -> DataFrame:
     """Rows of an OFFSET range. The rule per partition comes down to one filter, which reaches the scan."""
     return topic.filter(F.col("offset").between(bounds.start, bounds.end))
 
 
-def read_times(topic: DataFrame, bounds: RecordRange) -> DataFrame:
+def read_times(topic: DataFrame, bounds: RecordRange, require: bool = False) -> DataFrame:
     """Rows of a TIME range: the resolved starts and stops joined to the topic, which is not shuffled.
 
-    The resolved table has one row per topic partition; it is broadcast once its length has been checked.
+    The resolved table has one row per topic partition. Once its length has been checked it is broadcast, and
+    the outermost offsets also become a plain filter, which reaches the scan.
     """
     found = resolve_times(topic, bounds).filter("qualifies").select("partition", "start_offset", "stop_offset")
+    rows = collect_if_short(found)
+    if rows is not None:
+        if require and not rows:
+            raise EmptyRangeError(NOTHING_IN_RANGE)
+        found = broadcast_rows(topic.sparkSession, rows, found.schema)
+        outer = F.lit(True)
+        if rows:
+            outer = F.col("offset") >= min(r.start_offset for r in rows)
+            if all(r.stop_offset is not None for r in rows):
+                outer = outer & (F.col("offset") < max(r.stop_offset for r in rows))
+        topic = topic.filter(outer)
     inside = (F.col("offset") >= F.col("start_offset")) & (
         F.col("stop_offset").isNull() | (F.col("offset") < F.col("stop_offset"))
     )
-    return topic.join(checked_broadcast(found), "partition").filter(inside).select(*topic.columns)
+    return topic.join(found, "partition").filter(inside).select(*topic.columns)
 
 
 def read(topic: DataFrame, bounds: RecordRange, require: bool = True) -> DataFrame:
     """The rows of ``bounds``; with ``require``, an error when no partition has any part in the range."""
-    if require and resolve(topic, bounds).filter("qualifies").isEmpty():
-        raise EmptyRangeError("no partition has offsets or timestamps that satisfy the range")
-    return read_times(topic, bounds) if bounds.kind is RangeType.TIME else read_offsets(topic, bounds)
+    if bounds.kind is RangeType.TIME:
+        return read_times(topic, bounds, require)
+    # Some partition begins at or before the end of the range if some offset lies there.
+    if require and topic.filter(F.col("offset") <= bounds.end).isEmpty():
+        raise EmptyRangeError(NOTHING_IN_RANGE)
+    return read_offsets(topic, bounds)
 
 
 def offset_tracker(rows: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
@@ -168,7 +180,7 @@ def offset_options(
         starts[str(part)] = min(max(oldest, bounds.start), end)
         stops[str(part)] = max(min(bounds.end + 1, end), starts[str(part)])
     if out:
-        raise EmptyRangeError("no partition has offsets that satisfy the range")
+        raise EmptyRangeError(NOTHING_IN_RANGE)
     return {
         "subscribe": topic,
         "startingOffsets": json.dumps({topic: starts}),
@@ -177,10 +189,10 @@ def offset_options(
 
 
 def time_options(topic: str, bounds: RecordRange, partitions: Sequence[int] = ()) -> dict[str, str]:
-    """Kafka reader options that open a superset-free start for a TIME range; ``read_times`` sets the stop.
+    """Kafka reader options that start a TIME range at the broker; ``read_times`` then finds the stop.
 
-    Only the start is pushed to the broker: the stop is the first record past the end, which the broker's
-    time index does not give when times are out of order.
+    The stop is the first record past the end, which the broker's time index does not give when times are out
+    of order. A partition without a record that late starts at its end, so it gives no rows.
     """
     options = {"subscribe": topic, "startingOffsetsByTimestampStrategy": "latest"}
     if partitions:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ferryline.sinks.files import write_json_arrays
+from ferryline.sinks.files import write_as_they_come
 
 
 def drain_to_parquet(
@@ -50,15 +51,18 @@ def drain_to_json_arrays(
     path: str,
     job: str,
     checkpoint: str,
-    worker: str,
-    order: list[str],
     value: str = "value",
     max_bytes: int | str | None = None,
     max_count: int | None = None,
 ) -> StreamingQuery:
-    """Segmented JSON array files from a stream; the batch number is part of the file names."""
+    """Segmented JSON array files from a stream; the batch number is part of the file names.
+
+    Spark runs a batch again if a failure hits between its files and its checkpoint, so a batch replaces
+    whatever files of its own it finds.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_json_arrays(batch, path, f"{job}-{number}", value, worker, order, max_bytes, max_count)
+        content = batch.select(F.col(value).alias("value"))
+        write_as_they_come(content, path, f"{job}.{number}", "json", max_bytes, max_count, replace=True)
 
     return drain_to_batches(stream, checkpoint, write)
