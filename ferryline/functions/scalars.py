@@ -103,12 +103,16 @@ def query_pairs(url: Column) -> Column:
 
 def split_query(url: Column) -> Column:
     """The query of ``url`` as a map; the last of several equal keys wins."""
-    pairs = query_pairs(url)
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]),
-    )
-    return F.map_from_entries(last)
+
+    def last_of_each(pairs: Column) -> Column:
+        def is_last(pair: Column, at: Column) -> Column:
+            later = F.slice(pairs, at + 2, F.size(pairs))
+            return ~F.exists(later, lambda other: other["key"] == pair["key"])
+
+        return F.map_from_entries(F.filter(pairs, is_last))
+
+    # A lambda over a one-element array names the pairs, so the URL is taken apart once and not once per pair.
+    return F.get(F.transform(F.array(query_pairs(url)), last_of_each), 0)
 
 
 def strip_leading_slashes(path: Column) -> Column:

@@ -1,8 +1,8 @@
 """Protobuf messages as structs, bytes and JSON.
 
-Only turning message bytes into columns, and JSON text into message bytes, needs a protobuf parser; those two
-are Arrow UDFs over one column. Everything else (JSON rules, paths, flat columns) is ordinary expressions over
-the struct, so it stays in the JVM. Where Spark's own protobuf package is on the class path, ``engine='native'``
+Only message bytes to columns and back needs protobuf itself; those two are Arrow UDFs over one column.
+Everything else (reading and writing JSON by protobuf's rules, paths, flat columns) is ordinary expressions
+over the struct, so it stays in the JVM. Where Spark's own protobuf package is on the class path, ``engine='native'``
 decodes with it instead.
 """
 
@@ -14,7 +14,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from google.protobuf import descriptor_pb2, descriptor_pool, json_format, message_factory
+from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 from google.protobuf.descriptor import Descriptor, FieldDescriptor
 from google.protobuf.message import DecodeError, Message
 from pyspark.sql import Column
@@ -154,35 +154,48 @@ def _struct_type(descriptor: Descriptor) -> T.StructType:
 # --- bytes <-> struct --------------------------------------------------------------------------------------
 
 
-def _scalar_reader(field: FieldDescriptor) -> Callable[[Any], Any] | None:
-    """How a field's value becomes an Arrow value; None when it is taken as it is."""
+def _value_array(values: list[Any], field: FieldDescriptor) -> pa.Array:
+    """Values of one field, already taken from their messages, as an Arrow column."""
     if field.type == FD.TYPE_MESSAGE:
-        return _message_reader(field.message_type)
+        return _struct_array(values, field.message_type)
     if field.type == FD.TYPE_ENUM:
         names = {v.number: v.name for v in field.enum_type.values}
-        return lambda number: names.get(number, str(number))
-    if field.type in _UINT64:
-        return lambda number: number - (1 << 64) if number >= 1 << 63 else number
-    return None
+        values = [None if v is None else names.get(v, str(v)) for v in values]
+    elif field.type in _UINT64:
+        values = [v - (1 << 64) if v is not None and v >= 1 << 63 else v for v in values]
+    return pa.array(values, type=to_arrow_type(_scalar_type(field)))
+
 
+def _flat(groups: list[Any]) -> tuple[pa.Array, list[Any]]:
+    """List offsets and concatenated items of groups of which some may be None."""
+    offsets, items = [0], []
+    for group in groups:
+        items.extend(group or ())
+        offsets.append(len(items))
+    return pa.array(offsets, pa.int32()), items
 
-def _field_reader(field: FieldDescriptor) -> Callable[[Message], Any]:
+
+def _field_array(messages: list[Message | None], field: FieldDescriptor) -> pa.Array:
     name = field.name
     if _is_map(field):
-        read = _scalar_reader(field.message_type.fields_by_name["value"]) or (lambda v: v)
-        return lambda m: [(k, read(v)) for k, v in getattr(m, name).items()]
-    read = _scalar_reader(field)
+        entry = field.message_type.fields_by_name
+        offsets, pairs = _flat([None if m is None else list(getattr(m, name).items()) for m in messages])
+        keys, values = ([k for k, _ in pairs], [v for _, v in pairs])
+        return pa.MapArray.from_arrays(offsets, _value_array(keys, entry["key"]), _value_array(values, entry["value"]))
     if field.is_repeated:
-        return (lambda m: list(getattr(m, name))) if read is None else (lambda m: [read(v) for v in getattr(m, name)])
+        offsets, items = _flat([None if m is None else getattr(m, name) for m in messages])
+        return pa.ListArray.from_arrays(offsets, _value_array(items, field))
     if field.has_presence:
-        keep = read or (lambda v: v)
-        return lambda m: keep(getattr(m, name)) if m.HasField(name) else None
-    return (lambda m: getattr(m, name)) if read is None else (lambda m: read(getattr(m, name)))
+        return _value_array([getattr(m, name) if m is not None and m.HasField(name) else None for m in messages], field)
+    return _value_array([None if m is None else getattr(m, name) for m in messages], field)
 
 
-def _message_reader(descriptor: Descriptor) -> Callable[[Message], dict[str, Any]]:
-    readers = [(f.name, _field_reader(f)) for f in descriptor.fields]
-    return lambda m: {name: read(m) for name, read in readers}
+def _struct_array(messages: list[Message | None], descriptor: Descriptor) -> pa.Array:
+    """Messages as one struct column, built field by field."""
+    fields = to_arrow_type(_struct_type(descriptor))
+    missing = pa.array([m is None for m in messages], pa.bool_())
+    columns = [_field_array(messages, f).cast(fields[i].type) for i, f in enumerate(descriptor.fields)]
+    return pa.StructArray.from_arrays(columns, fields=list(fields), mask=missing)
 
 
 def decode(value: Column, proto: ProtoType, on_error: str = "fail", engine: str = "arrow") -> Column:
@@ -198,105 +211,178 @@ def decode(value: Column, proto: ProtoType, on_error: str = "fail", engine: str
         options = {"mode": mode, "emit.default.values": "true"}
         return from_protobuf(value, proto.message, binaryDescriptorSet=proto.descriptor_set, options=options)
     descriptor_set, message = proto.descriptor_set, proto.message
-    schema = proto.schema()
-    arrow_type = to_arrow_type(schema)
     built: list[type[Message]] = []
 
     def parse(values: pa.Array) -> pa.Array:
         cls = _built_once(built, descriptor_set, message)
-        read = _message_reader(cls.DESCRIPTOR)
 
-        def one(raw: bytes | None) -> dict[str, Any] | None:
+        def one(raw: bytes | None) -> Message | None:
             if raw is None:
                 return None
             try:
-                return read(cls.FromString(raw))
+                return cls.FromString(raw)
             except DecodeError:
                 if on_error == "fail":
                     raise
                 return None
 
-        return pa.array([one(v) for v in values.to_pylist()], type=arrow_type)
+        return _struct_array([one(v) for v in values.to_pylist()], cls.DESCRIPTOR)
 
-    return F.arrow_udf(parse, schema)(value)
+    return F.arrow_udf(parse, proto.schema())(value)
 
 
-def _fill(message: Message, row: Mapping[str, Any]) -> None:
-    fields = message.DESCRIPTOR.fields_by_name
-    for name, value in row.items():
-        if value is None:
-            continue
-        field = fields[name]
-        if _is_map(field):
-            target, entry = getattr(message, name), field.message_type.fields_by_name["value"]
-            for key, item in value:
-                if entry.type == FD.TYPE_MESSAGE:
-                    target[key].SetInParent()
-                    _fill(target[key], item)
-                else:
-                    target[key] = _scalar(entry, item)
-        elif field.is_repeated and field.type == FD.TYPE_MESSAGE:
-            for item in value:
-                _fill(getattr(message, name).add(), item)
-        elif field.is_repeated:
-            getattr(message, name).extend(_scalar(field, item) for item in value)
-        elif field.type == FD.TYPE_MESSAGE:
-            getattr(message, name).SetInParent()
-            _fill(getattr(message, name), value)
-        else:
-            setattr(message, name, _scalar(field, value))
+def _item_values(array: pa.Array, field: FieldDescriptor) -> list[Any]:
+    """An Arrow column of single values as what a message constructor takes."""
+    if field.type == FD.TYPE_MESSAGE:
+        return _row_values(array, field.message_type)
+    values = array.to_pylist()
+    if field.type in _UINT64:
+        return [v + (1 << 64) if v is not None and v < 0 else v for v in values]
+    if field.type == FD.TYPE_ENUM:
+        known = field.enum_type.values_by_name
+        return [v if v is None or v in known else int(v) for v in values]
+    return values
 
 
-def _scalar(field: FieldDescriptor, value: Any) -> Any:
-    if field.type == FD.TYPE_ENUM:
-        known = field.enum_type.values_by_name.get(value)
-        return known.number if known is not None else int(value)
-    if field.type in _UINT64 and value < 0:
-        return value + (1 << 64)
-    return value
+def _field_values(array: pa.Array, field: FieldDescriptor) -> list[Any]:
+    if not field.is_repeated:
+        return _item_values(array, field)
+    bounds, valid = array.offsets.to_pylist(), array.is_valid().to_pylist()
+    spans = [(low, high) if ok else None for low, high, ok in zip(bounds[:-1], bounds[1:], valid)]
+    if _is_map(field):
+        entry = field.message_type.fields_by_name
+        keys, items = _item_values(array.keys, entry["key"]), _item_values(array.items, entry["value"])
+        return [s and dict(zip(keys[slice(*s)], items[slice(*s)])) for s in spans]
+    items = _item_values(array.values, field)
+    return [s and items[slice(*s)] for s in spans]
+
+
+def _row_values(array: pa.Array, descriptor: Descriptor) -> list[dict[str, Any] | None]:
+    """A struct column as one dict per row, taken field by field."""
+    names = [f.name for f in descriptor.fields]
+    columns = [_field_values(child, f) for child, f in zip(array.flatten(), descriptor.fields)]
+    rows = [dict(zip(names, values)) for values in zip(*columns)] if columns else [{} for _ in range(len(array))]
+    if array.null_count == 0:
+        return rows
+    return [row if ok else None for row, ok in zip(rows, array.is_valid().to_pylist())]
 
 
 def encode(struct: Column, proto: ProtoType) -> Column:
-    """A struct with the message's field names as message bytes."""
-    descriptor_set, message = proto.descriptor_set, proto.message
+    """A struct with the message's fields as message bytes; null fields stay unset."""
+    descriptor_set, message, schema = proto.descriptor_set, proto.message, proto.schema()
     built: list[type[Message]] = []
 
     def build(rows: pa.Array) -> pa.Array:
         cls = _built_once(built, descriptor_set, message)
+        values = _row_values(rows, cls.DESCRIPTOR)
+        encoded = [None if v is None else cls(**v).SerializeToString(deterministic=True) for v in values]
+        return pa.array(encoded, type=pa.binary())
 
-        def one(row: Mapping[str, Any] | None) -> bytes | None:
-            if row is None:
-                return None
-            filled = cls()
-            _fill(filled, row)
-            return filled.SerializeToString(deterministic=True)
+    # The cast lines the struct up with the message: field types, and fields by position.
+    return F.arrow_udf(build, T.BinaryType())(struct.cast(schema))
 
-        return pa.array([one(r) for r in rows.to_pylist()], type=pa.binary())
 
-    return F.arrow_udf(build, T.BinaryType())(struct)
+# --- JSON -> struct ----------------------------------------------------------------------------------------
 
 
-def json_to_bytes(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
-    """JSON text (protobuf's JSON mapping) as message bytes; unknown fields are ignored."""
-    descriptor_set, message = proto.descriptor_set, proto.message
-    built: list[type[Message]] = []
+def _json_type(descriptor: Descriptor) -> T.StructType:
+    """How JSON of a message is first read: its shape, with every scalar as text.
 
-    def build(texts: pa.Array) -> pa.Array:
-        cls = _built_once(built, descriptor_set, message)
+    Text takes numbers, quoted numbers and names alike, which is what protobuf's JSON mapping allows. A field
+    may go by its lowerCamel name or by its own.
+    """
+    fields = []
+    for field in descriptor.fields:
+        kind: T.DataType
+        if _is_map(field):
+            kind = T.MapType(T.StringType(), _json_item_type(field.message_type.fields_by_name["value"]))
+        else:
+            kind = T.ArrayType(_json_item_type(field)) if field.is_repeated else _json_item_type(field)
+        fields += [T.StructField(name, kind) for name in dict.fromkeys([field.json_name, field.name])]
+    return T.StructType(fields)
 
-        def one(value: str | None) -> bytes | None:
-            if value is None:
-                return None
-            try:
-                return json_format.Parse(value, cls(), ignore_unknown_fields=True).SerializeToString(deterministic=True)
-            except json_format.ParseError:
-                if on_error == "fail":
-                    raise
-                return None
 
-        return pa.array([one(v) for v in texts.to_pylist()], type=pa.binary())
+def _json_item_type(field: FieldDescriptor) -> T.DataType:
+    return _json_type(field.message_type) if field.type == FD.TYPE_MESSAGE else T.StringType()
+
 
-    return F.arrow_udf(build, T.BinaryType())(text)
+def _whole_number(text: Column, target: T.DataType) -> Column:
+    """An integer text; also one written like ``1.0`` or ``1e3``, as long as nothing is lost."""
+    wide = text.cast("decimal(38,9)")
+    exact = F.when(wide == F.floor(wide), F.floor(wide))
+    lost = F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast("decimal(38,0)")
+    return F.when(text.rlike(r"^-?[0-9]{1,18}$"), text.cast("bigint")).otherwise(F.coalesce(exact, lost)).cast(target)
+
+
+def _read_item(text: Column, field: FieldDescriptor) -> Column:
+    if field.type == FD.TYPE_MESSAGE:
+        return F.when(text.isNotNull(), F.struct(*_read_fields(text, field.message_type)))
+    if field.type == FD.TYPE_ENUM:
+        labels = {str(v.number): v.name for v in field.enum_type.values}
+        label = F.when(text.isin(list(labels.values())), text)
+        for number, name in labels.items():
+            label = F.when(text == number, F.lit(name)).otherwise(label)
+        # An unknown name leaves the field unset; an unknown number is kept as it is.
+        return F.coalesce(label, F.when(text.rlike("^-?[0-9]+$"), text))
+    kind = _scalar_type(field)
+    if field.type == FD.TYPE_BYTES:
+        return F.unbase64(F.translate(text, "-_", "+/"))
+    if field.type in _UINT64:
+        unsigned = text.cast("decimal(20,0)")
+        wrapped = unsigned - F.lit(str(1 << 64)).cast("decimal(20,0)")
+        return F.when(unsigned >= F.lit(str(1 << 63)).cast("decimal(20,0)"), wrapped).otherwise(unsigned).cast(kind)
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        return F.when(text.isNotNull(), _whole_number(text, kind))
+    return text.cast(kind)
+
+
+def _read_fields(read: Column, descriptor: Descriptor) -> list[Column]:
+    columns = []
+    for field in descriptor.fields:
+        names = list(dict.fromkeys([field.json_name, field.name]))
+        value = F.coalesce(*[read.getField(n) for n in names]) if len(names) > 1 else read.getField(names[0])
+        if _is_map(field):
+            entry = field.message_type.fields_by_name
+            value = F.map_from_entries(F.transform(F.map_entries(value), _read_entry(entry["key"], entry["value"])))
+        else:
+            value = F.transform(value, _read_one(field)) if field.is_repeated else _read_item(value, field)
+        columns.append(value.alias(field.name))
+    return columns
+
+
+def _read_one(field: FieldDescriptor) -> Callable[[Column], Column]:
+    return lambda item: _read_item(item, field)
+
+
+def _read_entry(key: FieldDescriptor, value: FieldDescriptor) -> Callable[[Column], Column]:
+    return lambda e: F.struct(_read_item(e["key"], key).alias("key"), _read_item(e["value"], value).alias("value"))
+
+
+_BAD_JSON = "_bad"
+
+
+def from_json(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
+    """JSON text as the message's struct; unknown fields are ignored, absent and null ones are null.
+
+    Text that is not a JSON object of the message's shape raises, or with ``on_error='skip'`` gives null.
+    """
+    shape = T.StructType([*_json_type(proto.descriptor).fields, T.StructField(_BAD_JSON, T.StringType())])
+    read = F.from_json(text, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD_JSON})
+    problem = F.raise_error(F.concat(F.lit("not the JSON of a message: "), F.left(text, F.lit(80))))
+    failure = F.lit(None) if on_error == "skip" else problem
+
+    def message(read: Column) -> Column:
+        good = read.getField(_BAD_JSON).isNull() & text.rlike(r"^\s*\{")
+        fields = F.struct(*_read_fields(read, proto.descriptor))
+        return F.when(text.isNull(), F.lit(None)).when(good, fields).otherwise(failure.cast(proto.schema()))
+
+    # A lambda over a one-element array names the parsed text, so it is parsed once and not once per field.
+    return F.get(F.transform(F.array(read), message), 0)
+
+
+def json_to_bytes(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
+    """JSON text (protobuf's JSON mapping) as message bytes."""
+    return encode(from_json(text, proto, on_error), proto)
 
 
 # --- struct -> JSON ----------------------------------------------------------------------------------------
@@ -313,23 +399,24 @@ def _json_scalar(value: Column, field: FieldDescriptor) -> Column:
     return value
 
 
+def _json_item(field: FieldDescriptor) -> Callable[[Column], Column]:
+    return lambda item: _json_scalar(item, field)
+
+
+def _json_entry(field: FieldDescriptor) -> Callable[[Column], Column]:
+    return lambda e: F.struct(e["key"].cast("string").alias("key"), _json_scalar(e["value"], field).alias("value"))
+
+
 def _json_fields(struct: Column, descriptor: Descriptor) -> list[Column]:
     columns = []
     for field in descriptor.fields:
         value = struct.getField(field.name)
         if _is_map(field):
             entry = field.message_type.fields_by_name
-            shown = F.map_from_entries(
-                F.transform(
-                    F.map_entries(value),
-                    lambda e, entry=entry: F.struct(
-                        e["key"].cast("string").alias("key"), _json_scalar(e["value"], entry["value"]).alias("value")
-                    ),
-                )
-            )
+            shown = F.map_from_entries(F.transform(F.map_entries(value), _json_entry(entry["value"])))
             shown = F.when(F.size(value) > 0, shown)
         elif field.is_repeated:
-            shown = F.when(F.size(value) > 0, F.transform(value, lambda e, field=field: _json_scalar(e, field)))
+            shown = F.when(F.size(value) > 0, F.transform(value, _json_item(field)))
         elif field.has_presence:
             shown = _json_scalar(value, field)
         else:

@@ -564,8 +564,8 @@ def video_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _json_fields(text: Column, names: list[str]) -> list[Column]:
-    return [F.get_json_object(text, f"$.{n}").alias(n) for n in names]
+def _json_fields(text: Column, names: list[str]) -> Column:
+    return F.json_tuple(text, *names).alias(*names)
 
 
 VIDEO_AD_FIELDS = ["timestamp", "randomId", "impressionId", "requestId", "abTestId", "zoneId", "userId", "clicked"]
@@ -582,7 +582,7 @@ def proto_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proto_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = Conversion(DataType.PROTOBUF, DataType.JSON, "VideoAd")
     rows = convert(video_ads(spark, sf_dir), ConverterRegistry().choose(chosen), "value_bytes")
-    return rows.select("event_id", *_json_fields(F.col("value_bytes"), VIDEO_AD_FIELDS))
+    return rows.select("event_id", _json_fields(F.col("value_bytes"), VIDEO_AD_FIELDS))
 
 
 @register
@@ -617,7 +617,7 @@ def proto_flat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chosen.specs.add(spec)
     rows = convert(video_ads(spark, sf_dir), ConverterRegistry().choose(chosen), "value_bytes")
-    return rows.select("event_id", *_json_fields(F.col("value_bytes"), [f"flat_{n}" for n in VIDEO_AD_FIELDS]))
+    return rows.select("event_id", _json_fields(F.col("value_bytes"), [f"flat_{n}" for n in VIDEO_AD_FIELDS]))
 
 
 @register

@@ -171,13 +171,14 @@ def read_json_arrays(
     is parsed, which suits segmented files; ``read_json_array_lines`` splits files of any size.
     """
     files = _kept_files(_reader(spark, recursive).text(_paths(path), wholetext=True), wanted)
-    items = F.from_json("value", T.ArrayType(T.StringType()))
-    is_array = F.col("value").rlike(r"^\s*\[")
     # A single object would parse as a one-element array, so the first token is looked at as well.
-    checked = F.when(is_array & items.isNotNull(), items).otherwise(
-        F.raise_error(F.lit("file does not hold a JSON array")).cast("array<string>")
+    parsed = files.select(
+        F.from_json("value", T.ArrayType(T.StringType())).alias("items"),
+        F.col("value").rlike(r"^\s*\[").alias("opens"),
     )
-    return files.select(F.explode(checked).alias("value"))
+    failure = F.raise_error(F.lit("file does not hold a JSON array")).cast("array<string>")
+    checked = F.when(F.col("opens") & F.col("items").isNotNull(), F.col("items")).otherwise(failure)
+    return parsed.select(F.explode(checked).alias("value"))
 
 
 def read_json_array_lines(
