@@ -228,7 +228,7 @@ def decode(value: Column, proto: ProtoType, on_error: str = "fail", engine: str
 
         return _struct_array([one(v) for v in values.to_pylist()], cls.DESCRIPTOR)
 
-    return F.arrow_udf(parse, proto.schema())(value)
+    return F.arrow_udf(parse, proto.schema())(value).alias("message")
 
 
 def _item_values(array: pa.Array, field: FieldDescriptor) -> list[Any]:
@@ -279,7 +279,7 @@ def encode(struct: Column, proto: ProtoType) -> Column:
         return pa.array(encoded, type=pa.binary())
 
     # The cast lines the struct up with the message: field types, and fields by position.
-    return F.arrow_udf(build, T.BinaryType())(struct.cast(schema))
+    return F.arrow_udf(build, T.BinaryType())(struct.cast(schema)).alias("value")
 
 
 # --- JSON -> struct ----------------------------------------------------------------------------------------
@@ -306,12 +306,77 @@ def _json_item_type(field: FieldDescriptor) -> T.DataType:
     return _json_type(field.message_type) if field.type == FD.TYPE_MESSAGE else T.StringType()
 
 
-def _whole_number(text: Column, target: T.DataType) -> Column:
-    """An integer text; also one written like ``1.0`` or ``1e3``, as long as nothing is lost."""
-    wide = text.cast("decimal(38,9)")
-    exact = F.when(wide == F.floor(wide), F.floor(wide))
-    lost = F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast("decimal(38,0)")
-    return F.when(text.rlike(r"^-?[0-9]{1,18}$"), text.cast("bigint")).otherwise(F.coalesce(exact, lost)).cast(target)
+def _bounds(field: FieldDescriptor) -> tuple[int, int] | None:
+    for types, low, high in (
+        (_INT32, -(1 << 31), (1 << 31) - 1),
+        (_UINT32, 0, (1 << 32) - 1),
+        (_INT64, -(1 << 63), (1 << 63) - 1),
+        (_UINT64, 0, (1 << 64) - 1),
+    ):
+        if field.type in types:
+            return low, high
+    return None
+
+
+def _whole(text: Column) -> Column:
+    """The text as a decimal if it is an integer, also one written like ``1.0`` or ``1e3``; else null."""
+    wide = text.try_cast("decimal(38,9)")
+    return F.when(wide == F.floor(wide), F.floor(wide).cast("decimal(29,0)"))
+
+
+def _fits(text: Column, field: FieldDescriptor) -> Column:
+    """Whether a text can be read as the field's type."""
+    bounds = _bounds(field)
+    if bounds is not None:
+        low, high = (F.lit(str(n)).cast("decimal(29,0)") for n in bounds)
+        fits = F.coalesce(_whole(text).between(low, high), F.lit(False))
+    elif field.type == FD.TYPE_BYTES:
+        fits = F.try_to_binary(F.translate(text, "-_", "+/"), F.lit("base64")).isNotNull()
+    elif field.type == FD.TYPE_BOOL:
+        fits = text.isin("true", "false")
+    elif field.type in (FD.TYPE_FLOAT, FD.TYPE_DOUBLE):
+        fits = text.try_cast("double").isNotNull()
+    else:
+        return F.lit(True)
+    return text.isNull() | fits
+
+
+def _fields_fit(read: Column, descriptor: Descriptor) -> Column:
+    """Whether every text of a message can be read."""
+    fit = F.lit(True)
+    for field in descriptor.fields:
+        value = _named(read, field)
+        if _is_map(field):
+            entry = field.message_type.fields_by_name
+            fit = fit & F.coalesce(F.forall(F.map_entries(value), _entry_fits(entry["key"], entry["value"])), F.lit(True))
+        elif field.is_repeated:
+            fit = fit & F.coalesce(F.forall(value, _item_fits(field)), F.lit(True))
+        else:
+            fit = fit & _item_fits(field)(value)
+    return fit
+
+
+def _item_fits(field: FieldDescriptor) -> Callable[[Column], Column]:
+    if field.type == FD.TYPE_MESSAGE:
+        return lambda item: item.isNull() | _fields_fit(item, field.message_type)
+    return lambda item: _fits(item, field)
+
+
+def _entry_fits(key: FieldDescriptor, value: FieldDescriptor) -> Callable[[Column], Column]:
+    return lambda e: _item_fits(key)(e["key"]) & _item_fits(value)(e["value"])
+
+
+def _read_number(text: Column, field: FieldDescriptor) -> Column:
+    kind = _scalar_type(field)
+    low, _ = _bounds(field)
+    # Up to nine digits fit every integer type, and are nearly all there is.
+    short = text.rlike(r"^-?[0-9]{1,9}$" if low else r"^[0-9]{1,9}$")
+    exact = _whole(text)
+    if field.type in _UINT64:
+        wrap = F.lit(str(1 << 64)).cast("decimal(29,0)")
+        exact = F.when(exact >= F.lit(str(1 << 63)).cast("decimal(29,0)"), exact - wrap).otherwise(exact)
+    lost = F.raise_error(F.concat(F.lit(f"{field.name} does not take "), text)).cast(kind)
+    return F.when(text.isNull(), F.lit(None)).when(short, text.cast(kind)).when(_fits(text, field), exact.cast(kind)).otherwise(lost)
 
 
 def _read_item(text: Column, field: FieldDescriptor) -> Column:
@@ -324,23 +389,23 @@ def _read_item(text: Column, field: FieldDescriptor) -> Column:
             label = F.when(text == number, F.lit(name)).otherwise(label)
         # An unknown name leaves the field unset; an unknown number is kept as it is.
         return F.coalesce(label, F.when(text.rlike("^-?[0-9]+$"), text))
-    kind = _scalar_type(field)
+    if _bounds(field) is not None:
+        return _read_number(text, field)
     if field.type == FD.TYPE_BYTES:
-        return F.unbase64(F.translate(text, "-_", "+/"))
-    if field.type in _UINT64:
-        unsigned = text.cast("decimal(20,0)")
-        wrapped = unsigned - F.lit(str(1 << 64)).cast("decimal(20,0)")
-        return F.when(unsigned >= F.lit(str(1 << 63)).cast("decimal(20,0)"), wrapped).otherwise(unsigned).cast(kind)
-    if isinstance(kind, (T.IntegerType, T.LongType)):
-        return F.when(text.isNotNull(), _whole_number(text, kind))
-    return text.cast(kind)
+        return F.to_binary(F.translate(text, "-_", "+/"), F.lit("base64"))
+    return text.cast(_scalar_type(field))
+
+
+def _named(read: Column, field: FieldDescriptor) -> Column:
+    """A field by its lowerCamel name or its own."""
+    names = list(dict.fromkeys([field.json_name, field.name]))
+    return F.coalesce(*[read.getField(n) for n in names]) if len(names) > 1 else read.getField(names[0])
 
 
 def _read_fields(read: Column, descriptor: Descriptor) -> list[Column]:
     columns = []
     for field in descriptor.fields:
-        names = list(dict.fromkeys([field.json_name, field.name]))
-        value = F.coalesce(*[read.getField(n) for n in names]) if len(names) > 1 else read.getField(names[0])
+        value = _named(read, field)
         if _is_map(field):
             entry = field.message_type.fields_by_name
             value = F.map_from_entries(F.transform(F.map_entries(value), _read_entry(entry["key"], entry["value"])))
@@ -373,11 +438,13 @@ def from_json(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
 
     def message(read: Column) -> Column:
         good = read.getField(_BAD_JSON).isNull() & text.rlike(r"^\s*\{")
+        if on_error == "skip":
+            good = good & _fields_fit(read, proto.descriptor)
         fields = F.struct(*_read_fields(read, proto.descriptor))
         return F.when(text.isNull(), F.lit(None)).when(good, fields).otherwise(failure.cast(proto.schema()))
 
     # A lambda over a one-element array names the parsed text, so it is parsed once and not once per field.
-    return F.get(F.transform(F.array(read), message), 0)
+    return F.get(F.transform(F.array(read), message), 0).alias("message")
 
 
 def json_to_bytes(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
@@ -438,7 +505,7 @@ def to_json(struct: Column, proto: ProtoType) -> Column:
     names are lowerCamel.
     """
     text = F.to_json(F.struct(*_json_fields(struct, proto.descriptor)), {"ignoreNullFields": "true"})
-    return F.when(struct.isNotNull(), text)
+    return F.when(struct.isNotNull(), text).alias("json")
 
 
 def bytes_to_json(value: Column, proto: ProtoType, on_error: str = "fail", engine: str = "arrow") -> Column:
