@@ -56,13 +56,15 @@ def search_in_array(items: Column, name: str, field: str) -> Column:
 
     Named by bundled flat specs but defined nowhere there, so the definition is this package's own.
     """
-    return F.get(F.filter(items, lambda e: e["name"] == F.lit(name)), 0)[field]
+    # By position rather than by a lambda: specs look up dozens of names per row, and this stays in codegen.
+    at = F.array_position(items.getField("name"), name)
+    return F.get(items.getField(field), (at - 1).cast("int"))
 
 
 def join_nullable(delimiter: str, parts: Column) -> Column:
     """Array elements joined, skipping null and empty ones; a null array gives the text ``null``."""
-    kept = F.filter(parts, lambda p: p.isNotNull() & (p != F.lit("")))
-    return F.when(parts.isNull(), F.lit("null")).otherwise(F.array_join(kept, delimiter))
+    # array_join leaves nulls out by itself.
+    return F.when(parts.isNull(), F.lit("null")).otherwise(F.array_join(F.array_remove(parts, ""), delimiter))
 
 
 def is_blank(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from typing import Any
 
@@ -107,6 +107,16 @@ def partition_counters(rows: DataFrame) -> DataFrame:
     )
 
 
+def stream_counters(progress: Sequence[Mapping[str, Any]]) -> dict[str, int]:
+    """Counters of a streaming run from its progress reports; a micro-batch is a poll."""
+    polls = [int(p["numInputRows"]) for p in progress]
+    return {
+        READ_RECORDS: sum(polls),
+        EMPTY_POLLS: sum(n == 0 for n in polls),
+        LAST_POLL_SIZE: polls[-1] if polls else 0,
+    }
+
+
 def merge_counters(counters: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
     """One value per counter name: source counters first, sink counters over them."""
     rank = F.when(F.col("side") == "sink", 1).otherwise(0)

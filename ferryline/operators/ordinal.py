@@ -81,6 +81,6 @@ def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def effective_parallelism(requested: int, items: int) -> int:
-    """A job never runs with more workers than it has files or objects."""
-    return max(1, min(requested, items))
+def limit_workers(df: DataFrame, requested: int) -> DataFrame:
+    """At most ``requested`` tasks, fewer when there is less input; nothing is shuffled."""
+    return df.coalesce(max(1, requested))

@@ -15,11 +15,13 @@ from ferryline.errors import SpecError
 from ferryline.functions import codecs
 from ferryline.operators import audit, protobuf
 from ferryline.operators.convert import Conversion, Converter, ConverterRegistry, convert
+from ferryline.operators.ordinal import limit_workers
 from ferryline.operators.segment import json_element_cost
 from ferryline.sinks import files as file_sink
 from ferryline.sinks import topic as topic_sink
 from ferryline.sources import files as file_source
 from ferryline.sources import topic as topic_source
+from ferryline.streaming import available_now
 from ferryline.types import DataType, Platform, check_side
 
 SECTIONS = {
@@ -64,6 +66,8 @@ class Environment:
     topic_partitions: Mapping[str, Sequence[int]] = field(default_factory=dict)
     buckets: Mapping[str, str] = field(default_factory=dict)
     local_allowed: bool = False
+    # Spark sizes its tasks by the input; with this a description's parallelism is an upper bound on them.
+    limit_workers: bool = False
     converters: ConverterRegistry = field(default_factory=ConverterRegistry)
 
 
@@ -123,7 +127,7 @@ def _check_places(source: Side, sink: Side, env: Environment) -> None:
         raise SpecError("this instance may not write to a local folder")
 
 
-def read(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
+def read(spark: SparkSession, job: Job, env: Environment, require: bool = True) -> DataFrame:
     """The source as rows (ts_ms, value). Values are bytes for protobuf, else the decoded type."""
     options, kind = job.source.options, job.source.data_type
     if job.source.platform is not Platform.KAFKA:
@@ -131,28 +135,36 @@ def read(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
     bounds = topic_source.RecordRange(
         int(options["from"]), int(options["to"]), topic_source.RangeType.parse(options["rangeType"])
     )
-    rows = topic_source.records(topic_source.read(env.topics[options["topic"]], bounds)).select("ts_ms", "value")
+    rows = topic_source.records(topic_source.read(env.topics[options["topic"]], bounds, require)).select("ts_ms", "value")
     if kind is DataType.PROTOBUF:
         return rows
     return codecs.decode_records(rows, kind, job.conversion.on_error, "value")
 
 
-def _read_files(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
+def _file_range(job: Job) -> file_source.FileRange:
     options = job.source.options
+    prefixes = options.get("objectNamePrefixes" if job.source.platform is Platform.S3 else "prefixes") or ()
+    return file_source.FileRange(tuple(prefixes), options.get("from"), options.get("to"))
+
+
+def input_listing(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
+    """The files or objects a job reads; finding none is an error."""
+    options = job.source.options
+    if job.source.platform is Platform.S3:
+        return file_source.list_objects(spark, env.buckets[options["bucket"]], _file_range(job))
+    recursive = bool(options.get("recursive", False))
+    return file_source.scan_tree(spark, options["parentPath"], _file_range(job), recursive)
+
+
+def _read_files(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
+    listing, wanted, options = input_listing(spark, job, env), _file_range(job), job.source.options
     if job.source.platform is Platform.S3:
         root = env.buckets[options["bucket"]]
-        prefixes = tuple(options.get("objectNamePrefixes") or ())
-        wanted = file_source.FileRange(prefixes, options.get("from"), options.get("to"))
-        file_source.list_objects(spark, root, wanted)
         return file_source.read_objects(root, wanted, lambda path, times: _read_path(spark, job, path, times, True))
-    path, recursive = options["parentPath"], bool(options.get("recursive", False))
-    wanted = file_source.FileRange(tuple(options.get("prefixes") or ()), options.get("from"), options.get("to"))
-    listing = file_source.list_files(spark, path, recursive)
+    path = options["parentPath"]
     if file_source.is_file(listing, path):
         wanted = file_source.FileRange()
-    else:
-        file_source.require_some(file_source.select_files(listing, wanted))
-    return _read_path(spark, job, path, wanted, recursive)
+    return _read_path(spark, job, path, wanted, bool(options.get("recursive", False)))
 
 
 def _read_path(spark: SparkSession, job: Job, path: str, wanted: file_source.FileRange, recursive: bool) -> DataFrame:
@@ -164,9 +176,11 @@ def _read_path(spark: SparkSession, job: Job, path: str, wanted: file_source.Fil
     return messages.select(protobuf.encode(struct, proto).alias("value"))
 
 
-def write(rows: DataFrame, job: Job, env: Environment) -> None:
+def write(rows: DataFrame, job: Job, env: Environment, folder: str = "", replace: bool = False) -> None:
     """Rows to the sink as they come: every task is a worker, nothing is shuffled."""
     options, kind = job.sink.options, job.sink.data_type
+    if env.limit_workers:
+        rows = limit_workers(rows, job.parallelism)
     if job.sink.platform is Platform.KAFKA:
         if kind is not DataType.PROTOBUF:
             rows = rows.withColumn("value", codecs.encode(kind, F.col("value")))
@@ -180,22 +194,34 @@ def write(rows: DataFrame, job: Job, env: Environment) -> None:
     root, layout = options.get("parentPath") or options.get("dir"), "flat"
     if job.sink.platform is Platform.S3:
         root, layout = env.buckets[options["bucket"]], "object"
+    root = f"{root.rstrip('/')}/{folder}" if folder else root
     if kind is DataType.JSON:
-        file_sink.write_as_they_come(rows.select("value"), root, job.job_id, "json", size, count, layout)
-        return
-    proto = job.conversion.protos.get(job.sink.message)
-    # The encoded message is the size estimate; the file then holds the message's own columns.
-    sized = rows.select(json_element_cost(F.col("value")).alias(file_sink.SIZE_COLUMN), "value")
-    messages = sized.withColumn("message", protobuf.decode(F.col("value"), proto))
-    columns = messages.select(file_sink.SIZE_COLUMN, "message.*")
-    file_sink.write_as_they_come(columns, root, job.job_id, "parquet", size, count, layout)
+        content, file_format = rows.select("value"), "json"
+    else:
+        proto = job.conversion.protos.get(job.sink.message)
+        # The encoded message is the size estimate; the file then holds the message's own columns.
+        sized = rows.select(json_element_cost(F.col("value")).alias(file_sink.SIZE_COLUMN), "value")
+        messages = sized.withColumn("message", protobuf.decode(F.col("value"), proto))
+        content, file_format = messages.select(file_sink.SIZE_COLUMN, "message.*"), "parquet"
+    file_sink.write_as_they_come(content, root, job.job_id, file_format, size, count, layout, replace)
 
 
-def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: audit.AuditLog | None = None, **conversion: Any) -> Job:
-    """Resolve, read, convert and write one job, and record it in ``log``."""
-    job = resolve(spec, env, **conversion)
-    if log is not None:
-        log.job(
+def _converted(rows: DataFrame, job: Job) -> DataFrame:
+    rows = convert(rows, job.converter)
+    return rows.filter(F.col("value").isNotNull()) if job.conversion.on_error == "skip" else rows
+
+
+class _Record:
+    """What a run tells its audit log, if it has one."""
+
+    def __init__(self, log: audit.AuditLog | None, job: Job) -> None:
+        self.log, self.job = log, job
+
+    def created(self) -> None:
+        if self.log is None:
+            return
+        job, now = self.job, datetime.now(timezone.utc)
+        self.log.job(
             job.job_id,
             parallelism=job.parallelism,
             source_type=job.source.platform.name,
@@ -205,22 +231,77 @@ def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: aud
             special_converter_name=job.conversion.converter,
             special_converter_subtype=job.conversion.converter_type,
             special_converter_args=",".join(job.conversion.args) or None,
-            creation_time=datetime.now(timezone.utc),
+            creation_time=now,
+            start_time=now,
         )
-    seen = Observation("read")
+        self._workers(audit.STARTED)
+
+    def _workers(self, state: str, error: str | None = None) -> None:
+        events = [{"worker_type": t, "worker_state": state, "thread_num": 0, "error": error} for t in ("source", "sink")]
+        self.log.workers(self.job.job_id, events)
+
+    def failed(self, error: Exception) -> None:
+        if self.log is None:
+            return
+        text = str(error)[:2000]
+        self.log.job(self.job.job_id, error=text, finish_time=datetime.now(timezone.utc))
+        self._workers(audit.ERROR, text)
+
+    def finished(self, counters: Mapping[str, int]) -> None:
+        if self.log is None:
+            return
+        self.log.job(self.job.job_id, finish_time=datetime.now(timezone.utc))
+        self._workers(audit.FINISHED)
+        self.log.counters(self.job.job_id, "source", dict(counters))
+
+
+def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: audit.AuditLog | None = None, **conversion: Any) -> Job:
+    """Resolve, read, convert and write one job, and record it in ``log``."""
+    job = resolve(spec, env, **conversion)
+    record, seen = _Record(log, job), Observation("read")
+    record.created()
     try:
-        if log is not None:
-            log.job(job.job_id, start_time=datetime.now(timezone.utc))
         rows = read(spark, job, env).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows = convert(rows, job.converter)
-        if job.conversion.on_error == "skip":
-            rows = rows.filter(F.col("value").isNotNull())
-        write(rows, job, env)
-    except Exception as error:
+        write(_converted(rows, job), job, env)
+        counters = {}
         if log is not None:
-            log.job(job.job_id, error=str(error)[:2000], finish_time=datetime.now(timezone.utc))
+            counters[audit.READ_RECORDS] = int(seen.get["n"])
+            if job.source.platform is not Platform.KAFKA:
+                name = audit.READ_OBJECTS if job.source.platform is Platform.S3 else audit.READ_FILES
+                counters[name] = input_listing(spark, job, env).count()
+    except Exception as error:
+        record.failed(error)
+        raise
+    record.finished(counters)
+    return job
+
+
+def run_available_now(
+    spark: SparkSession,
+    spec: Mapping[str, Any],
+    env: Environment,
+    checkpoint: str,
+    log: audit.AuditLog | None = None,
+    **conversion: Any,
+) -> Job:
+    """The same job over a streaming topic: it drains what is there now and stops; a rerun goes on from there.
+
+    Only an OFFSET range can be told record by record. File sinks get one folder per micro-batch.
+    """
+    job = resolve(spec, env, **conversion)
+    if job.source.platform is not Platform.KAFKA:
+        raise SpecError("a streaming run reads a topic")
+    if topic_source.RangeType.parse(job.source.options["rangeType"]) is not topic_source.RangeType.OFFSET:
+        raise SpecError("a streaming run takes an OFFSET range")
+    record = _Record(log, job)
+    record.created()
+    try:
+        rows = _converted(read(spark, job, env, require=False), job)
+        query = available_now.drain_to_batches(
+            rows, checkpoint, lambda batch, number: write(batch, job, env, str(number), replace=True)
+        )
+    except Exception as error:
+        record.failed(error)
         raise
-    if log is not None:
-        log.job(job.job_id, finish_time=datetime.now(timezone.utc))
-        log.counters(job.job_id, "source", {audit.READ_RECORDS: int(seen.get["n"])})
+    record.finished(audit.stream_counters(query.recentProgress))
     return job

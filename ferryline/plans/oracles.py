@@ -414,3 +414,8 @@ from orders group by o_custkey
 # --- streaming ---------------------------------------------------------------------------------------------
 
 ORACLES["stream_to_json_arrays"] = "select props as value, count(*) n from events group by 1"
+ORACLES["stream_job"] = f"""
+select cast(epoch_us(ts) // 1000 as varchar) as timestamp, cast(nullif(event_id, 0) as varchar) "abTestId",
+       case when event_type = 'click' then 'true' end clicked
+from events, {_OFFSETS} where event_id between lo and hi
+"""

@@ -447,12 +447,17 @@ def join_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def is_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    padded = F.when(F.col("at") % 5 == 1, F.lit(" \t ")).when(F.col("at") % 5 != 2, F.col("line"))
-    return lines.groupBy("doc_id").agg(
-        F.count("*").alias("lines"),
-        F.sum(scalars.is_blank(padded).cast("int")).alias("blank"),
-        F.sum(scalars.is_not_blank(F.col("line")).cast("int")).alias("written"),
+    """Lines of whole documents, some replaced by blanks or nulls, counted within the row."""
+
+    def padded(line: Column, at: Column) -> Column:
+        return F.when(at % 5 == 1, F.lit(" \t ")).when(at % 5 != 2, line)
+
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.size(lines).alias("lines"),
+        F.size(F.filter(F.transform(lines, padded), scalars.is_blank)).alias("blank"),
+        F.size(F.filter(lines, scalars.is_not_blank)).alias("written"),
     )
 
 
@@ -546,8 +551,9 @@ def feature_lines_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- protobuf ----------------------------------------------------------------------------------------------
 
 
-def video_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def video_ads(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as VideoAd message bytes."""
+    events = table(spark, sf_dir, "events") if events is None else events
     event = F.struct(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
         (F.col("event_id") % 5).alias("randomId"),
@@ -559,9 +565,7 @@ def video_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "click").alias("clicked"),
     )
     proto = bundled_protos.bundled().get("VideoAd")
-    return table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", protobuf.encode(event, proto).alias("value_bytes")
-    )
+    return events.select("event_id", "user_id", "ts", protobuf.encode(event, proto).alias("value_bytes"))
 
 
 def _json_fields(text: Column, names: list[str]) -> Column:
@@ -980,12 +984,31 @@ def stream_offset_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{work}/out")
 
 
+@register
+def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole job over a streaming topic: an offset range of protobuf messages into JSON array files."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).head()[0]
+    work = shared_path(spark, "stream")
+    topic = _as_topic(video_ads(spark, sf_dir, _event_stream(spark, sf_dir)), F.col("user_id") % 4, value="value_bytes")
+    spec = {
+        "parallelism": 4,
+        "sourceGeneral": {"dataType": {"type": "protobuf", "specificType": "VideoAd"}, "platform": "KAFKA"},
+        "sinkGeneral": {"dataType": {"type": "json"}, "platform": "S3"},
+        "kafkaSource": {"from": last * 2 // 10, "to": last * 6 // 10, "rangeType": "OFFSET", "topic": "ads"},
+        "s3Sink": {"bucket": "out", "fileSegmentator": {"maxElementsPerFile": 500}},
+    }
+    env = jobs.Environment(topics={"ads": topic}, buckets={"out": f"{work}/out"})
+    jobs.run_available_now(spark, spec, env, f"{work}/checkpoint")
+    back = file_source.read_json_array_lines(spark, f"{work}/out")
+    return back.select(_json_fields(F.col("value"), ["timestamp", "abTestId", "clicked"]))
+
+
 @register
 def stream_to_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_path(spark, "stream")
     rows = _event_stream(spark, sf_dir).select(F.col("props").alias("value"))
     available_now.drain_to_json_arrays(
-        rows, f"{work}/out", "events", f"{work}/checkpoint", max_bytes="8 kb", max_count=300
+        rows, f"{work}/out", "events", f"{work}/checkpoint", "value", "8 kb", 300
     )
     back = file_source.read_json_array_lines(spark, f"{work}/out")
     return back.groupBy("value").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,3 +67,9 @@ def write_topic(records: DataFrame, servers: str, options: Mapping[str, str]) ->
     """Through Spark's Kafka writer (needs the spark-sql-kafka package on the cluster); at least once."""
     writer = records.write.format("kafka").option("kafka.bootstrap.servers", servers)
     writer.option("includeHeaders", "headers" in records.columns).options(**options).save()
+
+
+def kafka_sink(servers: str, batch_size: int, **options: str) -> Callable[[DataFrame], None]:
+    """A topic sink for a job: records to a real topic with the producer tuned to the batch size."""
+    settings = {**producer_options(batch_size), **options}
+    return lambda records: write_topic(records, servers, settings)

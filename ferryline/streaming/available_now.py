@@ -55,14 +55,14 @@ def drain_to_json_arrays(
     max_bytes: int | str | None = None,
     max_count: int | None = None,
 ) -> StreamingQuery:
-    """Segmented JSON array files from a stream; the batch number is part of the file names.
+    """Segmented JSON array files from a stream, in one folder per micro-batch.
 
     Spark runs a batch again if a failure hits between its files and its checkpoint, so a batch replaces
-    whatever files of its own it finds.
+    whatever files it finds in its folder.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         content = batch.select(F.col(value).alias("value"))
-        write_as_they_come(content, path, f"{job}.{number}", "json", max_bytes, max_count, replace=True)
+        write_as_they_come(content, f"{path}/{number}", job, "json", max_bytes, max_count, replace=True)
 
     return drain_to_batches(stream, checkpoint, write)

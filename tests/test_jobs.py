@@ -144,6 +144,40 @@ def test_topic_to_bucket_with_audit(spark, env, tmp_path):
     assert [(r.name, r.counter_val) for r in log.table("counters").collect()] == [("_read_records", 10)]
 
 
+def test_file_counters_and_worker_events(spark, env, tmp_path):
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    for n in range(3):
+        (tmp_path / "src" / f"{n}.json").write_text('[{"name":"a"},{"name":"b"}]')
+    env.limit_workers = True
+    jobs.run(spark, spec(source="S3", parallelism=1), env, log)
+    assert {(r.name, r.counter_val) for r in log.table("counters").collect()} == {("_read_records", 6), ("_read_objects", 3)}
+    assert {r.worker_state for r in log.table("worker_event").collect()} == {"STARTED", "FINISHED"}
+    assert len(os.listdir(tmp_path / "dst")) == 1
+
+
+def test_streaming_run(spark, env, tmp_path):
+    env.topics["in"].drop("timestamp").write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(env.topics["in"].drop("timestamp").schema).parquet(str(tmp_path / "feed"))
+    env.topics = {"in": stream.withColumn("timestamp", F.timestamp_millis(F.col("offset") * 1000))}
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    ranged = spec(kafkaSource={"from": 3, "to": 12, "rangeType": "OFFSET", "topic": "in"})
+    for _ in range(2):
+        jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
+        assert names_in(spark, tmp_path / "dst") == sorted(f"s{i}" for i in range(3, 13))
+    counters = {(r.name, r.counter_val) for r in log.table("counters").collect()}
+    # A stream counts what its scan gave, which the pushed range already thinned out.
+    assert any(n == "_read_records" and v >= 10 for n, v in counters) and ("_empty_polls", 0) in counters
+    for bad in (spec(kafkaSource={"from": 0, "to": 1, "rangeType": "TIME", "topic": "in"}), spec(source="HDFS")):
+        with pytest.raises(SpecError, match="streaming run"):
+            jobs.run_available_now(spark, bad, env, str(tmp_path / "check2"))
+
+
+def test_stream_counters():
+    progress = [{"numInputRows": n} for n in (5, 0, 7)]
+    assert audit.stream_counters(progress) == {"_read_records": 12, "_empty_polls": 1, "last_poll_size": 7}
+    assert audit.stream_counters([])["_read_records"] == 0
+
+
 def test_failed_run_is_recorded(spark, env, tmp_path):
     log = audit.AuditLog(spark, str(tmp_path / "audit"))
     with pytest.raises(EmptyRangeError):

@@ -162,7 +162,9 @@ def test_even_split(spark, n, pieces):
 def test_first_n_and_parallelism(spark):
     assert [r.id for r in ordinal.first_n(spark.range(10), ["id"], 3).collect()] == [0, 1, 2]
     assert ordinal.first_n(spark.range(2), ["id"], 5).count() == 2
-    assert [ordinal.effective_parallelism(6, n) for n in (0, 2, 9)] == [1, 2, 6]
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    four = spark.range(0, 100, 1, 4)
+    assert [tasks(ordinal.limit_workers(four, n)) for n in (1, 3, 9)] == [1, 3, 4]
 
 
 # --- names -------------------------------------------------------------------------------------------------
