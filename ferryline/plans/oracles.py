@@ -22,7 +22,8 @@ _TIME_ROWS = f"""
 """
 
 ORACLES["topic_range_report"] = f"""
-select cast(user_id % 4 as int) "partition", count(*) n, sum(cast(json_extract_string(props, '$.k') as bigint)) sum_k,
+select cast(user_id % 4 as int) "partition", count(*) n,
+       cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) sum_k,
        min(event_id) first_offset, max(event_id) last_offset, max((epoch_us(ts) // 1000)) last_ts
 from events, {_OFFSETS} where event_id between lo and hi group by 1
 """
@@ -184,8 +185,9 @@ ORACLES["is_blank"] = """
 with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
            from documents),
 p as (select doc_id, line, case when pos % 5 = 1 then ' ' when pos % 5 <> 2 then line end padded from l)
-select doc_id, count(*) as lines, sum(case when padded is null or regexp_full_match(padded, '\\s*') then 1 else 0 end) blank,
-       sum(case when regexp_full_match(line, '\\s*') then 0 else 1 end) written
+select doc_id, count(*) as lines,
+       count(*) filter (padded is null or regexp_full_match(padded, '\\s*')) blank,
+       count(*) filter (not regexp_full_match(line, '\\s*')) written
 from p group by doc_id
 """
 ORACLES["size_parse"] = """

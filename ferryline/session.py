@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # A lookup side is broadcast only after it has been counted and found no longer than this.
 MAX_BROADCAST_ROWS = 50_000
 
+_open_scopes: list[list[str]] = []
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -67,10 +70,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     executors, is written once, and later readers prune its columns.
     """
     path = shared_path(df.sparkSession, label)
+    for written in _open_scopes:
+        written.append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables ``materialise`` writes inside, at the end; results must be written by then.
+
+        with intermediates_dropped(spark):
+            with_ordinal(df, ["seq"]).write.parquet(target)
+
+    Without it the tables stay in the shared folder, for whoever clears that folder.
+    """
+    written: list[str] = []
+    _open_scopes.append(written)
+    try:
+        yield
+    finally:
+        _open_scopes.pop()
+        for name in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def collect_if_short(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``max_rows``, else None; never more than that is fetched."""
     head = df.limit(max_rows + 1).collect()

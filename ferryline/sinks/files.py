@@ -33,6 +33,7 @@ from pyspark.sql.types import StructType
 from ferryline.errors import SpecError
 from ferryline.functions.units import size_option
 from ferryline.operators.segment import NO_LIMIT, assign_segments, cut_batch, json_element_cost
+from ferryline.session import intermediates_dropped
 
 # The frame of a JSON array file.
 ARRAY_OPEN, ARRAY_BETWEEN, ARRAY_CLOSE = b"[\n", b",\n", b"\n]"
@@ -292,8 +293,9 @@ def write_json_arrays(
     """
     order = order or ["seq"]
     narrow = rows.select(F.col(worker).alias("worker"), *order, F.col(value).alias("value"))
-    cut = assign_segments(narrow, "worker", order, json_element_cost(F.col("value")), max_bytes, max_count)
-    write_segments(cut, path, job, order, "json", layout)
+    with intermediates_dropped(rows.sparkSession):
+        cut = assign_segments(narrow, "worker", order, json_element_cost(F.col("value")), max_bytes, max_count)
+        write_segments(cut, path, job, order, "json", layout)
 
 
 def write_parquet_segments(
@@ -314,8 +316,9 @@ def write_parquet_segments(
     """
     order = order or ["seq"]
     named = rows.withColumnRenamed(worker, "worker")
-    cut = assign_segments(named, "worker", order, F.expr(cost).cast("bigint"), max_bytes, max_count)
-    write_segments(cut, path, job, order, "parquet", layout)
+    with intermediates_dropped(rows.sparkSession):
+        cut = assign_segments(named, "worker", order, F.expr(cost).cast("bigint"), max_bytes, max_count)
+        write_segments(cut, path, job, order, "parquet", layout)
 
 
 def write_parquet(rows: DataFrame, path: str, max_count: int | None = None, mode: str = "errorifexists") -> None:

@@ -134,6 +134,16 @@ def test_ordinal_per_key_and_total(elements):
         assert mine == [(i, seq, len(items)) for i, (seq, _) in enumerate(items)]
 
 
+def test_intermediate_tables_are_dropped(spark, tmp_path, monkeypatch):
+    from ferryline import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
+    with session.intermediates_dropped(spark):
+        assert ordinal.with_ordinal(spark.range(5), ["id"]).count() == 5
+        assert list(tmp_path.glob("ferryline/ordinal-*"))
+    assert not list(tmp_path.glob("ferryline/ordinal-*"))
+
+
 def test_ordinal_without_key_and_with_null_keys(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 0)], "k string, o int")
     assert sorted((r.o, r.at) for r in ordinal.with_ordinal(df, ["o"], name="at").collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
