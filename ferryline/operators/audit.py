@@ -34,6 +34,7 @@ COUNTERS = _schema("job_id string, event_time timestamp, side string, name strin
 STARTED, FINISHED, ERROR = "STARTED", "FINISHED", "ERROR"
 READ_RECORDS, READ_OBJECTS, READ_FILES = "_read_records", "_read_objects", "_read_files"
 EMPTY_POLLS, LAST_POLL_SIZE = "_empty_polls", "last_poll_size"
+SKIPPED_RECORDS = "_skipped_records"
 
 CAPACITY_COLUMNS = ("running", "running_max", "queued", "queued_max", "free_running", "free_queued")
 

@@ -114,16 +114,16 @@ class ConverterRegistry:
         if job.converter is not None:
             named = self._named.get(job.converter)
             if named is None:
-                raise SpecError(f"converter with name {job.converter} was not found")
+                raise SpecError(f"no converter is named {job.converter!r}")
             if (named.source_type, named.sink_type) != (job.source_type, job.sink_type):
                 raise SpecError(
-                    f"converter {named.name} is not supported for {job.source_type.name} -> {job.sink_type.name};"
-                    f" it converts {named.source_type.name} -> {named.sink_type.name}"
+                    f"{named.name} converts {named.source_type.name} -> {named.sink_type.name},"
+                    f" not {job.source_type.name} -> {job.sink_type.name}"
                 )
             return named.make(job)
         factory = self._by_types.get((job.source_type, job.sink_type))
         if factory is None:
-            raise SpecError(f"transition from {job.source_type.name} to {job.sink_type.name} is not supported")
+            raise SpecError(f"no converter from {job.source_type.name} to {job.sink_type.name}")
         return factory(job)
 
 

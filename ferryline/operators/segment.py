@@ -221,7 +221,8 @@ def assign_segments(
     """``df`` with the 0-based number of the file each element of its worker goes to.
 
     ``cost`` is what an element adds to its file, see ``json_element_cost``. With neither limit a worker
-    fills a single file. ``worker`` must be an integer column and ``order`` must not tie within a worker.
+    fills a single file, which a single task will have to write. ``worker`` must be an integer column without
+    nulls and ``order`` must not tie within a worker.
     """
     if isinstance(max_bytes, str):
         max_bytes = size_option(max_bytes)
@@ -237,7 +238,8 @@ def assign_segments(
 
     # The cost is taken before the shuffle, so the numbered table carries one extra bigint and no re-reads.
     ranked = with_ordinal(df.withColumn("_cost", cost), order, [worker], "_ordinal")
-    ranked = ranked.withColumn("_worker", F.col(worker).cast("bigint")).withColumn(
+    missing = F.raise_error(F.lit("an element has no worker")).cast("bigint")
+    ranked = ranked.withColumn("_worker", F.coalesce(F.col(worker).cast("bigint"), missing)).withColumn(
         "_chunk", F.expr(f"_ordinal div {int(chunk_rows)}L")
     )
     steps = (

@@ -206,9 +206,14 @@ def write(rows: DataFrame, job: Job, env: Environment, folder: str = "", replace
     file_sink.write_as_they_come(content, root, job.job_id, file_format, size, count, layout, replace)
 
 
-def _converted(rows: DataFrame, job: Job) -> DataFrame:
+def _converted(rows: DataFrame, job: Job, skipped: Observation | None = None) -> DataFrame:
     rows = convert(rows, job.converter)
-    return rows.filter(F.col("value").isNotNull()) if job.conversion.on_error == "skip" else rows
+    if job.conversion.on_error != "skip":
+        return rows
+    bad = F.col("value").isNull()
+    if skipped is not None:
+        rows = rows.observe(skipped, F.count_if(bad).alias("n"))
+    return rows.filter(~bad)
 
 
 class _Record:
@@ -258,14 +263,16 @@ class _Record:
 def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: audit.AuditLog | None = None, **conversion: Any) -> Job:
     """Resolve, read, convert and write one job, and record it in ``log``."""
     job = resolve(spec, env, **conversion)
-    record, seen = _Record(log, job), Observation("read")
+    record, seen, skipped = _Record(log, job), Observation("read"), Observation("skipped")
     record.created()
     try:
         rows = read(spark, job, env).observe(seen, F.count(F.lit(1)).alias("n"))
-        write(_converted(rows, job), job, env)
+        write(_converted(rows, job, skipped), job, env)
         counters = {}
         if log is not None:
             counters[audit.READ_RECORDS] = int(seen.get["n"])
+            if job.conversion.on_error == "skip":
+                counters[audit.SKIPPED_RECORDS] = int(skipped.get["n"])
             if job.source.platform is not Platform.KAFKA:
                 name = audit.READ_OBJECTS if job.source.platform is Platform.S3 else audit.READ_FILES
                 counters[name] = input_listing(spark, job, env).count()

@@ -338,11 +338,14 @@ class _BytesWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
         filesystem, root = open_filesystem(self.root)
-        written = []
+        written, folders = [], set()
         for batch in iterator:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 target = f"{root}/{key}"
-                filesystem.create_dir(posixpath.dirname(target), recursive=True)
+                folder = posixpath.dirname(target)
+                if folder not in folders:
+                    filesystem.create_dir(folder, recursive=True)
+                    folders.add(folder)
                 held = f"{target}._{uuid.uuid4().hex}"
                 with filesystem.open_output_stream(held) as stream:
                     stream.write(content)

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryline import EmptyRangeError, SpecError
 from ferryline.sinks import files as sink
@@ -38,11 +39,16 @@ def test_existing_file_is_an_error_and_leaves_nothing(rows, tmp_path):
     assert tree(tmp_path) == before
 
 
-def test_failing_task_leaves_nothing(rows, tmp_path):
+def test_failing_task_leaves_no_file(spark, rows, tmp_path):
+    """Tasks still running at the failure may leave attempt files, under a name readers pass over."""
     bad = rows.withColumn("value", F.when(F.col("seq") == 7, F.raise_error(F.lit("boom"))).otherwise(F.col("value")))
     with pytest.raises(PySparkException):
         sink.write_as_they_come(bad.select("value"), str(tmp_path), "job")
-    assert tree(tmp_path) == []
+    assert [f for f in tree(tmp_path) if not f.startswith("_attempts-")] == []
+    (tmp_path / "_attempts-x").mkdir()
+    (tmp_path / "_attempts-x" / "0-0").write_text("[\n1")
+    (tmp_path / "ok.json").write_text("[1]")
+    assert names(source.list_files(spark, str(tmp_path))) == ["ok.json"]
 
 
 def test_no_rows_no_files(rows, tmp_path):
@@ -117,6 +123,12 @@ def test_array_reader_takes_any_layout(spark, tmp_path):
     assert got == ['{"a":1,"b":[1,2]}', '{"a":2}']
 
 
+def test_typed_array_reader(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a":1,"c":0},\n{"a":2}]')
+    got = source.read_json_array_records(spark, str(tmp_path), T.StructType([T.StructField("a", T.LongType())]))
+    assert sorted(map(tuple, got.collect())) == [(1,), (2,)]
+
+
 @pytest.mark.parametrize("text", ['{"a":1}', "nonsense", '"[1]"'])
 def test_not_an_array(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
@@ -159,6 +171,22 @@ def test_range_edges_are_inclusive(spark, folder):
     assert read.count() == 4
 
 
+def test_files_out_of_range_are_not_opened(spark, folder):
+    """The range works on the file list, so broken files outside it do no harm and are not counted as read."""
+    for name in ("test-before.json", "other-mid.json"):
+        at = os.stat(folder / name).st_mtime
+        (folder / name).write_text("broken")
+        os.utime(folder / name, (at, at))
+    wanted = FileRange(("test-",), 1_000_000, 2_000_000)
+    read = source.read_json_arrays(spark, str(folder), wanted)
+    assert read.select(F.input_file_name()).distinct().count() == 4
+    plan = read._jdf.queryExecution().executedPlan()
+    read.collect()
+    scans = plan.collectLeaves()
+    metrics = scans.head().metrics()
+    assert metrics.get("numFiles").get().value() in (0, 4)
+
+
 def test_prefixes(spark, folder):
     assert names(source.scan_tree(spark, str(folder), FileRange(("other-", "test-m")), False)) == ["other-mid.json", "test-mid.json"]
     assert len(names(source.scan_tree(spark, str(folder), FileRange()))) == 7

@@ -116,8 +116,8 @@ def env(spark, tmp_path):
         ({"sink": "KAFKA", "kafkaSink": {"batchSize": 0, "topic": "out"}}, "batch size"),
         ({"s3Sink": {"bucket": "zz"}}, "bucket"),
         ({"sink": "LOCAL_FS"}, "local folder"),
-        ({"source_type": "string", "sink_type": "json"}, "transition"),
-        ({"source_type": "protobuf", "specialConverter": {"name": "nope"}}, "was not found"),
+        ({"source_type": "string", "sink_type": "json"}, "no converter from"),
+        ({"source_type": "protobuf", "specialConverter": {"name": "nope"}}, "no converter is named"),
         ({"source_type": "protobuf", "specialConverter": {"name": "proto-flat-json", "specificType": "zz"}}, "known specific type"),
     ],
 )
@@ -233,8 +233,10 @@ def test_bucket_with_overlapping_prefixes_is_read_twice(spark, env, tmp_path):
 
 
 def test_skipping_bad_values(spark, env, tmp_path):
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
     (tmp_path / "src" / "x.json").write_text('[{"name":"a"},{"humidity":"wet"},{"name":"b"}]')
-    jobs.run(spark, spec(source="S3", sink="HDFS", sink_type="protobuf", hdfsSink={"parentPath": str(tmp_path / "pq")}), env, on_error="skip")
+    jobs.run(spark, spec(source="S3", sink="HDFS", sink_type="protobuf", hdfsSink={"parentPath": str(tmp_path / "pq")}), env, log, on_error="skip")
     assert sorted(r.name for r in spark.read.parquet(str(tmp_path / "pq")).collect()) == ["a", "b"]
+    assert ("_skipped_records", 1) in {(r.name, r.counter_val) for r in log.table("counters").collect()}
     with pytest.raises(PySparkException):
         jobs.run(spark, spec(source="S3", sink="HDFS", sink_type="protobuf", hdfsSink={"parentPath": str(tmp_path / "pq2")}), env)

@@ -341,10 +341,10 @@ def test_equal_types_need_no_converter():
 @pytest.mark.parametrize(
     "job, text",
     [
-        (Conversion(DataType.INTEGER, P), "transition from INTEGER to PROTOBUF is not supported"),
-        (Conversion(S, J), "transition from STRING to JSON is not supported"),
-        (Conversion(P, J, "Sensor", converter="nope"), "converter with name nope was not found"),
-        (Conversion(J, P, None, "Sensor", converter="proto-flat-json"), "is not supported for JSON -> PROTOBUF"),
+        (Conversion(DataType.INTEGER, P), "no converter from INTEGER to PROTOBUF"),
+        (Conversion(S, J), "no converter from STRING to JSON"),
+        (Conversion(P, J, "Sensor", converter="nope"), "no converter is named"),
+        (Conversion(J, P, None, "Sensor", converter="proto-flat-json"), "not JSON -> PROTOBUF"),
         (Conversion(P, J, "Sensor", converter="proto-flat-json"), "needs a known specific type"),
         (Conversion(P, J, "Nope"), "is not registered"),
         (Conversion(P, J, "VideoAd", converter="proto-flat-json", converter_type="sensor_flatted"), "no field"),
