@@ -36,7 +36,15 @@ READ_RECORDS, READ_OBJECTS, READ_FILES = "_read_records", "_read_objects", "_rea
 EMPTY_POLLS, LAST_POLL_SIZE = "_empty_polls", "last_poll_size"
 SKIPPED_RECORDS = "_skipped_records"
 
-CAPACITY_COLUMNS = ("running", "running_max", "queued", "queued_max", "free_running", "free_queued")
+# The numbers an instance reports about its capacity.
+CAPACITY_COLUMNS = (
+    "executing",
+    "execution_capacity",
+    "available_execution_slots",
+    "waiting",
+    "waiting_queue_size",
+    "available_queue_slots",
+)
 
 
 class AuditLog:

@@ -34,8 +34,8 @@ from ferryline.functions.units import size_option
 from ferryline.operators.ordinal import with_ordinal
 from ferryline.session import checked_broadcast, materialise
 
-# A chunk is worked out in memory from a few bigints per element, so this bounds a task at some tens of MB.
-CHUNK_ROWS = 200_000
+# A chunk is worked out in memory from about ten bigints per element, so this bounds a task at some 100 MB.
+CHUNK_ROWS = 1_000_000
 
 # A limit that is not set is one no file can reach.
 NO_LIMIT = 2**62
@@ -200,6 +200,19 @@ def _cut_task(max_bytes: int, max_count: int, schema: pa.Schema):
     return task
 
 
+def fixed_length(smallest: int | None, largest: int | None, max_bytes: int, max_count: int) -> int | None:
+    """Elements per file if every file must get the same number, else None.
+
+    That is so when the count is reached before even the largest elements fill a file, and when the smallest
+    and the largest elements fill one after equally many. These are also the cases in which the steps of a
+    chunk would be many, as its cuts never fall together.
+    """
+    if largest is None or smallest < 1:
+        return None
+    soonest, latest = -(-max_bytes // largest), -(-max_bytes // smallest)
+    return min(max_count, soonest) if max_count <= soonest or soonest == latest else None
+
+
 def by_count(df: DataFrame, worker: str, order: list[str], max_count: int, name: str = "segment_id") -> DataFrame:
     """Segments of exactly ``max_count`` elements per worker (the last may be shorter)."""
     if max_count < 1:
@@ -238,6 +251,9 @@ def assign_segments(
 
     # The cost is taken before the shuffle, so the numbered table carries one extra bigint and no re-reads.
     ranked = with_ordinal(df.withColumn("_cost", cost), order, [worker], "_ordinal")
+    length = fixed_length(*ranked.agg(F.min("_cost"), F.max("_cost")).head(), max_bytes, count_limit)
+    if length is not None:
+        return ranked.select(*df.columns, F.expr(f"_ordinal div {length}L").alias(name))
     missing = F.raise_error(F.lit("an element has no worker")).cast("bigint")
     ranked = ranked.withColumn("_worker", F.coalesce(F.col(worker).cast("bigint"), missing)).withColumn(
         "_chunk", F.expr(f"_ordinal div {int(chunk_rows)}L")

@@ -398,9 +398,9 @@ ORACLES["counters_by_partition"] = """
 select '_read_records_' || (user_id % 4) as name, count(*) counter_val from events group by 1
 """
 ORACLES["capacity_rollup"] = """
-select cast(sum(o_custkey % 2) as bigint) running, cast(sum(o_custkey % 3) as bigint) running_max,
-       cast(sum(o_custkey % 4) as bigint) queued, cast(sum(o_custkey % 5) as bigint) queued_max,
-       cast(sum(o_custkey % 6) as bigint) free_running, cast(sum(o_custkey % 7) as bigint) free_queued
+select cast(sum(o_custkey % 2) as bigint) executing, cast(sum(o_custkey % 3) as bigint) execution_capacity,
+       cast(sum(o_custkey % 4) as bigint) available_execution_slots, cast(sum(o_custkey % 5) as bigint) waiting,
+       cast(sum(o_custkey % 6) as bigint) waiting_queue_size, cast(sum(o_custkey % 7) as bigint) available_queue_slots
 from orders
 """
 _INSTANCES = """(select o_orderkey as instance,

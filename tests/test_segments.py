@@ -83,6 +83,28 @@ def test_assign_segments(elements, chunk_rows, max_bytes, max_count):
     assert found == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(2, 9), min_size=1, max_size=60), st.integers(1, 70), st.integers(1, 15))
+def test_fixed_length_is_only_claimed_when_it_holds(costs, max_bytes, max_count):
+    length = segment.fixed_length(min(costs), max(costs), max_bytes, max_count)
+    if length is not None:
+        assert cuts(costs, max_bytes, max_count) == [i // length for i in range(len(costs))]
+
+
+def test_fixed_length_cases():
+    none = segment.NO_LIMIT
+    assert segment.fixed_length(7, 7, 20, none) == 3 == segment.fixed_length(7, 7, 21, none)
+    assert segment.fixed_length(2, 9, 1000, 50) == 50 and segment.fixed_length(2, 9, 100, 50) is None
+    assert segment.fixed_length(None, None, 10, 10) is None and segment.fixed_length(0, 5, 10, none) is None
+
+
+def test_equal_elements_need_no_chunks(spark, monkeypatch):
+    monkeypatch.setattr(segment, "chunk_steps", None)
+    df = spark.createDataFrame([(i % 2, i, 7) for i in range(40)], "worker int, seq int, cost bigint")
+    got = segment.assign_segments(df, "worker", ["seq"], F.col("cost"), 20).orderBy("worker", "seq").collect()
+    assert [r.segment_id for r in got] == [i // 3 for i in range(20)] * 2
+
+
 def test_assign_segments_by_shuffle_join(elements, monkeypatch):
     """The same result when the chunk table is too long to broadcast."""
     rows, df = elements
