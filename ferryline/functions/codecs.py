@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ferryline.errors import SpecError
 from ferryline.types import DataType
 
-_UUID_PATTERN = r"^(.{8})(.{4})(.{4})(.{4})(.{12})$"
-_UUID_DASHES = "$1-$2-$3-$4-$5"
+# Where the five groups of a UUID's hex digits start, and how long they are.
+_UUID_GROUPS = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
 
 
 def _check_mode(on_error: str) -> None:
@@ -68,7 +68,7 @@ def encode_uuid(value: Column, layout: str = "rfc4122") -> Column:
 
     Some producers write the swapped form while readers expect the plain one; name the layout of the data.
     """
-    digits = F.regexp_replace(value, "-", "")
+    digits = F.replace(value, F.lit("-"), F.lit(""))
     if layout == "swapped":
         digits = F.concat(F.substring(digits, 17, 16), F.substring(digits, 1, 16))
     elif layout != "rfc4122":
@@ -82,7 +82,8 @@ def decode_uuid(value: Column, layout: str = "rfc4122", on_error: str = "fail")
         digits = F.concat(F.substring(digits, 17, 16), F.substring(digits, 1, 16))
     elif layout != "rfc4122":
         raise SpecError(f"unknown uuid layout {layout!r}")
-    return _sized(value, 16, F.regexp_replace(digits, _UUID_PATTERN, _UUID_DASHES), "uuid", on_error)
+    text = F.concat_ws("-", *[F.substring(digits, start, length) for start, length in _UUID_GROUPS])
+    return _sized(value, 16, text, "uuid", on_error)
 
 
 def encode(data_type: DataType, value: Column) -> Column:

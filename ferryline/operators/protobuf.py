@@ -46,7 +46,9 @@ class ProtoType:
         return _message_class(self.descriptor_set, self.message).DESCRIPTOR
 
     def schema(self) -> T.StructType:
-        return _struct_type(self.descriptor)
+        descriptor = self.descriptor
+        _check_shape(descriptor, ())
+        return _struct_type(descriptor)
 
 
 class ProtoRegistry:
@@ -88,6 +90,16 @@ def _built_once(built: list[type[Message]], descriptor_set: bytes, message: str)
     return built[0]
 
 
+def _set_type(
+    field: descriptor_pb2.FieldDescriptorProto, kind: str, package: str, messages: Mapping, enums: Mapping
+) -> None:
+    if kind in messages or kind in enums:
+        field.type = FD.TYPE_MESSAGE if kind in messages else FD.TYPE_ENUM
+        field.type_name = f".{package}.{kind}"
+    else:
+        field.type = getattr(FD, f"TYPE_{kind.upper()}")
+
+
 def describe(
     package: str,
     messages: Mapping[str, Iterable[tuple[str, int, str]]],
@@ -95,7 +107,8 @@ def describe(
 ) -> bytes:
     """A proto3 descriptor set from (field, number, type) lists, for use without a protobuf compiler.
 
-    A type is a scalar name, a message or enum name of the same set, or ``repeated <type>``.
+    A type is a scalar name, a message or enum name of the same set, ``repeated <type>`` or
+    ``map<scalar, type>``.
     """
     file = descriptor_pb2.FileDescriptorProto(name=f"{package}.proto", package=package, syntax="proto3")
     enums = enums or {}
@@ -106,21 +119,36 @@ def describe(
     for name, fields in messages.items():
         message = file.message_type.add(name=name)
         for label, number, kind in fields:
-            many = kind.startswith("repeated ")
-            kind = kind.removeprefix("repeated ")
-            field = message.field.add(name=label, number=number)
-            field.label = FD.LABEL_REPEATED if many else FD.LABEL_OPTIONAL
-            if kind in messages or kind in enums:
-                field.type = FD.TYPE_MESSAGE if kind in messages else FD.TYPE_ENUM
-                field.type_name = f".{package}.{kind}"
+            field = message.field.add(name=label, number=number, label=FD.LABEL_OPTIONAL)
+            if kind.startswith(("repeated ", "map<")):
+                field.label = FD.LABEL_REPEATED
+            if kind.startswith("map<"):
+                entry = message.nested_type.add(name=label.title().replace("_", "") + "Entry")
+                entry.options.map_entry = True
+                for part, (side, of) in enumerate(zip(("key", "value"), kind[4:-1].split(",")), start=1):
+                    inner = entry.field.add(name=side, number=part, label=FD.LABEL_OPTIONAL)
+                    _set_type(inner, of.strip(), package, messages, enums)
+                field.type, field.type_name = FD.TYPE_MESSAGE, f".{package}.{name}.{entry.name}"
             else:
-                field.type = getattr(FD, f"TYPE_{kind.upper()}")
+                _set_type(field, kind.removeprefix("repeated "), package, messages, enums)
     return descriptor_pb2.FileDescriptorSet(file=[file]).SerializeToString()
 
 
 # --- types -------------------------------------------------------------------------------------------------
 
 
+def _check_shape(descriptor: Descriptor, outer: tuple[str, ...]) -> None:
+    """Refuse messages that have no struct form: ones that contain themselves, and ones with a JSON form of their own."""
+    name = descriptor.full_name
+    if name in outer:
+        raise SpecError(f"message {name} contains itself")
+    if name.startswith("google.protobuf."):
+        raise SpecError(f"message {name} is not supported")
+    for field in descriptor.fields:
+        if field.type == FD.TYPE_MESSAGE:
+            _check_shape(field.message_type, (*outer, name))
+
+
 def _is_map(field: FieldDescriptor) -> bool:
     return field.message_type is not None and field.message_type.GetOptions().map_entry
 
@@ -393,6 +421,10 @@ def _read_item(text: Column, field: FieldDescriptor) -> Column:
         return _read_number(text, field)
     if field.type == FD.TYPE_BYTES:
         return F.to_binary(F.translate(text, "-_", "+/"), F.lit("base64"))
+    if field.type == FD.TYPE_BOOL:
+        # A plain cast would take other words too.
+        lost = F.raise_error(F.concat(F.lit(f"{field.name} does not take "), text)).cast("boolean")
+        return F.when(text.isNull(), F.lit(None)).when(text.isin("true", "false"), text == "true").otherwise(lost)
     return text.cast(_scalar_type(field))
 
 

@@ -43,8 +43,8 @@ ORACLES["topic_time_summary"] = f"""
 {_TIME_ROWS} select p "partition", count(*) n, min(o) first_off, max(o) last_off from x where not bad group by p
 """
 ORACLES["topic_time_resolution"] = f"""
-select p "partition", min(o) beginning, min(o) filter (t >= lo) start_offset, arg_min(t, o) filter (t >= lo) start_ms,
-       min(o) filter (t > hi) stop_offset,
+select p "partition", min(o) beginning, cast(min(o) filter (t >= lo) as varchar) start_offset,
+       cast(arg_min(t, o) filter (t >= lo) as varchar) start_ms, cast(min(o) filter (t > hi) as varchar) stop_offset,
        coalesce(min(o) filter (t >= lo) is not null
                 and (arg_min(t, o) filter (t >= lo) // 1000 = any_value(lo) // 1000
                      or arg_min(t, o) filter (t >= lo) <= any_value(hi)), false) qualifies
@@ -80,7 +80,7 @@ from (select o_orderkey, d, substr(d, 17, 16) || substr(d, 1, 16) s
       from (select o_orderkey, md5(cast(o_orderkey as varchar)) d from orders))
 """
 ORACLES["codec_string"] = """
-select doc_id, strlen(text) n_bytes, md5(text) digest, 1 same from documents
+select doc_id, cast(strlen(text) as int) n_bytes, md5(text) digest, 1 same from documents
 """
 # Eight characters read as one big-endian number.
 _AS_LONG = " + ".join(f"cast(ascii(substr(props, {i + 1}, 1)) as bigint) * {256 ** (7 - i)}" for i in range(8))
@@ -88,7 +88,7 @@ ORACLES["codec_bad_length"] = f"""
 select event_id "offset", {_AS_LONG} decoded from events where strlen(props) = 8
 """
 ORACLES["codec_dead_letters"] = """
-select event_id "offset", strlen(props) n_bytes from events where strlen(props) <> 8
+select event_id "offset", cast(strlen(props) as int) n_bytes from events where strlen(props) <> 8
 """
 
 # --- flattening --------------------------------------------------------------------------------------------
@@ -103,8 +103,8 @@ from orders
 """
 ORACLES["flatten_defaults_function_only"] = f"""
 select o_orderkey id, o_orderstatus status, o_orderstatus status_again,
-       case when {_HAS_CUSTOMER} then o_custkey end customer,
-       case when {_HAS_CUSTOMER} then cast(o_custkey % 7 as int) end zone,
+       case when {_HAS_CUSTOMER} then cast(o_custkey as varchar) end customer,
+       case when {_HAS_CUSTOMER} then cast(o_custkey % 7 as varchar) end zone,
        case when o_orderstatus = 'F' then 1 else 0 end done
 from orders
 """
@@ -116,13 +116,13 @@ select o_orderkey as key, '{{"id":' || o_orderkey || ',"status":"' || o_ordersta
 from orders
 """
 ORACLES["flatten_array"] = """
-select doc_id, w[1] first_word, w[13] word_12, len(w) n_words, md5(array_to_string(w, ',')) joined_digest
+select doc_id, w[1] first_word, w[13] word_12, cast(len(w) as int) n_words, md5(array_to_string(w, ',')) joined_digest
 from (select doc_id, string_split(text, ' ') w from documents)
 """
 _K = "cast(json_extract_string(props, '$.k') as bigint)"
 ORACLES["flatten_json_path"] = f"""
-select event_id, {_K} k, user_id, event_id % 10 as second, cast(null as bigint) past_end, cast(null as bigint) below_scalar,
-       {_K} passed_through, cast(null as bigint) missing
+select event_id, {_K} k, user_id, event_id % 10 as second, cast(null as varchar) past_end,
+       cast(null as varchar) below_scalar, {_K} passed_through, cast(null as varchar) missing
 from events
 """
 ORACLES["flatten_json_spec"] = f"""
@@ -185,17 +185,17 @@ ORACLES["is_blank"] = """
 with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
            from documents),
 p as (select doc_id, line, case when pos % 5 = 1 then ' ' when pos % 5 <> 2 then line end padded from l)
-select doc_id, count(*) as lines,
-       count(*) filter (padded is null or regexp_full_match(padded, '\\s*')) blank,
-       count(*) filter (not regexp_full_match(line, '\\s*')) written
+select doc_id, cast(count(*) as int) as lines,
+       cast(count(*) filter (padded is null or regexp_full_match(padded, '\\s*')) as int) blank,
+       cast(count(*) filter (not regexp_full_match(line, '\\s*')) as int) written
 from p group by doc_id
 """
 ORACLES["size_parse"] = """
 with u as (select p_partkey, p_size, ['B', 'kB', 'MiB', 'gb', 'Tib', 'KIB', '', 'Wb'][p_partkey % 8 + 1] unit from part)
 select p_partkey, chr(9) || p_size || case when p_partkey % 3 = 0 then '  ' else '' end || unit || ' ' as text,
-       case unit when 'B' then cast(p_size as bigint) when 'kB' then p_size * 1024::bigint
-                 when 'MiB' then p_size * 1048576::bigint when 'gb' then p_size * 1073741824::bigint
-                 when 'Tib' then p_size * 1099511627776::bigint end bytes
+       cast(case unit when 'B' then cast(p_size as bigint) when 'kB' then p_size * 1024::bigint
+                      when 'MiB' then p_size * 1048576::bigint when 'gb' then p_size * 1073741824::bigint
+                      when 'Tib' then p_size * 1099511627776::bigint end as varchar) bytes
 from u
 """
 ORACLES["size_format"] = """
@@ -206,10 +206,10 @@ ORACLES["duration_parse"] = """
 with u as (select p_partkey, p_size, ['d', 'days', 'hours', 'min', 'm', 'sec', 'ms', 'millisec', 'micros', 'us', 'nanos',
                                       'Days', 'fortnight'][p_partkey % 13 + 1] unit from part)
 select p_partkey, p_size || case when p_partkey % 2 = 0 then ' ' else '' end || unit as text,
-       p_size * case unit when 'd' then 86400000000000 when 'days' then 86400000000000 when 'hours' then 3600000000000
+       cast(p_size * case unit when 'd' then 86400000000000 when 'days' then 86400000000000 when 'hours' then 3600000000000
                      when 'min' then 60000000000 when 'm' then 60000000000 when 'sec' then 1000000000
                      when 'ms' then 1000000 when 'millisec' then 1000000 when 'micros' then 1000 when 'us' then 1000
-                     when 'nanos' then 1::bigint end nanos
+                     when 'nanos' then 1::bigint end as varchar) nanos
 from u
 """
 
@@ -325,7 +325,7 @@ select o_orderkey, o_orderstatus,
               (row_number() over (partition by o_custkey % 3 order by o_orderkey) - 1) // 700) as file
 from orders
 """
-ORACLES["object_bytes_roundtrip"] = "select page_id, strlen(html) n_bytes, md5(html) digest from pages"
+ORACLES["object_bytes_roundtrip"] = "select page_id, cast(strlen(html) as int) n_bytes, md5(html) digest from pages"
 ORACLES["file_scan"] = "select o_orderkey, o_custkey, o_orderstatus from orders"
 _LISTING = """(select url as key, regexp_extract(url, '[^/]*$') as name, page_id * 1000 modified_ms,
                       cast(strlen(html) as bigint) size from pages),
@@ -373,12 +373,13 @@ _CURRENT = f"""select job_id, arg_max(parallelism, event_time) filter (paralleli
        arg_max(source_type, event_time) filter (source_type is not null) source_type,
        arg_max(finish_time, event_time) filter (finish_time is not null) finish_time, max(event_time) event_time
 from {_JOB_EVENTS} group by job_id"""
-ORACLES["audit_current"] = _CURRENT
+_SHOWN = "cast(c.parallelism as varchar) parallelism, c.error, c.source_type, cast(c.finish_time as varchar) finish_time"
+ORACLES["audit_current"] = f"select c.job_id, {_SHOWN}, c.event_time from ({_CURRENT}) c"
 _COUNTERS = """(select 'job-' || user_id job_id, case when event_type = 'view' then 1 else 0 end side,
     '_read_records_' || (event_id % 4) as name, user_id * 10 + case when event_type = 'view' then 1 else 0 end counter_val
     from events)"""
 ORACLES["audit_lookup"] = f"""
-select c.job_id, c.parallelism, c.error, c.source_type, c.finish_time, m.kind, m.name, m.state, m.counter_val
+select c.job_id, {_SHOWN}, m.kind, m.name, m.state, cast(m.counter_val as varchar) counter_val
 from ({_CURRENT}) c
 left join (select distinct 'job-' || user_id job_id, 'worker_event' kind,
                   case when event_id % 2 = 0 then 'source' else 'sink' end || '-' || (event_id % 3) as name,

@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Nullable numbers as text, so that every client shows their nulls alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 # --- topics ------------------------------------------------------------------------------------------------
 
 THREE_DAYS_MS = 3 * 86_400_000
@@ -124,7 +129,8 @@ def topic_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def topic_time_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic_source.resolve_times(sliced_topic(spark, sf_dir), time_bounds(spark, sf_dir))
+    resolved = topic_source.resolve_times(sliced_topic(spark, sf_dir), time_bounds(spark, sf_dir))
+    return as_text(resolved, "start_offset", "start_ms", "stop_offset")
 
 
 @register
@@ -244,7 +250,8 @@ def flatten_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def flatten_defaults_function_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten(order_messages(spark, sf_dir), ORDER_SPEC, "message", defaults="function_only", unset="null")
+    flat = flatten(order_messages(spark, sf_dir), ORDER_SPEC, "message", defaults="function_only", unset="null")
+    return as_text(flat, "customer", "zone")
 
 
 @register
@@ -277,7 +284,7 @@ def flatten_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(text, F.col("event_id") % 10, F.lit('],"props":'), F.col("props"), F.lit("}"))
     parsed = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
     v = F.col("v")
-    return parsed.select(
+    flat = parsed.select(
         "event_id",
         variant_path(v, "props.k", "bigint").alias("k"),
         variant_path(v, "list.[0].a", "bigint").alias("user_id"),
@@ -287,6 +294,7 @@ def flatten_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
         variant_path(v, "props.k.deeper", "bigint", scalar_passthrough=True).alias("passed_through"),
         variant_path(v, "props.none.deeper", "bigint", scalar_passthrough=True).alias("missing"),
     )
+    return as_text(flat, "past_end", "below_scalar", "missing")
 
 
 @register
@@ -467,7 +475,7 @@ def size_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise("")
     text = F.concat(F.lit("\t"), F.col("p_size"), gap, unit, F.lit(" "))
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.alias("text"), units.parse_size(text, strict=False).alias("bytes")
+        "p_partkey", text.alias("text"), units.parse_size(text, strict=False).cast("string").alias("bytes")
     )
 
 
@@ -489,7 +497,7 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
     text = F.concat(F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, " ").otherwise(""), unit)
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.alias("text"), units.parse_duration(text, strict=False).alias("nanos")
+        "p_partkey", text.alias("text"), units.parse_duration(text, strict=False).cast("string").alias("nanos")
     )
 
 
@@ -906,14 +914,16 @@ def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def audit_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.current_state(_job_events(spark, sf_dir), ["job_id"], "event_time")
+    current = audit.current_state(_job_events(spark, sf_dir), ["job_id"], "event_time")
+    return as_text(current, "parallelism", "finish_time")
 
 
 @register
 def audit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.lookup(
+    found = audit.lookup(
         _job_events(spark, sf_dir), _worker_events(spark, sf_dir), _counters(spark, sf_dir), "job-7"
     )
+    return as_text(found, "parallelism", "finish_time", "counter_val")
 
 
 @register

@@ -10,6 +10,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from enum import Enum
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +158,16 @@ def offset_tracker(rows: DataFrame, partitions: DataFrame | None = None) -> Data
     return listed.join(seen, "partition", "left").na.fill(-1, ["first_offset", "first_ts", "last_offset", "last_ts"])
 
 
+def stream_offsets(progress: Mapping[str, Any]) -> dict[str, dict[int, int]]:
+    """Per topic and partition, the offset a streaming run has come to, from one of its progress reports."""
+    reached: dict[str, dict[int, int]] = {}
+    for source in progress["sources"]:
+        ends = source["endOffset"]
+        for name, offsets in (json.loads(ends) if isinstance(ends, str) else ends or {}).items():
+            reached.setdefault(name, {}).update({int(p): o for p, o in offsets.items()})
+    return reached
+
+
 # --- real topics -------------------------------------------------------------------------------------------
 
 
@@ -207,7 +218,7 @@ def open_topic(spark: SparkSession, servers: str, options: Mapping[str, str]) ->
     return spark.read.format("kafka").option("kafka.bootstrap.servers", servers).options(**options).load()
 
 
-def open_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """The streaming form of ``open_topic``, for ``availableNow`` runs."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-    return reader.option("subscribe", topic).option("startingOffsets", "earliest").load()
+def open_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
+    """The streaming form of ``open_topic``, for ``availableNow`` runs; ``maxOffsetsPerTrigger`` bounds a batch."""
+    settings = {"subscribe": topic, "startingOffsets": "earliest", **options}
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).options(**settings).load()

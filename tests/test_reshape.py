@@ -249,7 +249,8 @@ WIDE = protobuf.describe(
         "Wide": [
             ("u", 1, "uint64"), ("us", 2, "repeated uint64"), ("inners", 3, "repeated Inner"), ("one", 4, "Inner"),
             ("level", 5, "Level"), ("levels", 6, "repeated Level"), ("raw", 7, "bytes"), ("snake_name", 8, "float"),
-            ("flag", 9, "bool"), ("small", 10, "int32"), ("u32", 11, "uint32"),
+            ("flag", 9, "bool"), ("small", 10, "int32"), ("u32", 11, "uint32"), ("by_name", 12, "map<string, Inner>"),
+            ("by_number", 13, "map<int32, uint64>"),
         ],
     },
     {"Level": {"LOW": 0, "HIGH": 1}},
@@ -268,6 +269,7 @@ JSON_CASES = [
     '{"small": 3.0, "u32": 1e3, "one": {"a": "77", "unknown": {"deep": [1]}}, "other": null, "level": null, "us": []}',
     "{}",
     '{"inners": [{"a": "9223372036854775807"}], "raw": ""}',
+    '{"byName": {"k": {"a": 1, "tags": ["t"]}, "l": {}}, "by_number": {"5": "18446744073709551615", "-1": 2}}',
 ]
 
 
@@ -292,14 +294,33 @@ def test_to_json_agrees_with_protobuf(spark, wide):
     assert [json.loads(r.j) for r in got] == want
 
 
-@pytest.mark.parametrize("text", ["[1]", "{", "nonsense", '{"small": "x"}', '{"small": 1.5}', '{"one": 5}', '"text"'])
+def test_encode_inverts_decode_on_every_shape(spark, wide):
+    rows = spark.createDataFrame(list(enumerate(JSON_CASES)), "id int, j string")
+    rows = rows.select(protobuf.json_to_bytes(F.col("j"), wide).alias("b"))
+    again = rows.withColumn("m", protobuf.decode(F.col("b"), wide)).select("b", protobuf.encode(F.col("m"), wide).alias("c"))
+    assert all(bytes(r.b) == bytes(r.c) for r in again.collect())
+
+
+def test_refused_messages():
+    loop = protobuf.describe("loop", {"Node": [("next", 1, "Node")]})
+    with pytest.raises(SpecError, match="contains itself"):
+        protobuf.ProtoType(loop, "loop.Node").schema()
+
+
+BAD_JSON = [
+    "[1]", "{", "nonsense", '"text"', '{"small": "x"}', '{"small": 1.5}', '{"one": 5}', '{"u32": -1}', '{"u": "-1"}',
+    '{"small": 2147483648}', '{"flag": "yes"}', '{"byNumber": {"x": 1}}', '{"inners": [{"a": "z"}]}', '{"raw": "%%%"}',
+]
+
+
+@pytest.mark.parametrize("text", BAD_JSON)
 def test_bad_json(spark, wide, text):
     rows = spark.createDataFrame([(text,)], "j string")
     with pytest.raises(PySparkException):
         rows.select(protobuf.json_to_bytes(F.col("j"), wide)).collect()
 
 
-@pytest.mark.parametrize("text", ["[1]", "{", "nonsense", '{"small": "x"}', '{"small": 1.5}', '{"one": 5}', '"text"'])
+@pytest.mark.parametrize("text", BAD_JSON)
 def test_bad_json_skipped(spark, wide, text):
     rows = spark.createDataFrame([(text,), ('{"small": 4}',)], "j string")
     got = rows.select(protobuf.json_to_bytes(F.col("j"), wide, "skip")).collect()

@@ -164,3 +164,8 @@ def test_reader_options():
 def test_timestamps_are_utc(spark):
     row = spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "timestamp timestamp_ntz")
     assert row.select(topic.timestamp_ms()).head()[0] == 1704067200000
+
+
+def test_stream_offsets():
+    progress = {"sources": [{"endOffset": '{"t": {"0": 5, "1": 7}}'}, {"endOffset": {"u": {"0": 2}}}, {"endOffset": None}]}
+    assert topic.stream_offsets(progress) == {"t": {0: 5, 1: 7}, "u": {0: 2}}
