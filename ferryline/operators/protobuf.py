@@ -138,7 +138,7 @@ def describe(
 
 
 def _check_shape(descriptor: Descriptor, outer: tuple[str, ...]) -> None:
-    """Refuse messages that have no struct form: ones that contain themselves, and ones with a JSON form of their own."""
+    """Refuse messages without a struct form: ones that contain themselves, and protobuf's own special ones."""
     name = descriptor.full_name
     if name in outer:
         raise SpecError(f"message {name} contains itself")
@@ -214,7 +214,8 @@ def _field_array(messages: list[Message | None], field: FieldDescriptor) -> pa.A
         offsets, items = _flat([None if m is None else getattr(m, name) for m in messages])
         return pa.ListArray.from_arrays(offsets, _value_array(items, field))
     if field.has_presence:
-        return _value_array([getattr(m, name) if m is not None and m.HasField(name) else None for m in messages], field)
+        set_in = [m is not None and m.HasField(name) for m in messages]
+        return _value_array([getattr(m, name) if there else None for m, there in zip(messages, set_in)], field)
     return _value_array([None if m is None else getattr(m, name) for m in messages], field)
 
 
@@ -286,9 +287,12 @@ def _field_values(array: pa.Array, field: FieldDescriptor) -> list[Any]:
 
 
 def _row_values(array: pa.Array, descriptor: Descriptor) -> list[dict[str, Any] | None]:
-    """A struct column as one dict per row, taken field by field."""
-    names = [f.name for f in descriptor.fields]
-    columns = [_field_values(child, f) for child, f in zip(array.flatten(), descriptor.fields)]
+    """A struct column as one dict per row, taken field by field; fields go by their names."""
+    names = [f.name for f in array.type]
+    unknown = set(names) - set(descriptor.fields_by_name)
+    if unknown:
+        raise SpecError(f"message {descriptor.full_name} has no field {sorted(unknown)}")
+    columns = [_field_values(c, descriptor.fields_by_name[n]) for c, n in zip(array.flatten(), names)]
     rows = [dict(zip(names, values)) for values in zip(*columns)] if columns else [{} for _ in range(len(array))]
     if array.null_count == 0:
         return rows
@@ -296,8 +300,8 @@ def _row_values(array: pa.Array, descriptor: Descriptor) -> list[dict[str, Any]
 
 
 def encode(struct: Column, proto: ProtoType) -> Column:
-    """A struct with the message's fields as message bytes; null fields stay unset."""
-    descriptor_set, message, schema = proto.descriptor_set, proto.message, proto.schema()
+    """A struct as message bytes. Its fields go by name and may be some of the message's; null ones stay unset."""
+    descriptor_set, message = proto.descriptor_set, proto.message
     built: list[type[Message]] = []
 
     def build(rows: pa.Array) -> pa.Array:
@@ -306,8 +310,7 @@ def encode(struct: Column, proto: ProtoType) -> Column:
         encoded = [None if v is None else cls(**v).SerializeToString(deterministic=True) for v in values]
         return pa.array(encoded, type=pa.binary())
 
-    # The cast lines the struct up with the message: field types, and fields by position.
-    return F.arrow_udf(build, T.BinaryType())(struct.cast(schema)).alias("value")
+    return F.arrow_udf(build, T.BinaryType())(struct).alias("value")
 
 
 # --- JSON -> struct ----------------------------------------------------------------------------------------

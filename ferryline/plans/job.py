@@ -169,7 +169,10 @@ def _read_files(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
 
 def _read_path(spark: SparkSession, job: Job, path: str, wanted: file_source.FileRange, recursive: bool) -> DataFrame:
     if job.source.data_type is DataType.JSON:
-        return file_source.read_json_arrays(spark, path, wanted, recursive)
+        # Files known to hold one element per line can be split; others are parsed one file at a time.
+        by_line = bool(job.source.options.get("elementPerLine", False))
+        read_arrays = file_source.read_json_array_lines if by_line else file_source.read_json_arrays
+        return read_arrays(spark, path, wanted, recursive)
     proto = job.conversion.protos.get(job.source.message)
     messages = file_source.read_messages(spark, path, proto.schema(), wanted, recursive)
     struct = F.struct(*[F.col(f"`{c}`") for c in proto.schema().names])

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ferryline.functions import codecs, scalars, units
 from ferryline.functions.paths import struct_path, variant_path
-from ferryline.operators import audit, bundled_protos, bundled_specs, ordinal, protobuf, segment
+from ferryline.operators import audit, bundled_protos, ordinal, protobuf, segment
 from ferryline.operators.convert import ConverterRegistry, Conversion, convert
 from ferryline.operators.feature_line import FeatureConfig, json_line, struct_line
 from ferryline.operators.flatten import FlatSpec, flat_json, flatten, struct_columns

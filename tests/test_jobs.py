@@ -232,6 +232,12 @@ def test_bucket_with_overlapping_prefixes_is_read_twice(spark, env, tmp_path):
     assert names_in(spark, tmp_path / "dst") == ["a", "b", "b"]
 
 
+def test_element_per_line(spark, env, tmp_path):
+    (tmp_path / "src" / "x.json").write_text('[\n{"name":"a"},\n{"name":"b"}\n]')
+    jobs.run(spark, spec(source="S3", s3Source={"bucket": "src", "elementPerLine": True}), env)
+    assert names_in(spark, tmp_path / "dst") == ["a", "b"]
+
+
 def test_skipping_bad_values(spark, env, tmp_path):
     log = audit.AuditLog(spark, str(tmp_path / "audit"))
     (tmp_path / "src" / "x.json").write_text('[{"name":"a"},{"humidity":"wet"},{"name":"b"}]')

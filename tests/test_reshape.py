@@ -301,6 +301,14 @@ def test_encode_inverts_decode_on_every_shape(spark, wide):
     assert all(bytes(r.b) == bytes(r.c) for r in again.collect())
 
 
+def test_encode_goes_by_name(spark, sensor):
+    row = spark.range(1).select(F.expr("named_struct('humidity', 5L, 'name', 'n', 'location', named_struct('y', 2))").alias("m"))
+    back = row.select(protobuf.decode(protobuf.encode(F.col("m"), sensor), sensor).alias("m")).head().m
+    assert (back.name, back.humidity, tuple(back.location), back.event) == ("n", 5, (0, 2), None)
+    with pytest.raises(PySparkException, match="no field"):
+        row.select(protobuf.encode(F.expr("named_struct('nope', 1)"), sensor)).collect()
+
+
 def test_refused_messages():
     loop = protobuf.describe("loop", {"Node": [("next", 1, "Node")]})
     with pytest.raises(SpecError, match="contains itself"):
