@@ -14,7 +14,8 @@ that holds a third of the data still must not become one task, so the sum is tak
 3. the steps of a worker's chunks are chained in order, one short row per chunk;
 4. each chunk, now knowing the open file it was really handed, cuts its elements while they stream past.
 
-Steps 2 and 4 run in parallel over all chunks of all workers.
+Steps 2 and 4 run in parallel over all chunks of all workers. For writing, rows are placed in units that begin
+where a file begins (``place_units``), so every file lies within one task.
 """
 
 from __future__ import annotations
@@ -45,7 +46,13 @@ _STEPS_SCHEMA = (
     " from_cost array<bigint>, from_count array<bigint>,"
     " closed array<bigint>, left_cost array<bigint>, left_count array<bigint>"
 )
-_ENTRY_SCHEMA = "worker bigint, chunk bigint, base_segment bigint, open_cost bigint, open_count bigint"
+_ENTRY_FIELDS = ("base_segment", "open_cost", "open_count", "open_unit")
+_ENTRY_SCHEMA = "worker bigint, chunk bigint, " + ", ".join(f"{f} bigint" for f in _ENTRY_FIELDS)
+_START_SCHEMA = "_worker bigint, _chunk bigint, open_unit bigint, first_start bigint, first_segment bigint"
+
+# Columns of rows placed for writing: worker, the unit within it, the unit's first file, an element's bytes.
+UNIT_COLUMNS = ("_worker", "_unit", "_segment")
+SIZE_COLUMN = "_size"
 
 
 def json_element_cost(value: Column) -> Column:
@@ -127,26 +134,32 @@ def step_through(steps: object, open_cost: int, open_count: int, max_bytes: int,
 
 def _chunk_steps_task(max_bytes: int, max_count: int):
     def task(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cost = rows.sort_values("_ordinal")["_cost"].to_numpy(np.int64)
+        cost = rows.sort_values("_ordinal")[SIZE_COLUMN].to_numpy(np.int64)
         return pd.DataFrame([{"worker": keys[0], "chunk": keys[1], **chunk_steps(cost, max_bytes, max_count)}])
 
     return task
 
 
 def _chain_task(max_bytes: int, max_count: int):
-    """Walk each worker's chunks in order; rows arrive sorted by (worker, chunk), state is three numbers."""
+    """Walk each worker's chunks in order; rows arrive sorted by (worker, chunk), state is four numbers.
+
+    ``open_unit`` is the chunk in which the file that is open began.
+    """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker, segment, cost, count = None, 0, 0, 0
+        worker, segment, cost, count, unit = None, 0, 0, 0, 0
         for batch in batches:
             out = []
             for steps in batch.itertuples(index=False):
                 if steps.worker != worker:
-                    worker, segment, cost, count = steps.worker, 0, 0, 0
-                out.append((worker, steps.chunk, segment, cost, count))
+                    worker, segment, cost, count, unit = steps.worker, 0, 0, 0, 0
+                out.append((worker, steps.chunk, segment, cost, count, unit))
+                fresh = count == 0
                 closed, cost, count = step_through(steps, cost, count, max_bytes, max_count)
                 segment += closed
-            yield pd.DataFrame(out, columns=["worker", "chunk", "base_segment", "open_cost", "open_count"])
+                if fresh or closed:
+                    unit = steps.chunk
+            yield pd.DataFrame(out, columns=["worker", "chunk", *_ENTRY_FIELDS])
 
     return task
 
@@ -170,6 +183,27 @@ def cut_batch(
     return ids, segment, open_cost, open_count
 
 
+def first_start(cost: np.ndarray, open_cost: int, open_count: int, max_bytes: int, max_count: int) -> int:
+    """Position of the first file start in a chunk that was handed an open file; its length if there is none."""
+    if open_count == 0:
+        return 0
+    by_size = int(np.searchsorted(np.cumsum(cost), max_bytes - open_cost, side="left")) + 1
+    return min(by_size, max_count - open_count, len(cost))
+
+
+def _first_start_task(max_bytes: int, max_count: int):
+    def task(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_ordinal")
+        entry = rows.iloc[0]
+        cost = rows[SIZE_COLUMN].to_numpy(np.int64)
+        at = first_start(cost, int(entry.open_cost), int(entry.open_count), max_bytes, max_count)
+        segment = int(entry.base_segment) + (1 if entry.open_count else 0)
+        values = (*keys, int(entry.open_unit), int(entry._ordinal) + at, segment)
+        return pd.DataFrame([values], columns=["_worker", "_chunk", "open_unit", "first_start", "first_segment"])
+
+    return task
+
+
 def _cut_task(max_bytes: int, max_count: int, schema: pa.Schema):
     """Tag elements while they stream past, sorted by (worker, chunk, ordinal); memory is one batch."""
 
@@ -182,7 +216,7 @@ def _cut_task(max_bytes: int, max_count: int, schema: pa.Schema):
             def column(name: str) -> np.ndarray:
                 return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
-            worker, chunk, cost = column("_worker"), column("_chunk"), column("_cost").astype(np.int64)
+            worker, chunk, cost = column("_worker"), column("_chunk"), column(SIZE_COLUMN).astype(np.int64)
             changes = np.flatnonzero((worker[1:] != worker[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             edges = [0, *changes.tolist(), batch.num_rows]
             ids = np.empty(batch.num_rows, np.int64)
@@ -221,6 +255,56 @@ def by_count(df: DataFrame, worker: str, order: list[str], max_count: int, name:
     return ranked.withColumn(name, F.expr(f"_ordinal div {int(max_count)}L")).drop("_ordinal")
 
 
+def _limits(max_bytes: int | str | None, max_count: int | None) -> tuple[int, int]:
+    size = size_option(max_bytes) if isinstance(max_bytes, str) else max_bytes
+    size, count = NO_LIMIT if size is None else size, NO_LIMIT if max_count is None else max_count
+    if size < 1 or count < 1:
+        raise SpecError("limits must be positive")
+    return size, count
+
+
+def _fixed(ranked: DataFrame, max_bytes: int, max_count: int) -> int | None:
+    if max_bytes == NO_LIMIT:
+        return max_count
+    return fixed_length(*ranked.agg(F.min(SIZE_COLUMN), F.max(SIZE_COLUMN)).head(), max_bytes, max_count)
+
+
+def _in_chunks(ranked: DataFrame, worker: str, chunk_rows: int) -> DataFrame:
+    missing = F.raise_error(F.lit("an element has no worker")).cast("bigint")
+    return ranked.withColumns(
+        {
+            "_worker": F.coalesce(F.col(worker).cast("bigint"), missing),
+            "_chunk": F.expr(f"_ordinal div {int(chunk_rows)}L"),
+        }
+    )
+
+
+def _entries(chunked: DataFrame, max_bytes: int, max_count: int) -> DataFrame:
+    """One row per chunk: the open file it is handed. Written once, so later checks and joins read the same rows."""
+    steps = (
+        chunked.select("_worker", "_chunk", "_ordinal", SIZE_COLUMN)
+        .groupBy("_worker", "_chunk")
+        .applyInPandas(_chunk_steps_task(max_bytes, max_count), _STEPS_SCHEMA)
+    )
+    entries = (
+        steps.repartition("worker")
+        .sortWithinPartitions("worker", "chunk")
+        .mapInPandas(_chain_task(max_bytes, max_count), _ENTRY_SCHEMA)
+        .withColumnsRenamed({"worker": "_worker", "chunk": "_chunk"})
+    )
+    return materialise(entries, "entries")
+
+
+def _together(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of equal keys in one task, in order.
+
+    Hashing a column of its own keeps Spark from taking an earlier join's partitioning for this one: a skewed
+    join may split that at run time, and the tasks that follow need whole groups.
+    """
+    placed = rows.withColumn("_place", F.xxhash64(*keys)).repartition("_place")
+    return placed.sortWithinPartitions(*keys, *order).drop("_place")
+
+
 def assign_segments(
     df: DataFrame,
     worker: str,
@@ -234,54 +318,67 @@ def assign_segments(
     """``df`` with the 0-based number of the file each element of its worker goes to.
 
     ``cost`` is what an element adds to its file, see ``json_element_cost``. With neither limit a worker
-    fills a single file, which a single task will have to write. ``worker`` must be an integer column without
-    nulls and ``order`` must not tie within a worker.
+    fills a single file. ``worker`` must be an integer column without nulls and ``order`` must not tie within
+    a worker.
     """
-    if isinstance(max_bytes, str):
-        max_bytes = size_option(max_bytes)
-    if max_bytes is None and max_count is None:
+    size, count = _limits(max_bytes, max_count)
+    if size == NO_LIMIT and count == NO_LIMIT:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    if max_bytes is None:
-        return by_count(df, worker, order, max_count, name)
+    if size == NO_LIMIT:
+        return by_count(df, worker, order, count, name)
     if cost is None:
         raise SpecError("a size limit needs the cost of an element")
-    if max_bytes < 1 or (max_count is not None and max_count < 1):
-        raise SpecError("limits must be positive")
-    count_limit = NO_LIMIT if max_count is None else max_count
-
     # The cost is taken before the shuffle, so the numbered table carries one extra bigint and no re-reads.
-    ranked = with_ordinal(df.withColumn("_cost", cost), order, [worker], "_ordinal")
-    length = fixed_length(*ranked.agg(F.min("_cost"), F.max("_cost")).head(), max_bytes, count_limit)
+    ranked = with_ordinal(df.withColumn(SIZE_COLUMN, cost), order, [worker], "_ordinal")
+    length = _fixed(ranked, size, count)
     if length is not None:
         return ranked.select(*df.columns, F.expr(f"_ordinal div {length}L").alias(name))
-    missing = F.raise_error(F.lit("an element has no worker")).cast("bigint")
-    ranked = ranked.withColumn("_worker", F.coalesce(F.col(worker).cast("bigint"), missing)).withColumn(
-        "_chunk", F.expr(f"_ordinal div {int(chunk_rows)}L")
-    )
-    steps = (
-        ranked.select("_worker", "_chunk", "_ordinal", "_cost")
-        .groupBy("_worker", "_chunk")
-        .applyInPandas(_chunk_steps_task(max_bytes, count_limit), _STEPS_SCHEMA)
-    )
-    entries = (
-        steps.repartition("worker")
-        .sortWithinPartitions("worker", "chunk")
-        .mapInPandas(_chain_task(max_bytes, count_limit), _ENTRY_SCHEMA)
-        .withColumnsRenamed({"worker": "_worker", "chunk": "_chunk"})
-    )
-    # One row per chunk, written once: the length check and the join read the same rows.
-    entries = checked_broadcast(materialise(entries, "entries"))
+    chunked = _in_chunks(ranked, worker, chunk_rows)
+    entries = checked_broadcast(_entries(chunked, size, count))
     keep = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    # The tasks below need whole chunks. Hashing a column of its own keeps Spark from taking the join's
-    # partitioning for this one, which a skewed join may split at run time.
-    placed = (
-        ranked.join(entries, ["_worker", "_chunk"])
-        .withColumn("_place", F.xxhash64("_worker", "_chunk"))
-        .repartition("_place")
-        .sortWithinPartitions("_worker", "_chunk", "_ordinal")
-        .drop("_place")
-    )
-    return placed.mapInArrow(_cut_task(max_bytes, count_limit, to_arrow_schema(keep)), keep)
+    placed = _together(chunked.join(entries, ["_worker", "_chunk"]), ["_worker", "_chunk"], ["_ordinal"])
+    return placed.mapInArrow(_cut_task(size, count, to_arrow_schema(keep)), keep)
+
+
+def place_units(
+    df: DataFrame,
+    worker: str,
+    order: list[str],
+    cost: Column | None = None,
+    max_bytes: int | str | None = None,
+    max_count: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """``df`` clustered for writing: (_worker, _unit, _segment, _size, columns of df), in order within a unit.
+
+    A unit begins with a file, whose number is ``_segment``, and holds whole files; a hot worker has many
+    units. Rows are numbered by one range shuffle and placed by one hash shuffle, whatever the limits are.
+    With neither limit a worker fills a single file, which a single task has to write.
+    """
+    size, count = _limits(max_bytes, max_count)
+    if cost is None and size != NO_LIMIT:
+        raise SpecError("a size limit needs the cost of an element")
+    sized = df.withColumn(SIZE_COLUMN, F.lit(1).cast("bigint") if cost is None else cost)
+    out = [*UNIT_COLUMNS, SIZE_COLUMN, *df.columns]
+    keys = ["_worker", "_unit"]
+    if size == NO_LIMIT and count == NO_LIMIT:
+        zero = F.lit(0).cast("bigint")
+        one_unit = sized.withColumns({"_worker": F.col(worker).cast("bigint"), "_unit": zero, "_segment": zero})
+        return _together(one_unit.select(*out), keys, order)
+    ranked = with_ordinal(sized, order, [worker], "_ordinal")
+    length = _fixed(ranked, size, count)
+    chunked = _in_chunks(ranked, worker, length or chunk_rows)
+    if length is not None:
+        units = chunked.withColumns({"_unit": F.col("_chunk"), "_segment": F.col("_chunk")})
+        return _together(units.select(*out), keys, order)
+    narrow = chunked.select("_worker", "_chunk", "_ordinal", SIZE_COLUMN)
+    entered = narrow.join(checked_broadcast(_entries(chunked, size, count)), ["_worker", "_chunk"])
+    starts = entered.groupBy("_worker", "_chunk").applyInPandas(_first_start_task(size, count), _START_SCHEMA)
+    starts = checked_broadcast(materialise(starts, "starts"))
+    # Rows before a chunk's first file start belong with the chunk in which their file began.
+    unit = F.when(F.col("_ordinal") >= F.col("first_start"), F.col("_chunk")).otherwise(F.col("open_unit"))
+    units = chunked.join(starts, ["_worker", "_chunk"]).withColumns({"_unit": unit, "_segment": F.col("first_segment")})
+    return _together(units.select(*out), keys, order)
 
 
 def segment_totals(df: DataFrame, worker: str, size: Column, segment: str = "segment_id") -> DataFrame:

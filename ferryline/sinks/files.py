@@ -2,9 +2,11 @@
 
 ``SegmentedFiles`` is a Spark data source writer with two kinds of input:
 
-* rows (worker, segment_id, content...) that arrive clustered by (worker, segment) and in element order;
-* plain content rows, where each task is a worker and cuts its own rows as they stream past. Nothing is
-  shuffled, and Spark's input splitting keeps the workers even.
+* rows placed in units of whole files by ``place_units``, where worker and order are given;
+* plain content rows, where each task is a worker. Nothing is shuffled, and Spark's input splitting keeps the
+  workers even.
+
+Either way the writer cuts the files while rows stream past.
 
 Each task writes its files under names of its own attempt, and the driver moves the files of the attempts
 Spark committed to their final names. A retried or duplicated task therefore leaves no half file.
@@ -32,7 +34,14 @@ from pyspark.sql.types import StructType
 
 from ferryline.errors import SpecError
 from ferryline.functions.units import size_option
-from ferryline.operators.segment import NO_LIMIT, assign_segments, cut_batch, json_element_cost
+from ferryline.operators.segment import (
+    NO_LIMIT,
+    SIZE_COLUMN,
+    UNIT_COLUMNS,
+    cut_batch,
+    json_element_cost,
+    place_units,
+)
 from ferryline.session import intermediates_dropped
 
 # The frame of a JSON array file.
@@ -98,9 +107,6 @@ class _ParquetFile:
         self._stream.close()
 
 
-SIZE_COLUMN = "_size"
-
-
 class SegmentedFilesWriter(DataSourceArrowWriter):
     """Options: path, job, format (json or parquet), layout (job, flat or object), max_bytes, max_count."""
 
@@ -113,14 +119,14 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
         self.max_count = int(options.get("max_count") or NO_LIMIT)
         self.attempt_root = f"{self.root}/_attempts-{uuid.uuid4().hex}"
         self.replace = options.get("replace") == "true"
-        self.placed = schema.names[:2] == ["worker", "segment_id"]
+        self.placed = tuple(schema.names[: len(UNIT_COLUMNS)]) == UNIT_COLUMNS
         if self.format not in ("json", "parquet"):
             raise SpecError(f"unknown file format {self.format!r}")
         if self.layout not in ("job", "flat", "object"):
             raise SpecError(f"unknown layout {self.layout!r}")
         if self.max_bytes < 1 or self.max_count < 1:
             raise SpecError("limits must be positive")
-        content = [n for n in schema.names[2 if self.placed else 0 :] if n != SIZE_COLUMN]
+        content = self._content(schema.names)
         if not content or (self.format == "json" and len(content) != 1):
             raise SpecError("a JSON array file takes one text column, a Parquet file at least one column")
 
@@ -136,25 +142,35 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
         stream = filesystem.open_output_stream(path)
         return _JsonArrayFile(stream) if self.format == "json" else _ParquetFile(stream, schema)
 
+    def _content(self, names: list[str]) -> list[str]:
+        return [n for n in names if n != SIZE_COLUMN and not (self.placed and n in UNIT_COLUMNS)]
+
     def _pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
         """Stretches of rows that belong to one file, in order."""
-        task, state = TaskContext.get().partitionId(), (0, 0, 0)
+        task, at, state = TaskContext.get().partitionId(), None, (0, 0, 0)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            names = batch.schema.names
-            content = batch.select([n for n in names[2 if self.placed else 0 :] if n != SIZE_COLUMN])
-            if self.placed:
-                worker = batch.column(0).to_numpy(zero_copy_only=False)
-                segment = batch.column(1).to_numpy(zero_copy_only=False)
-            else:
-                worker = np.full(batch.num_rows, task, np.int64)
-                segment, *rest = cut_batch(self._cost(batch), *state, self.max_bytes, self.max_count)
+            content, cost = batch.select(self._content(batch.schema.names)), self._cost(batch)
+            for worker, unit, first, low, high in self._units(batch, task):
+                if (worker, unit) != at:
+                    at, state = (worker, unit), (first, 0, 0)
+                segment, *rest = cut_batch(cost[low:high], *state, self.max_bytes, self.max_count)
                 state = tuple(rest)
-            changes = np.flatnonzero((worker[1:] != worker[:-1]) | (segment[1:] != segment[:-1])) + 1
-            edges = [0, *changes.tolist(), batch.num_rows]
-            for low, high in zip(edges[:-1], edges[1:]):
-                yield (int(worker[low]), int(segment[low])), content.slice(low, high - low)
+                edges = [0, *(np.flatnonzero(segment[1:] != segment[:-1]) + 1).tolist(), high - low]
+                for start, stop in zip(edges[:-1], edges[1:]):
+                    yield (worker, int(segment[start])), content.slice(low + start, stop - start)
+
+    def _units(self, batch: pa.RecordBatch, task: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(worker, unit, first file, from, to) of the batch's stretches; without placement it is one stretch."""
+        if not self.placed:
+            yield task, 0, 0, 0, batch.num_rows
+            return
+        worker, unit, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        changes = np.flatnonzero((worker[1:] != worker[:-1]) | (unit[1:] != unit[:-1])) + 1
+        edges = [0, *changes.tolist(), batch.num_rows]
+        for low, high in zip(edges[:-1], edges[1:]):
+            yield int(worker[low]), int(unit[low]), int(first[low]), low, high
 
     def _cost(self, batch: pa.RecordBatch) -> np.ndarray:
         if SIZE_COLUMN in batch.schema.names:
@@ -226,27 +242,25 @@ class SegmentedFiles(DataSource):
         return SegmentedFilesWriter(dict(self.options), schema)
 
 
-def write_segments(
-    rows: DataFrame, path: str, job: str, order: list[str], file_format: str = "json", layout: str = "job"
+def _save(
+    rows: DataFrame,
+    path: str,
+    job: str,
+    file_format: str,
+    layout: str,
+    max_bytes: int | str | None,
+    max_count: int | None,
+    replace: bool = False,
 ) -> None:
-    """Write rows that carry worker and segment_id; every other column but ``order`` is file content.
-
-    The shuffle is by (worker, segment), so a worker with much data is spread over as many tasks as it has
-    files. It hashes a column of its own, so Spark cannot take an earlier join's partitioning for it.
-    """
-    spark = rows.sparkSession
-    spark.dataSource.register(SegmentedFiles)
-    content = [c for c in rows.columns if c not in ("worker", "segment_id", *order)]
-    (
-        rows.withColumn("_place", F.xxhash64("worker", "segment_id"))
-        .repartition("_place")
-        .sortWithinPartitions("worker", "segment_id", *order)
-        .select(F.col("worker").cast("bigint"), F.col("segment_id").cast("bigint"), *content)
-        .write.format("segmented_files")
-        .mode("append")
-        .options(path=path, job=job, format=file_format, layout=layout)
-        .save()
-    )
+    rows.sparkSession.dataSource.register(SegmentedFiles)
+    options: dict[str, str | int] = {"path": path, "job": job, "format": file_format, "layout": layout}
+    if max_bytes is not None:
+        options["max_bytes"] = size_option(max_bytes) if isinstance(max_bytes, str) else max_bytes
+    if max_count is not None:
+        options["max_count"] = max_count
+    if replace:
+        options["replace"] = "true"
+    rows.write.format("segmented_files").mode("append").options(**options).save()
 
 
 def write_as_they_come(
@@ -264,15 +278,7 @@ def write_as_they_come(
     A column named ``_size`` gives the bytes of a row and is not written; JSON texts are measured as they are.
     A file that exists already is an error, or with ``replace`` all of the job's own files give way.
     """
-    rows.sparkSession.dataSource.register(SegmentedFiles)
-    options: dict[str, str | int] = {"path": path, "job": job, "format": file_format, "layout": layout}
-    if max_bytes is not None:
-        options["max_bytes"] = size_option(max_bytes) if isinstance(max_bytes, str) else max_bytes
-    if max_count is not None:
-        options["max_count"] = max_count
-    if replace:
-        options["replace"] = "true"
-    rows.write.format("segmented_files").mode("append").options(**options).save()
+    _save(rows, path, job, file_format, layout, max_bytes, max_count, replace)
 
 
 def write_json_arrays(
@@ -294,8 +300,9 @@ def write_json_arrays(
     order = order or ["seq"]
     narrow = rows.select(F.col(worker).alias("worker"), *order, F.col(value).alias("value"))
     with intermediates_dropped(rows.sparkSession):
-        cut = assign_segments(narrow, "worker", order, json_element_cost(F.col("value")), max_bytes, max_count)
-        write_segments(cut, path, job, order, "json", layout)
+        placed = place_units(narrow, "worker", order, json_element_cost(F.col("value")), max_bytes, max_count)
+        content = placed.select(*UNIT_COLUMNS, SIZE_COLUMN, "value")
+        _save(content, path, job, "json", layout, max_bytes, max_count)
 
 
 def write_parquet_segments(
@@ -312,13 +319,13 @@ def write_parquet_segments(
     """Messages as Parquet files with exact names and cuts.
 
     A size limit works on ``cost``, an SQL expression for the bytes of one row, because the encoded size of a
-    Parquet file is not known before it is closed.
+    Parquet file is not known before it is closed. The worker and order columns are not written.
     """
     order = order or ["seq"]
     named = rows.withColumnRenamed(worker, "worker")
     with intermediates_dropped(rows.sparkSession):
-        cut = assign_segments(named, "worker", order, F.expr(cost).cast("bigint"), max_bytes, max_count)
-        write_segments(cut, path, job, order, "parquet", layout)
+        placed = place_units(named, "worker", order, F.expr(cost).cast("bigint"), max_bytes, max_count)
+        _save(placed.drop("worker", *order), path, job, "parquet", layout, max_bytes, max_count)
 
 
 def write_parquet(rows: DataFrame, path: str, max_count: int | None = None, mode: str = "errorifexists") -> None:

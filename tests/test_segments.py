@@ -83,6 +83,31 @@ def test_assign_segments(elements, chunk_rows, max_bytes, max_count):
     assert found == want
 
 
+@pytest.mark.parametrize("chunk_rows", [7, 64, 100_000])
+@pytest.mark.parametrize("max_bytes, max_count", [(1000, None), (1000, 9), (None, 9), (10**9, None), (None, None), (1, None)])
+def test_units_hold_whole_files(elements, chunk_rows, max_bytes, max_count):
+    """Rows stream out clustered by unit; cutting each unit afresh gives every file, once and whole."""
+    rows, df = elements
+    placed = segment.place_units(df, "worker", ["seq"], F.col("cost"), max_bytes, max_count, chunk_rows)
+    assert placed.columns == ["_worker", "_unit", "_segment", "_size", "worker", "seq", "cost"]
+    size, count = max_bytes or segment.NO_LIMIT, max_count or segment.NO_LIMIT
+    got, tasks, last = {}, defaultdict(set), None
+    for r in placed.withColumn("task", F.spark_partition_id()).collect():
+        if (r._worker, r._unit) != last:
+            last, state = (r._worker, r._unit), (r._segment, 0, 0)
+            assert not tasks[last], "a unit comes in one stretch"
+        tasks[last].add(r.task)
+        ids, *rest = segment.cut_batch(np.array([r._size]), *state, size, count)
+        state = tuple(rest)
+        got[r.worker, r.seq] = int(ids[0])
+    assert all(len(t) == 1 for t in tasks.values())
+    want = {}
+    for worker, items in by_worker(rows).items():
+        ids = cuts([c for _, c in items], size, count)
+        want.update({(worker, seq): i for (seq, _), i in zip(items, ids)})
+    assert got == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(2, 9), min_size=1, max_size=60), st.integers(1, 70), st.integers(1, 15))
 def test_fixed_length_is_only_claimed_when_it_holds(costs, max_bytes, max_count):
@@ -113,6 +138,9 @@ def test_assign_segments_by_shuffle_join(elements, monkeypatch):
     monkeypatch.setattr(ordinal, "checked_broadcast", lambda frame: frame)
     got = segment.assign_segments(df, "worker", ["seq"], F.col("cost"), 1000, 9, chunk_rows=50)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    units = segment.place_units(df, "worker", ["seq"], F.col("cost"), 1000, 9, 50)
+    first = units.groupBy("_worker", "_unit").agg(F.min_by("_segment", "seq").alias("s"), F.min("seq").alias("seq"))
+    assert {(r._worker, r.seq): r.s for r in first.collect()}.items() <= {(r.worker, r.seq): r.segment_id for r in want}.items()
 
 
 def test_no_limit_is_one_file(elements):
