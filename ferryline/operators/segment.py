@@ -35,8 +35,8 @@ from ferryline.functions.units import size_option
 from ferryline.operators.ordinal import with_ordinal
 from ferryline.session import checked_broadcast, materialise
 
-# A chunk is worked out in memory from about ten bigints per element, so this bounds a task at some 100 MB.
-CHUNK_ROWS = 1_000_000
+# A chunk is worked out in memory from about ten bigints per element, so this bounds a task at some tens of MB.
+CHUNK_ROWS = 250_000
 
 # A limit that is not set is one no file can reach.
 NO_LIMIT = 2**62

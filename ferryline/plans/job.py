@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,6 +220,14 @@ def _converted(rows: DataFrame, job: Job, skipped: Observation | None = None) ->
     return rows.filter(~bad)
 
 
+def _observed(count: Observation) -> int:
+    """An observed count; input that planning already found empty is never observed."""
+    try:
+        return int(count.get["n"])
+    except Py4JError:
+        return 0
+
+
 class _Record:
     """What a run tells its audit log, if it has one."""
 
@@ -273,9 +282,9 @@ def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: aud
         write(_converted(rows, job, skipped), job, env)
         counters = {}
         if log is not None:
-            counters[audit.READ_RECORDS] = int(seen.get["n"])
+            counters[audit.READ_RECORDS] = _observed(seen)
             if job.conversion.on_error == "skip":
-                counters[audit.SKIPPED_RECORDS] = int(skipped.get["n"])
+                counters[audit.SKIPPED_RECORDS] = _observed(skipped)
             if job.source.platform is not Platform.KAFKA:
                 name = audit.READ_OBJECTS if job.source.platform is Platform.S3 else audit.READ_FILES
                 counters[name] = input_listing(spark, job, env).count()

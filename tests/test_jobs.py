@@ -155,6 +155,16 @@ def test_file_counters_and_worker_events(spark, env, tmp_path):
     assert len(os.listdir(tmp_path / "dst")) == 1
 
 
+def test_run_without_rows(spark, env, tmp_path):
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    env.topics = {"in": env.topics["in"].filter("offset = 0")}
+    # The first record lies past the end but in the second of the start: the range counts as met, and is empty.
+    env.topics["in"] = env.topics["in"].withColumn("timestamp", F.timestamp_millis(F.lit(5900)))
+    jobs.run(spark, spec(kafkaSource={"from": 5000, "to": 5500, "rangeType": "TIME", "topic": "in"}), env, log)
+    assert os.listdir(tmp_path / "dst") == []
+    assert [(r.name, r.counter_val) for r in log.table("counters").collect()] == [("_read_records", 0)]
+
+
 def test_streaming_run(spark, env, tmp_path):
     env.topics["in"].drop("timestamp").write.parquet(str(tmp_path / "feed"))
     stream = spark.readStream.schema(env.topics["in"].drop("timestamp").schema).parquet(str(tmp_path / "feed"))
