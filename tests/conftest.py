@@ -13,7 +13,7 @@ def spark():
 
     session = build_session(
         "tests",
-        "local[4]",
+        "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -67,11 +67,13 @@ def by_worker(rows):
     return groups
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 7, 64, 100_000])
-@pytest.mark.parametrize("max_bytes, max_count", [(1000, None), (1000, 9), (None, 9), (10**9, None), (1, None)])
-def test_assign_segments(elements, chunk_rows, max_bytes, max_count):
-    if chunk_rows == 1 and (max_bytes, max_count) != (1000, 9):
-        pytest.skip("one limit pair is enough for the slowest size")
+LIMITS = [
+    (1000, None, 7), (1000, None, 100_000), (1000, 9, 1), (1000, 9, 64), (None, 9, 64), (10**9, None, 7), (1, None, 64),
+]
+
+
+@pytest.mark.parametrize("max_bytes, max_count, chunk_rows", LIMITS)
+def test_assign_segments(elements, max_bytes, max_count, chunk_rows):
     rows, df = elements
     got = segment.assign_segments(df, "worker", ["seq"], F.col("cost"), max_bytes, max_count, chunk_rows=chunk_rows)
     assert got.columns == ["worker", "seq", "cost", "segment_id"]
@@ -83,9 +85,8 @@ def test_assign_segments(elements, chunk_rows, max_bytes, max_count):
     assert found == want
 
 
-@pytest.mark.parametrize("chunk_rows", [7, 64, 100_000])
-@pytest.mark.parametrize("max_bytes, max_count", [(1000, None), (1000, 9), (None, 9), (10**9, None), (None, None), (1, None)])
-def test_units_hold_whole_files(elements, chunk_rows, max_bytes, max_count):
+@pytest.mark.parametrize("max_bytes, max_count, chunk_rows", [*LIMITS[:2], *LIMITS[3:], (None, None, 64)])
+def test_units_hold_whole_files(elements, max_bytes, max_count, chunk_rows):
     """Rows stream out clustered by unit; cutting each unit afresh gives every file, once and whole."""
     rows, df = elements
     placed = segment.place_units(df, "worker", ["seq"], F.col("cost"), max_bytes, max_count, chunk_rows)
