@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from ferryline.errors import SpecError
 from ferryline.types import DataType
 
-# Where the five groups of a UUID's hex digits start, and how long they are.
-_UUID_GROUPS = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+# Where the five groups of a UUID lie in its 16 bytes (from 1) and how long they are, per layout.
+_UUID_GROUPS = {
+    "rfc4122": ((1, 4), (5, 2), (7, 2), (9, 2), (11, 6)),
+    "swapped": ((9, 4), (13, 2), (15, 2), (1, 2), (3, 6)),
+}
+
+
+def _check_layout(layout: str) -> None:
+    if layout not in _UUID_GROUPS:
+        raise SpecError(f"unknown uuid layout {layout!r}")
 
 
 def _check_mode(on_error: str) -> None:
@@ -68,22 +76,16 @@ def encode_uuid(value: Column, layout: str = "rfc4122") -> Column:
 
     Some producers write the swapped form while readers expect the plain one; name the layout of the data.
     """
-    digits = F.replace(value, F.lit("-"), F.lit(""))
+    _check_layout(layout)
     if layout == "swapped":
-        digits = F.concat(F.substring(digits, 17, 16), F.substring(digits, 1, 16))
-    elif layout != "rfc4122":
-        raise SpecError(f"unknown uuid layout {layout!r}")
-    return F.unhex(digits)
+        value = F.concat(F.substring(value, 20, 17), F.substring(value, 1, 18))
+    return F.unhex(F.replace(value, F.lit("-"), F.lit("")))
 
 
 def decode_uuid(value: Column, layout: str = "rfc4122", on_error: str = "fail") -> Column:
-    digits = F.lower(F.hex(value))
-    if layout == "swapped":
-        digits = F.concat(F.substring(digits, 17, 16), F.substring(digits, 1, 16))
-    elif layout != "rfc4122":
-        raise SpecError(f"unknown uuid layout {layout!r}")
-    text = F.concat_ws("-", *[F.substring(digits, start, length) for start, length in _UUID_GROUPS])
-    return _sized(value, 16, text, "uuid", on_error)
+    _check_layout(layout)
+    groups = [F.hex(F.substring(value, start, length)) for start, length in _UUID_GROUPS[layout]]
+    return _sized(value, 16, F.lower(F.concat_ws("-", *groups)), "uuid", on_error)
 
 
 def encode(data_type: DataType, value: Column) -> Column:

@@ -42,7 +42,7 @@ CHUNK_ROWS = 250_000
 NO_LIMIT = 2**62
 
 _STEPS_SCHEMA = (
-    "worker bigint, chunk bigint, n bigint, cost bigint, closes_at bigint,"
+    "worker bigint, chunk bigint, n bigint, cost bigint,"
     " from_cost array<bigint>, from_count array<bigint>,"
     " closed array<bigint>, left_cost array<bigint>, left_count array<bigint>"
 )
@@ -110,7 +110,6 @@ def chunk_steps(cost: np.ndarray, max_bytes: int, max_count: int) -> dict[str, o
     return {
         "n": n,
         "cost": total,
-        "closes_at": last if fills[0] else -1,
         "from_cost": np.append(0, before[kept - 1]),
         "from_count": np.append(0, kept - 1),
         "closed": closed[picks],

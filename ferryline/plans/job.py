@@ -58,11 +58,12 @@ class Job:
 class Environment:
     """Where names in a job description lead.
 
-    Topics are DataFrames with the columns of Spark's Kafka source; buckets are path prefixes. A topic sink is
-    a function that takes the records, Spark's Kafka writer in production.
+    Topics are DataFrames with the columns of Spark's Kafka source, or functions that open them for a range
+    (``kafka_topic``); buckets are path prefixes. A topic sink is a function that takes the records
+    (``kafka_sink``).
     """
 
-    topics: Mapping[str, DataFrame] = field(default_factory=dict)
+    topics: Mapping[str, topic_source.Topic] = field(default_factory=dict)
     topic_sinks: Mapping[str, Callable[[DataFrame], None]] = field(default_factory=dict)
     topic_partitions: Mapping[str, Sequence[int]] = field(default_factory=dict)
     buckets: Mapping[str, str] = field(default_factory=dict)

@@ -176,13 +176,18 @@ def codec_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
     text = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    swapped = codecs.encode_uuid(text, "swapped")
-    return table(spark, sf_dir, "orders").select(
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    encoded = texts.select(
+        "o_orderkey",
+        codecs.encode_uuid(F.col("text")).alias("plain"),
+        codecs.encode_uuid(F.col("text"), "swapped").alias("swapped"),
+    )
+    return encoded.select(
         "o_orderkey",
-        F.lower(F.hex(codecs.encode_uuid(text))).alias("plain"),
-        F.lower(F.hex(swapped)).alias("swapped"),
-        codecs.decode_uuid(swapped).alias("read_as_plain"),
-        codecs.decode_uuid(swapped, "swapped").alias("read_as_swapped"),
+        F.lower(F.hex("plain")).alias("plain"),
+        F.lower(F.hex("swapped")).alias("swapped"),
+        codecs.decode_uuid(F.col("swapped")).alias("read_as_plain"),
+        codecs.decode_uuid(F.col("swapped"), "swapped").alias("read_as_swapped"),
     )
 
 

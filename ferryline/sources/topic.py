@@ -7,7 +7,7 @@ partition, offset, timestamp, timestampType). ``read_range`` opens a real topic
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from enum import Enum
 from typing import Any
@@ -47,6 +47,10 @@ class RecordRange:
         object.__setattr__(self, "end", high)
 
 
+# A topic is a DataFrame of its records, or a function that opens it for a range.
+Topic = DataFrame | Callable[[RecordRange], DataFrame]
+
+
 def timestamp_ms(column: str = "timestamp") -> Column:
     """Record time as epoch milliseconds."""
     return F.unix_millis(F.col(column).cast("timestamp"))
@@ -133,8 +137,13 @@ def read_times(topic: DataFrame, bounds: RecordRange, require: bool = False) ->
     return topic.join(found, "partition").filter(inside).select(*topic.columns)
 
 
-def read(topic: DataFrame, bounds: RecordRange, require: bool = True) -> DataFrame:
+def read(topic: Topic, bounds: RecordRange, require: bool = True) -> DataFrame:
     """The rows of ``bounds``; with ``require``, an error when no partition has any part in the range."""
+    if not isinstance(topic, DataFrame):
+        rows = topic(bounds)
+        if require and rows.isEmpty():
+            raise EmptyRangeError(NOTHING_IN_RANGE)
+        return rows
     if bounds.kind is RangeType.TIME:
         return read_times(topic, bounds, require)
     # Some partition begins at or before the end of the range if some offset lies there.
@@ -200,16 +209,18 @@ def offset_options(
 
 
 def time_options(topic: str, bounds: RecordRange, partitions: Sequence[int] = ()) -> dict[str, str]:
-    """Kafka reader options that start a TIME range at the broker; ``read_times`` then finds the stop.
+    """Kafka reader options for a TIME range.
 
-    The stop is the first record past the end, which the broker's time index does not give when times are out
-    of order. A partition without a record that late starts at its end, so it gives no rows.
+    For a time the broker gives the first offset that reaches it, which is exactly where a range starts and,
+    asked one millisecond past the end, where it stops. Each record of the range is then read once and
+    nothing else is. A partition without a record that late starts at its end, so it gives no rows.
     """
     options = {"subscribe": topic, "startingOffsetsByTimestampStrategy": "latest"}
-    if partitions:
-        options["startingOffsetsByTimestamp"] = json.dumps({topic: {str(p): bounds.start for p in partitions}})
-    else:
-        options["startingTimestamp"] = str(bounds.start)
+    for side, ms in (("starting", bounds.start), ("ending", bounds.end + 1)):
+        if partitions:
+            options[f"{side}OffsetsByTimestamp"] = json.dumps({topic: {str(p): ms for p in partitions}})
+        else:
+            options[f"{side}Timestamp"] = str(ms)
     return options
 
 
@@ -218,6 +229,28 @@ def open_topic(spark: SparkSession, servers: str, options: Mapping[str, str]) ->
     return spark.read.format("kafka").option("kafka.bootstrap.servers", servers).options(**options).load()
 
 
+def kafka_topic(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    log_bounds: Callable[[], tuple[Mapping[int, int], Mapping[int, int]]] | None = None,
+) -> Callable[[RecordRange], DataFrame]:
+    """A real topic for jobs: it is opened per range, with both ends of the range pushed to the broker.
+
+    An OFFSET range needs ``log_bounds``, which returns each partition's oldest and next offset (from an admin
+    client, say), because Spark's reader takes offsets only per partition.
+    """
+
+    def open_range(bounds: RecordRange) -> DataFrame:
+        if bounds.kind is RangeType.TIME:
+            return open_topic(spark, servers, time_options(topic, bounds))
+        if log_bounds is None:
+            raise SpecError(f"an OFFSET range of topic {topic} needs the bounds of its log")
+        return open_topic(spark, servers, offset_options(topic, bounds, *log_bounds()))
+
+    return open_range
+
+
 def open_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """The streaming form of ``open_topic``, for ``availableNow`` runs; ``maxOffsetsPerTrigger`` bounds a batch."""
     settings = {"subscribe": topic, "startingOffsets": "earliest", **options}

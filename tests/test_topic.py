@@ -159,6 +159,37 @@ def test_reader_options():
         topic.offset_options("t", RecordRange(0, 3), {0: 5}, {0: 9})
     options = topic.time_options("t", RecordRange(4, 8, RangeType.TIME), [0, 1])
     assert json.loads(options["startingOffsetsByTimestamp"]) == {"t": {"0": 4, "1": 4}}
+    assert json.loads(options["endingOffsetsByTimestamp"]) == {"t": {"0": 9, "1": 9}}
+    options = topic.time_options("t", RecordRange(4, 8, RangeType.TIME))
+    assert (options["startingTimestamp"], options["endingTimestamp"]) == ("4", "9")
+
+
+def test_broker_ends_are_the_range(spark):
+    """First offsets that reach the start and that pass the end bound the same rows as the rule."""
+    rng = random.Random(5)
+    rows = [(p, o, rng.randrange(0, 9000)) for p in range(6) for o in range(40)]
+    data = make_topic(spark, rows)
+    for low, high in [(1000, 8500), (4000, 4500), (8000, 8990)]:
+        want = []
+        for p in range(6):
+            mine = [(o, t) for q, o, t in rows if q == p]
+            start = min((o for o, t in mine if t >= low), default=10**9)
+            stop = min((o for o, t in mine if t >= high + 1), default=10**9)
+            want += [(p, o) for o, _ in mine if start <= o < stop]
+        assert positions(topic.read(data, RecordRange(low, high, RangeType.TIME), require=False)) == sorted(want)
+
+
+def test_opened_topics(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(topic, "open_topic", lambda s, servers, options: seen.append(options) or small.limit(2))
+    opener = topic.kafka_topic(spark, "b:1", "t", lambda: ({0: 1}, {0: 5}))
+    assert topic.read(opener, RecordRange(2, 3)).count() == 2
+    assert topic.read(opener, RecordRange(2, 3, RangeType.TIME)).count() == 2
+    assert "startingOffsets" in seen[0] and seen[1]["endingTimestamp"] == "4"
+    with pytest.raises(EmptyRangeError):
+        topic.read(lambda bounds: small.limit(0), RecordRange(2, 3))
+    with pytest.raises(SpecError):
+        topic.kafka_topic(spark, "b:1", "t")(RecordRange(2, 3))
 
 
 def test_timestamps_are_utc(spark):
