@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ferryline.operators import bundled_specs
+from ferryline.operators.flatten import FlatField
+
 ORACLES: dict[str, str] = {}
 
 # --- topics ------------------------------------------------------------------------------------------------
@@ -128,6 +131,41 @@ from events
 ORACLES["flatten_json_spec"] = f"""
 select event_id, {_K} k, json_extract_string(props, '$.k') k_text, 'none' as label, cast(0.5 as double) rate from events
 """
+
+
+def _spec_leaf(field: FlatField) -> str:
+    shift = len(field.path)
+    if isinstance(field.default, bool):
+        return "event_type = 'click'"
+    if isinstance(field.default, str):
+        return f"'{shift}:' || event_type"
+    if isinstance(field.default, float):
+        return f"cast(event_id + {shift} as double)"
+    return f"case when (event_id + {shift}) % 2 = 0 then event_id + {shift} else 0 end"
+
+
+def _spec_lookup(field: FlatField) -> str:
+    entry, metric = field.selectors.split("=")
+    at = bundled_specs.AD_FEEDBACK_ENTRIES.index(entry)
+    n = list(bundled_specs.AD_FEEDBACK_METRICS.values()).index(metric) + 1
+    return f"case when (event_id + {at}) % 2 = 0 then cast(event_id + {100 * n + at} as double) else 0.0::double end"
+
+
+def _spec_sql(name: str) -> str:
+    columns = []
+    for field in bundled_specs.bundled().get(name).fields:
+        if field.function == "searchCoecsInArray":
+            value = _spec_lookup(field)
+        elif field.function:
+            value = "event_id || ',' || user_id"
+        else:
+            value = _spec_leaf(field)
+        columns.append(f'{value} as "{field.out}"')
+    return f"select event_id, {', '.join(columns)} from events"
+
+
+ORACLES["flatten_video_ad_spec"] = _spec_sql("video_ad_flatted")
+ORACLES["flatten_ad_feedback_spec"] = _spec_sql("ad_feedback_flatted_default")
 ORACLES["array_lookup"] = """
 select l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_tax tax, l_tax * 2 tax_expected, l_discount discount,
        cast(0.0 as double) surcharge

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from ferryline.functions import codecs, scalars, units
 from ferryline.functions.paths import struct_path, variant_path
-from ferryline.operators import audit, bundled_protos, ordinal, protobuf, segment
+from ferryline.operators import audit, bundled_protos, bundled_specs, ordinal, protobuf, segment
 from ferryline.operators.convert import ConverterRegistry, Conversion, convert
 from ferryline.operators.feature_line import FeatureConfig, json_line, struct_line
-from ferryline.operators.flatten import FlatSpec, flat_json, flatten, struct_columns
+from ferryline.operators.flatten import FlatField, FlatSpec, flat_json, flatten, struct_columns
 from ferryline.plans import job as jobs
 from ferryline.session import shared_path
 from ferryline.sinks import files as file_sink
@@ -317,6 +317,60 @@ def flatten_json_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(parsed, spec, "v", ["event_id"])
 
 
+def _leaf_of(field: FlatField) -> Column:
+    """A value for a path of a bundled spec, made from an event by the type of the spec's default."""
+    shift = len(field.path)
+    if isinstance(field.default, bool):
+        return F.col("event_type") == "click"
+    if isinstance(field.default, str):
+        return F.concat(F.lit(f"{shift}:"), "event_type")
+    number = F.col("event_id") + shift
+    return number.cast("double") if isinstance(field.default, float) else F.when(number % 2 == 0, number)
+
+
+def _nested(leaves: dict[str, Column]) -> Column:
+    """A struct from dotted paths."""
+    groups: dict[str, dict[str, Column]] = {}
+    for path, value in leaves.items():
+        head, _, rest = path.partition(".")
+        groups.setdefault(head, {})[rest] = value
+    fields = [(inner[""] if "" in inner else _nested(inner)).alias(head) for head, inner in groups.items()]
+    return F.struct(*fields)
+
+
+def _entry(at: int, name: str) -> Column:
+    """A named entry of the looked-up array, there for every other event."""
+    metrics = enumerate(bundled_specs.AD_FEEDBACK_METRICS.values(), start=1)
+    values = [(F.col("event_id") + 100.0 * n + at).alias(metric) for n, metric in metrics]
+    return F.when((F.col("event_id") + at) % 2 == 0, F.struct(F.lit(name).alias("name"), *values))
+
+
+def spec_messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Events as messages that have every path a bundled spec reads."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    leaves = {f.path: _leaf_of(f) for f in bundled_specs.bundled().get(name).fields if f.function is None}
+    if name == "ad_feedback_flatted_default":
+        entries = [_entry(at, entry) for at, entry in enumerate(bundled_specs.AD_FEEDBACK_ENTRIES)]
+        # A column of its own first, or the optimizer would build the array again for every lookup.
+        events = events.withColumn("entries", F.array_compact(F.array(*entries)))
+        leaves[bundled_specs.AD_FEEDBACK_ARRAY] = F.col("entries")
+        leaves["user.interestId"] = F.array("event_id", "user_id")
+    return events.select("event_id", _nested(leaves).alias("message"))
+
+
+@register
+def flatten_video_ad_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spec_messages(spark, sf_dir, "video_ad_flatted")
+    return flatten(messages, bundled_specs.bundled().get("video_ad_flatted"), "message", ["event_id"])
+
+
+@register
+def flatten_ad_feedback_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """125 columns, of which 68 look up an entry of one array by its name."""
+    messages = spec_messages(spark, sf_dir, "ad_feedback_flatted_default")
+    return flatten(messages, bundled_specs.bundled().get("ad_feedback_flatted_default"), "message", ["event_id"])
+
+
 def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with an array of named charges; a zero charge is not listed."""
     entries = F.array(
@@ -328,9 +382,9 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
             for name, c in (("discount", "l_discount"), ("tax", "l_tax"), ("quantity", "l_quantity"))
         ]
     )
-    message = F.struct(F.filter(entries, lambda e: e.isNotNull()).alias("charges"))
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", message.alias("message")
+    lines = table(spark, sf_dir, "lineitem").withColumn("charges", F.array_compact(entries))
+    return lines.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.struct("charges").alias("message")
     )
 
 
