@@ -93,7 +93,8 @@ def _with_default(value: Column, item: FlatField, leaf: T.DataType | None, mode:
     if item.default is None or (mode == "function_only" and item.function is None):
         return value
     default = F.lit(item.default)
-    return F.coalesce(value, default if leaf is None else default.cast(leaf))
+    # A default the column's type cannot hold leaves the value unset.
+    return F.coalesce(value, default if leaf is None else default.try_cast(leaf))
 
 
 def struct_columns(

@@ -140,6 +140,12 @@ def test_defaults(spark):
     assert tuple(some) == (None, 8, 2.0, 0.5, None)
 
 
+def test_default_of_another_type(spark):
+    row = spark.range(1).select(F.expr("named_struct('n', cast(null as bigint), 't', cast(null as string))").alias("m"))
+    spec = FlatSpec.from_mapping("d", {"n": {"name": "n", "defaultValue": ""}, "t": {"name": "t", "defaultValue": 0}})
+    assert tuple(flatten(row, spec, "m").head()) == (None, "0")
+
+
 def test_json_spec(spark):
     rows = spark.createDataFrame([('{"u":{"ids":[1,2]},"p":{"c":[{"name":"a","value":1.5}]},"n":4}',), ("{}",)], "j string")
     spec = FlatSpec.from_mapping(
