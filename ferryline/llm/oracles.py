@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ferryline.llm.queries import SHORT_CHARS
 from ferryline.llm.quality import MAX_REPEATED_PERCENT, MIN_WORDS, RULES, STOP_WORDS, SYMBOLS
+from ferryline.llm.token_counts import VERSIONS
 
 ORACLES: dict[str, str] = {}
 
@@ -45,3 +47,14 @@ judged as (
   from counts)
 select *, not base_failed and broken_rules = '' as kept from judged
 """
+
+ORACLES["op8_token_counts"] = rf"""
+with kept as (
+  select *, case when source = 'src0' then 'words/2' else 'words/1' end as tokenizer
+  from documents where length(coalesce(text, '')) >= {SHORT_CHARS})
+select source, lang, tokenizer, count(*) as n_docs,
+  cast(sum(case when source = 'src0' then len(regexp_extract_all(text, '{VERSIONS["words/2"]}'))
+    else len(regexp_extract_all(text, '{VERSIONS["words/1"]}')) end) as bigint) as n_tokens,
+  cast(sum(length(text)) as bigint) as n_chars
+from kept group by all
+"""

@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import bpe, packing, quality
+from ferryline.llm import bpe, packing, quality, sharding, token_counts
+from ferryline.session import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+SHORT_CHARS = 200
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -47,3 +50,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@register
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load, a revision of one source's tokenizer and the removal of short documents, each handed in twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, shared_path(spark, "token-counts"))
+    moved = F.coalesce(F.col("source") == "src0", F.lit(False))
+    short = F.coalesce(F.length("text"), F.lit(0)) < SHORT_CHARS
+    old, new = token_counts.deleted, token_counts.inserted
+    revision = token_counts.revised(docs.filter(moved), "words/1", docs.filter(moved), "words/2")
+    removal = old(docs.filter(short & ~moved), "words/1").unionByName(old(docs.filter(short & moved), "words/2"))
+    for name, changes in (("1-load", new(docs, "words/1")), ("2-revision", revision), ("3-removal", removal)):
+        rollup.commit(name, changes)
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
+@register
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "cell", "source_cell", "lang_cell",
+    )
