@@ -27,18 +27,13 @@ _BATCH = 4096
 
 
 def load_tokenizer(path: str):
-    """The tokenizer of a file, made once in a process; its settings for truncation and padding are dropped."""
+    """The tokenizer of a file; its settings for truncation and padding are dropped."""
     from tokenizers import Tokenizer
 
-    if path not in _loaded:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _loaded[path] = tokenizer
-    return _loaded[path]
-
-
-_loaded: dict = {}
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def _encode_words(path: str):

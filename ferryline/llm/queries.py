@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import bpe, packing, quality, sharding, token_counts
+from ferryline.llm import bpe, langid, packing, quality, sharding, token_counts
 from ferryline.session import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 SHORT_CHARS = 200
 
@@ -75,3 +76,11 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "cell", "source_cell", "lang_cell",
     )
+
+
+@register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))), langid.Pieces.load(BYTE_PIECES))
+    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
