@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import bpe, jaccard, langid, packing, quality, sharding, token_counts, topk
+from ferryline.llm import bpe, jaccard, langid, packing, quality, repeats, sharding, token_counts, topk
 from ferryline.session import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,8 +42,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    decoded = bpe.decode(bpe.encode(docs, WORD_BPE), bpe.pieces(spark, WORD_BPE))
-    return decoded.select(
+    tokens = bpe.encode(docs, WORD_BPE, vocabulary=bpe.pieces(spark, WORD_BPE))
+    return tokens.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 
@@ -94,3 +94,11 @@ def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    n_spans = F.size("removed").cast("long")
+    return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

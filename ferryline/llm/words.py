@@ -2,13 +2,16 @@
 
 A word is a run of bytes other than space and 0x09 to 0x0D, which is how ``bytes.split()`` cuts. A block is a stretch
 of rows of one input partition with at most ``BLOCK_BYTES`` of text (or a single longer text). Each block is laid
-down in two parts: a row for each of its distinct words, and one row with its documents as sequences of positions in
-that word list. What a word stands for (ids, a count) can then be found once for each word over all blocks and
-brought back by (block, position), while texts never move.
+down in two parts: its distinct words, dealt into buckets by a checksum of the word, and one row with its documents
+as sequences of places in the word list. Equal words of all blocks meet in a bucket, where what a word stands for
+(ids, a count) is found once; the answers go back to the block in the order of its words, while texts never move.
+
+A row holds all words of a block that lie in a bucket, packed together: there are never more rows than pairs of block
+and word, and far fewer as long as blocks have many words of each bucket.
 
 Both parts come from scans of their own, so the input has to give the same rows in the same order each time: a
-table, not the outcome of a shuffle. A block's name holds a checksum of its words, and ``joined`` refuses a word list
-that is not the block's own.
+table, not the outcome of a shuffle. A block's name holds a checksum of its words, and ``meet`` refuses answers
+that are not for the block's own words.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20
-_ROWS_OUT = 50_000
+BLOCK_BYTES = 8 << 20
+LEAST_BUCKETS = 128
+BUCKET_BYTES = 8 << 20
 
-WORDS_SCHEMA = "block long, place int, word binary"
-CODES_SCHEMA = "block long, n_words int, doc_ids array<long>, lengths array<int>, codes binary"
+WORDS_SCHEMA = "bucket int, block long, n_words int, words binary, counts binary"
+CODES_SCHEMA = "block long, n_words int, buckets binary, doc_ids array<long>, marks array<boolean>, lengths array<int>, codes binary"
 
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -37,17 +42,42 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
         yield text.as_py() or b""
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """Positions as four planes of bytes, compressed; frequent words have small positions, so high planes are flat."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+def zipped(data: bytes) -> bytes:
+    """Compressed, with its length in front."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as four planes of bytes, compressed; of small numbers the high planes are flat."""
+    return zipped(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(unzipped(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def unpack_codes(packed: bytes, count: int) -> np.ndarray:
-    if not count:
-        return np.zeros(0, np.int64)
-    planes = np.frombuffer(pa.decompress(packed, 4 * count, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, count).T).view("<u4").ravel().astype(np.int64)
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions ``starts[i], starts[i] + 1, ...`` of ``lengths[i]`` each, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def bucket_count(docs: DataFrame, text: str) -> int:
+    """Buckets for the words of ``docs``: one for each ``BUCKET_BYTES`` of text."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).head()["n"] or 0
+    return max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+
+
+def block_name(check: int, part: int, number: int) -> int:
+    """A number of 64 bits from a checksum of 32, an input partition and a block's place in it."""
+    if part >= 1 << 20 or number >= 1 << 12:
+        raise ValueError("too many blocks for a block's name; read the table in fewer or more even splits")
+    return ((check - (1 << 31)) << 32) | (part << 12) | number
 
 
 class _Block:
@@ -56,33 +86,33 @@ class _Block:
         self.seen: defaultdict[bytes, int] = defaultdict()
         self.seen.default_factory = self.seen.__len__
         self.ids: list[int | None] = []
+        self.marks: list[bool] = []
         self.codes: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
+    def add(self, doc_id: int | None, mark: bool, text: bytes) -> None:
         words = (text.translate(ASCII_LOWER) if self.lower else text).split()
         self.ids.append(doc_id)
+        self.marks.append(mark)
         self.codes.append(np.fromiter(map(self.seen.__getitem__, words), np.uint32, len(words)))
         self.bytes += len(text)
 
     def close(self, part: int, number: int) -> tuple[int, list[bytes], np.ndarray]:
         """Name, words from the most frequent on, and the codes of all documents in a row."""
-        if part >= 1 << 20 or number >= 1 << 12:
-            raise ValueError("too many blocks for a block's name; read the table in fewer or more even splits")
         codes = np.concatenate(self.codes)
         order = np.argsort(-np.bincount(codes, minlength=len(self.seen)), kind="stable")
         listed = list(self.seen)
         words = [listed[i] for i in order]
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        check = zlib.crc32(b" ".join(words)) - (1 << 31)
-        return (check << 32) | (part << 12) | number, words, rank[codes] if len(codes) else codes
+        return block_name(zlib.crc32(b" ".join(words)), part, number), words, rank[codes] if len(codes) else codes
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[tuple[int, list[bytes], np.ndarray, _Block]]:
     part, number, block = TaskContext.get().partitionId(), 0, _Block(lower)
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            block.add(doc_id, text)
+        names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for doc_id, mark, text in zip(names, marks, texts_of(batch), strict=True):
+            block.add(doc_id, bool(mark), text)
             if block.bytes >= BLOCK_BYTES:
                 yield *block.close(part, number), block
                 number, block = number + 1, _Block(lower)
@@ -90,49 +120,92 @@ def _blocks(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[tuple[in
         yield *block.close(part, number), block
 
 
-def block_words(docs: DataFrame, doc_id: str, text: str, lower: bool = False) -> DataFrame:
-    """(block, place, word): each block's distinct words."""
+def _buckets(words: list[bytes], count: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(count)
+
+
+def block_words(docs: DataFrame, buckets: int, lower: bool = False) -> DataFrame:
+    """The distinct words of each block by bucket. ``docs`` has the columns id, text and mark.
+
+    ``counts`` says how often each word occurs in the block's marked documents.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words, _, _ in _blocks(batches, lower):
-            for at in range(0, len(words), _ROWS_OUT):
-                cut = words[at : at + _ROWS_OUT]
-                places = np.arange(at, at + len(cut), dtype=np.int32)
-                columns = [pa.array(np.full(len(cut), name)), pa.array(places), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "place", "word"])
+        for name, words, codes, block in _blocks(batches, lower):
+            dealt = _buckets(words, buckets)
+            order = np.argsort(dealt, kind="stable")
+            marked = np.repeat(np.array(block.marks, bool), [len(c) for c in block.codes])
+            counts = np.bincount(codes[marked], minlength=len(words)) if len(words) else np.zeros(0, np.int64)
+            ends = np.flatnonzero(np.diff(dealt[order], append=np.uint32(buckets))) + 1
+            rows = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(words) else []
+            columns = [
+                pa.array([int(dealt[r[0]]) for r in rows], pa.int32()),
+                pa.array([name] * len(rows), pa.int64()),
+                pa.array([len(r) for r in rows], pa.int32()),
+                pa.array([zipped(b" ".join([words[i] for i in r])) for r in rows], pa.binary()),
+                pa.array([pack(counts[r]) for r in rows], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n_words", "words", "counts"])
 
-    return docs.select(doc_id, text).mapInArrow(emit, WORDS_SCHEMA)
+    return docs.mapInArrow(emit, WORDS_SCHEMA)
 
 
-def block_codes(docs: DataFrame, doc_id: str, text: str, lower: bool = False) -> DataFrame:
+def block_codes(docs: DataFrame, buckets: int, lower: bool = False) -> DataFrame:
     """One row for each block: its documents, their lengths in words, and all codes in a row, packed."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, words, codes, block in _blocks(batches, lower):
-            lengths = [len(c) for c in block.codes]
             columns = [
                 pa.array([name]),
                 pa.array([len(words)], pa.int32()),
+                pa.array([pack(_buckets(words, buckets))], pa.binary()),
                 pa.array([block.ids], pa.list_(pa.int64())),
-                pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([pack_codes(codes)], pa.binary()),
+                pa.array([block.marks], pa.list_(pa.bool_())),
+                pa.array([[len(c) for c in block.codes]], pa.list_(pa.int32())),
+                pa.array([pack(codes)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "n_words", "doc_ids", "lengths", "codes"])
+            yield pa.RecordBatch.from_arrays(columns, ["block", "n_words", "buckets", "doc_ids", "marks", "lengths", "codes"])
 
-    return docs.select(doc_id, text).mapInArrow(emit, CODES_SCHEMA)
+    return docs.mapInArrow(emit, CODES_SCHEMA)
 
 
-def joined(found: DataFrame, codes: DataFrame, body: Callable[[pa.Table, list, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """Brings what was ``found`` for (block, place) together with the block's documents.
+def bucket_words(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a bucket; for the words of all its rows in a row, which they are and how often marked."""
+    listed = [w for packed in rows["words"].to_pylist() for w in unzipped(packed).split(b" ")]
+    coded = pa.array(listed, pa.binary()).dictionary_encode()
+    counts = [unpack(packed) for packed in rows["counts"].to_pylist()]
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate(counts).astype(np.int64)
 
-    ``body(rows in the order of place, document ids, lengths, codes)`` gives the output rows of a block.
-    """
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if right.num_rows != 1 or left.num_rows != right["n_words"][0].as_py():
+def answers(words: DataFrame, body: Callable[[pa.Table], list[bytes]]) -> DataFrame:
+    """(block, bucket, n_words, found): ``body`` gives the answer to each row of a bucket."""
+
+    def find(rows: pa.Table) -> pa.Table:
+        found = pa.array(body(rows), pa.binary())
+        return pa.table([rows["block"], rows["bucket"], rows["n_words"], found], names=["block", "bucket", "n_words", "found"])
+
+    return words.groupBy("bucket").applyInArrow(find, "block long, bucket int, n_words int, found binary")
+
+
+def in_word_order(found: pa.Table, block: dict) -> tuple[list[bytes], np.ndarray]:
+    """The answers by bucket, and the places in the block's word list that they speak of, one after the other."""
+    own = found.sort_by("bucket")
+    dealt = unpack(block["buckets"])
+    sizes = np.bincount(dealt) if len(dealt) else np.zeros(0, np.int64)
+    if own["n_words"].to_pylist() != sizes[sizes > 0].tolist() or block["n_words"] != len(dealt):
+        raise RuntimeError("a block's words and documents differ: its input gave other rows when read again")
+    return own["found"].to_pylist(), np.argsort(dealt, kind="stable")
+
+
+def meet(found: DataFrame, codes: DataFrame, body: Callable[[list[bytes], np.ndarray, dict], pa.Table], schema: str) -> DataFrame:
+    """Brings answers together with their block's documents; ``body(answers, places, block)`` gives the output rows."""
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows != 1:
             raise RuntimeError("a block's words and documents differ: its input gave other rows when read again")
-        lengths = np.array(right["lengths"][0].as_py(), np.int64)
-        codes = unpack_codes(right["codes"][0].as_py(), int(lengths.sum()))
-        return body(left.sort_by("place"), right["doc_ids"][0].as_py(), lengths, codes)
+        block = right.to_pylist()[0]
+        block["lengths"] = np.array(block["lengths"], np.int64)
+        block["codes"] = unpack(block["codes"])
+        return body(*in_word_order(left, block), block)
 
-    return found.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(meet, schema)
+    return found.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(join, schema)
