@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferryline.llm.words import block_name, spread, texts_of, unzipped, zipped
+from ferryline.llm.words import block_name, join_arrays, split_arrays, spread, texts_of, unzipped, zipped
 from ferryline.session import materialise
 
 LENGTH = 100
@@ -60,26 +60,6 @@ ANSWERS_SCHEMA = "block long, bucket int, kind int, found binary"
 TEXTS_SCHEMA = "block long, rows binary, texts binary, anchors binary"
 
 
-def _join(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of numbers one after the other: a short head, then the bytes of each array plane by plane, compressed."""
-    parts = []
-    for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
-        body = zipped(np.ascontiguousarray(planes).tobytes())
-        parts += [a.dtype.str.encode().ljust(4), len(body).to_bytes(8, "little"), body]
-    return b"".join(parts)
-
-
-def _split(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        kind, size = np.dtype(data[at : at + 4].strip().decode()), int.from_bytes(data[at + 4 : at + 12], "little")
-        planes = np.frombuffer(unzipped(data[at + 12 : at + 12 + size]), np.uint8).reshape(kind.itemsize, -1)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += 12 + size
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _STEP[15]
     return x ^ (x >> np.uint64(29))
@@ -242,7 +222,7 @@ def _send_contexts(buckets: int):
             gram, context = block.anchors.gram[block.leader], block.anchors.context[block.leader]
             key = block.order_key[block.document(block.anchors.first[block.leader])]
             yield _entry_rows(
-                [(bucket, name, 0, _join([gram[own], context[own], key[own], block.hot[own]])) for bucket, own in _by_bucket(block.buckets(buckets))]
+                [(bucket, name, 0, join_arrays([gram[own], context[own], key[own], block.hot[own]])) for bucket, own in _by_bucket(block.buckets(buckets))]
             )
 
     return emit
@@ -251,7 +231,7 @@ def _send_contexts(buckets: int):
 def _judge(table: pa.Table) -> pa.Table:
     """The state of each entry of a bucket."""
     table = table.sort_by("block")
-    split = [_split(d) for d in table["data"].to_pylist()]
+    split = [split_arrays(d) for d in table["data"].to_pylist()]
     gram, context, key, hot = (np.concatenate(c) for c in zip(*split, strict=True))
     order = np.lexsort((np.arange(len(gram)), key, context, gram))
     new_gram = np.append(True, gram[order][1:] != gram[order][:-1])
@@ -262,7 +242,7 @@ def _judge(table: pa.Table) -> pa.Table:
     state = np.empty(len(gram), np.uint8)
     state[order] = np.where(crowded, SINGLY, np.where(~new, REPEATED, np.where(kinds > 1, OPEN, UNIQUE)))
     cuts = np.cumsum([len(s[0]) for s in split])[:-1]
-    return _answer_rows(table, [_join([part]) for part in np.split(state, cuts)])
+    return _answer_rows(table, [join_arrays([part]) for part in np.split(state, cuts)])
 
 
 def _answer_rows(table: pa.Table, found: list[bytes]) -> pa.Table:
@@ -358,7 +338,7 @@ def _settle(table: pa.Table) -> pa.Table:
     kinds, found = np.array(table["kind"].to_pylist()), [b""] * table.num_rows
     data = table["data"].to_pylist()
     if len(rows := np.flatnonzero(kinds == OPEN)):
-        split = [_split(data[r]) for r in rows]
+        split = [split_arrays(data[r]) for r in rows]
         key, document, start, lengths, contexts = (np.concatenate(c) for c in zip(*split, strict=True))
         counts = [len(s[0]) for s in split]
         rank = _ordered(key, np.repeat(np.arange(len(rows)), counts), document)
@@ -370,15 +350,15 @@ def _settle(table: pa.Table) -> pa.Table:
         later = repeated_strings(contexts, lengths, earliness)
         sizes = np.add.reduceat(strings, np.cumsum([0, *counts[:-1]]))
         for r, part in zip(rows, np.split(later, np.cumsum(sizes)[:-1]), strict=True):
-            found[r] = _join([part])
+            found[r] = join_arrays([part])
     if len(rows := np.flatnonzero(kinds == SINGLY)):
-        split = [_split(data[r]) for r in rows]
+        split = [split_arrays(data[r]) for r in rows]
         one, two, key = (np.concatenate(c) for c in zip(*split, strict=True))
         order = np.lexsort((np.arange(len(one)), key, two, one))
         later = np.zeros(len(one), bool)
         later[order] = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
         for r, part in zip(rows, np.split(later, np.cumsum([len(s[0]) for s in split])[:-1]), strict=True):
-            found[r] = _join([part])
+            found[r] = join_arrays([part])
     return _answer_rows(table, found)
 
 
@@ -393,9 +373,9 @@ def _send_texts(buckets: int):
                     stream.write_batch(batch)
             anchors = [block.anchors.first, (block.anchors.last - block.anchors.first).astype(np.uint8), block.entry.astype(np.uint32)]
             anchors += [block.leader.astype(np.uint32), block.buckets(buckets)]
-            head = _join([block.order_key, block.lengths])
+            head = join_arrays([block.order_key, block.lengths])
             packed = len(head).to_bytes(8, "little") + head + zipped(sink.getvalue().to_pybytes())
-            columns = [pa.array([name]), *(pa.array([v], pa.binary()) for v in (packed, zipped(block.text.tobytes()), _join(_steps(anchors))))]
+            columns = [pa.array([name]), *(pa.array([v], pa.binary()) for v in (packed, zipped(block.text.tobytes()), join_arrays(_steps(anchors))))]
             yield pa.RecordBatch.from_arrays(columns, ["block", "rows", "texts", "anchors"])
 
     return emit
@@ -427,11 +407,11 @@ class _Met:
             raise RuntimeError("answers for a block that is not there: the input gave other rows when read again")
         packed = texts["rows"][0].as_py()
         cut = 8 + int.from_bytes(packed[:8], "little")
-        key, lengths = _split(packed[8:cut])
+        key, lengths = split_arrays(packed[8:cut])
         others = pa.ipc.open_stream(unzipped(packed[cut:])).read_all()
-        steps, span, entry, leader, dealt = _split(texts["anchors"][0].as_py())
+        steps, span, entry, leader, dealt = split_arrays(texts["anchors"][0].as_py())
         first = np.cumsum(steps.astype(np.int64))
-        own = {b: _split(f)[0] for b, k, f in zip(*(answers[c].to_pylist() for c in ("bucket", "kind", "found")), strict=True) if k == 0}
+        own = {b: split_arrays(f)[0] for b, k, f in zip(*(answers[c].to_pylist() for c in ("bucket", "kind", "found")), strict=True) if k == 0}
         state = np.zeros(len(leader), np.uint8)
         groups = _by_bucket(dealt)
         if [b for b, _ in groups] != sorted(own):
@@ -478,19 +458,27 @@ def _send_open(buckets: int):
             first, lengths = met.first[anchors], met.last[anchors] - met.first[anchors] + LENGTH
             document = met.document(first)
             own = [met.key[document], document, first - starts[document], lengths, met.text[spread(first, lengths)]]
-            rows.append((bucket, name, OPEN, _join(own)))
+            rows.append((bucket, name, OPEN, join_arrays(own)))
         places, prints, _, dealt = met.single_strings(buckets)
         for bucket, own in dealt:
-            rows.append((bucket, name, SINGLY, _join([prints[0][own], prints[1][own], met.key[met.document(places[own])]])))
+            rows.append((bucket, name, SINGLY, join_arrays([prints[0][own], prints[1][own], met.key[met.document(places[own])]])))
         return pa.Table.from_batches([_entry_rows(rows)])
 
     return emit
 
 
-def _cut(buckets: int, names: list[str]):
+def _whole_characters(covered: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """``covered`` without characters that are covered in part."""
+    begins = (text & 0xC0) != 0x80
+    if not len(text) or not begins[0]:
+        return covered
+    return np.minimum.reduceat(covered, np.flatnonzero(begins))[np.cumsum(begins) - 1]
+
+
+def _cut(buckets: int, names: list[str], whole_characters: bool):
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         met = _Met.of(left, right)
-        found = {(k, b): _split(f)[0] for b, k, f in zip(*(left[c].to_pylist() for c in ("bucket", "kind", "found")), strict=True) if k}
+        found = {(k, b): split_arrays(f)[0] for b, k, f in zip(*(left[c].to_pylist() for c in ("bucket", "kind", "found")), strict=True) if k}
         change = np.zeros(len(met.text) + 1, np.int32)
         leads = np.zeros(len(met.entry), bool)
         leads[met.leader] = True
@@ -509,6 +497,8 @@ def _cut(buckets: int, names: list[str]):
         np.add.at(change, removed, 1)
         np.add.at(change, removed + LENGTH, -1)
         covered = np.cumsum(change[:-1]) > 0
+        if whole_characters:
+            covered = _whole_characters(covered, met.text)
         spans, kept, at = [], [], 0
         for length in met.lengths.tolist():
             own = covered[at : at + length]
@@ -524,8 +514,11 @@ def _cut(buckets: int, names: list[str]):
     return emit
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but the text, with ``n_bytes``, ``removed`` (array of start and end) and ``kept`` (binary)."""
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the text, with ``n_bytes``, ``removed`` (array of start and end) and ``kept`` (binary).
+
+    With ``whole_characters`` a character stays unless all of its bytes are covered, so that what is kept is UTF-8.
+    """
     added = ["n_bytes", "removed", "kept"]
     others = [c for c in docs.columns if c not in (doc_id, text, *added)]
     rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), text, *others)
@@ -542,4 +535,4 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     new_fields = [T.StructField("n_bytes", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())]
     schema = T.StructType([*kept_fields, *new_fields])
     answered = states.unionByName(settled).groupBy("block").cogroup(texts.groupBy("block"))
-    return answered.applyInArrow(_cut(buckets, schema.names), schema)
+    return answered.applyInArrow(_cut(buckets, schema.names, whole_characters), schema)

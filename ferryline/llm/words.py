@@ -61,6 +61,26 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def join_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers one after the other: a short head, then the bytes of each array plane by plane, compressed."""
+    parts = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        body = zipped(np.ascontiguousarray(planes).tobytes())
+        parts += [a.dtype.str.encode().ljust(4), len(body).to_bytes(8, "little"), body]
+    return b"".join(parts)
+
+
+def split_arrays(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, size = np.dtype(data[at : at + 4].strip().decode()), int.from_bytes(data[at + 4 : at + 12], "little")
+        planes = np.frombuffer(unzipped(data[at + 12 : at + 12 + size]), np.uint8).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += 12 + size
+    return out
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions ``starts[i], starts[i] + 1, ...`` of ``lengths[i]`` each, one after the other."""
     ends = np.cumsum(lengths)
