@@ -246,10 +246,10 @@ class _Scorer:
         self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only ``text`` is looked at."""
+def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score`` (in place of such columns); only ``text`` is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast((model.pieces.listed, model.languages, model.table))
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(pred, score)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, languages, chances = sent.value
@@ -274,7 +274,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             if len(scorer.seen) > _KEPT_WORDS:
                 scorer.clear()
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, pred, score])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
     return kept.mapInArrow(label, T.StructType([*kept.schema.fields, *added]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import bpe, jaccard, langid, packing, quality, repeats, sharding, token_counts, topk
+from ferryline.llm import bpe, jaccard, langid, lm, packing, quality, repeats, sharding, token_counts, topk
 from ferryline.session import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -102,3 +102,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
     n_spans = F.size("removed").cast("long")
     return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
