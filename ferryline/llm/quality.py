@@ -92,27 +92,33 @@ def _repeated_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts the rules speak of, one row for each row."""
+    """``docs`` with the counts the rules speak of, one row for each row.
+
+    Words and lines are bound inside the expressions that count them, so that these stay cheap wherever the optimiser
+    moves them.
+    """
     filled = F.coalesce(F.col(text), F.lit(""))
+    words = F.filter(F.split(filled, WHITE), lambda w: w != "")
     lines = F.filter(F.split(filled, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.withColumns(
-        {
-            "_words": F.filter(F.split(filled, WHITE), lambda w: w != ""),
-            "_lines": lines,
-            "word_chars": _kept_count(filled, WHITE),
-            "n_symbols": _kept_count(filled, f"[^{SYMBOLS}]+"),
-            "n_exclamations": _kept_count(filled, "[^!]+"),
-        }
-    )
-    return split.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-            "n_repeat_words": _repeated_words(F.col("_words")),
-        }
-    ).drop("_words", "_lines")
+
+    def of_words(own: Column) -> Column:
+        stops = F.size(F.filter(own, lambda w: F.lower(w).isin(*STOP_WORDS)))
+        counts = {"n_words": F.size(own), "n_stop_words": stops, "n_repeat_words": _repeated_words(own)}
+        return F.struct(*(n.cast("long").alias(name) for name, n in counts.items()))
+
+    def of_lines(own: Column) -> Column:
+        counts = {"n_lines": F.size(own), "n_dup_lines": F.size(own) - F.size(F.array_distinct(own))}
+        return F.struct(*(n.cast("long").alias(name) for name, n in counts.items()))
+
+    counted = docs.withColumns({"_of_words": _let(words, of_words), "_of_lines": _let(lines, of_lines)})
+    fields = {name: F.col("_of_words")[name] for name in ("n_words", "n_stop_words", "n_repeat_words")}
+    fields |= {name: F.col("_of_lines")[name] for name in ("n_lines", "n_dup_lines")}
+    fields |= {
+        "word_chars": _kept_count(filled, WHITE),
+        "n_symbols": _kept_count(filled, f"[^{SYMBOLS}]+"),
+        "n_exclamations": _kept_count(filled, "[^!]+"),
+    }
+    return counted.withColumns(fields).drop("_of_words", "_of_lines")
 
 
 def verdict(measured: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -131,4 +137,4 @@ def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns."""
-    return judge(docs.select("*", F.struct("*").alias("_row")), text, rules).filter("kept").select("_row.*")
+    return judge(docs.select(F.col(text).alias("text"), F.struct("*").alias("_row")), "text", rules).filter("kept").select("_row.*")
