@@ -1,9 +1,11 @@
 """Near-duplicate groups: a Jaccard join of word shingles by R-trees over count vectors.
 
 A document's set holds its distinct shingles of five lower-cased words (64-bit hashes). Shingles are hashed into
-``GROUPS`` groups, and a set's counts by group are a point; two sets share at most the sum of the coordinate minima
-of their points, which also holds between a point and the upper corner of a box of points. An R-tree over the points
-of a block gives for each of them those that could share enough, and survivors are verified on whole texts.
+groups, and a set's counts by group are a point; two sets share at most the sum of the coordinate minima of their
+points, which also holds between a point and the upper corner of a box of points. An R-tree over the points of a
+block gives for each of them those that could share enough, and survivors are verified on whole texts. The number of
+groups is a power of two that grows with the set, as the bound says little about sets much larger than it; points of
+neighbouring resolutions are compared by adding up neighbouring groups.
 
 Blocks come from prefixes: sets with a similarity of at least 0.75 share one of the first ``n - ceil(0.75 n) + 1``
 shingles in any fixed order of all shingles. The order puts shingles that are frequent in a sample of
@@ -35,7 +37,7 @@ from ferryline.session import materialise
 
 WIDTH = 5
 PERCENT = 75
-GROUPS = 256
+LEAST_GROUPS, SHINGLES_A_GROUP = 256, 4
 SAMPLE_DOCS = 5_000
 FREQUENT = 5
 MAX_FREQUENT = 1 << 16
@@ -92,8 +94,19 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def group_bits(n: int) -> int:
+    """Log 2 of the number of groups of a set of ``n`` shingles; sizes within 4/3 of each other differ by one at most."""
+    return max(LEAST_GROUPS, n // SHINGLES_A_GROUP).bit_length() - 1
+
+
 def point(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own >> np.uint64(56)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    bits = group_bits(len(own))
+    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def folded(counts: np.ndarray, bits: int) -> np.ndarray:
+    """Counts by group at a resolution that is no finer."""
+    return counts.reshape(1 << bits, -1).sum(axis=1)
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -232,20 +245,28 @@ class RTree:
         return self.order[at]
 
 
-def _points(packed: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(unzipped, packed)), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def _point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(unzipped(packed), "<u4").astype(np.int64)
 
 
 def _join_block(table: pa.Table, tiles: tuple[int, int]) -> set[tuple[int, int]]:
     """Pairs across components of a block (or of two of its tiles) that the points allow."""
     ids, sides = table["id"].to_numpy(), table["tile"].to_numpy()
-    sizes, names, points = table["n_shingles"].to_numpy(), table["component"].to_numpy(), _points(table["counts"].to_pylist())
-    own, other = np.flatnonzero(sides == tiles[0]), np.flatnonzero(sides == tiles[1])
-    tree, found = RTree(sizes[other], points[other]), set()
-    for k in own:
-        for j in other[tree.candidates(int(sizes[k]), points[k])]:
-            if names[j] != names[k] and (tiles[0] != tiles[1] or ids[j] > ids[k]):
-                found.add((int(min(ids[j], ids[k])), int(max(ids[j], ids[k]))))
+    sizes, names = table["n_shingles"].to_numpy(), table["component"].to_numpy()
+    points = [_point(p) for p in table["counts"].to_pylist()]
+    bits = np.array([len(p).bit_length() - 1 for p in points])
+    own, other, found = np.flatnonzero(sides == tiles[0]), np.flatnonzero(sides == tiles[1]), set()
+    for level in np.unique(bits):
+        # Members of this resolution and of the next finer one; a set looks at its own level and the one below.
+        held = other[(bits[other] == level) | (bits[other] == level + 1)]
+        asking = own[(bits[own] == level) | (bits[own] == level + 1)]
+        if not len(held) or not len(asking):
+            continue
+        tree = RTree(sizes[held], np.stack([folded(points[j], level) for j in held]))
+        for k in asking:
+            for j in held[tree.candidates(int(sizes[k]), folded(points[k], level))]:
+                if names[j] != names[k] and (tiles[0] != tiles[1] or ids[j] > ids[k]):
+                    found.add((int(min(ids[j], ids[k])), int(max(ids[j], ids[k]))))
     return found
 
 
@@ -287,9 +308,13 @@ def bounded(pairs: DataFrame, found: DataFrame) -> DataFrame:
     both = both.filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part.slice(at, 1024) for part in batches for at in range(0, part.num_rows, 1024)):
-            most = np.minimum(_points(batch.column("c_a").to_pylist()), _points(batch.column("c_b").to_pylist())).sum(axis=1)
-            keep = pa.array(most >= least_overlap(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
+        for batch in batches:
+            most = []
+            for left, right in zip(batch.column("c_a").to_pylist(), batch.column("c_b").to_pylist(), strict=True):
+                x, y = _point(left), _point(right)
+                level = min(len(x), len(y)).bit_length() - 1
+                most.append(int(np.minimum(folded(x, level), folded(y, level)).sum()))
+            keep = pa.array(np.array(most) >= least_overlap(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(test, "a long, b long").distinct()
