@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 POOL = 1024
-PIVOTS = 24
+PIVOTS = 16
 ROWS_A_CELL = 16_384
 QUERIES_A_CELL = 1_024
 _NORM_LIMIT = float(1 << 52)
@@ -59,6 +59,8 @@ def integer_rows(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
+    if all(len(v) == 8 * width for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), width)
     out = np.zeros((len(vectors), width))
     for row, packed in zip(out, vectors, strict=True):
         values = np.frombuffer(packed, np.float64)
@@ -83,13 +85,21 @@ def _to_pivots(points: np.ndarray, pivots: np.ndarray, lift: np.ndarray) -> np.n
     return np.sqrt(np.maximum(squared, 0))
 
 
-def nearest_in_cell(ids: np.ndarray, rows: np.ndarray, row_pivots: np.ndarray, query: tuple[int, np.ndarray, np.ndarray], norm: float, k: int) -> list[tuple[int, int]]:
-    """The best (score, id) of a cell for a query, taken in the order of the bound."""
-    query_id, point, to_pivots = query
-    bound = np.abs(row_pivots - to_pivots).max(axis=1)
-    bound[ids == query_id] = np.inf
-    slack, base = 1e-7 * math.sqrt(norm) + 1e-9, float(point @ point) + norm
-    best: dict[int, int] = {}
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, unlike: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best, ties to the smaller id; an id counts once. ``unlike``: no id occurs twice."""
+    if unlike and len(scores) > k:
+        kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        scores, ids = scores[kept], ids[kept]
+    order = np.lexsort((ids, -scores))
+    if not unlike:
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    return scores[order[:k]], ids[order[:k]]
+
+
+def nearest_in_cell(ids: np.ndarray, rows: np.ndarray, bound: np.ndarray, point: np.ndarray, norm: float, k: int, unlike: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The best (score, id) of a cell for a query, taken in the order of the bound; an infinite bound keeps a row out."""
+    slack, base = 4e-6 * math.sqrt(norm) + 1e-9, float(point @ point) + norm
+    scores, names = np.zeros(0), np.zeros(0, np.int64)
     todo, step, reach = np.flatnonzero(np.isfinite(bound)), _FIRST, np.inf
     while len(todo):
         todo = todo[bound[todo] <= reach]
@@ -98,15 +108,13 @@ def nearest_in_cell(ids: np.ndarray, rows: np.ndarray, row_pivots: np.ndarray, q
             now, todo = todo[cut[:step]], todo[cut[step:]]
         else:
             now, todo = todo, todo[:0]
-        for name, score in zip(ids[now].tolist(), (rows[now] @ point).tolist(), strict=True):
-            if score > best.get(name, -math.inf):
-                best[name] = int(score)
-        kept = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
-        best = dict(kept)
-        if len(kept) == k:
-            reach = math.sqrt(max(base - 2 * kept[-1][1], 0)) + slack
-        step *= 2
-    return [(score, name) for name, score in best.items()]
+        # A product over all rows is cheaper than picking most of them.
+        fresh = (rows @ point)[now] if 2 * len(now) > len(rows) else rows[now] @ point
+        scores, names = _best(np.concatenate([scores, fresh]), np.concatenate([names, ids[now]]), k, unlike)
+        if len(scores) == k:
+            reach = math.sqrt(max(base - 2 * scores[-1], 0)) + slack
+        step *= 8
+    return scores, names
 
 
 def _search(k: int, norm: float, pivots: np.ndarray):
@@ -115,16 +123,21 @@ def _search(k: int, norm: float, pivots: np.ndarray):
         ids = right["vec_id"].to_numpy()
         rows = _matrix(right["vector"].to_pylist(), width)
         lift = np.sqrt(np.maximum(norm - right["norm"].to_numpy(), 0))
-        row_pivots = _to_pivots(rows, pivots, lift) if len(rows) else np.zeros((0, len(pivots)))
+        # Distances of the pivot table: a line for each pivot.
+        row_pivots = np.ascontiguousarray(_to_pivots(rows, pivots, lift).T.astype(np.float32))
         names = left["vec_id"].to_pylist()
         points = _matrix(left["vector"].to_pylist(), width)
-        point_pivots = _to_pivots(points, pivots, np.zeros(len(points))) if len(points) else row_pivots
-        found = [
-            (name, vec_id, score)
-            for name, point, near in zip(names, points, point_pivots, strict=False)
-            for score, vec_id in nearest_in_cell(ids, rows, row_pivots, (name, point, near), norm, k)
-        ]
-        columns = list(zip(*found, strict=True)) or [[]] * 3
+        near = _to_pivots(points, pivots, np.zeros(len(points))).astype(np.float32)
+        unlike = len(np.unique(ids)) == len(ids)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for name, point, own in zip(names, points, near, strict=True):
+            bound = np.zeros(len(ids), np.float32)
+            for line, distance in zip(row_pivots, own, strict=True):
+                np.maximum(bound, np.abs(line - distance), out=bound)
+            bound[ids == name] = np.inf
+            scores, best = nearest_in_cell(ids, rows, bound, point, norm, k, unlike)
+            found.append((np.full(len(best), name), best, scores.astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return search
