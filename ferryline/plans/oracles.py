@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ferryline.operators import bundled_specs
 from ferryline.operators.flatten import FlatField
+from ferryline.plans.queries import looked_up
 
 ORACLES: dict[str, str] = {}
 
@@ -146,8 +147,8 @@ def _spec_leaf(field: FlatField) -> str:
 
 def _spec_lookup(field: FlatField) -> str:
     entry, metric = field.selectors.split("=")
-    at = bundled_specs.AD_FEEDBACK_ENTRIES.index(entry)
-    n = list(bundled_specs.AD_FEEDBACK_METRICS.values()).index(metric) + 1
+    _, names, metrics = looked_up("ad_feedback_flatted_default")
+    at, n = names.index(entry), metrics.index(metric) + 1
     return f"case when (event_id + {at}) % 2 = 0 then cast(event_id + {100 * n + at} as double) else 0.0::double end"
 
 
@@ -431,7 +432,7 @@ select job_id, name, arg_max(counter_val, side) counter_val from {_COUNTERS} gro
 """
 ORACLES["counters_by_worker"] = f"""
 select worker, count(*) counter_val, worker || '_read_records' as name
-from (select cast(user_id % 4 % 2 as int) worker from events, {_OFFSETS} where event_id between lo and hi) group by worker
+from (select cast(user_id % 4 % 2 as int) worker from events) group by worker
 """
 ORACLES["counters_by_partition"] = """
 select '_read_records_' || (user_id % 4) as name, count(*) counter_val from events group by 1

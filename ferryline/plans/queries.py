@@ -338,10 +338,16 @@ def _nested(leaves: dict[str, Column]) -> Column:
     return F.struct(*fields)
 
 
-def _entry(at: int, name: str) -> Column:
+def looked_up(name: str) -> tuple[str, list[str], list[str]]:
+    """The array a bundled spec looks entries up in, the entries' names and the fields read, as they first appear."""
+    fields = [f for f in bundled_specs.bundled().get(name).fields if f.function == "searchCoecsInArray"]
+    pairs = [f.selectors.split("=") for f in fields]
+    return fields[0].path, list(dict.fromkeys(entry for entry, _ in pairs)), list(dict.fromkeys(metric for _, metric in pairs))
+
+
+def _entry(at: int, name: str, metrics: list[str]) -> Column:
     """A named entry of the looked-up array, there for every other event."""
-    metrics = enumerate(bundled_specs.AD_FEEDBACK_METRICS.values(), start=1)
-    values = [(F.col("event_id") + 100.0 * n + at).alias(metric) for n, metric in metrics]
+    values = [(F.col("event_id") + 100.0 * n + at).alias(metric) for n, metric in enumerate(metrics, start=1)]
     return F.when((F.col("event_id") + at) % 2 == 0, F.struct(F.lit(name).alias("name"), *values))
 
 
@@ -350,10 +356,11 @@ def spec_messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     leaves = {f.path: _leaf_of(f) for f in bundled_specs.bundled().get(name).fields if f.function is None}
     if name == "ad_feedback_flatted_default":
-        entries = [_entry(at, entry) for at, entry in enumerate(bundled_specs.AD_FEEDBACK_ENTRIES)]
+        path, names, metrics = looked_up(name)
+        entries = [_entry(at, entry, metrics) for at, entry in enumerate(names)]
         # A column of its own first, or the optimizer would build the array again for every lookup.
         events = events.withColumn("entries", F.array_compact(F.array(*entries)))
-        leaves[bundled_specs.AD_FEEDBACK_ARRAY] = F.col("entries")
+        leaves[path] = F.col("entries")
         leaves["user.interestId"] = F.array("event_id", "user_id")
     return events.select("event_id", _nested(leaves).alias("message"))
 
@@ -992,8 +999,7 @@ def merge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def counters_by_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topic = user_topic(spark, sf_dir)
-    return audit.counters_by_worker(topic_source.read(topic, offset_bounds(topic)), F.col("partition") % 2)
+    return audit.counters_by_worker(user_topic(spark, sf_dir), F.col("partition") % 2)
 
 
 @register
