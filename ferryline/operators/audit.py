@@ -116,9 +116,8 @@ def partition_counters(rows: DataFrame) -> DataFrame:
     )
 
 
-def stream_counters(progress: Sequence[Mapping[str, Any]]) -> dict[str, int]:
-    """Counters of a streaming run from its progress reports; a micro-batch is a poll."""
-    polls = [int(p["numInputRows"]) for p in progress]
+def poll_counters(polls: Sequence[int]) -> dict[str, int]:
+    """Counters of a streaming run from the records of each micro-batch; a micro-batch is a poll."""
     return {
         READ_RECORDS: sum(polls),
         EMPTY_POLLS: sum(n == 0 for n in polls),

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +119,8 @@ def _check_places(source: Side, sink: Side, env: Environment) -> None:
     if sink.platform is Platform.KAFKA:
         if sink.options.get("topic") not in env.topic_sinks:
             raise SpecError(f"topic {sink.options.get('topic')!r} does not exist")
+        if not env.topic_partitions.get(sink.options["topic"]):
+            raise SpecError(f"the partitions of topic {sink.options['topic']!r} are not known")
         if int(sink.options.get("batchSize") or 0) < 1:
             raise SpecError("batch size must be positive")
     for side in (source, sink):
@@ -190,8 +191,7 @@ def write(rows: DataFrame, job: Job, env: Environment, folder: str = "", replace
         if kind is not DataType.PROTOBUF:
             rows = rows.withColumn("value", codecs.encode(kind, F.col("value")))
         topic = options["topic"]
-        parts = list(env.topic_partitions.get(topic, (0,)))
-        placed = topic_sink.assign_partitions(rows, int(options["batchSize"]), parts)
+        placed = topic_sink.assign_partitions(rows, int(options["batchSize"]), list(env.topic_partitions[topic]))
         env.topic_sinks[topic](topic_sink.to_records(placed, topic))
         return
     limits = options.get("fileSegmentator") or {}
@@ -221,12 +221,9 @@ def _converted(rows: DataFrame, job: Job, skipped: Observation | None = None) ->
     return rows.filter(~bad)
 
 
-def _observed(count: Observation) -> int:
-    """An observed count; input that planning already found empty is never observed."""
-    try:
-        return int(count.get["n"])
-    except Py4JError:
-        return 0
+def _is_observed(rows: DataFrame) -> bool:
+    """Whether a run of ``rows`` observes anything: planning drops the counters of input it finds empty."""
+    return "CollectMetrics" in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
 class _Record:
@@ -261,7 +258,7 @@ class _Record:
     def failed(self, error: Exception) -> None:
         if self.log is None:
             return
-        text = str(error)[:2000]
+        text = str(error)
         self.log.job(self.job.job_id, error=text, finish_time=datetime.now(timezone.utc))
         self._workers(audit.ERROR, text)
 
@@ -279,16 +276,19 @@ def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: aud
     record, seen, skipped = _Record(log, job), Observation("read"), Observation("skipped")
     record.created()
     try:
-        rows = read(spark, job, env).observe(seen, F.count(F.lit(1)).alias("n"))
-        write(_converted(rows, job, skipped), job, env)
         counters = {}
+        if log is not None and job.source.platform is not Platform.KAFKA:
+            # Counted before anything is written, as the job's own files may lie below the same path.
+            name = audit.READ_OBJECTS if job.source.platform is Platform.S3 else audit.READ_FILES
+            counters[name] = input_listing(spark, job, env).count()
+        rows = read(spark, job, env).observe(seen, F.count(F.lit(1)).alias("n"))
+        converted = _converted(rows, job, skipped)
+        observed = _is_observed(converted)
+        write(converted, job, env)
         if log is not None:
-            counters[audit.READ_RECORDS] = _observed(seen)
+            counters[audit.READ_RECORDS] = int(seen.get["n"]) if observed else 0
             if job.conversion.on_error == "skip":
-                counters[audit.SKIPPED_RECORDS] = _observed(skipped)
-            if job.source.platform is not Platform.KAFKA:
-                name = audit.READ_OBJECTS if job.source.platform is Platform.S3 else audit.READ_FILES
-                counters[name] = input_listing(spark, job, env).count()
+                counters[audit.SKIPPED_RECORDS] = int(skipped.get["n"]) if observed else 0
     except Exception as error:
         record.failed(error)
         raise
@@ -306,22 +306,35 @@ def run_available_now(
 ) -> Job:
     """The same job over a streaming topic: it drains what is there now and stops; a rerun goes on from there.
 
-    Only an OFFSET range can be told record by record. File sinks get one folder per micro-batch.
+    Only an OFFSET range can be told record by record. File sinks get one folder per micro-batch. The job's id comes
+    from the checkpoint's path, so a batch that is run again finds the files it wrote before and replaces them.
+    Records are counted batch by batch: those of the range, and those left out as bad.
     """
     job = resolve(spec, env, **conversion)
+    job.job_id = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint.rstrip("/")).hex
     if job.source.platform is not Platform.KAFKA:
         raise SpecError("a streaming run reads a topic")
     if topic_source.RangeType.parse(job.source.options["rangeType"]) is not topic_source.RangeType.OFFSET:
         raise SpecError("a streaming run takes an OFFSET range")
     record = _Record(log, job)
     record.created()
+    polls: dict[int, tuple[int, int]] = {}
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        seen, skipped = Observation(f"read-{number}"), Observation(f"skipped-{number}")
+        converted = _converted(batch.observe(seen, F.count(F.lit(1)).alias("n")), job, skipped)
+        observed = _is_observed(converted)
+        write(converted, job, env, str(number), replace=True)
+        left_out = int(skipped.get["n"]) if observed and job.conversion.on_error == "skip" else 0
+        polls[number] = (int(seen.get["n"]) if observed else 0, left_out)
+
     try:
-        rows = _converted(read(spark, job, env, require=False), job)
-        query = available_now.drain_to_batches(
-            rows, checkpoint, lambda batch, number: write(batch, job, env, str(number), replace=True)
-        )
+        available_now.drain_to_batches(read(spark, job, env, require=False), checkpoint, write_batch)
     except Exception as error:
         record.failed(error)
         raise
-    record.finished(audit.stream_counters(query.recentProgress))
+    counters = audit.poll_counters([polls[n][0] for n in sorted(polls)])
+    if job.conversion.on_error == "skip":
+        counters[audit.SKIPPED_RECORDS] = sum(skipped for _, skipped in polls.values())
+    record.finished(counters)
     return job
