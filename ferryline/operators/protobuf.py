@@ -461,6 +461,11 @@ def _read_entry(key: FieldDescriptor, value: FieldDescriptor) -> Callable[[Colum
 _BAD_JSON = "_bad"
 
 
+def _is_one_value(text: Column) -> Column:
+    """Whether nothing follows the first JSON value: inside brackets it is then the whole of an array of one."""
+    return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+
+
 def from_json(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
     """JSON text as the message's struct; unknown fields are ignored, absent and null ones are null.
 
@@ -472,7 +477,7 @@ def from_json(text: Column, proto: ProtoType, on_error: str = "fail") -> Column:
     failure = F.lit(None) if on_error == "skip" else problem
 
     def message(read: Column) -> Column:
-        good = read.getField(_BAD_JSON).isNull() & text.rlike(r"^\s*\{")
+        good = read.getField(_BAD_JSON).isNull() & text.rlike(r"^\s*\{") & _is_one_value(text)
         if on_error == "skip":
             good = good & _fields_fit(read, proto.descriptor)
         fields = F.struct(*_read_fields(read, proto.descriptor))

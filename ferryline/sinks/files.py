@@ -75,8 +75,11 @@ class _JsonArrayFile:
         stream.write(ARRAY_OPEN)
 
     def write(self, values: pa.RecordBatch) -> None:
-        texts = values.column(0).cast(pa.large_string()).to_pylist()
-        body = ARRAY_BETWEEN.join(t.encode("utf-8") for t in texts)
+        if values.column(0).null_count:
+            raise ValueError("a null value cannot be an element of a JSON array file; leave such rows out before")
+        # White space between tokens may be a line break; with none each element has a line of its own.
+        lines = (t.replace("\n", " ").replace("\r", " ") for t in values.column(0).cast(pa.large_string()).to_pylist())
+        body = ARRAY_BETWEEN.join(line.encode("utf-8") for line in lines)
         self._stream.write(body if self._empty else ARRAY_BETWEEN + body)
         self._empty = False
 
@@ -107,17 +110,47 @@ class _ParquetFile:
         self._stream.close()
 
 
-class SegmentedFilesWriter(DataSourceArrowWriter):
+class _Staged(DataSourceArrowWriter):
+    """Files are written below a folder of the run and get their names once Spark has committed all tasks."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root.rstrip("/")
+        self.attempt_root = f"{self.root}/_attempts-{uuid.uuid4().hex}"
+
+    def _make_room(self, filesystem: pafs.FileSystem) -> None:
+        """What has to go before the files get their names; nothing by default."""
+
+    def commit(self, messages: list[WrittenFiles | None]) -> None:
+        filesystem, attempt_root = open_filesystem(self.attempt_root)
+        moves = [(held, open_filesystem(final)[1]) for m in messages if m is not None for held, final in m.files]
+        self._make_room(filesystem)
+        with ThreadPoolExecutor(MOVE_THREADS) as pool:
+            taken = list(pool.map(lambda move: _exists(filesystem, move[1]), moves))
+            if any(taken):
+                filesystem.delete_dir(attempt_root)
+                raise FileExistsError(f"{moves[taken.index(True)][1]} exists already")
+            for folder in sorted({posixpath.dirname(final) for _, final in moves}):
+                filesystem.create_dir(folder, recursive=True)
+            list(pool.map(lambda move: filesystem.move(*move), moves))
+        if filesystem.get_file_info(attempt_root).type == pafs.FileType.Directory:
+            filesystem.delete_dir(attempt_root)
+
+    def abort(self, messages: list[WrittenFiles | None]) -> None:
+        filesystem, attempt_root = open_filesystem(self.attempt_root)
+        if filesystem.get_file_info(attempt_root).type == pafs.FileType.Directory:
+            filesystem.delete_dir(attempt_root)
+
+
+class SegmentedFilesWriter(_Staged):
     """Options: path, job, format (json or parquet), layout (job, flat or object), max_bytes, max_count."""
 
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
-        self.root = options["path"].rstrip("/")
+        super().__init__(options["path"])
         self.job = options["job"]
         self.format = options.get("format", "json")
         self.layout = options.get("layout", "job")
         self.max_bytes = int(options.get("max_bytes") or NO_LIMIT)
         self.max_count = int(options.get("max_count") or NO_LIMIT)
-        self.attempt_root = f"{self.root}/_attempts-{uuid.uuid4().hex}"
         self.replace = options.get("replace") == "true"
         self.placed = tuple(schema.names[: len(UNIT_COLUMNS)]) == UNIT_COLUMNS
         if self.format not in ("json", "parquet"):
@@ -176,7 +209,7 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
         if SIZE_COLUMN in batch.schema.names:
             sizes = batch.column(batch.schema.get_field_index(SIZE_COLUMN))
         elif self.format == "json":
-            sizes = pc.add(pc.cast(pc.binary_length(batch.column(0)), pa.int64()), 2)
+            sizes = pc.add(pc.fill_null(pc.cast(pc.binary_length(batch.column(0)), pa.int64()), 0), 2)
         else:
             return np.ones(batch.num_rows, np.int64)
         return sizes.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -200,34 +233,16 @@ class SegmentedFilesWriter(DataSourceArrowWriter):
             out.close()
         return WrittenFiles(files)
 
-    def commit(self, messages: list[WrittenFiles | None]) -> None:
-        filesystem, attempt_root = open_filesystem(self.attempt_root)
-        moves = [(held, open_filesystem(final)[1]) for m in messages if m is not None for held, final in m.files]
-        if self.replace:
-            self._delete_own(filesystem)
-        with ThreadPoolExecutor(MOVE_THREADS) as pool:
-            taken = list(pool.map(lambda move: _exists(filesystem, move[1]), moves))
-            if any(taken):
-                filesystem.delete_dir(attempt_root)
-                raise FileExistsError(f"{moves[taken.index(True)][1]} exists already")
-            for folder in sorted({posixpath.dirname(final) for _, final in moves}):
-                filesystem.create_dir(folder, recursive=True)
-            list(pool.map(lambda move: filesystem.move(*move), moves))
-        if filesystem.get_file_info(attempt_root).type == pafs.FileType.Directory:
-            filesystem.delete_dir(attempt_root)
-
-    def _delete_own(self, filesystem: pafs.FileSystem) -> None:
+    def _make_room(self, filesystem: pafs.FileSystem) -> None:
+        """With ``replace``, the job's files of an earlier run go."""
+        if not self.replace:
+            return
         own = re.compile(rf"{re.escape(self.job)}-\d+-\d+(\.{self.format})?")
         selector = pafs.FileSelector(open_filesystem(self.root)[1], recursive=self.layout == "job", allow_not_found=True)
         for info in filesystem.get_file_info(selector):
             if info.type == pafs.FileType.File and own.fullmatch(info.base_name) and self.attempt_root not in info.path:
                 filesystem.delete_file(info.path)
 
-    def abort(self, messages: list[WrittenFiles | None]) -> None:
-        filesystem, attempt_root = open_filesystem(self.attempt_root)
-        if filesystem.get_file_info(attempt_root).type == pafs.FileType.Directory:
-            filesystem.delete_dir(attempt_root)
-
 
 def _exists(filesystem: pafs.FileSystem, path: str) -> bool:
     return filesystem.get_file_info(path).type != pafs.FileType.NotFound
@@ -339,25 +354,22 @@ def write_parquet(rows: DataFrame, path: str, max_count: int | None = None, mode
     writer.parquet(path)
 
 
-class _BytesWriter(DataSourceArrowWriter):
+class _BytesWriter(_Staged):
     def __init__(self, options: dict[str, str]) -> None:
-        self.root = options["path"].rstrip("/")
+        super().__init__(options["path"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
-        filesystem, root = open_filesystem(self.root)
-        written, folders = [], set()
+        filesystem, attempt_root = open_filesystem(self.attempt_root)
+        folder = f"{attempt_root}/{uuid.uuid4().hex}"
+        written: list[tuple[str, str]] = []
         for batch in iterator:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = f"{root}/{key}"
-                folder = posixpath.dirname(target)
-                if folder not in folders:
+                if not written:
                     filesystem.create_dir(folder, recursive=True)
-                    folders.add(folder)
-                held = f"{target}._{uuid.uuid4().hex}"
+                held = f"{folder}/{len(written)}"
                 with filesystem.open_output_stream(held) as stream:
                     stream.write(content)
-                filesystem.move(held, target)
-                written.append((held, target))
+                written.append((held, f"{self.root}/{key}"))
         return WrittenFiles(written)
 
 
@@ -373,7 +385,7 @@ class ObjectBytes(DataSource):
 
 
 def write_objects(rows: DataFrame, path: str, key: str = "key", content: str = "content") -> None:
-    """Upload each row's bytes under its key."""
+    """Upload each row's bytes under its key. Objects show once all are written; a key that exists is an error."""
     rows.sparkSession.dataSource.register(ObjectBytes)
     picked = rows.select(F.col(key).alias("key"), F.col(content).alias("content"))
     picked.write.format("object_bytes").mode("append").options(path=path).save()

@@ -20,7 +20,7 @@ def round_robin(position: Column, batch_size: int, partitions: Sequence[int]) ->
         raise SpecError("batch size must be positive")
     if not partitions:
         raise SpecError("the topic has no partitions")
-    turn = F.pmod(F.floor(position / batch_size).cast("bigint"), F.lit(len(partitions))).cast("int")
+    turn = F.pmod(F.call_function("div", position, F.lit(batch_size)), F.lit(len(partitions))).cast("int")
     return F.get(F.array(*[F.lit(int(p)) for p in partitions]), turn)
 
 

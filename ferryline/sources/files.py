@@ -46,12 +46,17 @@ class FileRange:
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """Every file below ``path`` (or the file at ``path``); a missing path is an error."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    """Every file below ``path`` (or the file at ``path``); a missing path is an error.
+
+    Without ``recursive`` only the files right in the folder, also where it has folders named like partitions.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     try:
         files = reader.load(path)
+        if not recursive:
+            files = files.filter(_lies_in("path", path))
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise SpecError(f"path {path} does not exist") from None
@@ -140,10 +145,19 @@ def _bare(path: str) -> str:
     return path.rstrip("/") or "/"
 
 
+def _bare_column(path: Column) -> Column:
+    return F.regexp_replace(path, r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
+
+
+def _lies_in(column: str, folder: str) -> Column:
+    """Whether a file lies right in ``folder``, or is the file that ``folder`` names."""
+    key = _bare_column(F.col(column))
+    return (key == _bare(folder)) | (F.regexp_replace(key, r"/[^/]*$", "") == _bare(folder).rstrip("/"))
+
+
 def is_file(listing: DataFrame, path: str) -> bool:
     """Whether ``path`` itself is the one file that was listed."""
-    bare_key = F.regexp_replace("key", r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
-    return not listing.filter(bare_key == _bare(path)).isEmpty()
+    return not listing.filter(_bare_column(F.col("key")) == _bare(path)).isEmpty()
 
 
 def scan_tree(spark: SparkSession, path: str, wanted: FileRange, recursive: bool = True) -> DataFrame:
@@ -152,14 +166,17 @@ def scan_tree(spark: SparkSession, path: str, wanted: FileRange, recursive: bool
     return listing if is_file(listing, path) else require_some(select_files(listing, wanted))
 
 
-def _kept_files(df: DataFrame, wanted: FileRange) -> DataFrame:
+def _kept_files(df: DataFrame, wanted: FileRange, path: str | Sequence[str], recursive: bool) -> DataFrame:
     """Files of a reader that lie in range, by the reader's own file metadata."""
+    if not recursive:
+        folders = [path] if isinstance(path, str) else list(path)
+        df = df.filter(reduce(lambda a, b: a | b, [_lies_in("_metadata.file_path", f) for f in folders]))
     modified = F.unix_millis(F.col("_metadata.file_modification_time"))
     return df.filter(wanted.has_prefix(F.col("_metadata.file_name")) & wanted.in_time(modified))
 
 
-def _reader(spark: SparkSession, recursive: bool):
-    return spark.read.option("recursiveFileLookup", str(recursive).lower())
+def _reader(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", "true")
 
 
 def read_json_arrays(
@@ -170,14 +187,15 @@ def read_json_arrays(
     Any layout of whitespace is accepted; a file that is not an array is an error. A file is one row while it
     is parsed, which suits segmented files; ``read_json_array_lines`` splits files of any size.
     """
-    files = _kept_files(_reader(spark, recursive).text(_paths(path), wholetext=True), wanted)
-    # A single object would parse as a one-element array, so the first token is looked at as well.
+    files = _kept_files(_reader(spark).text(_paths(path), wholetext=True), wanted, path, recursive)
+    # Inside brackets of its own the text has to be one value, so anything that follows the array is an error.
     parsed = files.select(
-        F.from_json("value", T.ArrayType(T.StringType())).alias("items"),
+        F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(T.ArrayType(T.StringType()))).alias("texts"),
         F.col("value").rlike(r"^\s*\[").alias("opens"),
     )
-    failure = F.raise_error(F.lit("file does not hold a JSON array")).cast("array<string>")
-    checked = F.when(F.col("opens") & F.col("items").isNotNull(), F.col("items")).otherwise(failure)
+    items = F.get("texts", F.lit(0))
+    failure = F.raise_error(F.lit("file does not hold one JSON array")).cast("array<string>")
+    checked = F.when(F.col("opens") & (F.size("texts") == 1) & items.isNotNull(), items).otherwise(failure)
     return parsed.select(F.explode(checked).alias("value"))
 
 
@@ -188,10 +206,12 @@ def read_json_array_lines(
 
     Lines are independent, so Spark splits files of any size. Text that is not an element is an error.
     """
-    lines = _kept_files(_reader(spark, recursive).text(_paths(path)), wanted)
+    lines = _kept_files(_reader(spark).text(_paths(path)), wanted, path, recursive)
     body = lines.filter(~F.col("value").isin("[", "]", ""))
     element = F.regexp_replace("value", r",\s*$", "")
-    parses = F.try_parse_json(element).isNotNull()
+    # One value and nothing behind it: inside brackets it is the whole of an array of one.
+    bracketed = F.try_parse_json(F.concat(F.lit("["), element, F.lit("]")))
+    parses = bracketed.isNotNull() & F.try_variant_get(bracketed, "$[1]", "variant").isNull()
     problem = F.raise_error(F.concat(F.lit("not an array element: "), F.left(element, F.lit(80))))
     return body.select(F.when(parses, element).otherwise(problem.cast("string")).alias("value"))
 
@@ -204,8 +224,8 @@ def read_json_array_records(
     recursive: bool = True,
 ) -> DataFrame:
     """The elements of array files as typed rows, read by Spark's own JSON reader without going through text."""
-    reader = _reader(spark, recursive).schema(schema).option("multiLine", "true").option("mode", "FAILFAST")
-    return _kept_files(reader.json(_paths(path)), wanted)
+    reader = _reader(spark).schema(schema).option("multiLine", "true").option("mode", "FAILFAST")
+    return _kept_files(reader.json(_paths(path)), wanted, path, recursive)
 
 
 def read_messages(
@@ -216,16 +236,16 @@ def read_messages(
     recursive: bool = True,
 ) -> DataFrame:
     """Messages stored as Parquet, as their columns (vectorised, pruned to what is used)."""
-    reader = _reader(spark, recursive)
+    reader = _reader(spark)
     if schema is not None:
         reader = reader.schema(schema)
-    return _kept_files(reader.parquet(*([path] if isinstance(path, str) else path)), wanted)
+    return _kept_files(reader.parquet(*([path] if isinstance(path, str) else path)), wanted, path, recursive)
 
 
 def read_bytes(spark: SparkSession, path: str, wanted: FileRange = FileRange(), recursive: bool = True) -> DataFrame:
     """Whole objects: (key, content)."""
-    files = _reader(spark, recursive).format("binaryFile").load(path)
-    return _kept_files(files, wanted).select(F.col("path").alias("key"), "content")
+    files = _reader(spark).format("binaryFile").load(path)
+    return _kept_files(files, wanted, path, recursive).select(F.col("path").alias("key"), "content")
 
 
 def _paths(path: str | Sequence[str]) -> str | list[str]:
