@@ -70,17 +70,22 @@ def struct_path(
     """The value at ``path`` of a row (or of ``root``) with ``schema``.
 
     ``unset='type_default'`` reads unset values as 0, '' or false, ``'null'`` keeps them null. An index past
-    the end is null, or an error with ``strict_index``.
+    the end is null in either case, or an error with ``strict_index``.
     """
     leaf = resolve_type(schema, path)
-    value = root
+    value, there = root, F.lit(True)
     for step in parse_path(path):
         if isinstance(step, int):
+            there = there if strict_index else there & (F.coalesce(F.size(value), F.lit(0)) > step)
             value = F.element_at(value, step + 1) if strict_index else F.get(value, step)
         else:
             value = F.col(f"`{step}`") if value is None else value.getField(step)
     default = type_default(leaf) if unset == "type_default" else None
-    return value if default is None else F.coalesce(value, default)
+    if default is None:
+        return value
+    # Only an unset field has a default; there is none for an element that is not there.
+    indexed = any(isinstance(step, int) for step in parse_path(path))
+    return F.when(there, F.coalesce(value, default)) if indexed else F.coalesce(value, default)
 
 
 def json_path(steps: Sequence[Step]) -> str:

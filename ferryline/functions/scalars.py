@@ -86,18 +86,20 @@ def _pair_value(pair: Column) -> Column:
     return F.when((at > 1) & (F.length(pair) > at), F.substring(pair, at + 1, F.length(pair)))
 
 
-def query_pairs(url: Column) -> Column:
+def query_pairs(url: Column, on_error: str = "fail") -> Column:
     """The query of ``url`` as an array of (key, value) in order; an empty array without a query.
 
-    ``k=`` and ``k`` have a null value, and a leading ``=`` stays part of the key.
+    ``k=`` and ``k`` have a null value, and a leading ``=`` stays part of the key. Text that cannot be decoded is an
+    error, or null with ``on_error="skip"``.
     """
+    decoded = F.try_url_decode if on_error == "skip" else F.url_decode
     # The query ends at the fragment; taken by pattern because a strict URI parser refuses many real URLs.
     # Trailing separators give no pair.
     query = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&+$", "")
     pairs = F.transform(
         F.split(query, "&", -1),
         lambda p: F.struct(
-            F.url_decode(_pair_key(p)).alias("key"), F.url_decode(_pair_value(p)).alias("value")
+            decoded(_pair_key(p)).alias("key"), decoded(_pair_value(p)).alias("value")
         ),
     )
     return F.when(F.length(query) > 0, pairs).otherwise(F.slice(pairs, 1, 0))

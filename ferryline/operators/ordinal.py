@@ -1,22 +1,62 @@
 """Exact row positions, globally or per key, without a single-task window.
 
 ``row_number() over (partition by key order by seq)`` puts a whole key into one task; a key holding a third
-of a large table would never finish. Here rows are range-partitioned by (key, order), so a hot key is spread
-over many tasks; each row takes its position inside its range partition, and a short table of range sizes
-supplies how many rows of the same key lie in earlier ranges.
+of a large table would never finish. Here rows fall into buckets between boundary rows of (key, order), so a hot
+key is spread over many buckets; each row is numbered inside its key's part of a bucket, and a short table of
+counts supplies how many rows of the same key lie in earlier buckets.
+
+The boundaries are literals taken from a sample, so every pass over the input puts a row into the same bucket and
+nothing has to be written in between. Where they lie bears on the balance alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ferryline.session import checked_broadcast, materialise
+from ferryline.session import checked_broadcast
+
+ROWS_PER_BUCKET = 50_000
+MAX_BUCKETS = 4_096
+_SAMPLED_PER_BUCKET = 16
+
+
+def _boundaries(df: DataFrame, columns: Sequence[str]) -> list[Row]:
+    """Rows that part ``df`` into buckets of similar size; fewer than ``MAX_BUCKETS``."""
+    narrow = df.select(*columns)
+    rows = narrow.count()
+    buckets = min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET))
+    if buckets < 2:
+        return []
+    wanted = buckets * _SAMPLED_PER_BUCKET
+    picked = F.pmod(F.xxhash64(*columns), F.lit(max(1, rows // wanted))) == 0
+    sample = narrow.filter(picked).orderBy(*columns).limit(4 * wanted).collect()
+    steps = len(sample) / buckets
+    return list(dict.fromkeys(sample[int(i * steps)] for i in range(1, buckets))) if len(sample) >= buckets else sample
+
+
+def _bucket(df: DataFrame, columns: Sequence[str]) -> Column:
+    """How many boundaries a row has reached, by binary search."""
+    marks = _boundaries(df, columns)
+    types = [df.schema[c].dataType for c in columns]
+
+    def row_of(values: Sequence) -> Column:
+        return F.struct(*(v.cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(values, types))))
 
-# monotonically_increasing_id() keeps the partition number above these bits and the row position in them.
-_POSITION_BITS = 33
+    if not marks:
+        return F.lit(0)
+    bounds = F.array(*(row_of([F.lit(v) for v in mark]) for mark in marks))
+    here, found = row_of([F.col(c) for c in columns]), F.lit(0)
+
+    def further(step: int):
+        return lambda at: at + F.when(F.get(bounds, at + (step - 1)) <= here, step).otherwise(0)
+
+    for k in range(len(marks).bit_length() - 1, -1, -1):
+        # The lambda names the place found so far, so that it is not worked out twice at each step.
+        found = F.get(F.transform(F.array(found), further(1 << k)), F.lit(0))
+    return found
 
 
 def with_ordinal(
@@ -29,42 +69,29 @@ def with_ordinal(
     """Add ``name``: the 0-based position of each row among the rows of equal ``keys`` in ``order``.
 
     ``order`` must not tie within a key, else tied rows get an arbitrary order among themselves.
-    ``total`` optionally names a column for the number of rows of the key. One range shuffle and one written
-    table; the table is what makes both passes over it see the same placement.
+    ``total`` optionally names a column for the number of rows of the key. Two short passes over the key and
+    order columns, and one shuffle of the rows.
     """
     keys, order = list(keys), list(order)
-    placed = (
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
-    table = materialise(placed, "ordinal")
-    part = F.shiftright("_slot", _POSITION_BITS)
-
-    # One row per (range partition, key) that meet: at most range partitions + keys rows.
-    runs = table.groupBy(part.alias("_part"), *[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.min("_slot").alias("_first"), F.count("*").alias("_n")
-    )
+    placed = df.withColumn("_bucket", _bucket(df, [*keys, *order]))
+    # One row per (bucket, key) that meet: at most buckets + keys rows.
+    counts = placed.groupBy(F.col("_bucket").alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias("_n"))
     run_keys = [f"_k_{k}" for k in keys]
     by_key = Window.partitionBy(*run_keys) if run_keys else Window.partitionBy(F.lit(0))
-    earlier = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        "_part",
-        *run_keys,
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_n").over(by_key).alias("_total"),
+    earlier = by_key.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.select(
+        "_at", *run_keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(by_key).alias("_total")
     )
-
     runs = checked_broadcast(runs)
 
-    left = table.withColumn("_row_part", part)
-    matches: Column = F.col("_row_part") == F.col("_part")
+    within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    matches: Column = F.col("_bucket") == F.col("_at")
     for key in keys:
         matches = matches & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    out = [*df.columns, (F.col("_slot") + F.col("_shift")).alias(name)]
+    out = [*df.columns, (F.col("_before") + F.col("_within") - 1).alias(name)]
     if total is not None:
         out.append(F.col("_total").alias(total))
-    return left.join(runs, matches).select(*out)
+    return placed.withColumn("_within", within).join(runs, matches).select(*out)
 
 
 def even_split(df: DataFrame, order: Sequence[str], parts: int, name: str = "part") -> DataFrame:
