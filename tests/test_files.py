@@ -265,3 +265,49 @@ def test_repeated_batch_replaces_its_files(spark, tmp_path):
         sink.write_as_they_come(texts.repartition(pieces), str(tmp_path), "job.0", max_count=4, replace=True)
         sink.write_as_they_come(texts, str(tmp_path), "job.00", max_count=9, replace=True)
     assert tree(tmp_path) == ["job.0-0-0.json", "job.0-0-1.json", "job.0-0-2.json", "job.00-0-0.json"]
+
+
+@pytest.mark.parametrize("text", ["[1,2][3,4]", "[1,2] trash", "[1] [2]", "[1"])
+def test_text_behind_an_array_is_an_error(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(PySparkException, match="JSON array"):
+        source.read_json_arrays(spark, str(tmp_path)).collect()
+    with pytest.raises(PySparkException, match="not an array element"):
+        source.read_json_array_lines(spark, str(tmp_path)).filter("value <> '[1]'").collect()
+
+
+def test_elements_with_line_breaks_come_back_whole(spark, tmp_path):
+    values = ['[\n 1,\n 2\n]', '{"a":\r\n{"b": "x\\ny"}}', "[[], [1]]", '"]"']
+    rows = spark.createDataFrame([(v,) for v in values], "value string").coalesce(1)
+    sink.write_as_they_come(rows, str(tmp_path / "out"), "job")
+    for read in (source.read_json_array_lines, source.read_json_arrays):
+        got = [json.loads(r.value) if r.value[:1] in '[{"' else r.value for r in read(spark, str(tmp_path / "out")).collect()]
+        assert [json.loads(v) for v in values][:3] == got[:3] and len(got) == 4
+
+
+def test_a_null_element_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("1",), (None,)], "value string")
+    with pytest.raises(PySparkException, match="null value"):
+        sink.write_as_they_come(rows, str(tmp_path / "out"), "job")
+
+
+def test_folders_named_like_partitions_are_left_out_unless_recursive(spark, tmp_path):
+    for place in ("top.json", "dt=1/in.json", "plain/in.json"):
+        (tmp_path / place).parent.mkdir(exist_ok=True)
+        (tmp_path / place).write_text(f'["{place}"]')
+    def names(recursive):
+        listed = source.scan_tree(spark, str(tmp_path), FileRange(), recursive)
+        read = source.read_json_arrays(spark, str(tmp_path), FileRange(), recursive)
+        assert sorted(r.key.split(str(tmp_path) + "/")[1] for r in listed.collect()) == sorted(r.value for r in read.collect())
+        return sorted(r.value for r in read.collect())
+
+    assert names(False) == ["top.json"]
+    assert names(True) == ["dt=1/in.json", "plain/in.json", "top.json"]
+
+
+def test_an_object_that_exists_is_not_overwritten(spark, tmp_path):
+    rows = spark.createDataFrame([("k", bytearray(b"new")), ("other", bytearray(b"x"))], "key string, content binary")
+    (tmp_path / "k").write_bytes(b"old")
+    with pytest.raises(PySparkException, match="exists"):
+        sink.write_objects(rows, str(tmp_path))
+    assert (tmp_path / "k").read_bytes() == b"old" and os.listdir(tmp_path) == ["k"]

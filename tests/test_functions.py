@@ -5,9 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryline import SpecError
 from ferryline.functions import codecs, scalars, units
+from ferryline.functions.paths import struct_path
 from ferryline.types import DataType, Platform, carries, check_side
 
 
@@ -238,3 +240,19 @@ def test_platform_matrix():
         Platform.parse("FTP")
     with pytest.raises(SpecError):
         DataType.parse("decimal")
+
+
+def test_a_missing_element_has_no_default(spark):
+    schema = T.StructType.fromDDL("w array<string>, s array<struct<a:int>>")
+    row = spark.createDataFrame([(["x", None], [(None,)]), (None, None)], schema)
+    paths = {"past": "w.[5]", "null": "w.[1]", "there": "s.[0].a", "gone": "s.[1].a"}
+    got = row.select(*[struct_path(schema, p).alias(n) for n, p in paths.items()]).collect()
+    assert tuple(got[0]) == (None, "", 0, None) and tuple(got[1]) == (None, None, None, None)
+
+
+def test_undecodable_query_values(spark):
+    url = spark.createDataFrame([("http://h/p?q=100%&r=a%20b",)], "url string")
+    with pytest.raises(PySparkException):
+        url.select(scalars.query_pairs(F.col("url"))).collect()
+    pairs = url.select(scalars.query_pairs(F.col("url"), on_error="skip")).head()[0]
+    assert [tuple(p) for p in pairs] == [("q", None), ("r", "a b")]

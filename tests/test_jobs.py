@@ -174,18 +174,70 @@ def test_streaming_run(spark, env, tmp_path):
     for _ in range(2):
         jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
         assert names_in(spark, tmp_path / "dst") == sorted(f"s{i}" for i in range(3, 13))
-    counters = {(r.name, r.counter_val) for r in log.table("counters").collect()}
-    # A stream counts what its scan gave, which the pushed range already thinned out.
-    assert any(n == "_read_records" and v >= 10 for n, v in counters) and ("_empty_polls", 0) in counters
+    counters = [(r.name, r.counter_val) for r in log.table("counters").collect()]
+    assert sorted(v for n, v in counters if n == "_read_records") == [0, 10]
+    assert ("_empty_polls", 0) in counters
     for bad in (spec(kafkaSource={"from": 0, "to": 1, "rangeType": "TIME", "topic": "in"}), spec(source="HDFS")):
         with pytest.raises(SpecError, match="streaming run"):
             jobs.run_available_now(spark, bad, env, str(tmp_path / "check2"))
 
 
-def test_stream_counters():
-    progress = [{"numInputRows": n} for n in (5, 0, 7)]
-    assert audit.stream_counters(progress) == {"_read_records": 12, "_empty_polls": 1, "last_poll_size": 7}
-    assert audit.stream_counters([])["_read_records"] == 0
+def test_poll_counters():
+    assert audit.poll_counters([5, 0, 7]) == {"_read_records": 12, "_empty_polls": 1, "last_poll_size": 7}
+    assert audit.poll_counters([])["_read_records"] == 0
+
+
+def small_batches(spark, env, folder, files):
+    """A streaming topic that is read one small file a micro-batch."""
+    feed = env.topics["in"].drop("timestamp").repartition(files, "offset")
+    feed.write.parquet(str(folder))
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    env.topics = {"in": stream.withColumn("timestamp", F.timestamp_millis(F.col("offset") * 1000))}
+
+
+def test_a_batch_that_is_run_again_replaces_its_files(spark, env, tmp_path):
+    small_batches(spark, env, tmp_path / "feed", 6)
+    ranged = spec(kafkaSource={"from": 3, "to": 14, "rangeType": "OFFSET", "topic": "in"})
+    want = sorted(f"s{i}" for i in range(3, 15))
+    jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"))
+    assert names_in(spark, tmp_path / "dst") == want
+    commits = tmp_path / "check" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for path in commits.glob(f"*{last}*"):
+        if path.name in (str(last), f".{last}.crc"):
+            path.unlink()
+    jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"))
+    assert names_in(spark, tmp_path / "dst") == want
+
+
+def test_stream_counters_are_exact_beyond_the_progress_buffer(spark, env, tmp_path):
+    small_batches(spark, env, tmp_path / "feed", 9)
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        ranged = spec(kafkaSource={"from": 3, "to": 14, "rangeType": "OFFSET", "topic": "in"})
+        jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert ("_read_records", 12) in [(r.name, r.counter_val) for r in log.table("counters").collect()]
+
+
+def test_a_topic_sink_needs_its_partitions(env):
+    env.topic_partitions = {}
+    with pytest.raises(SpecError, match="partitions"):
+        jobs.resolve(spec(sink="KAFKA", source_type="string", sink_type="string"), env)
+
+
+def test_error_texts_are_kept_whole(spark, env, tmp_path, monkeypatch):
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+
+    def fail(*_):
+        raise RuntimeError("x" * 5000)
+
+    monkeypatch.setattr(jobs, "write", fail)
+    with pytest.raises(RuntimeError):
+        jobs.run(spark, spec(), env, log)
+    assert len(log.current().head().error) == 5000
 
 
 def test_failed_run_is_recorded(spark, env, tmp_path):

@@ -411,3 +411,17 @@ def test_own_converters_and_trailer(spark):
     assert [r.value for r in got.collect()] == ["n1", "end"]
     assert [c["name"] for c in registry.list_named(Conversion(L, S))] == ["loud", "proto-flat-json"]
     assert "sensor_flatted" in registry.list_named(Conversion(L, S))[1]["specific_types"]
+
+
+def test_text_behind_a_message_is_an_error(spark):
+    proto = bundled_protos.bundled().get("Sensor")
+    texts = spark.createDataFrame([('{"humidity":1}{"humidity":2}',), ('{"humidity":3}  ',)], "t string")
+    got = texts.select(protobuf.from_json(F.col("t"), proto, "skip").alias("m")).select("m.humidity").collect()
+    assert [r.humidity for r in got] == [None, 3]
+    with pytest.raises(PySparkException, match="not the JSON"):
+        texts.select(protobuf.from_json(F.col("t"), proto)).collect()
+
+
+def test_bundled_columns_stand_in_the_given_order():
+    names = [f.out for f in bundled_specs.bundled().get("ad_feedback_flatted_default").fields]
+    assert names[:3] == ["abTestId", "adId", "adImpressId"] and len(names) == len(set(names)) == 125

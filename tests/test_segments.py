@@ -190,9 +190,17 @@ def test_intermediate_tables_are_dropped(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
     with session.intermediates_dropped(spark):
-        assert ordinal.with_ordinal(spark.range(5), ["id"]).count() == 5
-        assert list(tmp_path.glob("ferryline/ordinal-*"))
-    assert not list(tmp_path.glob("ferryline/ordinal-*"))
+        assert session.materialise(spark.range(5), "numbers").count() == 5
+        assert list(tmp_path.glob("ferryline/numbers-*"))
+    assert not list(tmp_path.glob("ferryline/numbers-*"))
+
+
+def test_numbering_writes_no_table(spark, tmp_path, monkeypatch):
+    from ferryline import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
+    assert ordinal.with_ordinal(spark.range(5), ["id"]).count() == 5
+    assert not list(tmp_path.iterdir())
 
 
 def test_ordinal_without_key_and_with_null_keys(spark):
@@ -202,10 +210,15 @@ def test_ordinal_without_key_and_with_null_keys(spark):
     assert got == [(0, 0), (1, 0), (2, 1), (3, 1)]
 
 
-def test_hot_key_is_spread(spark):
-    df = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    placed = df.repartitionByRange(4, "k", "id").groupBy(F.spark_partition_id()).count()
-    assert placed.count() == 4 and placed.agg(F.max("count")).head()[0] < 10_000
+def test_hot_key_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(ordinal, "ROWS_PER_BUCKET", 500)
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), ((F.col("id") * 7919) % 20_011).alias("o"))
+    placed = df.withColumn("bucket", ordinal._bucket(df, ["k", "o"])).groupBy("bucket").count()
+    assert placed.count() >= 20 and placed.agg(F.max("count")).head()[0] < 2_000
+    ranked = ordinal.with_ordinal(df, ["o"], ["k"], "at")
+    hot = ranked.filter("k = -1").orderBy("o").collect()
+    assert [r["at"] for r in hot] == list(range(18_000))
+    assert ranked.filter("k >= 0").agg(F.max("at")).head()[0] == 0
 
 
 def parts(n, pieces):
