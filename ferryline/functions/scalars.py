@@ -56,9 +56,13 @@ def search_in_array(items: Column, name: str, field: str) -> Column:
 
     Named by bundled flat specs but defined nowhere there, so the definition is this package's own.
     """
+    return pick_by_name(items.getField("name"), items.getField(field), name)
+
+
+def pick_by_name(names: Column, values: Column, name: str) -> Column:
+    """The value at the place of the first equal name."""
     # By position rather than by a lambda: specs look up dozens of names per row, and this stays in codegen.
-    at = F.array_position(items.getField("name"), name)
-    return F.get(items.getField(field), (at - 1).cast("int"))
+    return F.get(values, (F.array_position(names, name) - 1).cast("int"))
 
 
 def join_nullable(delimiter: str, parts: Column) -> Column:

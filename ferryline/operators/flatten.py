@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ferryline.errors import SpecError
 from ferryline.functions.paths import resolve_type, struct_path, variant_path
-from ferryline.functions.scalars import FunctionRegistry, default_registry
+from ferryline.functions.scalars import FunctionRegistry, default_registry, pick_by_name
 
 
 @dataclass(frozen=True)
@@ -97,6 +97,20 @@ def _with_default(value: Column, item: FlatField, leaf: T.DataType | None, mode:
     return F.coalesce(value, default if leaf is None else default.try_cast(leaf))
 
 
+LOOKUP = "searchCoecsInArray"
+
+
+def _lookups(schema: T.StructType, spec: FlatSpec, root: Column | None) -> dict[tuple[str, str], Column]:
+    """(array's path, field) -> the field of all its entries, for the arrays that entries are looked up in by name."""
+    arrays: dict[tuple[str, str], Column] = {}
+    for item in spec.fields:
+        if item.function == LOOKUP:
+            items = struct_path(schema, item.path, root, unset="null")
+            for field in ("name", item.arguments()[1]):
+                arrays.setdefault((item.path, field), items.getField(field))
+    return arrays
+
+
 def struct_columns(
     schema: T.StructType,
     spec: FlatSpec,
@@ -104,15 +118,21 @@ def struct_columns(
     defaults: str = "always",
     unset: str = "type_default",
     functions: FunctionRegistry | None = None,
+    arrays: Mapping[tuple[str, str], Column] | None = None,
 ) -> list[Column]:
     """The flat columns over a nested struct. Paths are checked against ``schema`` before anything runs.
 
-    ``defaults='function_only'`` applies a default only where a function gave null.
+    ``defaults='function_only'`` applies a default only where a function gave null. ``arrays`` are columns that hold
+    what the standard lookup by name reads, by (path, field).
     """
-    functions = functions or default_registry()
+    functions, arrays = functions or default_registry(), arrays or {}
     columns = []
     for item in spec.fields:
-        if item.function:
+        if item.function == LOOKUP and (item.path, "name") in arrays:
+            name, field = item.arguments()
+            value = pick_by_name(arrays[item.path, "name"], arrays[item.path, field], name)
+            value = _with_default(value, item, None, defaults)
+        elif item.function:
             value = struct_path(schema, item.path, root, unset="null")
             value = functions.get(item.function)(value, *item.arguments())
             value = _with_default(value, item, None, defaults)
@@ -141,7 +161,7 @@ def json_columns(
     columns = []
     for item in spec.fields:
         target = types.get(item.out) or _JSON_TYPES.get(type(item.default), "string")
-        if item.function == "searchCoecsInArray":
+        if item.function == LOOKUP:
             # The array is read with just the two fields the lookup needs.
             shape = f"array<struct<name:string,{item.arguments()[1]}:double>>"
             value = functions.get(item.function)(variant_path(variant, item.path, shape), *item.arguments())
@@ -163,7 +183,12 @@ def flatten(df: DataFrame, spec: FlatSpec, column: str | None = None, keep: Iter
     if not isinstance(schema, T.StructType):
         raise SpecError(f"{column!r} is neither a struct nor a variant")
     root = None if column is None else F.col(column)
-    return df.select(*keep, *struct_columns(schema, spec, root, **options))
+    found = _lookups(schema, spec, root) if options.get("functions") is None else {}
+    # Dozens of names are looked up in one array, so its names and fields are taken out once, in a projection of their own.
+    names = {key: f"_lookup_{i}" for i, key in enumerate(found)}
+    ready = df.withColumns({names[key]: value for key, value in found.items()}) if found else df
+    arrays = {key: F.col(name) for key, name in names.items()}
+    return ready.select(*keep, *struct_columns(schema, spec, root, arrays=arrays, **options))
 
 
 def flat_json(columns: Iterable[Column]) -> Column:
