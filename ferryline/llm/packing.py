@@ -13,7 +13,10 @@ with equal ids are told apart by their order alone, as are ties in length.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,30 +33,64 @@ from ferryline.llm.words import texts_of
 from ferryline.session import materialise
 
 CAPACITY = 2048
-_KEPT_WORDS = 400_000
-_TAIL = b".,;:!?#&*$%|<>-()\""
+_KEPT_WORDS = 300_000
+_BATCH = 4096
+_ROWS = 512
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# Marks behind a letter and before white space are tokens of their own, so they are cut off before words are looked up.
+_MARKS = re.compile(rb"(?<=[A-Za-z])[.,;:!?#&*$%|<>]+(?=[ \t-\r]|$)")
+_PROBE = "The Größe, été!! AND it's the straße. x42 日本 Élan <|endoftext|> naïve... <&& e\u0301"
+
+
 class _WordIds(dict):
-    """Ids of words, worked out on first sight. Marks at the end of a word of letters are tokens of their own."""
+    """Ids of words, worked out on first sight and many at a time.
+
+    A tokenizer that lower-cases and parts letters from marks needs to see far fewer words: texts are lower-cased and
+    marks cut off first, and a word of lower-case letters goes straight to the merges. Whether the tokenizer is of that
+    kind is tried out on a probe; texts where it could matter (special tokens, combining marks) are left as they are.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = load_tokenizer(path)
-
-    def _encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(_TAIL)
-        if len(stem) < len(word) and stem.decode(errors="replace").isalpha():
-            ids = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = self._encode(word.decode())
-        self[word] = ids
-        return ids
+        # The characters that stand for bytes in byte-level vocabularies.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.characters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.plain = True
+        want = np.array(self.tokenizer.encode(_PROBE, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = [self.words(part) for part in (_PROBE.encode(), *map(str.encode, _PROBE.split()))]
+        self.learn(set().union(*parts))
+        joined = b"".join(map(self.__getitem__, parts[0])), b"".join(self[w] for part in parts[1:] for w in part)
+        if joined != (want, want):
+            self.plain = False
+            self.clear()
+
+    def words(self, text: bytes) -> list[bytes]:
+        if self.plain and not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+            text = _MARKS.sub(rb" \g<0>", text.lower())
+        return text.split()
+
+    def _is_plain(self, word: bytes) -> bool:
+        text = word.decode()
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def learn(self, words: set[bytes]) -> None:
+        others, merge = [], self.tokenizer.model.tokenize
+        for word in words.difference(self):
+            if self.plain and (word.isalpha() and word.islower() or not word.isascii() and self._is_plain(word)):
+                units = word.decode("latin1")
+                units = units if word.isascii() else units.translate(self.characters)
+                self[word] = array("I", [unit.id for unit in merge(units)]).tobytes()
+            else:
+                others.append(word)
+        for at in range(0, len(others), _BATCH):
+            some = others[at : at + _BATCH]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.update((word, array("I", e.ids).tobytes()) for word, e in zip(some, encoded, strict=True))
 
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,19 +99,21 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = C
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordIds(tokenizer_path)
-        for batch in batches:
+        for batch in (part.slice(at, _ROWS) for part in batches for at in range(0, part.num_rows, _ROWS)):
             rows: list[tuple] = []
-            for name, body in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                ids = b"".join(map(known.__getitem__, body.split())) + closing
+            texts = [known.words(body) for body in texts_of(batch)]
+            known.learn(set().union(*texts))
+            for name, words in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = b"".join(map(known.__getitem__, words)) + closing
                 size = len(ids) // 4
                 for piece, start in enumerate(range(0, size, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows.append((name, piece, start, len(part) // 4, zlib.crc32(part)))
-                if len(known) > _KEPT_WORDS:
-                    known.clear()
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            if len(known) > _KEPT_WORDS:
+                known.clear()
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(doc_id, text).mapInArrow(emit, PIECES_SCHEMA)
@@ -142,13 +181,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Slots]:
                 if found := sums.exact(gap, held):
                     held.update(found)
                     break
-                fitting = [v for v in np.flatnonzero(counts[: gap + 1])[::-1] if counts[v] > held[int(v)]][:1]
+                # No exact filling: the longest piece that fits, and another look at the gap that is left.
+                fitting = [int(v) for v in np.flatnonzero(counts[: gap + 1])[::-1] if counts[v] > held[int(v)]][:1]
                 if not fitting:
                     break
-                # Fill with the best fit, but leave the last of it open so that an exact filling can still be met.
-                length = int(fitting[0])
-                held[length] += 1
-                gap -= length
+                held[fitting[0]] += 1
+                gap -= fitting[0]
             n = min(int(counts[v]) // m for v, m in held.items())
             offset = 0
             for v, m in sorted(held.items(), reverse=True):
