@@ -11,7 +11,9 @@ that holds a third of the data still must not become one task, so the sum is tak
 2. each chunk works out, on its own, what it does with any possible open file it may be handed: where that
    file would end and in which state the chunk then leaves the next file. Starting later never ends earlier,
    so this is a step function and only its steps are kept;
-3. the steps of a worker's chunks are chained in order, one short row per chunk;
+3. the steps of a worker's chunks are chained in order, one short row per chunk; where no two cuts fall together,
+   as with files that outgrow a chunk, there would be a step for each element, and the chunk hands over its costs
+   instead, packed (a byte or two for each element);
 4. each chunk, now knowing the open file it was really handed, cuts its elements while they stream past.
 
 Steps 2 and 4 run in parallel over all chunks of all workers. For writing, rows are placed in units that begin
@@ -38,13 +40,16 @@ from ferryline.session import checked_broadcast, materialise
 # A chunk is worked out in memory from about ten bigints per element, so this bounds a task at some tens of MB.
 CHUNK_ROWS = 250_000
 
+# A chunk with more steps than this hands over its packed costs.
+MAX_STEPS = 1_024
+
 # A limit that is not set is one no file can reach.
 NO_LIMIT = 2**62
 
 _STEPS_SCHEMA = (
     "worker bigint, chunk bigint, n bigint, cost bigint,"
     " from_cost array<bigint>, from_count array<bigint>,"
-    " closed array<bigint>, left_cost array<bigint>, left_count array<bigint>"
+    " closed array<bigint>, left_cost array<bigint>, left_count array<bigint>, packed binary"
 )
 _ENTRY_FIELDS = ("base_segment", "open_cost", "open_count", "open_unit")
 _ENTRY_SCHEMA = "worker bigint, chunk bigint, " + ", ".join(f"{f} bigint" for f in _ENTRY_FIELDS)
@@ -120,6 +125,9 @@ def chunk_steps(cost: np.ndarray, max_bytes: int, max_count: int) -> dict[str, o
 
 def step_through(steps: object, open_cost: int, open_count: int, max_bytes: int, max_count: int) -> tuple[int, int, int]:
     """(files closed, cost left open, count left open) of a chunk that was handed an open file."""
+    if getattr(steps, "packed", None):
+        _, closed, *left = cut_batch(unpack_costs(steps.packed), 0, open_cost, open_count, max_bytes, max_count)
+        return closed, *left
     if open_count == 0:
         at, handed = 0, 0
     elif open_cost + steps.cost < max_bytes and open_count + steps.n < max_count:
@@ -131,10 +139,31 @@ def step_through(steps: object, open_cost: int, open_count: int, max_bytes: int,
     return handed + int(steps.closed[at]), int(steps.left_cost[at]), int(steps.left_count[at])
 
 
+def pack_costs(cost: np.ndarray) -> bytes:
+    """Costs byte plane by byte plane, compressed; their number and width stand in front."""
+    kind = np.min_scalar_type(int(cost.max(initial=0)))
+    planes = np.ascontiguousarray(cost.astype(kind).view(np.uint8).reshape(len(cost), kind.itemsize).T)
+    return len(cost).to_bytes(8, "little") + bytes([kind.itemsize]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_costs(packed: bytes) -> np.ndarray:
+    count, width = int.from_bytes(packed[:8], "little"), packed[8]
+    planes = np.frombuffer(pa.decompress(packed[9:], count * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, count).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def chunk_row(cost: np.ndarray, max_bytes: int, max_count: int) -> dict[str, object]:
+    """What a chunk hands over: its steps if they are few, else its packed costs."""
+    steps = chunk_steps(cost, max_bytes, max_count)
+    if len(steps["closed"]) <= MAX_STEPS:
+        return {**steps, "packed": None}
+    return {**{k: v if k in ("n", "cost") else [] for k, v in steps.items()}, "packed": pack_costs(cost)}
+
+
 def _chunk_steps_task(max_bytes: int, max_count: int):
     def task(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cost = rows.sort_values("_ordinal")[SIZE_COLUMN].to_numpy(np.int64)
-        return pd.DataFrame([{"worker": keys[0], "chunk": keys[1], **chunk_steps(cost, max_bytes, max_count)}])
+        return pd.DataFrame([{"worker": keys[0], "chunk": keys[1], **chunk_row(cost, max_bytes, max_count)}])
 
     return task
 

@@ -743,9 +743,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(worker.alias("worker"), "doc_id", "text")
 
 
-def _segmented(spark: SparkSession, sf_dir: str, max_bytes: int | None, max_count: int | None) -> DataFrame:
+def _segmented(
+    spark: SparkSession, sf_dir: str, max_bytes: int | None, max_count: int | None, chunk_rows: int = segment.CHUNK_ROWS
+) -> DataFrame:
     sized = _documents(spark, sf_dir).select("worker", "doc_id", F.octet_length("text").cast("bigint").alias("len"))
-    cut = segment.assign_segments(sized, "worker", ["doc_id"], F.col("len") + 2, max_bytes, max_count)
+    cut = segment.assign_segments(sized, "worker", ["doc_id"], F.col("len") + 2, max_bytes, max_count, chunk_rows=chunk_rows)
     return segment.segment_totals(cut, "worker", F.col("len"))
 
 
@@ -759,6 +761,12 @@ def segment_size_or_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, 20_000, 12)
 
 
+@register
+def segment_size_over_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are larger than the chunks a worker is worked out in."""
+    return _segmented(spark, sf_dir, 60_000, None, chunk_rows=8)
+
+
 @register
 def segment_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, None, None)

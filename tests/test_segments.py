@@ -52,6 +52,24 @@ def test_steps_stay_few_when_cuts_fall_together():
     assert len(steps["closed"]) < 30
 
 
+@pytest.mark.parametrize("limit", ["20 kb", "15 mb", "150 mb"])
+@pytest.mark.parametrize("count", [None, 300_000])
+def test_a_chunk_hands_over_little(limit, count):
+    cost = np.random.default_rng(2).integers(60, 600, 250_000)
+    limits = segment._limits(limit, count)
+    row = segment.chunk_row(cost, *limits)
+    assert len(row["closed"]) <= segment.MAX_STEPS and len(row["packed"] or b"") < 2 * len(cost)
+    whole, given = SimpleNamespace(**segment.chunk_steps(cost, *limits)), SimpleNamespace(**row)
+    for open_cost, open_count in ((0, 0), (70, 1), (limits[0] // 2, 77), (limits[0] - 1, 10)):
+        assert segment.step_through(given, open_cost, open_count, *limits) == segment.step_through(whole, open_cost, open_count, *limits)
+
+
+@pytest.mark.parametrize("top", [1, 255, 256, 70_000, 2**40])
+def test_costs_survive_packing(top):
+    cost = np.random.default_rng(3).integers(0, top + 1, 1_000)
+    assert (segment.unpack_costs(segment.pack_costs(cost)) == cost).all()
+
+
 @pytest.fixture(scope="module")
 def elements(spark):
     """Three workers; one has most rows. Order values are spread, costs vary."""
@@ -85,6 +103,12 @@ def test_assign_segments(elements, max_bytes, max_count, chunk_rows):
     assert found == want
 
 
+@pytest.mark.parametrize("max_bytes, max_count, chunk_rows", [LIMITS[0], LIMITS[3]])
+def test_assign_segments_with_packed_costs(elements, monkeypatch, max_bytes, max_count, chunk_rows):
+    monkeypatch.setattr(segment, "MAX_STEPS", 0)
+    test_assign_segments(elements, max_bytes, max_count, chunk_rows)
+
+
 @pytest.mark.parametrize("max_bytes, max_count, chunk_rows", [*LIMITS[:2], *LIMITS[3:], (None, None, 64)])
 def test_units_hold_whole_files(elements, max_bytes, max_count, chunk_rows):
     """Rows stream out clustered by unit; cutting each unit afresh gives every file, once and whole."""
