@@ -162,15 +162,17 @@ def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 def blocks(found: DataFrame, reps: DataFrame) -> DataFrame:
     """(h, id, first, members): sets that share a shingle of their prefixes, one block for each set of members.
 
-    ``first`` is the smallest id of the block. Equal sets are represented by their smallest id.
+    ``first`` is the smallest id of the block. Equal sets are represented by their smallest id. What rows are joined
+    with is written first, so that both sides of a join are plain shuffles and a crowded shingle can be split.
     """
-    rows = found.join(reps, KEY).filter("id = rep").select(F.explode("prefix").alias("h"), "id")
-    shared = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    rows = materialise(rows.join(shared.hint("shuffle_hash"), "h").distinct(), "blocks")
+    rows = found.select(F.explode("prefix").alias("h"), "id")
+    shared = materialise(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
+    own = reps.select(F.col("rep").alias("id")).distinct()
+    rows = materialise(rows.join(shared.hint("shuffle_hash"), "h").join(own, "id", "left_semi").distinct(), "blocks")
     sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)]
     block = rows.groupBy("h").agg(F.count("*").alias("members"), F.min("id").alias("first"), *sums).filter("members > 1")
     once = block.groupBy("members", "first", "s0", "s1").agg(F.min("h").alias("h")).select("h", "first", "members")
-    return rows.join(once.hint("shuffle_hash"), "h")
+    return rows.join(materialise(once, "once").hint("shuffle_hash"), "h")
 
 
 def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def across(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame
     named = materialise(named.select("h", "id", "component"), "named")
     block = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
     # Blocks now differ by component; those that still hold several go on.
-    open_blocks = block.filter("low <> high").select("h", "members")
+    open_blocks = materialise(block.filter("low <> high").select("h", "members"), "open")
     vectors = found.filter("n_shingles > 0").select("id", "n_shingles", "counts").distinct()
     rows = named.join(open_blocks.hint("shuffle_hash"), "h").withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles")).cast("int"))
@@ -327,7 +329,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = whole.filter("id is not null and n_shingles > 0")
     reps = materialise(found.groupBy(*KEY).agg(F.min("id").alias("rep")), "reps")
     copies = found.select("id", *KEY).join(reps, KEY).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    members = materialise(blocks(found.select("id", "prefix", *KEY), reps), "members")
+    members = materialise(blocks(found, reps), "members")
 
     texts = rows.filter("id is not null and text is not null")
     stars = members.filter("id <> first").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
