@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -224,8 +225,11 @@ class RTree:
     """Boxes over points, ``FANOUT`` to a box; points lie in the order of size and then of their largest groups."""
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray) -> None:
-        heavy = np.argsort(-points.sum(axis=0), kind="stable")[:2]
-        self.order = np.lexsort((points[:, heavy[1]], points[:, heavy[0]], np.floor(np.log(np.maximum(sizes, 1)) * 4)))
+        if len(sizes) > FANOUT:
+            heavy = np.argsort(-points.sum(axis=0), kind="stable")[:2]
+            self.order = np.lexsort((points[:, heavy[1]], points[:, heavy[0]], np.floor(np.log(np.maximum(sizes, 1)) * 4)))
+        else:
+            self.order = np.arange(len(sizes))
         self.levels = [(sizes[self.order], sizes[self.order], points[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
             low, high, upper = self.levels[-1]
@@ -251,24 +255,43 @@ def _point(packed: bytes) -> np.ndarray:
     return np.frombuffer(unzipped(packed), "<u4").astype(np.int64)
 
 
-def _join_block(table: pa.Table, tiles: tuple[int, int]) -> set[tuple[int, int]]:
+@dataclass
+class _Members:
+    """The members of blocks as columns; points by row."""
+
+    ids: np.ndarray
+    tiles: np.ndarray
+    sizes: np.ndarray
+    components: np.ndarray
+    points: list[np.ndarray]
+    bits: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> _Members:
+        known: dict[bytes, np.ndarray] = {}
+        points = [known[p] if p in known else known.setdefault(p, _point(p)) for p in table["counts"].to_pylist()]
+        columns = (table[c].to_numpy() for c in ("id", "tile", "n_shingles", "component"))
+        return _Members(*columns, points, np.array([len(p).bit_length() - 1 for p in points]))
+
+
+def _join_block(members: _Members, begin: int, end: int, tiles: tuple[int, int]) -> set[tuple[int, int]]:
     """Pairs across components of a block (or of two of its tiles) that the points allow."""
-    ids, sides = table["id"].to_numpy(), table["tile"].to_numpy()
-    sizes, names = table["n_shingles"].to_numpy(), table["component"].to_numpy()
-    points = [_point(p) for p in table["counts"].to_pylist()]
-    bits = np.array([len(p).bit_length() - 1 for p in points])
-    own, other, found = np.flatnonzero(sides == tiles[0]), np.flatnonzero(sides == tiles[1]), set()
-    for level in np.unique(bits):
+    rows, found = np.arange(begin, end), set()
+    names = members.components[rows]
+    if (names == names[0]).all():
+        return found
+    own, other = rows[members.tiles[rows] == tiles[0]], rows[members.tiles[rows] == tiles[1]]
+    for level in np.unique(members.bits[rows]):
         # Members of this resolution and of the next finer one; a set looks at its own level and the one below.
-        held = other[(bits[other] == level) | (bits[other] == level + 1)]
-        asking = own[(bits[own] == level) | (bits[own] == level + 1)]
+        held, asking = (x[(members.bits[x] == level) | (members.bits[x] == level + 1)] for x in (other, own))
         if not len(held) or not len(asking):
             continue
-        tree = RTree(sizes[held], np.stack([folded(points[j], level) for j in held]))
+        near = RTree(members.sizes[held], np.stack([folded(members.points[j], level) for j in held])).candidates
         for k in asking:
-            for j in held[tree.candidates(int(sizes[k]), folded(points[k], level))]:
-                if names[j] != names[k] and (tiles[0] != tiles[1] or ids[j] > ids[k]):
-                    found.add((int(min(ids[j], ids[k])), int(max(ids[j], ids[k]))))
+            for j in held[near(int(members.sizes[k]), folded(members.points[k], level))]:
+                if members.components[j] != members.components[k] and (tiles[0] != tiles[1] or members.ids[j] > members.ids[k]):
+                    a, b = int(members.ids[j]), int(members.ids[k])
+                    found.add((min(a, b), max(a, b)))
     return found
 
 
@@ -294,8 +317,9 @@ def across(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame
         keys = np.column_stack([table[c].to_numpy() for c in ("h", "low_tile", "high_tile")])
         starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
         pairs: set[tuple[int, int]] = set()
-        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-            pairs |= _join_block(table.slice(a, b - a), (int(keys[a, 1]), int(keys[a, 2])))
+        members = _Members.of(table)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            pairs |= _join_block(members, a, b, (int(keys[a, 1]), int(keys[a, 2])))
         columns = list(zip(*sorted(pairs), strict=True)) or [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
