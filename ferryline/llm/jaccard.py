@@ -209,9 +209,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in (part.slice(at, 256) for part in batches for at in range(0, part.num_rows, 256)):
-            keep = []
+            keep, known = [], {}
             for x, y in zip(texts_of(batch, 2), texts_of(batch, 3), strict=True):
-                left, right = shingles(x, hashes), shingles(y, hashes)
+                # Texts come again in neighbouring pairs.
+                left, right = (known[t] if t in known else known.setdefault(t, shingles(t, hashes)) for t in (x, y))
                 shared = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(shared > 0 and 100 * shared >= PERCENT * (len(left) + len(right) - shared))
             if len(hashes) > _KEPT_WORDS:
