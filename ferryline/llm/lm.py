@@ -314,12 +314,15 @@ def _views(network: Network, flat: np.ndarray) -> dict[str, np.ndarray]:
 
 @dataclass
 class Lanes:
-    """Documents one after the other in lanes of similar length, the longest lane first."""
+    """Documents one after the other in lanes of similar length, the longest lane first.
 
-    inputs: np.ndarray  # (steps, lanes)
-    targets: np.ndarray
-    fresh: np.ndarray
-    document: np.ndarray  # the document of each step, -1 beyond a lane's end
+    The lanes lie in flat arrays one behind the other, so that memory follows the tokens; only a window is a grid.
+    """
+
+    targets: np.ndarray  # of all lanes
+    document: np.ndarray  # the document of each target
+    begin: np.ndarray  # where each lane starts, and the end of the last
+    start: int
 
     @staticmethod
     def of(streams: list[np.ndarray], start: int) -> Lanes:
@@ -333,25 +336,28 @@ class Lanes:
             heapq.heappush(heap, (length + len(streams[i]), k))
         lengths = [sum(len(streams[i]) for i in lane) for lane in lanes]
         order = sorted(range(len(lanes)), key=lambda k: -lengths[k])
-        steps = max(lengths)
-        inputs = np.full((steps, len(lanes)), start, np.uint16)
-        targets, fresh = np.zeros((steps, len(lanes)), np.uint16), np.zeros((steps, len(lanes)), bool)
-        document = np.full((steps, len(lanes)), -1, np.int32)
-        for column, k in enumerate(order):
-            at = 0
-            for i in lanes[k]:
-                own = streams[i]
-                inputs[at + 1 : at + len(own), column] = own[:-1]
-                targets[at : at + len(own), column] = own
-                fresh[at, column] = True
-                document[at : at + len(own), column] = i
-                at += len(own)
-        return Lanes(inputs, targets, fresh, document)
-
-    def windows(self) -> Iterator[tuple[slice, int]]:
-        """Stretches of steps, each with the number of lanes that have any step in it."""
-        for at in range(0, len(self.inputs), WINDOW):
-            yield slice(at, at + WINDOW), int((self.document[at] >= 0).sum())
+        placed = [i for k in order for i in lanes[k]]
+        document = np.repeat(np.array(placed, np.int32), [len(streams[i]) for i in placed])
+        return Lanes(np.concatenate([streams[i] for i in placed]), document, np.cumsum([0] + [lengths[k] for k in order]), start)
+
+    @property
+    def width(self) -> int:
+        return len(self.begin) - 1
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Inputs, targets, first steps of documents, and documents (-1 beyond a lane's end) of each stretch of steps.
+
+        Each is a grid of (steps, lanes) over the lanes that have any step in it.
+        """
+        lengths = np.diff(self.begin)
+        for at in range(0, int(lengths[0]), WINDOW):
+            lanes = int((lengths > at).sum())
+            step = np.arange(at, min(at + WINDOW, int(lengths[0])))[:, None]
+            live, where = step < lengths[:lanes], np.minimum(step, lengths[:lanes] - 1) + self.begin[:lanes]
+            before = np.maximum(where - 1, 0)
+            fresh = live & ((step == 0) | (self.document[where] != self.document[before]))
+            inputs = np.where(live & ~fresh, self.targets[before].astype(np.int64), self.start)
+            yield inputs, np.where(live, self.targets[where], 0).astype(np.int64), fresh, np.where(live, self.document[where], -1)
 
 
 def _streams(row: dict) -> list[np.ndarray]:
@@ -383,12 +389,10 @@ def _train(layout: Layout, flat: np.ndarray):
             if not streams:
                 continue
             lanes = Lanes.of(streams, layout.start)
-            state = np.zeros((lanes.inputs.shape[1], HIDDEN), np.float32)
-            for steps, width in lanes.windows():
-                live = lanes.document[steps, :width] >= 0
-                grown, state = network.slopes(
-                    lanes.inputs[steps, :width].astype(np.int64), lanes.fresh[steps, :width], lanes.targets[steps, :width].astype(np.int64), state[:width], live
-                )
+            state = np.zeros((lanes.width, HIDDEN), np.float32)
+            for inputs, targets, fresh, document in lanes.windows():
+                live = document >= 0
+                grown, state = network.slopes(inputs, fresh, targets, state[: inputs.shape[1]], live)
                 number += 1
                 mean += np.float32(1 - _KEEP) * (grown - mean)
                 square += np.float32(1 - _KEEP_SQUARE) * (grown * grown - square)
@@ -433,12 +437,11 @@ def _score(layout: Layout, flat: np.ndarray, train_tokens: int):
             streams = [s for row in group for s in _streams(row)]
             total = np.zeros(len(streams))
             lanes = Lanes.of(streams, layout.start)
-            state = np.zeros((lanes.inputs.shape[1], HIDDEN), np.float32)
-            for steps, width in lanes.windows():
-                document = lanes.document[steps, :width]
-                states, state, _ = network.run(lanes.inputs[steps, :width].astype(np.int64), lanes.fresh[steps, :width], state[:width], keep=False)
+            state = np.zeros((lanes.width, HIDDEN), np.float32)
+            for inputs, targets, fresh, document in lanes.windows():
+                states, state, _ = network.run(inputs, fresh, state[: inputs.shape[1]], keep=False)
                 live = document >= 0
-                chance, _ = network.log_chance(states[live], lanes.targets[steps, :width][live].astype(np.int64))
+                chance, _ = network.log_chance(states[live], targets[live])
                 total += np.bincount(document[live], chance, len(total))
             flat_of = {c: [v for row in group for v in row[c]] for c in ("doc_ids", "marks", "n_tokens", "n_known", "base", "other")}
             scores = (total + np.array(flat_of["other"])) / math.log(10)

@@ -1,6 +1,7 @@
 """BPE, packing and language model against brute force."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -157,6 +158,26 @@ def test_gradient_of_a_window():
         assert slope == pytest.approx(float(grown[at]), rel=0.05, abs=2e-4)
 
 
+def test_lanes_follow_the_tokens_with_one_long_text():
+    random = np.random.default_rng(3)
+    lengths = [200_000, *random.integers(1, 900, 3000).tolist()]
+    streams = [random.integers(1, 2000, n).astype(np.uint32) for n in lengths]
+    tracemalloc.start()
+    lanes = lm.Lanes.of(streams, 2000)
+    seen = [[] for _ in streams]
+    for inputs, targets, fresh, document in lanes.windows():
+        for i in np.unique(document[document >= 0]):
+            steps, columns = np.nonzero((document == i).T)[::-1]
+            own = targets[steps, columns]
+            assert len(set(columns.tolist())) == 1 and fresh[steps, columns].sum() == (not seen[i])
+            assert (inputs[steps, columns] == [seen[i][-1] if seen[i] else 2000, *own[:-1]]).all()
+            seen[i] += own.tolist()
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(s == want.tolist() for s, want in zip(seen, streams, strict=True))
+    assert held < 100 * sum(lengths)
+
+
 def test_model_beats_word_counts_on_held_out_text(spark, sf):
     scored = lm.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out")
     base, score = scored.agg(F.sum("base_score"), F.sum("score")).head()
