@@ -1,17 +1,20 @@
 """Scores of whole documents by a gated recurrent language model, and by word counts.
 
 Tokens are lower-cased words and one end for each document. The model reads a document token by token and gives the
-next one as class times member: a softmax over classes, then one over the words of the class. The ``VOCABULARY`` most
-frequent words are cut into classes of about equal weight; all other words, known or not, belong to a class by their
-look (first letter outside ASCII, last mark), within which their counts decide. Counts, classes and the shares of
-other words are taken over all documents that are learned from.
+next one as class times member: a softmax over classes, then one over the members of the class. Members are the most
+frequent words (``vocabulary_size``: the more, the more distinct words are learned from) and groups of all other words
+by their look (first letter outside ASCII, last mark) and last two letters; the groups grow in number likewise. Classes
+are about the square root of the members, of about equal weight. Every word learned from is thus foreseen from context,
+by itself or by its group, and within a group by its count. Words learned from once have a group of their look to
+themselves, and words never learned from belong to it. Counts, classes and groups are taken over all documents that are
+learned from.
 
 The network is trained in numpy with gradients cut after ``WINDOW`` steps and the state carried on from window to
 window. Training runs in ``ROUNDS`` rounds over disjoint shares of the blocks, so that each document learned from is
 read once: every task starts from the round's weights and works through its blocks, then the weights are averaged by
 tokens. The starting weights give the word counts' distribution, so what is learned is what context adds.
 
-Counts are summed by bucket of words (``words``); weights have a fixed size. A document is scored from its first to
+Counts are summed by bucket of words (``words``); weights grow with the root of the distinct words. A document is scored from its first to
 its last token, however long, with the state carried over all windows.
 
 Defined cases: a null or empty text is the end alone; a row without an id is never learned from; repeated rows count
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +39,8 @@ from pyspark.sql import functions as F
 from ferryline.llm.words import answers, block_codes, block_words, bucket_count, bucket_words, join_arrays, meet, split_arrays
 from ferryline.session import materialise
 
-VOCABULARY = 2048
-CLASSES = 40
+LEAST_VOCABULARY = 2048
+WORDS_PER_ROOT, ROOTS_PER_GROUP = 8, 16
 HIDDEN = 16
 WINDOW = 24
 LEAST_LANES, MOST_LANES, WINDOWS = 8, 256, 400
@@ -60,7 +64,7 @@ def learned_from(doc_id: Column) -> Column:
 
 
 def look(word: bytes) -> int:
-    """The class of a word outside the vocabulary, from 0 to ``LOOKS - 1``."""
+    """The look of a word outside the vocabulary, from 0 to ``LOOKS - 1``."""
     accent = 0
     if not word.isascii():
         at = next(i for i, b in enumerate(word) if b > 127)
@@ -69,9 +73,29 @@ def look(word: bytes) -> int:
     return 3 * accent + end
 
 
+def ending(word: bytes) -> int:
+    """A checksum of the last two bytes before any marks."""
+    return zlib.crc32(word.rstrip(b".,;:!?)\"'")[-2:])
+
+
+def vocabulary_size(distinct: int) -> int:
+    """How many words are members by themselves."""
+    return max(LEAST_VOCABULARY, math.ceil(WORDS_PER_ROOT * math.sqrt(distinct)))
+
+
+def groups_per_look(distinct: int) -> int:
+    """One for words seen once or never, the others by ending."""
+    return 1 + max(1, math.ceil(math.sqrt(distinct) / ROOTS_PER_GROUP))
+
+
+def group_place(word: bytes, seen: int, groups: int) -> int:
+    """Group ``g`` of look ``k`` has place ``LOOKS * g + k``."""
+    return look(word) + (LOOKS * (1 + ending(word) % (groups - 1)) if seen > 1 and groups > 1 else 0)
+
+
 @dataclass(frozen=True)
 class Counts:
-    """What the corpus says: totals, the vocabulary with its counts, and the totals of each look."""
+    """What the corpus says: totals, the vocabulary with its counts, and the totals of the groups of other words by place."""
 
     tokens: int
     distinct: int
@@ -87,69 +111,91 @@ def _sum_bucket(rows: pa.Table) -> pa.Table:
     totals = np.zeros(len(distinct), np.int64)
     np.add.at(totals, which, counts)
     seen = np.flatnonzero(totals)
-    looks = [look(distinct[i]) for i in seen]
-    arrays = [pa.array([distinct[i] for i in seen], pa.binary()), pa.array(totals[seen]), pa.array(looks, pa.int32())]
-    return pa.table(arrays, names=["word", "n", "look"])
+    words = [distinct[i] for i in seen]
+    arrays = [pa.array(words, pa.binary()), pa.array(totals[seen]), pa.array(map(look, words), pa.int32()), pa.array(map(ending, words), pa.int64())]
+    return pa.table(arrays, names=["word", "n", "look", "ending"])
+
+
+def _most_frequent(table: DataFrame) -> dict[bytes, int]:
+    """The words of the vocabulary, from the most frequent on; of equally frequent ones the first."""
+    sizes = sorted(((r["n"], r["v"]) for r in table.groupBy("n").agg(F.count("*").alias("v")).collect()), reverse=True)
+    left, least = vocabulary_size(sum(v for _, v in sizes)), 0
+    for least, v in sizes:
+        if v >= left:
+            break
+        left -= v
+    rows = table.filter(F.col("n") > least).collect() + table.filter(F.col("n") == least).orderBy("word").limit(left).collect()
+    return {bytes(r["word"]): r["n"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))}
 
 
 def count_words(words: DataFrame, documents: int) -> Counts:
     """Over all marked documents, of which there are ``documents``."""
-    table = materialise(words.groupBy("bucket").applyInArrow(_sum_bucket, "word binary, n long, look int"), "counts")
-    top = table.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    kept = {bytes(r["word"]): r["n"] for r in top}
-    tokens, distinct = [0] * LOOKS, [0] * LOOKS
-    for row in table.groupBy("look").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        tokens[row["look"]], distinct[row["look"]] = row["n"], row["v"]
+    schema = "word binary, n long, look int, ending long"
+    table = materialise(words.groupBy("bucket").applyInArrow(_sum_bucket, schema), "counts")
+    kept, groups = _most_frequent(table), groups_per_look(table.count())
+    tokens, distinct = [0] * (LOOKS * groups), [0] * (LOOKS * groups)
+    place = F.col("look") + F.when(F.col("n") > 1, LOOKS * (1 + F.pmod("ending", F.lit(groups - 1)))).otherwise(0)
+    for row in table.groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[row["place"]], distinct[row["place"]] = row["n"], row["v"]
     total, types = sum(tokens) + documents, sum(distinct) + (documents > 0)
     for word, n in kept.items():
-        tokens[look(word)] -= n
-        distinct[look(word)] -= 1
+        own = group_place(word, n, groups)
+        tokens[own] -= n
+        distinct[own] -= 1
     return Counts(total, types, documents, list(kept), list(kept.values()), tokens, distinct)
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Codes of tokens: 0 is the end, then the vocabulary class by class, then the looks, then the start."""
+    """Codes of tokens: 0 is the end, then the vocabulary, then the groups of other words, then the start."""
 
     words: dict[bytes, int]
+    group_code: np.ndarray  # of each place of a group, -1 where no word belongs to it
+    log_group: np.ndarray  # of each group with a code, its weight
     class_of: np.ndarray  # of each code but the start
-    begin: np.ndarray  # of each class of listed words, the first code; one more for the end of the last
+    begin: np.ndarray  # of each class, the first code; one more for the end of the last
     log_class: np.ndarray
-    log_member: np.ndarray  # of each listed word
+    log_member: np.ndarray  # of each code but the start
 
     @staticmethod
     def of(counts: Counts) -> Layout:
         """Classes of about equal weight; square roots keep the classes of frequent words from being too large."""
-        weights = np.sqrt(np.array(counts.counts or [1.0], float))
-        share = np.minimum(np.floor(np.cumsum(weights) / weights.sum() * CLASSES), CLASSES - 1).astype(np.int64)
-        listed = len(counts.words)
-        cuts = np.flatnonzero(np.append(True, share[1:] != share[:-1]))[: max(listed, 1)] if listed else np.zeros(0, np.int64)
-        begin = np.concatenate([[0], 1 + cuts, [1 + listed]]) if listed else np.array([0, 1])
-        mass = np.concatenate([[counts.ends + 0.5], np.array(counts.counts, float) + 0.5])
-        looks = np.array(counts.look_tokens, float) + 0.5 * (np.array(counts.look_distinct) + 1)
-        class_of = np.concatenate([np.repeat(np.arange(len(begin) - 1), np.diff(begin)), len(begin) - 1 + np.arange(LOOKS)])
-        by_class = np.concatenate([np.add.reduceat(mass, begin[:-1]), looks])
-        member = np.log(mass) - np.log(by_class[class_of[: 1 + listed]])
+        first = np.arange(len(counts.look_tokens)) < LOOKS  # the groups that words never seen belong to
+        groups = np.array(counts.look_tokens, float) + 0.5 * (np.array(counts.look_distinct) + first)
+        kept = np.flatnonzero((np.array(counts.look_distinct) > 0) | first)
+        listed = 1 + len(counts.words)
+        group_code = np.full(len(groups), -1, np.int64)
+        group_code[kept] = listed + np.arange(len(kept))
+        mass = np.concatenate([[counts.ends + 0.5], np.array(counts.counts, float) + 0.5, groups[kept]])
+        weights, classes = np.sqrt(mass[1:]), math.ceil(math.sqrt(len(mass)))
+        share = np.minimum(np.floor(np.cumsum(weights) / weights.sum() * classes), classes - 1).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
+        begin = np.concatenate([[0], 1 + cuts, [len(mass)]])
+        class_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        by_class = np.add.reduceat(mass, begin[:-1])
         words = {w: 1 + i for i, w in enumerate(counts.words)}
-        return Layout(words, class_of, begin, np.log(by_class / by_class.sum()), member)
+        return Layout(words, group_code, np.log(groups[kept]), class_of, begin, np.log(by_class / by_class.sum()), np.log(mass) - np.log(by_class[class_of]))
+
+    def code(self, word: bytes, seen: int) -> int:
+        return self.words.get(word) or int(self.group_code[group_place(word, seen, len(self.group_code) // LOOKS)])
 
     @property
     def listed(self) -> int:
-        return int(self.begin[-1])
+        return 1 + len(self.words)
 
     @property
     def start(self) -> int:
-        return self.listed + LOOKS
+        return self.listed + len(self.log_group)
 
 
-def _code_bucket(layout: Layout, counts: Counts):
+def _code_bucket(layout: Layout):
     """Each word's code and count."""
 
     def code_bucket(rows: pa.Table) -> list[bytes]:
         distinct, which, seen = bucket_words(rows)
         totals = np.zeros(len(distinct), np.int64)
         np.add.at(totals, which, seen)
-        codes = np.array([layout.words.get(w) or layout.listed + look(w) for w in distinct], np.uint16)
+        codes = np.array([layout.code(w, n) for w, n in zip(distinct, totals.tolist(), strict=True)], np.uint32)
         out, at = [], 0
         for n in rows["n_words"].to_pylist():
             own = which[at : at + n]
@@ -163,21 +209,20 @@ def _code_bucket(layout: Layout, counts: Counts):
 def _code_block(layout: Layout, counts: Counts):
     """A block's documents as codes, with what the counts alone say of each."""
     whole = math.log10(counts.tokens + 0.5 * (counts.distinct + 1))
-    other = np.log(np.array(counts.look_tokens) + 0.5 * (np.array(counts.look_distinct) + 1))
 
     def code_block(found: list[bytes], places: np.ndarray, block: dict) -> pa.Table:
         parts = [split_arrays(f) for f in found]
-        codes, totals = np.zeros(len(places), np.uint16), np.zeros(len(places), np.int64)
+        codes, totals = np.zeros(len(places), np.uint32), np.zeros(len(places), np.int64)
         if parts:
             codes[places], totals[places] = (np.concatenate(c) for c in zip(*parts, strict=True))
         base = np.log10(totals + 0.5) - whole
-        within = np.where(codes >= layout.listed, np.log(totals + 0.5) - other[np.maximum(codes.astype(int) - layout.listed, 0)], 0.0)
+        within = np.where(codes >= layout.listed, np.log(totals + 0.5) - layout.log_group[np.maximum(codes.astype(int) - layout.listed, 0)], 0.0)
         ends = np.cumsum(block["lengths"])
         end_base = math.log10(counts.ends + 0.5) - whole
         streams, rows = [], {"n_tokens": [], "n_known": [], "base": [], "other": []}
         for end, length in zip(ends, block["lengths"], strict=True):
             own = block["codes"][end - length : end]
-            streams += [codes[own], np.zeros(1, np.uint16)]
+            streams += [codes[own], np.zeros(1, np.uint32)]
             rows["n_tokens"].append(int(length) + 1)
             rows["n_known"].append(int((totals[own] > 0).sum()) + (counts.ends > 0))
             rows["base"].append(float(base[own].sum()) + end_base)
@@ -215,9 +260,9 @@ class Network:
 
     def __init__(self, layout: Layout, flat: np.ndarray | None = None) -> None:
         self.layout, h = layout, HIDDEN
-        classes, listed = len(layout.log_class), layout.listed
+        classes = len(layout.log_class)
         # The last row of class_w and the last column of word_w are biases: states carry a constant 1 at their end.
-        shapes = {"into": (layout.start + 1, 3 * h), "back": (h, 3 * h), "class_w": (h + 1, classes), "word_w": (listed, h + 1)}
+        shapes = {"into": (layout.start + 1, 3 * h), "back": (h, 3 * h), "class_w": (h + 1, classes), "word_w": (layout.start, h + 1)}
         sizes = {name: math.prod(shape) for name, shape in shapes.items()}
         fresh = flat is None
         self.flat = np.zeros(sum(sizes.values()), np.float32) if fresh else flat.astype(np.float32)
@@ -253,12 +298,12 @@ class Network:
         return states, state, trail
 
     def log_chance(self, states: np.ndarray, targets: np.ndarray, slope: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of the chance of each target (of its class alone for words outside the vocabulary).
+        """Natural log of the chance of each target (of its group for words outside the vocabulary).
 
         With ``slope``, the weights' gradients of the mean log chance are added to it; the states' gradient comes second.
         """
         layout, p = self.layout, self.parts
-        owner = layout.class_of[targets].astype(np.uint8 if len(layout.log_class) < 256 else np.int64)
+        owner = layout.class_of[targets].astype(np.uint16 if len(layout.log_class) < 1 << 16 else np.int64)
         out, grad = _softmax(states, p["class_w"], owner, None if slope is None else slope["class_w"], len(targets))
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(len(layout.begin)))
@@ -384,6 +429,7 @@ def _train(layout: Layout, flat: np.ndarray):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, tokens = Network(layout, flat), 0
         mean, square, number = np.zeros_like(network.flat), np.zeros_like(network.flat), 0
+        scratch = np.empty_like(network.flat)
         for group in _groups(batches):
             streams = [s for row in group for s, mark in zip(_streams(row), row["marks"], strict=True) if mark]
             if not streams:
@@ -394,10 +440,14 @@ def _train(layout: Layout, flat: np.ndarray):
                 live = document >= 0
                 grown, state = network.slopes(inputs, fresh, targets, state[: inputs.shape[1]], live)
                 number += 1
-                mean += np.float32(1 - _KEEP) * (grown - mean)
-                square += np.float32(1 - _KEEP_SQUARE) * (grown * grown - square)
                 step = RATE * math.sqrt(1 - _KEEP_SQUARE**number) / (1 - _KEEP**number)
-                network.flat += np.float32(step) * mean / (np.sqrt(square) + np.float32(1e-8))
+                square *= np.float32(_KEEP_SQUARE)
+                square += np.multiply(np.multiply(grown, grown, out=scratch), np.float32(1 - _KEEP_SQUARE), out=scratch)
+                mean *= np.float32(_KEEP)
+                mean += np.multiply(grown, np.float32(1 - _KEEP), out=grown)
+                np.add(np.sqrt(square, out=scratch), np.float32(1e-8), out=scratch)
+                np.divide(mean, scratch, out=scratch)
+                network.flat += np.multiply(scratch, np.float32(step), out=scratch)
                 tokens += int(live.sum())
         if tokens:
             chunk = np.array_split(network.flat, _CHUNKS)
@@ -461,7 +511,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     words = materialise(block_words(rows, buckets, lower=True), "words")
     counts = count_words(words, rows.filter("mark").count())
     layout = Layout.of(counts)
-    found = answers(words, _code_bucket(layout, counts))
+    found = answers(words, _code_bucket(layout))
     coded = materialise(meet(found, block_codes(rows, buckets, lower=True), _code_block(layout, counts), CODED_SCHEMA), "coded")
     flat = fit(coded, layout)
     return coded.mapInArrow(_score(layout, flat, counts.tokens), SCORED_SCHEMA)

@@ -158,6 +158,26 @@ def test_gradient_of_a_window():
         assert slope == pytest.approx(float(grown[at]), rel=0.05, abs=2e-4)
 
 
+def test_members_grow_with_the_distinct_words():
+    def layout(distinct):
+        listed, groups = lm.vocabulary_size(distinct), lm.groups_per_look(distinct)
+        places = lm.LOOKS * groups
+        words = [b"w%d" % i for i in range(listed)]
+        return lm.Layout.of(lm.Counts(10 * distinct, distinct, 9, words, [9] * listed, [5] * places, [2] * places))
+
+    small, large = layout(250_000), layout(4_000_000)
+    assert len(large.words) == 16_000 and len(small.words) == 4_000
+    assert len(large.log_group) > 3.5 * len(small.log_group)
+    assert len(large.log_class) == pytest.approx(math.sqrt(large.start), rel=0.1)
+    assert np.bincount(large.class_of).max() < 5 * len(large.log_class)
+    # Words outside the vocabulary are told apart by context: unlike endings have members of their own.
+    rare = {large.code(w, 2) for w in (b"walking", b"walked", b"nation", b"houses")}
+    assert len(rare) == 4 and all(large.listed <= c < large.start for c in rare)
+    assert large.code(b"walking", 0) == large.code(b"houses", 1) not in rare
+    chance = np.exp(large.log_class[large.class_of] + large.log_member)
+    assert chance.sum() == pytest.approx(1)
+
+
 def test_lanes_follow_the_tokens_with_one_long_text():
     random = np.random.default_rng(3)
     lengths = [200_000, *random.integers(1, 900, 3000).tolist()]
