@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import bpe, jaccard, langid, lm, packing, quality, repeats, sharding, token_counts, topk
+from ferryline.llm import bpe, jaccard, langid, lexical_search, lm, packing, prefix_trie, quality, repeats, secret_scan, sharding, token_counts, topk
 from ferryline.session import shared_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -107,3 +107,24 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+    counts = [F.size(secret_scan.of_kinds(F.col("spans"), [kind])).cast("long").alias(f"n_{kind}") for kind in kinds]
+    base = secret_scan.listed(secret_scan.of_kinds(F.col("spans"), kinds))
+    return found.select(
+        "doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans")
+    )
+
+
+@register
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
