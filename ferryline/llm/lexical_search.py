@@ -266,7 +266,7 @@ class Best:
 
 
 def look_up(block: Block, terms: np.ndarray, times: np.ndarray, paired: set[tuple[int, int]], best: Best) -> int:
-    """Adds the block's best documents for a query; returns how many postings were read."""
+    """Adds the block's best documents for a query; returns how many postings were read or looked up."""
     most = block.most[terms] * times
     order = [i for i in np.argsort(most, kind="stable").tolist() if most[i] > 0]
     own, often, singles = terms[order].tolist(), times[order].tolist(), most[order].tolist()
@@ -286,16 +286,15 @@ def look_up(block: Block, terms: np.ndarray, times: np.ndarray, paired: set[tupl
     left = np.flatnonzero(score)
     if needed and len(left):
         left = left[score[left] + _rest(block, bound, singles, needed, left) >= floor]
-    added = np.zeros(len(block.ids), np.int64)
     for i in range(needed - 1, -1, -1):
         left = left[score[left] + bound.prefix[i + 1] >= floor]
         if not len(left):
             return read
         at, share = block.of(own[i])
-        added[at] = share * often[i]
-        score[left] += added[left]
-        added[at] = 0
-        read += len(at)
+        place = np.minimum(np.searchsorted(at, left), len(at) - 1)
+        held = at[place] == left
+        score[left[held]] += share[place[held]] * often[i]
+        read += len(left)
     left = left[score[left] >= floor]
     best.add(score[left], block.ids[left])
     return read
