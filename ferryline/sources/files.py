@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.errors import EmptyRangeError, SpecError
+from ferryline.sources import json_arrays
 
 LONG_MAX = 2**63 - 1
+# A JSON array file up to this size is parsed as one row.
+WHOLE_FILE_BYTES = 8 << 20
 NOTHING_FOUND = "no file or object lies in the requested range"
 
 
@@ -179,41 +182,58 @@ def _reader(spark: SparkSession):
     return spark.read.option("recursiveFileLookup", "true")
 
 
+def _array_texts(
+    spark: SparkSession, path: str | Sequence[str], wanted: FileRange, recursive: bool, problem: str, above: int = -1
+) -> DataFrame:
+    """The texts of the elements of array files of more than ``above`` bytes, at any size and in any layout."""
+    files = _kept_files(_reader(spark).option("lineSep", ",").text(_paths(path)), wanted, path, recursive)
+    conf = spark._jsparkSession.sessionState().conf()
+    least_split = min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())
+    return json_arrays.elements(files.filter(F.col("_metadata.file_size") > above), least_split, problem)
+
+
 def read_json_arrays(
     spark: SparkSession, path: str | Sequence[str], wanted: FileRange = FileRange(), recursive: bool = True
 ) -> DataFrame:
     """One row per element (compact JSON in ``value``) of files that each hold one JSON array.
 
-    Any layout of whitespace is accepted; a file that is not an array is an error. A file is one row while it
-    is parsed, which suits segmented files; ``read_json_array_lines`` splits files of any size.
+    Any layout of whitespace is accepted; a file that is not an array is an error. A file of up to ``WHOLE_FILE_BYTES``
+    is one row while it is parsed; larger ones are split, see ``json_arrays``.
     """
+    problem = "file does not hold one JSON array"
+    failure = F.raise_error(F.lit(problem)).cast("array<string>")
+
+    def values(text: Column, opens: Column) -> Column:
+        # Inside brackets of its own the text has to be one value, so anything that follows it is an error.
+        parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(T.ArrayType(T.StringType())))
+        items = F.get(parsed, F.lit(0))
+        return F.when(opens & (F.size(parsed) == 1) & items.isNotNull(), items).otherwise(failure)
+
     files = _kept_files(_reader(spark).text(_paths(path), wholetext=True), wanted, path, recursive)
-    # Inside brackets of its own the text has to be one value, so anything that follows the array is an error.
-    parsed = files.select(
-        F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(T.ArrayType(T.StringType()))).alias("texts"),
-        F.col("value").rlike(r"^\s*\[").alias("opens"),
-    )
-    items = F.get("texts", F.lit(0))
-    failure = F.raise_error(F.lit("file does not hold one JSON array")).cast("array<string>")
-    checked = F.when(F.col("opens") & (F.size("texts") == 1) & items.isNotNull(), items).otherwise(failure)
-    return parsed.select(F.explode(checked).alias("value"))
+    size = F.col("_metadata.file_size")
+    opens = F.col("value").rlike(r"^\s*\[")
+    small = files.filter(size <= WHOLE_FILE_BYTES).select(F.explode(values(F.col("value"), opens)).alias("value"))
+    if files.filter(size > WHOLE_FILE_BYTES).select(F.col("_metadata.file_path")).isEmpty():
+        return small
+    texts = _array_texts(spark, path, wanted, recursive, problem, WHOLE_FILE_BYTES)
+    bracketed = F.concat(F.lit("["), "value", F.lit("]"))
+    return small.unionByName(texts.select(F.explode(values(bracketed, F.lit(True))).alias("value")))
 
 
 def read_json_array_lines(
     spark: SparkSession, path: str | Sequence[str], wanted: FileRange = FileRange(), recursive: bool = True
 ) -> DataFrame:
-    """The elements of array files laid out as this package writes them: brackets and elements on own lines.
+    """The elements of array files, as they are written, where each stands on one line as this package lays them out.
 
-    Lines are independent, so Spark splits files of any size. Text that is not an element is an error.
+    Files of any size are split. An element with line breaks, and text that is not an element, is an error.
     """
-    lines = _kept_files(_reader(spark).text(_paths(path)), wanted, path, recursive)
-    body = lines.filter(~F.col("value").isin("[", "]", ""))
-    element = F.regexp_replace("value", r",\s*$", "")
+    problem = "not an array element"
+    lines = _array_texts(spark, path, wanted, recursive, problem)
     # One value and nothing behind it: inside brackets it is the whole of an array of one.
-    bracketed = F.try_parse_json(F.concat(F.lit("["), element, F.lit("]")))
-    parses = bracketed.isNotNull() & F.try_variant_get(bracketed, "$[1]", "variant").isNull()
-    problem = F.raise_error(F.concat(F.lit("not an array element: "), F.left(element, F.lit(80))))
-    return body.select(F.when(parses, element).otherwise(problem.cast("string")).alias("value"))
+    bracketed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
+    parses = bracketed.isNotNull() & F.try_variant_get(bracketed, "$[1]", "variant").isNull() & ~F.col("value").rlike(r"[\r\n]")
+    failure = F.raise_error(F.concat(F.lit(f"{problem}: "), F.left("value", F.lit(80))))
+    return lines.select(F.when(parses, F.col("value")).otherwise(failure.cast("string")).alias("value"))
 
 
 def read_json_array_records(
