@@ -134,7 +134,9 @@ class _State:
         if not self.closed:
             ends = np.flatnonzero((outside & (text == _COMMA) & (depth == 1)) | (depth == 0) & (change < 0))
             for end in ends[ends >= start].tolist():
-                value = b"".join([*self.pending, body[start:end]]).strip(_BLANK)
+                value = b"".join([*self.pending, body[start:end]])
+                # The blanks of a fragment may lie within a string.
+                value = value if self.headless else value.strip(_BLANK)
                 closing = body[end] != _COMMA
                 if closing and body[end] != _CLOSE:
                     self.fail(body[start : end + 1])

@@ -1,6 +1,10 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -45,3 +49,17 @@ def test_intermediate_tables_lie_in_the_checkpoint_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert all(configured in path for path in written.inputFiles()) and written.count() == 3
     assert os.path.isdir(configured)
+
+
+@pytest.mark.parametrize("gone", [("ferryline/llm",), ("ferryline/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_the_package_stands_without_the_pipeline_operators(tmp_path, gone):
+    from ferryline.plans.queries import QUERIES
+
+    root = Path(contract.__file__).parent
+    left_out = shutil.ignore_patterns(".git", "tests", "__pycache__", *(Path(g).name for g in gone))
+    shutil.copytree(root, tmp_path / "repo", ignore=left_out)
+    code = "import __spark_entry__ as e; print(*e.queries())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    listed = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert set(QUERIES) <= set(listed)
+    assert ("ferryline/llm" in gone) == (set(QUERIES) == set(listed)) and "pipeline" not in listed
