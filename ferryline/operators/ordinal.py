@@ -11,16 +11,18 @@ nothing has to be written in between. Where they lie bears on the balance alone.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryline.session import checked_broadcast
 
 ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 4_096
-_SAMPLED_PER_BUCKET = 16
+MAX_BUCKETS = 65_536
+_SAMPLED_PER_BUCKET = 8
 
 
 def _boundaries(df: DataFrame, columns: Sequence[str]) -> list[Row]:
@@ -37,25 +39,40 @@ def _boundaries(df: DataFrame, columns: Sequence[str]) -> list[Row]:
     return list(dict.fromkeys(sample[int(i * steps)] for i in range(1, buckets))) if len(sample) >= buckets else sample
 
 
-def _bucket(df: DataFrame, columns: Sequence[str]) -> Column:
-    """How many boundaries a row has reached, by binary search."""
-    marks = _boundaries(df, columns)
-    types = [df.schema[c].dataType for c in columns]
+def _constant(values: list, kind: T.DataType) -> Column:
+    """An array of constants; whole numbers and texts in one go, other types one by one."""
+    if isinstance(kind, (T.IntegralType, T.StringType, T.BooleanType)):
+        return F.from_json(F.lit(json.dumps(values)), T.ArrayType(kind))
+    return F.lit(values).cast(T.ArrayType(kind))
+
 
-    def row_of(values: Sequence) -> Column:
-        return F.struct(*(v.cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(values, types))))
+def _reached(df: DataFrame, columns: Sequence[str], marks: list[Column], nulls: list[bool], at: Column) -> Column:
+    """Whether a row has reached the mark at a place: a comparison column by column, a null before all values."""
+    out = F.lit(True)
+    for i, name in reversed(list(enumerate(columns))):
+        mark, here = F.get(marks[i], at), F.col(name)
+        less, same = mark < here, mark == here
+        if df.schema[name].nullable or nulls[i]:
+            less = F.coalesce(less, mark.isNull() & here.isNotNull())
+            same = mark.eqNullSafe(here)
+        out = less | (same & out)
+    return out
 
-    if not marks:
-        return F.lit(0)
-    bounds = F.array(*(row_of([F.lit(v) for v in mark]) for mark in marks))
-    here, found = row_of([F.col(c) for c in columns]), F.lit(0)
 
-    def further(step: int):
-        return lambda at: at + F.when(F.get(bounds, at + (step - 1)) <= here, step).otherwise(0)
+def _with_bucket(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the number of boundaries a row has reached.
 
+    The binary search is a column for each step, so that every step is a short comparison in generated code which
+    looks its mark up in a constant array, whatever the number of boundaries.
+    """
+    marks = _boundaries(df, columns)
+    listed = [_constant([m[i] for m in marks], df.schema[name].dataType) for i, name in enumerate(columns)] if marks else []
+    nulls = [any(m[i] is None for m in marks) for i in range(len(columns))]
+    found = df.withColumn(name, F.lit(0))
     for k in range(len(marks).bit_length() - 1, -1, -1):
-        # The lambda names the place found so far, so that it is not worked out twice at each step.
-        found = F.get(F.transform(F.array(found), further(1 << k)), F.lit(0))
+        at = F.col(name) + ((1 << k) - 1)
+        further = (at < len(marks)) & _reached(df, columns, listed, nulls, at)
+        found = found.withColumn(name, F.col(name) + F.when(further, 1 << k).otherwise(0))
     return found
 
 
@@ -73,7 +90,7 @@ def with_ordinal(
     order columns, and one shuffle of the rows.
     """
     keys, order = list(keys), list(order)
-    placed = df.withColumn("_bucket", _bucket(df, [*keys, *order]))
+    placed = _with_bucket(df, [*keys, *order], "_bucket")
     # One row per (bucket, key) that meet: at most buckets + keys rows.
     counts = placed.groupBy(F.col("_bucket").alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias("_n"))
     run_keys = [f"_k_{k}" for k in keys]

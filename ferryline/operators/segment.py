@@ -11,12 +11,10 @@ that holds a third of the data still must not become one task, so the sum is tak
 2. each chunk works out, on its own, what it does with any possible open file it may be handed: where that
    file would end and in which state the chunk then leaves the next file. Starting later never ends earlier,
    so this is a step function and only its steps are kept;
-3. the steps of a worker's chunks are chained in order, one short row per chunk; where no two cuts fall together,
-   as with files that outgrow a chunk, there would be a step for each element, and the chunk hands over its costs
-   instead, packed (a byte or two for each element);
+3. the functions of a worker's chunks are composed in a tree, and the open files handed down it (``chain``);
 4. each chunk, now knowing the open file it was really handed, cuts its elements while they stream past.
 
-Steps 2 and 4 run in parallel over all chunks of all workers. For writing, rows are placed in units that begin
+All steps run in parallel over the chunks of all workers, and no task sees more than some of a worker's chunks. For writing, rows are placed in units that begin
 where a file begins (``place_units``), so every file lies within one task.
 """
 
@@ -34,25 +32,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ferryline.errors import SpecError
 from ferryline.functions.units import size_option
+from ferryline.operators import chain
+from ferryline.operators.chain import Steps
 from ferryline.operators.ordinal import with_ordinal
 from ferryline.session import checked_broadcast, materialise
 
 # A chunk is worked out in memory from about ten bigints per element, so this bounds a task at some tens of MB.
 CHUNK_ROWS = 250_000
 
-# A chunk with more steps than this hands over its packed costs.
-MAX_STEPS = 1_024
-
 # A limit that is not set is one no file can reach.
 NO_LIMIT = 2**62
 
-_STEPS_SCHEMA = (
-    "worker bigint, chunk bigint, n bigint, cost bigint,"
-    " from_cost array<bigint>, from_count array<bigint>,"
-    " closed array<bigint>, left_cost array<bigint>, left_count array<bigint>, packed binary"
-)
-_ENTRY_FIELDS = ("base_segment", "open_cost", "open_count", "open_unit")
-_ENTRY_SCHEMA = "worker bigint, chunk bigint, " + ", ".join(f"{f} bigint" for f in _ENTRY_FIELDS)
 _START_SCHEMA = "_worker bigint, _chunk bigint, open_unit bigint, first_start bigint, first_segment bigint"
 
 # Columns of rows placed for writing: worker, the unit within it, the unit's first file, an element's bytes.
@@ -125,9 +115,6 @@ def chunk_steps(cost: np.ndarray, max_bytes: int, max_count: int) -> dict[str, o
 
 def step_through(steps: object, open_cost: int, open_count: int, max_bytes: int, max_count: int) -> tuple[int, int, int]:
     """(files closed, cost left open, count left open) of a chunk that was handed an open file."""
-    if getattr(steps, "packed", None):
-        _, closed, *left = cut_batch(unpack_costs(steps.packed), 0, open_cost, open_count, max_bytes, max_count)
-        return closed, *left
     if open_count == 0:
         at, handed = 0, 0
     elif open_cost + steps.cost < max_bytes and open_count + steps.n < max_count:
@@ -139,57 +126,10 @@ def step_through(steps: object, open_cost: int, open_count: int, max_bytes: int,
     return handed + int(steps.closed[at]), int(steps.left_cost[at]), int(steps.left_count[at])
 
 
-def pack_costs(cost: np.ndarray) -> bytes:
-    """Costs byte plane by byte plane, compressed; their number and width stand in front."""
-    kind = np.min_scalar_type(int(cost.max(initial=0)))
-    planes = np.ascontiguousarray(cost.astype(kind).view(np.uint8).reshape(len(cost), kind.itemsize).T)
-    return len(cost).to_bytes(8, "little") + bytes([kind.itemsize]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack_costs(packed: bytes) -> np.ndarray:
-    count, width = int.from_bytes(packed[:8], "little"), packed[8]
-    planes = np.frombuffer(pa.decompress(packed[9:], count * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, count).T).view(f"<u{width}").ravel().astype(np.int64)
-
-
-def chunk_row(cost: np.ndarray, max_bytes: int, max_count: int) -> dict[str, object]:
-    """What a chunk hands over: its steps if they are few, else its packed costs."""
+def steps_of(cost: np.ndarray, chunk: int, max_bytes: int, max_count: int) -> Steps:
+    """A chunk's function; the file it leaves open began in it, unless the file it was handed never ends there."""
     steps = chunk_steps(cost, max_bytes, max_count)
-    if len(steps["closed"]) <= MAX_STEPS:
-        return {**steps, "packed": None}
-    return {**{k: v if k in ("n", "cost") else [] for k, v in steps.items()}, "packed": pack_costs(cost)}
-
-
-def _chunk_steps_task(max_bytes: int, max_count: int):
-    def task(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cost = rows.sort_values("_ordinal")[SIZE_COLUMN].to_numpy(np.int64)
-        return pd.DataFrame([{"worker": keys[0], "chunk": keys[1], **chunk_row(cost, max_bytes, max_count)}])
-
-    return task
-
-
-def _chain_task(max_bytes: int, max_count: int):
-    """Walk each worker's chunks in order; rows arrive sorted by (worker, chunk), state is four numbers.
-
-    ``open_unit`` is the chunk in which the file that is open began.
-    """
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker, segment, cost, count, unit = None, 0, 0, 0, 0
-        for batch in batches:
-            out = []
-            for steps in batch.itertuples(index=False):
-                if steps.worker != worker:
-                    worker, segment, cost, count, unit = steps.worker, 0, 0, 0, 0
-                out.append((worker, steps.chunk, segment, cost, count, unit))
-                fresh = count == 0
-                closed, cost, count = step_through(steps, cost, count, max_bytes, max_count)
-                segment += closed
-                if fresh or closed:
-                    unit = steps.chunk
-            yield pd.DataFrame(out, columns=["worker", "chunk", *_ENTRY_FIELDS])
-
-    return task
+    return Steps(**steps, unit=np.full(len(steps["closed"]), chunk))
 
 
 def cut_batch(
@@ -307,20 +247,22 @@ def _in_chunks(ranked: DataFrame, worker: str, chunk_rows: int) -> DataFrame:
     )
 
 
-def _entries(chunked: DataFrame, max_bytes: int, max_count: int) -> DataFrame:
+def _last_chunk(ranked: DataFrame, chunk_rows: int) -> int:
+    return (ranked.agg(F.max("_ordinal")).head()[0] or 0) // chunk_rows
+
+
+def _entries(chunked: DataFrame, last_chunk: int, max_bytes: int, max_count: int) -> DataFrame:
     """One row per chunk: the open file it is handed. Written once, so later checks and joins read the same rows."""
-    steps = (
-        chunked.select("_worker", "_chunk", "_ordinal", SIZE_COLUMN)
-        .groupBy("_worker", "_chunk")
-        .applyInPandas(_chunk_steps_task(max_bytes, max_count), _STEPS_SCHEMA)
-    )
-    entries = (
-        steps.repartition("worker")
-        .sortWithinPartitions("worker", "chunk")
-        .mapInPandas(_chain_task(max_bytes, max_count), _ENTRY_SCHEMA)
-        .withColumnsRenamed({"worker": "_worker", "chunk": "_chunk"})
-    )
-    return materialise(entries, "entries")
+    leaves = chain.functions(chunked, lambda cost, chunk: steps_of(cost, chunk, max_bytes, max_count), "_ordinal", SIZE_COLUMN)
+    handed = chain.entries(leaves, last_chunk, chain.Limits(max_bytes, max_count))
+    return handed.withColumnsRenamed({"worker": "_worker", "node": "_chunk"})
+
+
+def _with_entries(chunked: DataFrame, last_chunk: int, max_bytes: int, max_count: int) -> DataFrame:
+    """Rows with the open file their chunk is handed; there is none where each worker is one chunk."""
+    if last_chunk == 0:
+        return chunked.withColumns({f: F.lit(0).cast("bigint") for f in chain.ENTRY_FIELDS})
+    return chunked.join(checked_broadcast(_entries(chunked, last_chunk, max_bytes, max_count)), ["_worker", "_chunk"])
 
 
 def _together(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -362,9 +304,9 @@ def assign_segments(
     if length is not None:
         return ranked.select(*df.columns, F.expr(f"_ordinal div {length}L").alias(name))
     chunked = _in_chunks(ranked, worker, chunk_rows)
-    entries = checked_broadcast(_entries(chunked, size, count))
+    entered = _with_entries(chunked, _last_chunk(ranked, chunk_rows), size, count)
     keep = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    placed = _together(chunked.join(entries, ["_worker", "_chunk"]), ["_worker", "_chunk"], ["_ordinal"])
+    placed = _together(entered, ["_worker", "_chunk"], ["_ordinal"])
     return placed.mapInArrow(_cut_task(size, count, to_arrow_schema(keep)), keep)
 
 
@@ -399,8 +341,11 @@ def place_units(
     if length is not None:
         units = chunked.withColumns({"_unit": F.col("_chunk"), "_segment": F.col("_chunk")})
         return _together(units.select(*out), keys, order)
-    narrow = chunked.select("_worker", "_chunk", "_ordinal", SIZE_COLUMN)
-    entered = narrow.join(checked_broadcast(_entries(chunked, size, count)), ["_worker", "_chunk"])
+    last_chunk = _last_chunk(ranked, chunk_rows)
+    if last_chunk == 0:
+        zero = F.lit(0).cast("bigint")
+        return _together(chunked.withColumns({"_unit": zero, "_segment": zero}).select(*out), keys, order)
+    entered = _with_entries(chunked.select("_worker", "_chunk", "_ordinal", SIZE_COLUMN), last_chunk, size, count)
     starts = entered.groupBy("_worker", "_chunk").applyInPandas(_first_start_task(size, count), _START_SCHEMA)
     starts = checked_broadcast(materialise(starts, "starts"))
     # Rows before a chunk's first file start belong with the chunk in which their file began.

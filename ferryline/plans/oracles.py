@@ -341,7 +341,7 @@ select worker, seg segment_id, count(*) n, cast(sum(len) as bigint) as bytes fro
 
 
 ORACLES["segment_size"] = _segments("r.sz >= 20000")
-ORACLES["segment_size_over_chunks"] = _segments("r.sz >= 60000")
+ORACLES["segment_size_over_chunks"] = _segments("r.sz >= 400000")
 ORACLES["segment_size_or_count"] = _segments("r.sz >= 20000 or r.n >= 12")
 ORACLES["segment_unlimited"] = f"""
 select {_WORKER} worker, 0::bigint segment_id, count(*) n, cast(sum(strlen(text)) as bigint) as bytes from documents group by 1

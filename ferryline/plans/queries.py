@@ -764,7 +764,7 @@ def segment_size_or_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def segment_size_over_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are larger than the chunks a worker is worked out in."""
-    return _segmented(spark, sf_dir, 60_000, None, chunk_rows=8)
+    return _segmented(spark, sf_dir, 400_000, None, chunk_rows=64)
 
 
 @register

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ferryline import SpecError
-from ferryline.operators import ordinal, segment
+from ferryline.operators import chain, ordinal, segment
 from ferryline.sinks import topic as topic_sink
 
 
@@ -54,20 +54,49 @@ def test_steps_stay_few_when_cuts_fall_together():
 
 @pytest.mark.parametrize("limit", ["20 kb", "15 mb", "150 mb"])
 @pytest.mark.parametrize("count", [None, 300_000])
-def test_a_chunk_hands_over_little(limit, count):
-    cost = np.random.default_rng(2).integers(60, 600, 250_000)
-    limits = segment._limits(limit, count)
-    row = segment.chunk_row(cost, *limits)
-    assert len(row["closed"]) <= segment.MAX_STEPS and len(row["packed"] or b"") < 2 * len(cost)
-    whole, given = SimpleNamespace(**segment.chunk_steps(cost, *limits)), SimpleNamespace(**row)
-    for open_cost, open_count in ((0, 0), (70, 1), (limits[0] // 2, 77), (limits[0] - 1, 10)):
-        assert segment.step_through(given, open_cost, open_count, *limits) == segment.step_through(whole, open_cost, open_count, *limits)
+def test_a_chunk_hands_over_little_and_a_tree_of_chunks_not_more(limit, count):
+    """A function is short wherever files end in the stretch, and never has more steps than a file has elements."""
+    rng, limits = np.random.default_rng(2), chain.Limits(*segment._limits(limit, count))
+    parts = [rng.integers(60, 600, 250_000) for _ in range(chain.FAN)]
+    functions = [segment.steps_of(cost, i, *vars(limits).values()) for i, cost in enumerate(parts)]
+    whole = functions[0]
+    for one in functions[1:]:
+        whole = whole.then(one, limits)
+    longest_file = min(limits.max_count, limits.max_bytes // 300)
+    assert all(len(one.packed()) < 6 * min(len(one.closed), 1.2 * longest_file) + 2_000 for one in functions)
+    assert len(whole.packed()) < 6 * 1.2 * longest_file + 2_000
+    for open_cost, open_count in ((0, 0), (70, 1), (limits.max_bytes // 2, 77), (limits.max_bytes - 1, 10)):
+        state, closed = (open_cost, open_count), 0
+        for cost in parts:
+            _, closed, *state = segment.cut_batch(cost, closed, *state, limits.max_bytes, limits.max_count)
+        got = whole.outcomes(np.array([open_cost]), np.array([open_count]), limits)
+        assert [int(v[0]) for v in got[:3]] == [closed, *state]
 
 
-@pytest.mark.parametrize("top", [1, 255, 256, 70_000, 2**40])
-def test_costs_survive_packing(top):
-    cost = np.random.default_rng(3).integers(0, top + 1, 1_000)
-    assert (segment.unpack_costs(segment.pack_costs(cost)) == cost).all()
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(st.integers(2, 12), min_size=1, max_size=80),
+    st.one_of(st.integers(1, 90), st.just(segment.NO_LIMIT)),
+    st.one_of(st.integers(1, 25), st.just(segment.NO_LIMIT)),
+    st.integers(1, 9),
+    st.integers(0, 80),
+)
+def test_functions_compose(costs, max_bytes, max_count, chunk, before):
+    limits = chain.Limits(max_bytes, max_count)
+    functions = [segment.steps_of(np.array(costs[at : at + chunk], np.int64), at // chunk, max_bytes, max_count) for at in range(0, len(costs), chunk)]
+    while len(functions) > 1:
+        functions = [a.then(b[0], limits) if b else a for a, *b in (functions[i : i + 2] for i in range(0, len(functions), 2))]
+    whole = chain.Steps.unpacked(functions[0].packed())
+    open_count = min(-(-before // 7), max_count - 1)
+    open_cost = min(before, max_bytes - 1) if open_count else 0
+    open_count = open_count if open_cost else 0
+    ids, closed, *left = segment.cut_batch(np.array(costs, np.int64), 0, open_cost, open_count, max_bytes, max_count)
+    *got, unit = (int(v[0]) for v in whole.outcomes(np.array([open_cost]), np.array([open_count]), limits))
+    assert got == [closed, *left]
+    if left[1] and (closed or not open_count):
+        assert unit == (len(costs) - left[1]) // chunk
+    elif left[1]:
+        assert unit == -1
 
 
 @pytest.fixture(scope="module")
@@ -103,9 +132,9 @@ def test_assign_segments(elements, max_bytes, max_count, chunk_rows):
     assert found == want
 
 
-@pytest.mark.parametrize("max_bytes, max_count, chunk_rows", [LIMITS[0], LIMITS[3]])
-def test_assign_segments_with_packed_costs(elements, monkeypatch, max_bytes, max_count, chunk_rows):
-    monkeypatch.setattr(segment, "MAX_STEPS", 0)
+@pytest.mark.parametrize("max_bytes, max_count, chunk_rows", [LIMITS[0], LIMITS[3], (20_000, None, 7)])
+def test_assign_segments_over_many_levels(elements, monkeypatch, max_bytes, max_count, chunk_rows):
+    monkeypatch.setattr(chain, "FAN", 3)
     test_assign_segments(elements, max_bytes, max_count, chunk_rows)
 
 
@@ -237,7 +266,7 @@ def test_ordinal_without_key_and_with_null_keys(spark):
 def test_hot_key_is_spread(spark, monkeypatch):
     monkeypatch.setattr(ordinal, "ROWS_PER_BUCKET", 500)
     df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), ((F.col("id") * 7919) % 20_011).alias("o"))
-    placed = df.withColumn("bucket", ordinal._bucket(df, ["k", "o"])).groupBy("bucket").count()
+    placed = ordinal._with_bucket(df, ["k", "o"], "bucket").groupBy("bucket").count()
     assert placed.count() >= 20 and placed.agg(F.max("count")).head()[0] < 2_000
     ranked = ordinal.with_ordinal(df, ["o"], ["k"], "at")
     hot = ranked.filter("k = -1").orderBy("o").collect()
