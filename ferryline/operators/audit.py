@@ -118,11 +118,11 @@ def partition_counters(rows: DataFrame) -> DataFrame:
 
 def poll_counters(polls: Sequence[int]) -> dict[str, int]:
     """Counters of a streaming run from the records of each micro-batch; a micro-batch is a poll."""
-    return {
-        READ_RECORDS: sum(polls),
-        EMPTY_POLLS: sum(n == 0 for n in polls),
-        LAST_POLL_SIZE: polls[-1] if polls else 0,
-    }
+    return poll_totals(sum(polls), sum(n == 0 for n in polls), polls[-1] if polls else 0)
+
+
+def poll_totals(n_read: int, n_empty: int, last: int) -> dict[str, int]:
+    return {READ_RECORDS: n_read, EMPTY_POLLS: n_empty, LAST_POLL_SIZE: last}
 
 
 def merge_counters(counters: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:

@@ -22,6 +22,8 @@ from ferryline.sinks import topic as topic_sink
 from ferryline.sources import files as file_source
 from ferryline.sources import topic as topic_source
 from ferryline.streaming import available_now
+from ferryline.streaming.ledger import Ledger
+from ferryline.streaming.time_range import drain_time_range
 from ferryline.types import DataType, Platform, check_side
 
 SECTIONS = {
@@ -130,18 +132,24 @@ def _check_places(source: Side, sink: Side, env: Environment) -> None:
         raise SpecError("this instance may not write to a local folder")
 
 
+def _bounds(job: Job) -> topic_source.RecordRange:
+    options = job.source.options
+    return topic_source.RecordRange(int(options["from"]), int(options["to"]), topic_source.RangeType.parse(options["rangeType"]))
+
+
+def _messages(records: DataFrame, job: Job) -> DataFrame:
+    """Records of a topic as rows (ts_ms, value)."""
+    rows, kind = topic_source.records(records).select("ts_ms", "value"), job.source.data_type
+    if kind is DataType.PROTOBUF:
+        return rows
+    return codecs.decode_records(rows, kind, job.conversion.on_error, "value")
+
+
 def read(spark: SparkSession, job: Job, env: Environment, require: bool = True) -> DataFrame:
     """The source as rows (ts_ms, value). Values are bytes for protobuf, else the decoded type."""
-    options, kind = job.source.options, job.source.data_type
     if job.source.platform is not Platform.KAFKA:
         return _read_files(spark, job, env).select(F.lit(None).cast("bigint").alias("ts_ms"), "value")
-    bounds = topic_source.RecordRange(
-        int(options["from"]), int(options["to"]), topic_source.RangeType.parse(options["rangeType"])
-    )
-    rows = topic_source.records(topic_source.read(env.topics[options["topic"]], bounds, require)).select("ts_ms", "value")
-    if kind is DataType.PROTOBUF:
-        return rows
-    return codecs.decode_records(rows, kind, job.conversion.on_error, "value")
+    return _messages(topic_source.read(env.topics[job.source.options["topic"]], _bounds(job), require), job)
 
 
 def _file_range(job: Job) -> file_source.FileRange:
@@ -306,19 +314,18 @@ def run_available_now(
 ) -> Job:
     """The same job over a streaming topic: it drains what is there now and stops; a rerun goes on from there.
 
-    Only an OFFSET range can be told record by record. File sinks get one folder per micro-batch. The job's id comes
-    from the checkpoint's path, so a batch that is run again finds the files it wrote before and replaces them.
-    Records are counted batch by batch: those of the range, and those left out as bad.
+    A TIME range is told record by record, see ``streaming.time_range``. File sinks get one folder per micro-batch. The
+    job's id comes from the checkpoint's path, so a batch that is run again finds the files it wrote before and replaces
+    them. Records are counted batch by batch beside the checkpoint, those of the range and those left out as bad, so the
+    counters of a run that was resumed are those of the whole job.
     """
     job = resolve(spec, env, **conversion)
     job.job_id = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint.rstrip("/")).hex
     if job.source.platform is not Platform.KAFKA:
         raise SpecError("a streaming run reads a topic")
-    if topic_source.RangeType.parse(job.source.options["rangeType"]) is not topic_source.RangeType.OFFSET:
-        raise SpecError("a streaming run takes an OFFSET range")
-    record = _Record(log, job)
+    record, bounds = _Record(log, job), _bounds(job)
     record.created()
-    polls: dict[int, tuple[int, int]] = {}
+    polls = Ledger(spark, checkpoint, "polls", "number long, n_read long, n_skipped long")
 
     def write_batch(batch: DataFrame, number: int) -> None:
         seen, skipped = Observation(f"read-{number}"), Observation(f"skipped-{number}")
@@ -326,15 +333,24 @@ def run_available_now(
         observed = _is_observed(converted)
         write(converted, job, env, str(number), replace=True)
         left_out = int(skipped.get["n"]) if observed and job.conversion.on_error == "skip" else 0
-        polls[number] = (int(seen.get["n"]) if observed else 0, left_out)
+        n_read = int(seen.get["n"]) if observed else 0
+        polls.write(number, spark.createDataFrame([(number, n_read, left_out)], polls.schema))
 
     try:
-        available_now.drain_to_batches(read(spark, job, env, require=False), checkpoint, write_batch)
+        if bounds.kind is topic_source.RangeType.TIME:
+            topic = env.topics[job.source.options["topic"]]
+            stream = topic if isinstance(topic, DataFrame) else topic(bounds)
+            drain_time_range(stream, bounds, checkpoint, lambda batch, number: write_batch(_messages(batch, job), number))
+        else:
+            available_now.drain_to_batches(read(spark, job, env, require=False), checkpoint, write_batch)
     except Exception as error:
         record.failed(error)
         raise
-    counters = audit.poll_counters([polls[n][0] for n in sorted(polls)])
+    counted = polls.read_all()
+    last = counted.orderBy(F.col("number").desc()).head()
+    totals = counted.agg(F.sum("n_read").alias("n"), F.count_if(F.col("n_read") == 0).alias("empty"), F.sum("n_skipped").alias("skipped")).head()
+    counters = audit.poll_totals(totals["n"] or 0, totals["empty"], last["n_read"] if last else 0)
     if job.conversion.on_error == "skip":
-        counters[audit.SKIPPED_RECORDS] = sum(skipped for _, skipped in polls.values())
+        counters[audit.SKIPPED_RECORDS] = totals["skipped"] or 0
     record.finished(counters)
     return job

@@ -43,6 +43,7 @@ from {_SLICED}, {_OFFSETS} group by p
 ORACLES["topic_time_range"] = f"""
 {_TIME_ROWS} select p "partition", o "offset", t ts_ms from x where not bad
 """
+ORACLES["stream_time_range"] = ORACLES["topic_time_range"]
 ORACLES["topic_time_summary"] = f"""
 {_TIME_ROWS} select p "partition", count(*) n, min(o) first_off, max(o) last_off from x where not bad group by p
 """

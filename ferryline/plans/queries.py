@@ -23,6 +23,7 @@ from ferryline.sources import files as file_source
 from ferryline.sources import topic as topic_source
 from ferryline.sources.topic import RangeType, RecordRange
 from ferryline.streaming import available_now
+from ferryline.streaming.time_range import drain_time_range
 from ferryline.types import DataType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1067,6 +1068,30 @@ def stream_offset_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{work}/out")
 
 
+@register
+def stream_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``topic_time_range`` through a stream of several micro-batches that is stopped half-way and goes on.
+
+    The events come as files of rising offsets, one after the other. Half of them lie there at first; the rest come before the second run.
+    """
+    bounds, work = time_bounds(spark, sf_dir), shared_path(spark, "stream")
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).head()[0]
+    schema = user_topic(spark, sf_dir, disorder=True).schema
+    for half in ((0, 1), (2, 3)):
+        for quarter in half:
+            events.filter(F.expr(f"(event_id * 4) div {last + 1}L") == quarter).coalesce(1).write.parquet(f"{work}/feed/{quarter}")
+        feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{work}/feed")
+        topic = _as_topic(feed, F.col("user_id") % 4, disorder=True)
+
+        def keep(batch: DataFrame, number: int) -> None:
+            topic_source.records(batch).drop("value").write.mode("overwrite").parquet(f"{work}/out/{number}")
+
+        drain_time_range(topic, bounds, f"{work}/checkpoint", keep)
+    kept = T.StructType([schema["partition"], schema["offset"], T.StructField("ts_ms", T.LongType())])
+    return spark.read.schema(kept).option("recursiveFileLookup", "true").parquet(f"{work}/out")
+
+
 @register
 def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole job over a streaming topic: an offset range of protobuf messages into JSON array files."""

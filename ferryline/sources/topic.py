@@ -251,7 +251,40 @@ def kafka_topic(
     return open_range
 
 
+def stream_start(topic: str, bounds: RecordRange, beginnings: Mapping[int, int] | None = None, ends: Mapping[int, int] | None = None) -> dict[str, str]:
+    """Kafka reader options that let a stream begin where a range does instead of at the oldest record.
+
+    A TIME range begins at the first record that reaches its start, which the broker finds, also in partitions that have no
+    such record yet. An OFFSET range needs each partition's oldest and next offset, as Spark takes offsets only per partition.
+    """
+    if bounds.kind is RangeType.TIME:
+        return {"startingTimestamp": str(bounds.start), "startingOffsetsByTimestampStrategy": "latest"}
+    if beginnings is None or ends is None:
+        return {}
+    starts = {str(part): min(max(oldest, bounds.start), ends[part]) for part, oldest in sorted(beginnings.items())}
+    return {"startingOffsets": json.dumps({topic: starts})}
+
+
+def kafka_stream(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    log_bounds: Callable[[], tuple[Mapping[int, int], Mapping[int, int]]] | None = None,
+    **options: str,
+) -> Callable[[RecordRange], DataFrame]:
+    """A real topic for streaming jobs, opened where the job's range begins; the rules of the range are the job's."""
+
+    def open_range(bounds: RecordRange) -> DataFrame:
+        known = log_bounds() if log_bounds is not None and bounds.kind is RangeType.OFFSET else (None, None)
+        stream = open_stream(spark, servers, topic, **{**stream_start(topic, bounds, *known), **options})
+        return stream if bounds.kind is RangeType.TIME else read_offsets(stream, bounds)
+
+    return open_range
+
+
 def open_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """The streaming form of ``open_topic``, for ``availableNow`` runs; ``maxOffsetsPerTrigger`` bounds a batch."""
     settings = {"subscribe": topic, "startingOffsets": "earliest", **options}
+    if "startingTimestamp" in options:
+        del settings["startingOffsets"]
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).options(**settings).load()

@@ -175,11 +175,43 @@ def test_streaming_run(spark, env, tmp_path):
         jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
         assert names_in(spark, tmp_path / "dst") == sorted(f"s{i}" for i in range(3, 13))
     counters = [(r.name, r.counter_val) for r in log.table("counters").collect()]
-    assert sorted(v for n, v in counters if n == "_read_records") == [0, 10]
+    # The second run finds nothing new; its counters are still those of the whole job.
+    assert sorted(v for n, v in counters if n == "_read_records") == [10, 10]
     assert ("_empty_polls", 0) in counters
-    for bad in (spec(kafkaSource={"from": 0, "to": 1, "rangeType": "TIME", "topic": "in"}), spec(source="HDFS")):
-        with pytest.raises(SpecError, match="streaming run"):
-            jobs.run_available_now(spark, bad, env, str(tmp_path / "check2"))
+    with pytest.raises(SpecError, match="streaming run"):
+        jobs.run_available_now(spark, spec(source="HDFS"), env, str(tmp_path / "check2"))
+
+
+def test_streaming_run_over_a_time_range(spark, env, tmp_path):
+    small_batches(spark, env, tmp_path / "feed", 1)
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    ranged = spec(kafkaSource={"from": 3000, "to": 12_000, "rangeType": "TIME", "topic": "in"})
+    for _ in range(2):
+        jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
+        assert names_in(spark, tmp_path / "dst") == sorted(f"s{i}" for i in range(3, 13))
+    assert {r.counter_val for r in log.table("counters").filter("name = '_read_records'").collect()} == {10}
+
+
+def test_counters_of_a_resumed_run_are_those_of_the_whole_job(spark, env, tmp_path, monkeypatch):
+    small_batches(spark, env, tmp_path / "feed", 6)
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    ranged = spec(kafkaSource={"from": 3, "to": 14, "rangeType": "OFFSET", "topic": "in"})
+    whole, calls = jobs.write, []
+
+    def failing(rows, job, env, folder="", replace=False):
+        calls.append(folder)
+        whole(rows, job, env, folder, replace)
+        if folder == "3" and calls.count("3") == 1:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(jobs, "write", failing)
+    with pytest.raises(Exception, match="lost"):
+        jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
+    for _ in range(2):
+        jobs.run_available_now(spark, ranged, env, str(tmp_path / "check"), log)
+        assert names_in(spark, tmp_path / "dst") == sorted(f"s{i}" for i in range(3, 15))
+    counted = log.table("counters").filter("name = '_read_records'").collect()
+    assert [r.counter_val for r in counted] == [12, 12] and calls.count("3") == 2
 
 
 def test_poll_counters():

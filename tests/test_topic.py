@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferryline import EmptyRangeError, SpecError
 from ferryline.sources import topic
 from ferryline.sources.topic import RangeType, RecordRange
+from ferryline.streaming.time_range import TimeGate
 
 
 def make_topic(spark, rows):
@@ -200,3 +201,42 @@ def test_timestamps_are_utc(spark):
 def test_stream_offsets():
     progress = {"sources": [{"endOffset": '{"t": {"0": 5, "1": 7}}'}, {"endOffset": {"u": {"0": 2}}}, {"endOffset": None}]}
     assert topic.stream_offsets(progress) == {"t": {0: 5, 1: 7}, "u": {0: 2}}
+
+
+# --- time ranges of streams ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_time_gate_over_batches_equals_the_range_of_the_topic(spark, tmp_path, seed):
+    """Records in any order of time, cut into batches at any offset; a batch comes twice and a new gate goes on."""
+    draw = random.Random(seed)
+    rows = [(p, o, draw.randrange(0, 9000)) for p in range(5) for o in sorted(draw.sample(range(200), 30))]
+    bounds = RecordRange(draw.randrange(500, 3000), draw.randrange(5000, 8900), RangeType.TIME)
+    whole = make_topic(spark, rows)
+    cuts = sorted(draw.sample(range(200), 3))
+    got = []
+    for number, (low, high) in enumerate(zip([0, *cuts], [*cuts, 200])):
+        batch = whole.filter(F.col("offset").between(low, high - 1)).repartition(3)
+        gate = TimeGate(spark, bounds, str(tmp_path / "check"))
+        first = positions(gate.admit(batch, number))
+        assert positions(gate.admit(batch, number)) == first
+        got += first
+    assert sorted(got) == positions(topic.read_times(whole, bounds))
+
+
+def test_an_empty_batch_keeps_what_is_known(spark, tmp_path):
+    gate = TimeGate(spark, RecordRange(100, 200, RangeType.TIME), str(tmp_path / "check"))
+    none = make_topic(spark, [(0, 0, 0)]).limit(0)
+    assert positions(gate.admit(make_topic(spark, [(0, 1, 150), (1, 1, 50)]), 0)) == [(0, 1)]
+    assert positions(gate.admit(none, 1)) == []
+    assert positions(gate.admit(make_topic(spark, [(0, 2, 20), (0, 3, 250), (0, 4, 150), (1, 2, 120)]), 2)) == [(0, 2), (1, 2)]
+    assert positions(gate.admit(make_topic(spark, [(0, 5, 150), (1, 3, 10)]), 3)) == [(1, 3)]
+
+
+def test_a_stream_begins_where_its_range_does():
+    assert topic.stream_start("t", RecordRange(5, 9, RangeType.TIME)) == {
+        "startingTimestamp": "5", "startingOffsetsByTimestampStrategy": "latest",
+    }
+    assert topic.stream_start("t", RecordRange(5, 9)) == {}
+    starts = topic.stream_start("t", RecordRange(5, 9), {0: 0, 1: 7, 2: 0}, {0: 20, 1: 8, 2: 3})
+    assert json.loads(starts["startingOffsets"]) == {"t": {"0": 5, "1": 7, "2": 3}}
