@@ -8,8 +8,10 @@ groups is a power of two that grows with the set, as the bound says little about
 neighbouring resolutions are compared by adding up neighbouring groups.
 
 Blocks come from prefixes: sets with a similarity of at least 0.75 share one of the first ``n - ceil(0.75 n) + 1``
-shingles in any fixed order of all shingles. The order puts shingles that are frequent in a sample of
-``SAMPLE_DOCS`` documents last; the sample bears on the cost alone, every document is in the blocks of its prefix.
+shingles in any fixed order of all shingles. The order puts shingles last that are found ``FREQUENT`` times in one of
+``SAMPLED`` documents, so that a block has some ``FREQUENT * SAMPLED`` members at any size of the table unless nothing in its
+documents is rare. They go to the tasks as a filter of a fixed number of bits, which now and then takes another shingle
+for a frequent one, the same for all documents. Both bear on the cost alone: every document is in the blocks of its prefix.
 
 Groups of any size: equal sets are one node from the start. A first pass tests each set against the smallest id of
 one of its blocks and joins what is alike, so a large group of near copies is one component after it. The second pass
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm.components import components
@@ -39,11 +41,11 @@ from ferryline.session import materialise
 WIDTH = 5
 PERCENT = 75
 LEAST_GROUPS, SHINGLES_A_GROUP = 256, 4
-SAMPLE_DOCS = 5_000
+SAMPLED = 10
 FREQUENT = 5
-MAX_FREQUENT = 1 << 16
+ORDER_BITS = 1 << 26
 TILE = 256
-ROWS_A_TASK = 20_000
+POINT_BYTES_A_TASK = 24 << 20
 FANOUT = 16
 FILTER_BITS = 1 << 25
 _KEPT_WORDS = 1_000_000
@@ -100,20 +102,24 @@ def group_bits(n: int) -> int:
     return max(LEAST_GROUPS, n // SHINGLES_A_GROUP).bit_length() - 1
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def point(own: np.ndarray) -> np.ndarray:
     bits = group_bits(len(own))
-    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return _narrow(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
 
 
 def folded(counts: np.ndarray, bits: int) -> np.ndarray:
     """Counts by group at a resolution that is no finer."""
-    return counts.reshape(1 << bits, -1).sum(axis=1)
+    return counts if len(counts) == 1 << bits else _narrow(counts.reshape(1 << bits, -1).sum(axis=1))
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles found ``FREQUENT`` times or more in a sample of the documents, sorted; at most ``MAX_FREQUENT``."""
-    total = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("id", F.lit("order")), F.lit(max(total, 1))) < SAMPLE_DOCS)
+    """The shingles found ``FREQUENT`` times or more in one of ``SAMPLED`` documents, as bits: shingle h at its low bits."""
+    sample = docs.filter(F.pmod(F.xxhash64("id", F.lit("order")), F.lit(SAMPLED)) == 0)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +129,20 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(counts.astype(np.int64))], ["h", "n"])
 
     counted = sample.mapInArrow(emit, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    rows = counted.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    return _bit_table(counted, F.col("h").bitwiseAND(F.lit(ORDER_BITS - 1)), ORDER_BITS)
+
+
+def _bit_table(rows: DataFrame, spot: Column, size: int) -> np.ndarray:
+    """A table of ``size`` bits, set at the spots of ``rows``; fetched as words of 32, so no more than that comes to the driver."""
+    words = rows.select(F.shiftright(spot, 5).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 32).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(size // 32, np.uint32)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return table
+
+
+def _is_set(table: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (table[spots >> 5] >> (spots & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
 def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -142,13 +160,9 @@ def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     continue
                 keys = own.sum(), _mixed(own ^ _FACTORS[0]).sum()
                 wanted = prefix_length(len(own))
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-                    last = late[at] == own
-                    first = np.concatenate([own[~last][:wanted], own[last]])[:wanted]
-                else:
-                    first = own[:wanted]
-                packed = zipped(point(own).astype("<u4").tobytes())
+                last = _is_set(late, (own & np.uint64(ORDER_BITS - 1)).astype(np.int64))
+                first = np.concatenate([own[~last][:wanted], own[last][:wanted]])[:wanted]
+                packed = _packed(point(own))
                 rows.append((name, len(own), int(_signed(keys[0])), int(_signed(keys[1])), _signed(first), packed))
             if len(hashes) > _KEPT_WORDS:
                 hashes.clear()
@@ -182,18 +196,13 @@ def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     It only spares the join that follows some rows; the more ids there are, the fewer it spares.
     """
     spot = F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(spot, 5).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, 'filter'), {FILTER_BITS}) % 32 as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(ids, spot, FILTER_BITS))
 
     @F.pandas_udf("boolean")
     def possible(at):
         import pandas
 
-        spots = at.to_numpy(np.int64)
-        return pandas.Series((sent.value[spots >> 5] >> (spots & 31).astype(np.uint32)) & 1 == 1)
+        return pandas.Series(_is_set(sent.value, at.to_numpy(np.int64)))
 
     return docs.withColumn("_spot", F.coalesce(spot, F.lit(0))).filter(possible("_spot")).drop("_spot")
 
@@ -252,8 +261,12 @@ class RTree:
         return self.order[at]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return bytes([counts.itemsize]) + zipped(counts.tobytes())
+
+
 def _point(packed: bytes) -> np.ndarray:
-    return np.frombuffer(unzipped(packed), "<u4").astype(np.int64)
+    return np.frombuffer(unzipped(packed[1:]), f"<u{packed[0]}")
 
 
 @dataclass
@@ -275,6 +288,10 @@ class _Members:
         return _Members(*columns, points, np.array([len(p).bit_length() - 1 for p in points]))
 
 
+def _stacked(points: list[np.ndarray]) -> np.ndarray:
+    return np.stack(points, dtype=np.result_type(*{p.dtype for p in points}), casting="safe")
+
+
 def _join_block(members: _Members, begin: int, end: int, tiles: tuple[int, int]) -> set[tuple[int, int]]:
     """Pairs across components of a block (or of two of its tiles) that the points allow."""
     rows, found = np.arange(begin, end), set()
@@ -287,7 +304,7 @@ def _join_block(members: _Members, begin: int, end: int, tiles: tuple[int, int])
         held, asking = (x[(members.bits[x] == level) | (members.bits[x] == level + 1)] for x in (other, own))
         if not len(held) or not len(asking):
             continue
-        near = RTree(members.sizes[held], np.stack([folded(members.points[j], level) for j in held])).candidates
+        near = RTree(members.sizes[held], _stacked([folded(members.points[j], level) for j in held])).candidates
         for k in asking:
             for j in held[near(int(members.sizes[k]), folded(members.points[k], level))]:
                 if members.components[j] != members.components[k] and (tiles[0] != tiles[1] or members.ids[j] > members.ids[k]):
@@ -309,7 +326,10 @@ def across(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumns({"low_tile": F.least("tile", "other"), "high_tile": F.greatest("tile", "other")})
     rows = materialise(rows.select("h", "low_tile", "high_tile", "tile", "id", "component"), "tiles")
-    tasks = max(256, -(-rows.count() // ROWS_A_TASK))
+    # Longer sets have more groups and are in more blocks.
+    width, places = F.greatest(F.lit(LEAST_GROUPS), F.col("n_shingles") / SHINGLES_A_GROUP), F.size("prefix")
+    wide = found.agg((F.sum(width * places) / F.sum(places)).alias("bytes")).head()["bytes"] or LEAST_GROUPS
+    tasks = max(256, int(rows.count() * wide / POINT_BYTES_A_TASK) + 1)
     task = F.pmod(F.xxhash64("h", "low_tile", "high_tile"), F.lit(tasks)).cast("int")
     dealt = rows.join(vectors, "id").withColumn("task", task)
 
