@@ -38,6 +38,9 @@ SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 60_000
 ROUNDS = 4
 MAX_LANGUAGES = 1_000
+# A text is unlike its language where a character is, on average, less likely by this factor's logarithm than in a median text.
+FLOOR_MARGIN = 1.5
+FLOOR_WIDTHS = 6.0
 _PRIOR = 0.02
 _KEPT_WORDS = 500_000
 
@@ -226,16 +229,19 @@ class _Scorer:
         self.seen.default_factory = self.seen.__len__
         self.scores = np.zeros((0, len(self.model.languages)))
         self.letters = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     def extend(self) -> None:
         """Scores the words that are new."""
         fresh = list(self.seen)[len(self.letters) :]
         scores, letters = np.zeros((len(fresh), self.scores.shape[1])), np.zeros(len(fresh), np.int64)
+        sizes = np.zeros(len(fresh), np.int64)
         parts: dict[bytes, int] = {}
         owner, part = [], []
         for k, word in enumerate(fresh):
             for run in letter_runs(word.decode()):
                 letters[k] += 1
+                sizes[k] += len(run.decode())
                 for at in range(0, len(run), STRETCH):
                     owner.append(k)
                     part.append(parts.setdefault(run[at : at + STRETCH], len(parts)))
@@ -244,12 +250,19 @@ class _Scorer:
         if found:
             np.add.at(scores, np.array(owner), np.concatenate(found)[np.array(part)])
         self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the columns ``pred`` and ``score`` (in place of such columns); only ``text`` is looked at."""
+def predict(
+    docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score", rate: str | None = None
+) -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score`` (in place of such columns); only ``text`` is looked at.
+
+    With ``rate`` also the log likelihood of the text in its language by character of its runs; null where it has none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.pieces.listed, model.languages, model.table))
-    kept = docs.drop(pred, score)
+    names_added = [pred, score] + ([rate] if rate else [])
+    kept = docs.drop(*names_added)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, languages, chances = sent.value
@@ -261,20 +274,41 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
                 words = body.split()
                 codes.append(np.fromiter(map(scorer.seen.__getitem__, words), np.int64, len(words)))
             scorer.extend()
-            names, shares = [], []
+            names, shares, rates = [], [], []
             for code in codes:
                 if not own.languages or not scorer.letters[code].sum():
                     names.append("und")
                     shares.append(0.0)
+                    rates.append(None)
                     continue
                 total = scorer.scores[code].sum(axis=0)
                 best = int(total.argmax())
                 names.append(own.languages[best])
                 shares.append(float(1 / np.exp(total - total[best]).sum()))
+                rates.append(float(total[best] / scorer.sizes[code].sum()))
             if len(scorer.seen) > _KEPT_WORDS:
                 scorer.clear()
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, pred, score])
+            added = [pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(rates, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added[: len(names_added)]], [*batch.schema.names, *names_added])
+
+    types = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    fields = [T.StructField(name, kind) for name, kind in zip(names_added, types, strict=False)]
+    return kept.mapInArrow(label, T.StructType([*kept.schema.fields, *fields]))
+
+
+def rate_floors(docs: DataFrame, model: Model, text: str = "text") -> dict[str, float]:
+    """For each language the rate (see ``predict``) below which a text is unlike the texts of ``docs`` told to be in it.
+
+    ``docs`` is a bounded sample. The floor lies ``FLOOR_MARGIN`` below the median, or ``FLOOR_WIDTHS`` times the distance of the
+    rate that one text in twenty falls short of where that is more.
+    """
+    told = predict(docs.select(text), model, text, "pred", "score", "rate").filter("rate is not null")
+    found = told.groupBy("pred").agg(F.percentile_approx("rate", [0.05, 0.5], 1_000).alias("q")).collect()
+    return {r["pred"]: r["q"][1] - max(FLOOR_MARGIN, FLOOR_WIDTHS * (r["q"][1] - r["q"][0])) for r in found}
+
 
-    added = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
-    return kept.mapInArrow(label, T.StructType([*kept.schema.fields, *added]))
+def sampled(labelled: DataFrame, lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """About ``SAMPLE_DOCS`` rows of each language, the same each time."""
+    sizes = labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_label")).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 30)) * F.col("_n") < F.lit(SAMPLE_DOCS << 30)
+    return labelled.join(F.broadcast(sizes.limit(MAX_LANGUAGES + 1)), F.col(lang) == F.col("_label")).filter(share).select(*labelled.columns)
