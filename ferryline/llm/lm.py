@@ -42,14 +42,18 @@ from ferryline.session import materialise
 LEAST_VOCABULARY = 2048
 WORDS_PER_ROOT, ROOTS_PER_GROUP = 8, 16
 HIDDEN = 16
-WINDOW = 24
+WINDOW = 48
 LEAST_LANES, MOST_LANES, WINDOWS = 8, 256, 400
-GROUP_TOKENS = 3_000_000
+# Scores do not depend on these.
+SCORING_WINDOW, SCORING_LANES, SCORING_WINDOWS = 96, 512, 16
+GROUP_TOKENS = 6_000_000
 ROUNDS = 3
 RATE = 0.005
 LOOKS = 24
 _HIGHEST = np.float32(60)
 _CHUNKS = 8
+# Chances of so many (state, choice) pairs are worked out at a time, so that they stay in a core's cache.
+_AT_A_TIME = 1 << 17
 _KEEP, _KEEP_SQUARE = 0.9, 0.999
 
 CODED_SCHEMA = (
@@ -238,21 +242,38 @@ def _code_block(layout: Layout, counts: Counts):
     return code_block
 
 
-def _softmax(states: np.ndarray, weights: np.ndarray, picked: np.ndarray, slope: np.ndarray | None, count: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log chance of the picked column in each row; with ``slope``, adds to it the gradient of the sum over ``count``."""
+def _softmax(
+    states: np.ndarray, weights: np.ndarray, picked: np.ndarray, out: np.ndarray, slope: np.ndarray | None, grad: np.ndarray | None, count: int
+) -> None:
+    """Adds the log chance of the picked column of each row to ``out``.
+
+    With ``slope`` also the gradients of the sum over ``count``: of the weights to ``slope``, of the states to ``grad``.
+    """
+    step = max(64, _AT_A_TIME // weights.shape[1])
+    if len(states) > step:
+        for at in range(0, len(states), step):
+            cut = slice(at, at + step)
+            _softmax(states[cut], weights, picked[cut], out[cut], slope, None if grad is None else grad[cut], count)
+        return
     scores = states @ weights
     np.minimum(scores, _HIGHEST, out=scores)
-    rows = np.arange(len(states))
-    out = scores[rows, picked]
+    at = picked + _starts(len(states), weights.shape[1])
+    flat = scores.ravel()
+    out += flat[at]
     weight = np.exp(scores, out=scores)
     total = weight @ np.ones(weight.shape[1], np.float32)
     out -= np.log(total)
-    if slope is None:
-        return out, None
-    weight *= (-1 / (total * count))[:, None]
-    weight[rows, picked] += np.float32(1 / count)
-    slope += states.T @ weight
-    return out, weight @ weights.T
+    if slope is not None:
+        total *= -count
+        weight /= total[:, None]
+        flat[at] += np.float32(1 / count)
+        slope += states.T @ weight
+        grad += weight @ weights.T
+
+
+def _starts(rows: int, width: int) -> np.ndarray:
+    """Where each row of a grid begins in its flat form."""
+    return np.arange(0, rows * width, width)
 
 
 class Network:
@@ -279,23 +300,30 @@ class Network:
 
     def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
         """States after each step (steps, lanes, hidden and a constant 1), the last state, and what the way back needs."""
-        h, back = HIDDEN, self.parts["back"]
-        drive = self.parts["into"][inputs]
-        states, trail = np.ones((len(inputs), inputs.shape[1], h + 1), np.float32), []
+        # Lanes lie side by side, so that each gate of all lanes is one stretch of memory.
+        h, back = HIDDEN, np.ascontiguousarray(self.parts["back"].T)
+        into = self.parts["into"]
+        states, trail, state = np.ones((len(inputs), h + 1, inputs.shape[1]), np.float32), [], np.ascontiguousarray(state.T)
         for t in range(len(inputs)):
             if fresh[t].any():
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-            pull = state @ back
-            gates = np.tanh((drive[t, :, : 2 * h] + pull[:, : 2 * h]) * np.float32(0.5))
+                state = np.where(fresh[t], np.float32(0), state)
+            drive, pull = np.ascontiguousarray(into[inputs[t]].T), back @ state
+            gates = drive[: 2 * h] + pull[: 2 * h]
+            gates *= np.float32(0.5)
+            np.tanh(gates, out=gates)
             gates += 1
             gates *= np.float32(0.5)
-            reset, hold = gates[:, :h], gates[:, h:]
-            new = np.tanh(drive[t, :, 2 * h :] + reset * pull[:, 2 * h :])
-            after = new + hold * (state - new)
+            reset, hold = gates[:h], gates[h:]
+            new = reset * pull[2 * h :]
+            new += drive[2 * h :]
+            np.tanh(new, out=new)
+            after = state - new
+            after *= hold
+            after += new
             if keep:
-                trail.append((state, reset, hold, new, pull[:, 2 * h :]))
-            states[t, :, :h] = state = after
-        return states, state, trail
+                trail.append((state, reset, hold, new, pull[2 * h :]))
+            states[t, :h] = state = after
+        return states.transpose(0, 2, 1), state.T, trail
 
     def log_chance(self, states: np.ndarray, targets: np.ndarray, slope: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the chance of each target (of its group for words outside the vocabulary).
@@ -304,20 +332,19 @@ class Network:
         """
         layout, p = self.layout, self.parts
         owner = layout.class_of[targets].astype(np.uint16 if len(layout.log_class) < 1 << 16 else np.int64)
-        out, grad = _softmax(states, p["class_w"], owner, None if slope is None else slope["class_w"], len(targets))
         order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(len(layout.begin)))
-        for k in range(len(layout.begin) - 1):
-            a, b = layout.begin[k], layout.begin[k + 1]
-            own = order[cuts[k] : cuts[k + 1]]
-            if b - a < 2 or not len(own):
-                continue
-            rows = None if slope is None else slope["word_w"][a:b].T
-            chance, shown = _softmax(states[own], p["word_w"][a:b].T, targets[own] - a, rows, len(targets))
-            out[own] += chance
-            if slope is not None:
-                grad[own] += shown
-        return out, grad
+        # Rows of a class stand together from here on.
+        owner, own_states = owner[order].astype(np.int64), states[order]
+        member, cuts = targets[order] - layout.begin[owner], np.searchsorted(owner, np.arange(len(layout.begin)))
+        out, grad = np.zeros(len(targets), np.float32), None if slope is None else np.zeros_like(own_states)
+        _softmax(own_states, p["class_w"], owner, out, None if slope is None else slope["class_w"], grad, len(targets))
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(layout.begin) > 1)).tolist():
+            own, codes = slice(cuts[k], cuts[k + 1]), slice(layout.begin[k], layout.begin[k + 1])
+            rows, shown = (None, None) if slope is None else (slope["word_w"][codes].T, grad[own])
+            _softmax(own_states[own], p["word_w"][codes].T, member[own], out[own], rows, shown, len(targets))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return out[place], None if grad is None else grad[place]
 
     def slopes(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, state: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient of the mean log chance of a window, cut at its first step; and the state to go on with."""
@@ -328,21 +355,29 @@ class Network:
         shown = np.zeros(states.shape[:2] + (h,), np.float32)
         _, grad = self.log_chance(states[live], targets[live], slope)
         shown[live] = grad[:, :h]
-        drive = np.empty((len(inputs), inputs.shape[1], 3 * h), np.float32)
-        ahead, back = np.zeros_like(last), self.parts["back"]
+        shown = np.ascontiguousarray(shown.transpose(0, 2, 1))
+        drive = np.empty((len(inputs), 3 * h, inputs.shape[1]), np.float32)
+        ahead, back = np.zeros((h, inputs.shape[1]), np.float32), self.parts["back"]
         for t in range(len(inputs) - 1, -1, -1):
             before, reset, hold, new, pulled = trail[t]
             ahead += shown[t]
-            d_new = ahead * (1 - hold) * (1 - new * new)
-            d_hold = ahead * (before - new) * hold * (1 - hold)
-            d_reset = d_new * pulled * reset * (1 - reset)
-            own = drive[t]
-            own[:, :h], own[:, h : 2 * h], own[:, 2 * h :] = d_reset, d_hold, d_new
-            d_pull = own.copy()
-            d_pull[:, 2 * h :] *= reset
-            slope["back"] += before.T @ d_pull
-            ahead = (ahead * hold + d_pull @ back.T) * ~fresh[t][:, None]
-        flat_inputs, rows = inputs.ravel(), drive.reshape(-1, 3 * h)
+            d_reset, d_hold, d_new = drive[t, :h], drive[t, h : 2 * h], drive[t, 2 * h :]
+            np.multiply(ahead, 1 - hold, out=d_new)
+            np.multiply(d_new, hold, out=d_hold)
+            d_hold *= before - new
+            d_new *= 1 - new * new
+            np.multiply(d_new, pulled, out=d_reset)
+            d_reset *= reset
+            d_pull = drive[t].copy()
+            d_pull[2 * h :] *= reset
+            d_reset *= 1 - reset
+            d_pull[:h] = d_reset
+            slope["back"] += before @ d_pull.T
+            ahead *= hold
+            ahead += back @ d_pull
+            if fresh[t].any():
+                ahead *= ~fresh[t]
+        flat_inputs, rows = inputs.ravel(), drive.transpose(0, 2, 1).reshape(-1, 3 * h)
         order = np.argsort(flat_inputs, kind="stable")
         first = np.flatnonzero(np.append(True, flat_inputs[order][1:] != flat_inputs[order][:-1]))
         slope["into"][flat_inputs[order][first]] += np.add.reduceat(rows[order], first, axis=0)
@@ -370,9 +405,9 @@ class Lanes:
     start: int
 
     @staticmethod
-    def of(streams: list[np.ndarray], start: int) -> Lanes:
+    def of(streams: list[np.ndarray], start: int, most: int = MOST_LANES, windows: int = WINDOWS) -> Lanes:
         # Few lanes for few tokens, so that a small corpus still gives many windows to learn from.
-        wanted = min(MOST_LANES, max(LEAST_LANES, sum(map(len, streams)) // (WINDOW * WINDOWS)))
+        wanted = min(most, max(LEAST_LANES, sum(map(len, streams)) // (WINDOW * windows)))
         lanes: list[list[int]] = [[] for _ in range(min(wanted, len(streams)))]
         heap = [(0, k) for k in range(len(lanes))]
         for i in sorted(range(len(streams)), key=lambda i: -len(streams[i])):
@@ -389,15 +424,15 @@ class Lanes:
     def width(self) -> int:
         return len(self.begin) - 1
 
-    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def windows(self, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Inputs, targets, first steps of documents, and documents (-1 beyond a lane's end) of each stretch of steps.
 
         Each is a grid of (steps, lanes) over the lanes that have any step in it.
         """
         lengths = np.diff(self.begin)
-        for at in range(0, int(lengths[0]), WINDOW):
+        for at in range(0, int(lengths[0]), window):
             lanes = int((lengths > at).sum())
-            step = np.arange(at, min(at + WINDOW, int(lengths[0])))[:, None]
+            step = np.arange(at, min(at + window, int(lengths[0])))[:, None]
             live, where = step < lengths[:lanes], np.minimum(step, lengths[:lanes] - 1) + self.begin[:lanes]
             before = np.maximum(where - 1, 0)
             fresh = live & ((step == 0) | (self.document[where] != self.document[before]))
@@ -425,11 +460,28 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield group
 
 
+def _advance(slope: np.ndarray, mean: np.ndarray, square: np.ndarray, rows: np.ndarray | slice, step: float) -> np.ndarray:
+    """What the weights of ``rows`` change by; their running means are brought up to date."""
+    new = mean[rows] * np.float32(_KEEP)
+    new += slope * np.float32(1 - _KEEP)
+    mean[rows] = new
+    spread = square[rows] * np.float32(_KEEP_SQUARE)
+    slope *= slope
+    slope *= np.float32(1 - _KEEP_SQUARE)
+    spread += slope
+    square[rows] = spread
+    np.sqrt(spread, out=spread)
+    spread += np.float32(1e-8)
+    new /= spread
+    new *= np.float32(step)
+    return new
+
+
 def _train(layout: Layout, flat: np.ndarray):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, tokens = Network(layout, flat), 0
-        mean, square, number = np.zeros_like(network.flat), np.zeros_like(network.flat), 0
-        scratch = np.empty_like(network.flat)
+        moments, number = (np.zeros_like(network.flat), np.zeros_like(network.flat)), 0
+        mean, square = (_views(network, m) for m in moments)
         for group in _groups(batches):
             streams = [s for row in group for s, mark in zip(_streams(row), row["marks"], strict=True) if mark]
             if not streams:
@@ -441,13 +493,11 @@ def _train(layout: Layout, flat: np.ndarray):
                 grown, state = network.slopes(inputs, fresh, targets, state[: inputs.shape[1]], live)
                 number += 1
                 step = RATE * math.sqrt(1 - _KEEP_SQUARE**number) / (1 - _KEEP**number)
-                square *= np.float32(_KEEP_SQUARE)
-                square += np.multiply(np.multiply(grown, grown, out=scratch), np.float32(1 - _KEEP_SQUARE), out=scratch)
-                mean *= np.float32(_KEEP)
-                mean += np.multiply(grown, np.float32(1 - _KEEP), out=grown)
-                np.add(np.sqrt(square, out=scratch), np.float32(1e-8), out=scratch)
-                np.divide(mean, scratch, out=scratch)
-                network.flat += np.multiply(scratch, np.float32(step), out=scratch)
+                slope, read = _views(network, grown), np.unique(inputs)
+                for name, part in network.parts.items():
+                    # Rows of words that the window does not read stay as they are.
+                    rows = read if name == "into" else slice(None)
+                    part[rows] += _advance(slope[name][rows], mean[name], square[name], rows, step)
                 tokens += int(live.sum())
         if tokens:
             chunk = np.array_split(network.flat, _CHUNKS)
@@ -486,9 +536,9 @@ def _score(layout: Layout, flat: np.ndarray, train_tokens: int):
         for group in _groups(batches):
             streams = [s for row in group for s in _streams(row)]
             total = np.zeros(len(streams))
-            lanes = Lanes.of(streams, layout.start)
+            lanes = Lanes.of(streams, layout.start, SCORING_LANES, SCORING_WINDOWS)
             state = np.zeros((lanes.width, HIDDEN), np.float32)
-            for inputs, targets, fresh, document in lanes.windows():
+            for inputs, targets, fresh, document in lanes.windows(SCORING_WINDOW):
                 states, state, _ = network.run(inputs, fresh, state[: inputs.shape[1]], keep=False)
                 live = document >= 0
                 chance, _ = network.log_chance(states[live], targets[live])
