@@ -9,8 +9,12 @@ Queries and rows meet in cells of bounded size: each group of queries visits eve
 cell are ranked at the end. Pivots are spread points of a sample of ``POOL`` rows; every row has its place in the
 table, and the search is exact whichever pivots are taken.
 
-Defined cases: vectors that are null, hold null or non-finite components, have no id, or a squared integer norm of
-2 ** 52 or more take no part. Shorter vectors count as padded with zeros, and one without components is all zeros.
+Distances are floats, which tell whole numbers apart only up to a point. Rows with a squared integer norm of 2 ** 52 or
+more, "long" ones, therefore stay out of the pivot table: every score that involves one is worked out in whole numbers,
+in the same cells.
+
+Defined cases: vectors that are null, hold null or non-finite components (256 times which counts as well), or have no id
+take no part. A score beyond 64 bits that would be among the best is an error. Shorter vectors count as padded with zeros, and one without components is all zeros.
 Rows that share an id are one candidate and one query, with the highest score of any of their vectors. Ties go to the
 smaller id. A query without candidates has no row. Other columns are ignored.
 """
@@ -30,8 +34,10 @@ POOL = 1024
 PIVOTS = 16
 ROWS_A_CELL = 16_384
 QUERIES_A_CELL = 1_024
-_NORM_LIMIT = float(1 << 52)
+_LONG = float(1 << 52)
 _FIRST = 128
+# Stands for scores too low for 64 bits.
+_LOWEST = -(2**63 - 1)
 
 ROWS_SCHEMA = "vec_id long, width int, vector binary, norm double"
 FOUND_SCHEMA = "query_id long, vec_id long, score long"
@@ -47,9 +53,9 @@ def integer_rows(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
                 if name is None or not values.is_valid or values.values.null_count:
                     continue
                 whole = np.floor(SCALE * values.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                norm = float(whole @ whole) if np.isfinite(whole).all() else math.inf
-                if norm < _NORM_LIMIT:
-                    rows.append((name, len(whole), whole.tobytes(), norm))
+                if np.isfinite(whole).all():
+                    with np.errstate(over="ignore"):
+                        rows.append((name, len(whole), whole.tobytes(), float(whole @ whole)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int32(), pa.binary(), pa.float64()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -117,25 +123,50 @@ def nearest_in_cell(ids: np.ndarray, rows: np.ndarray, bound: np.ndarray, point:
     return scores, names
 
 
+def whole_scores(point: np.ndarray, norm: float, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers; one that is too high for 64 bits is an error, one too low is ``_LOWEST``."""
+    out = np.empty(len(rows), np.int64)
+    # No component is longer than its vector, and no part of a sum beyond the product of the lengths.
+    reach, lengths = math.sqrt(norm), np.sqrt(norms)
+    plain = (reach < 2.0**61) & (lengths < 2.0**61) & (np.minimum(reach, 2.0**61) * np.minimum(lengths, 2.0**61) < 2.0**61)
+    if plain.any():
+        out[plain] = rows[plain].astype(np.int64) @ point.astype(np.int64)
+    wide = [int(v) for v in point.tolist()] if not plain.all() else []
+    for at in np.flatnonzero(~plain):
+        score = sum(a * int(b) for a, b in zip(wide, rows[at].tolist(), strict=True))
+        if score >= 1 << 63:
+            raise ValueError(f"a score of {score} is beyond 64 bits")
+        out[at] = max(score, _LOWEST)
+    return out
+
+
 def _search(k: int, norm: float, pivots: np.ndarray):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         width = pivots.shape[1] - 1
-        ids = right["vec_id"].to_numpy()
-        rows = _matrix(right["vector"].to_pylist(), width)
-        lift = np.sqrt(np.maximum(norm - right["norm"].to_numpy(), 0))
+        all_ids, all_rows, norms = right["vec_id"].to_numpy(), _matrix(right["vector"].to_pylist(), width), right["norm"].to_numpy()
+        short = norms < _LONG
+        ids, rows = (all_ids, all_rows) if short.all() else (all_ids[short], all_rows[short])
+        lift = np.sqrt(np.maximum(norm - norms[short], 0))
         # Distances of the pivot table: a line for each pivot.
         row_pivots = np.ascontiguousarray(_to_pivots(rows, pivots, lift).T.astype(np.float32))
-        names = left["vec_id"].to_pylist()
+        names, lengths = left["vec_id"].to_pylist(), left["norm"].to_pylist()
         points = _matrix(left["vector"].to_pylist(), width)
-        near = _to_pivots(points, pivots, np.zeros(len(points))).astype(np.float32)
-        unlike = len(np.unique(ids)) == len(ids)
+        unlike = len(np.unique(all_ids)) == len(all_ids)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for name, point, own in zip(names, points, near, strict=True):
-            bound = np.zeros(len(ids), np.float32)
-            for line, distance in zip(row_pivots, own, strict=True):
-                np.maximum(bound, np.abs(line - distance), out=bound)
-            bound[ids == name] = np.inf
-            scores, best = nearest_in_cell(ids, rows, bound, point, norm, k, unlike)
+        for name, point, length in zip(names, points, lengths, strict=True):
+            scores, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if length < _LONG:
+                bound = np.zeros(len(ids), np.float32)
+                near = _to_pivots(point[None, :], pivots, np.zeros(1)).astype(np.float32)[0]
+                for line, distance in zip(row_pivots, near, strict=True):
+                    np.maximum(bound, np.abs(line - distance), out=bound)
+                bound[ids == name] = np.inf
+                scores, best = nearest_in_cell(ids, rows, bound, point, norm, k, unlike)
+            # What the table does not hold: long rows, or all rows for a long query.
+            rest = (all_ids != name) & (~short if length < _LONG else True)
+            if rest.any():
+                more = whole_scores(point, length, all_rows[rest], norms[rest])
+                scores, best = _best(np.concatenate([scores.astype(np.int64), more]), np.concatenate([best, all_ids[rest]]), k, unlike)
             found.append((np.full(len(best), name), best, scores.astype(np.int64)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
@@ -150,10 +181,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     """
     rows = integer_rows(vectors, vec_id, vector)
     size = rows.agg(
-        F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("queries"), F.max("norm").alias("norm"), F.max("width").alias("width")
+        F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("queries"), F.max(F.when(F.col("norm") < _LONG, F.col("norm"))).alias("norm"),
+        F.max("width").alias("width"),
     ).head()
     norm, width = float(size["norm"] or 0), int(size["width"] or 0)
-    pool = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(POOL).collect()
+    pool = rows.filter(F.col("norm") < _LONG).orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(POOL).collect()
     points = _matrix([bytes(r["vector"]) for r in pool], width) if pool else np.zeros((1, width))
     lifted = np.column_stack([points, np.sqrt(np.maximum(norm - (points**2).sum(axis=1), 0))])
     pivots = spread_points(lifted, PIVOTS)
@@ -173,4 +205,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     found = met.applyInArrow(_search(k, norm, pivots), FOUND_SCHEMA)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    too_low = F.raise_error(F.lit("a score is beyond 64 bits")).cast("long")
+    score = F.when(F.col("score") == _LOWEST, too_low).otherwise(F.col("score")).alias("score")
+    return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

@@ -107,6 +107,25 @@ def test_top_k(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == top_by_hand(rows, 5)
 
 
+def test_top_k_with_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_A_CELL", 20)
+    random = np.random.default_rng(4)
+    rows = [(i, random.normal(size=3).tolist()) for i in range(60)]
+    rows += [(i, [2e6, 0.0, float(i)]) for i in (60, 61, 62)] + [(100, [3e5, 0.0, 1.0]), (150, [-2.5e9, 1.0, 0.5]), (151, [1e7, -3e9, 2.0]), (200, [0.0, 7.0e4 + 1 / 256, 0.0])]
+    rows += [(63, [1e3, 0.0, 1e12]), (250, [0.5, 1e9, 1e-3])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = top_by_hand(rows, 5)
+    got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(map(tuple, got)) == want and {r.query_id for r in got} == {0, 50, 100, 150, 200, 250}
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    for sign in (1.0, -1.0):
+        vectors = spark.createDataFrame([(0, [1e15]), (1, [sign * 1e15])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.top_k(vectors, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_top_k_of_nothing_and_of_one(spark):
     schema = "vec_id long, embedding array<float>"
     for rows in ([], [(0, [1.0])]):
