@@ -152,6 +152,28 @@ def test_deltas_and_repeated_commits(spark, odd, empty, tmp_path):
         rollup.commit("../x", token_counts.inserted(odd, "words/1"))
 
 
+def test_totals_of_many_batches_before_and_after_compaction(spark, odd, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    assert rollup.compact() == 0
+    plus, minus = token_counts.inserted(odd, "words/1"), token_counts.deleted(odd, "words/1")
+    for n in range(6):
+        rollup.commit(f"b{n}", minus if n == 4 else plus)
+    want = {(r.source, r.lang): r.n_tokens * 4 for r in rollup.deltas(["b0"]).collect()}
+
+    def totals():
+        return {(r.source, r.lang): r.n_tokens for r in rollup.totals().collect()}
+
+    assert totals() == want and rollup.deltas()._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert rollup.compact() == 6 and totals() == want and rollup.batches() == [f"b{n}" for n in range(6)]
+    assert not rollup.commit("b3", plus) and rollup.commit("b7", plus) and rollup.compact() == 1
+    assert totals() == {k: n // 4 * 5 for k, n in want.items()}
+    # A run that died between its rename and its deletions: the batch lies in both places.
+    sums = rollup.deltas().collect()
+    spark.createDataFrame(sums, token_counts.DELTA_SCHEMA).write.parquet(f"{rollup.folder}/batch=b2")
+    assert totals() == {k: n // 4 * 5 for k, n in want.items()} and rollup.compact() == 0
+    assert rollup._named("batch=") == [] and len(rollup._bases()) == 1
+
+
 def test_a_commit_that_dies_leaves_nothing_that_counts(spark, odd, tmp_path):
     rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
     bad = token_counts.inserted(odd, "words/1").withColumn("n_docs", F.raise_error(F.lit("lost")).cast("long"))
