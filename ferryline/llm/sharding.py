@@ -4,6 +4,11 @@ Each dimension is quantised to ``bits`` bits, the cells are numbered along the H
 order and cut into runs of equal row counts (law ``rows``: counts differ by one at most). Neighbouring cells of the
 curve are neighbours in every dimension, so each shard covers a narrow range of each and files can be skipped by any.
 
+Values of a category get cells in their own order, spread by their rows: the cell tells how many of ``2 ** bits - 2``
+evenly spaced marks of the rows lie before a value. A shard thus holds a range of values, which a file's least and
+greatest value show. Marks are set by the ``MAX_VALUES`` most frequent values; others fall between them. That bears on
+which rows are neighbours and not on the law.
+
 No row order over the whole table is ever sorted: the curve has at most ``2 ** (bits * dimensions)`` cells, their row
 counts give each cell its first position, and rows are numbered within their cell by groups (``positions``).
 
@@ -24,6 +29,8 @@ from ferryline.llm.positions import numbered
 from ferryline.session import materialise
 
 ROW_BYTES = 16
+# Values of a category that its marks are set by.
+MAX_VALUES = 4096
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -69,9 +76,27 @@ def with_cell(df: DataFrame, dimensions: Sequence[Column], bits: int, name: str
     return shown.mapInArrow(index, df.drop(name).schema.add(name, "long"))
 
 
-def category(value: Column, bits: int) -> Column:
-    """A category's cell: the top bits of its checksum; null has cell 0."""
-    return F.coalesce(F.shiftright(F.crc32(value.cast("binary")), 32 - bits), F.lit(0))
+def marks(docs: DataFrame, column: str, bits: int) -> list[str]:
+    """Values, in their order, at evenly spaced places of the rows with a value; fewer than ``2 ** bits - 1``."""
+    value = F.col(column).cast("string").alias("value")
+    counts = docs.select(value).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    # Of equally frequent values any may be left out, so they are taken by their hash and not by their order.
+    shown = counts.orderBy(F.desc("n"), F.xxhash64("value"), "value").limit(MAX_VALUES).collect()
+    # Spark orders texts by their bytes.
+    values = sorted(((r["value"], r["n"]) for r in shown), key=lambda v: v[0].encode("utf-8", "surrogatepass"))
+    upto = np.cumsum([n for _, n in values])
+    places = (1 << bits) - 2
+    return [values[int(np.searchsorted(upto, upto[-1] * k / (places + 1), side="right"))][0] for k in range(1, places + 1)] if values else []
+
+
+def category(value: Column, own_marks: Sequence[str]) -> Column:
+    """A value's cell: 1 and the number of marks before it; null has cell 0."""
+    text = value.cast("string")
+    cell = F.when(text.isNull(), 0)
+    for number, mark in enumerate(own_marks):
+        if number == 0 or mark != own_marks[number - 1]:
+            cell = cell.when(text <= F.lit(mark), 1 + number)
+    return cell.otherwise(1 + len(own_marks))
 
 
 def magnitude(value: Column, bits: int) -> Column:
@@ -89,8 +114,8 @@ def shard(docs: DataFrame, shards: int, bits: int = 6) -> DataFrame:
         "doc_id",
         (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        category(F.col("source"), bits).cast("int").alias("source_cell"),
-        category(F.col("lang"), bits).cast("int").alias("lang_cell"),
+        category(F.col("source"), marks(docs, "source", bits)).cast("int").alias("source_cell"),
+        category(F.col("lang"), marks(docs, "lang", bits)).cast("int").alias("lang_cell"),
     )
     dimensions = [F.col("source_cell"), F.col("lang_cell"), magnitude(F.col("size"), bits)]
     placed = materialise(with_cell(rows, dimensions, bits), "cells")

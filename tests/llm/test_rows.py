@@ -203,6 +203,25 @@ def test_shards(odd, shards):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
 
 
+def test_cells_follow_the_order_of_values(spark):
+    rows = [(v,) for v in ["a"] * 50 + ["b", "c", "d"] + ["é"] * 20 + ["z", None]]
+    table = spark.createDataFrame(rows, "source string")
+    own = sharding.marks(table, "source", 3)
+    cells = {r.source: r.cell for r in table.select("source", sharding.category(F.col("source"), own).alias("cell")).distinct().collect()}
+    assert own == ["a"] * 4 + ["d", "é"] and cells == {None: 0, "a": 1, "b": 5, "c": 5, "d": 5, "z": 6, "é": 6}
+    assert sharding.marks(table.limit(0), "source", 3) == []
+
+
+def test_shards_can_be_skipped_by_least_and_greatest_value(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    placed = sharding.shard(docs, 40).select("doc_id", "size", "shard").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    for column, most in (("source", 0.4), ("lang", 0.6)):
+        ranges = placed.groupBy("shard").agg(F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        values = [r[0] for r in placed.select(column).distinct().collect() if r[0] is not None]
+        read = [sum(r.low is not None and r.low <= v <= r.high for r in ranges) / 40 for v in values]
+        assert sum(read) / len(read) < most, (column, read)
+
+
 def test_shards_of_nothing(empty):
     assert sharding.shard(empty, 40).count() == 0
 
