@@ -145,10 +145,13 @@ def _messages(records: DataFrame, job: Job) -> DataFrame:
     return codecs.decode_records(rows, kind, job.conversion.on_error, "value")
 
 
-def read(spark: SparkSession, job: Job, env: Environment, require: bool = True) -> DataFrame:
-    """The source as rows (ts_ms, value). Values are bytes for protobuf, else the decoded type."""
+def read(spark: SparkSession, job: Job, env: Environment, require: bool = True, listing: DataFrame | None = None) -> DataFrame:
+    """The source as rows (ts_ms, value). Values are bytes for protobuf, else the decoded type.
+
+    ``listing`` is what ``input_listing`` gave, if it was taken already.
+    """
     if job.source.platform is not Platform.KAFKA:
-        return _read_files(spark, job, env).select(F.lit(None).cast("bigint").alias("ts_ms"), "value")
+        return _read_files(spark, job, env, listing).select(F.lit(None).cast("bigint").alias("ts_ms"), "value")
     return _messages(topic_source.read(env.topics[job.source.options["topic"]], _bounds(job), require), job)
 
 
@@ -159,16 +162,26 @@ def _file_range(job: Job) -> file_source.FileRange:
 
 
 def input_listing(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
-    """The files or objects a job reads; finding none is an error."""
+    """The files or objects a job reads; finding none is an error.
+
+    With ``hiddenNames`` those with any name and size, else those that Spark's readers see.
+    """
     options = job.source.options
+    every = bool(options.get("hiddenNames", False))
     if job.source.platform is Platform.S3:
-        return file_source.list_objects(spark, env.buckets[options["bucket"]], _file_range(job))
+        return file_source.list_objects(spark, env.buckets[options["bucket"]], _file_range(job), every)
     recursive = bool(options.get("recursive", False))
-    return file_source.scan_tree(spark, options["parentPath"], _file_range(job), recursive)
+    return file_source.scan_tree(spark, options["parentPath"], _file_range(job), recursive, every)
 
 
-def _read_files(spark: SparkSession, job: Job, env: Environment) -> DataFrame:
-    listing, wanted, options = input_listing(spark, job, env), _file_range(job), job.source.options
+def _read_files(spark: SparkSession, job: Job, env: Environment, listing: DataFrame | None) -> DataFrame:
+    wanted, options = _file_range(job), job.source.options
+    if listing is None:
+        listing = input_listing(spark, job, env)
+    if options.get("hiddenNames", False):
+        if job.source.data_type is not DataType.JSON:
+            raise SpecError("hiddenNames is for files of JSON arrays")
+        return file_source.read_listed_arrays(listing)
     if job.source.platform is Platform.S3:
         root = env.buckets[options["bucket"]]
         return file_source.read_objects(root, wanted, lambda path, times: _read_path(spark, job, path, times, True))
@@ -284,12 +297,13 @@ def run(spark: SparkSession, spec: Mapping[str, Any], env: Environment, log: aud
     record, seen, skipped = _Record(log, job), Observation("read"), Observation("skipped")
     record.created()
     try:
-        counters = {}
+        counters, listing = {}, None
         if log is not None and job.source.platform is not Platform.KAFKA:
             # Counted before anything is written, as the job's own files may lie below the same path.
             name = audit.READ_OBJECTS if job.source.platform is Platform.S3 else audit.READ_FILES
-            counters[name] = input_listing(spark, job, env).count()
-        rows = read(spark, job, env).observe(seen, F.count(F.lit(1)).alias("n"))
+            listing = input_listing(spark, job, env)
+            counters[name] = listing.count()
+        rows = read(spark, job, env, listing=listing).observe(seen, F.count(F.lit(1)).alias("n"))
         converted = _converted(rows, job, skipped)
         observed = _is_observed(converted)
         write(converted, job, env)

@@ -367,6 +367,10 @@ select o_orderkey, o_orderstatus,
 from orders
 """
 ORACLES["object_bytes_roundtrip"] = "select page_id, cast(strlen(html) as int) n_bytes, md5(html) digest from pages"
+ORACLES["listed_bytes_roundtrip"] = """
+    select case page_id % 3 when 0 then '_' when 1 then '.' else '' end || page_id || '.html' as name,
+      cast(strlen(body) as bigint) size, cast(strlen(body) as int) n_bytes, md5(body) digest, page_id % 4 = 0 as at_root
+    from (select page_id, case when page_id % 5 = 0 then '' else html end body from pages)"""
 ORACLES["file_scan"] = "select o_orderkey, o_custkey, o_orderstatus from orders"
 _LISTING = """(select url as key, regexp_extract(url, '[^/]*$') as name, page_id * 1000 modified_ms,
                       cast(strlen(html) as bigint) size from pages),

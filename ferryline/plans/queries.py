@@ -16,7 +16,7 @@ from ferryline.operators.convert import ConverterRegistry, Conversion, convert
 from ferryline.operators.feature_line import FeatureConfig, json_line, struct_line
 from ferryline.operators.flatten import FlatField, FlatSpec, flat_json, flatten, struct_columns
 from ferryline.plans import job as jobs
-from ferryline.session import shared_path
+from ferryline.session import materialise, shared_path
 from ferryline.sinks import files as file_sink
 from ferryline.sinks import topic as topic_sink
 from ferryline.sources import files as file_source
@@ -845,6 +845,24 @@ def object_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def listed_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as objects under names of every kind, some of zero bytes, listed without loss and read by their listing."""
+    path = shared_path(spark, "pages-of-any-name")
+    page = F.col("page_id")
+    folder = F.when(page % 4 == 0, "").when(page % 4 == 1, "_tmp/").when(page % 4 == 2, "dt=1/.x/").otherwise("plain/")
+    mark = F.when(page % 3 == 0, "_").when(page % 3 == 1, ".").otherwise("")
+    key = F.concat(folder, mark, page.cast("string"), F.lit(".html"))
+    content = F.when(page % 5 == 0, F.lit(b"")).otherwise(F.encode("html", "UTF-8"))
+    file_sink.write_objects(table(spark, sf_dir, "pages").select(key.alias("key"), content.alias("content")), path)
+    listing = materialise(file_source.scan_tree(spark, path, file_source.FileRange(), every=True), "listed")
+    back = file_source.read_listed(listing).join(listing, "key")
+    return back.select(
+        "name", "size", F.length("content").alias("n_bytes"), F.md5("content").alias("digest"),
+        F.element_at(F.split("key", "/"), -2).startswith("pages-of-any-name").alias("at_root"),
+    )
+
+
 @register
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folder of tables scanned as a file tree: only files whose name starts with ``orders`` are read."""

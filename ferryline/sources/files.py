@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 
 from ferryline.errors import EmptyRangeError, SpecError
 from ferryline.sources import json_arrays
+from ferryline.sources.listing import every_file, read_listed
 
 LONG_MAX = 2**63 - 1
 # A JSON array file up to this size is parsed as one row.
 WHOLE_FILE_BYTES = 8 << 20
+NOT_AN_ARRAY = "file does not hold one JSON array"
 NOTHING_FOUND = "no file or object lies in the requested range"
 
 
@@ -113,8 +115,16 @@ def _per_prefix(root: str, wanted: FileRange, read: Callable[[str, FileRange], D
     return reduce(DataFrame.unionByName, found) if found else None
 
 
-def list_objects(spark: SparkSession, root: str, wanted: FileRange) -> DataFrame:
-    """The objects of a bucket in range, over every prefix in turn; finding none is an error."""
+def list_objects(spark: SparkSession, root: str, wanted: FileRange, every: bool = False) -> DataFrame:
+    """The objects of a bucket in range, over every prefix in turn; finding none is an error.
+
+    With ``every`` also those that Spark's readers pass over, see ``listing``; then the whole bucket is listed.
+    """
+    if every:
+        start = F.lit(f"{_bare(root).rstrip('/')}/")
+        inside = every_file(spark, root).withColumnsRenamed({"key": "_path"})
+        named = inside.withColumn("key", F.substring(_bare_column(F.col("_path")), F.length(start) + 1, F.length("_path")))
+        return require_some(select_objects(named, wanted).select(F.col("_path").alias("key"), "name", "modified_ms", "size"))
     listed = _per_prefix(root, wanted, lambda path, times: select_files(list_files(spark, path), times))
     if listed is None:
         raise EmptyRangeError(NOTHING_FOUND)
@@ -163,9 +173,12 @@ def is_file(listing: DataFrame, path: str) -> bool:
     return not listing.filter(_bare_column(F.col("key")) == _bare(path)).isEmpty()
 
 
-def scan_tree(spark: SparkSession, path: str, wanted: FileRange, recursive: bool = True) -> DataFrame:
-    """The listing of a file-tree scan. A path that is a file is taken as it is, without the predicates."""
-    listing = list_files(spark, path, recursive)
+def scan_tree(spark: SparkSession, path: str, wanted: FileRange, recursive: bool = True, every: bool = False) -> DataFrame:
+    """The listing of a file-tree scan. A path that is a file is taken as it is, without the predicates.
+
+    With ``every`` also files that Spark's readers pass over, see ``listing``.
+    """
+    listing = every_file(spark, path, recursive) if every else list_files(spark, path, recursive)
     return listing if is_file(listing, path) else require_some(select_files(listing, wanted))
 
 
@@ -192,6 +205,18 @@ def _array_texts(
     return json_arrays.elements(files.filter(F.col("_metadata.file_size") > above), least_split, problem)
 
 
+def _array_values(text: Column, opens: Column) -> Column:
+    # Inside brackets of its own the text has to be one value, so anything that follows it is an error.
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(T.ArrayType(T.StringType())))
+    items = F.get(parsed, F.lit(0))
+    failure = F.raise_error(F.lit(NOT_AN_ARRAY)).cast("array<string>")
+    return F.when(opens & (F.size(parsed) == 1) & items.isNotNull(), items).otherwise(failure)
+
+
+def _whole_array(text: Column) -> Column:
+    return _array_values(text, text.rlike(r"^\s*\["))
+
+
 def read_json_arrays(
     spark: SparkSession, path: str | Sequence[str], wanted: FileRange = FileRange(), recursive: bool = True
 ) -> DataFrame:
@@ -200,24 +225,23 @@ def read_json_arrays(
     Any layout of whitespace is accepted; a file that is not an array is an error. A file of up to ``WHOLE_FILE_BYTES``
     is one row while it is parsed; larger ones are split, see ``json_arrays``.
     """
-    problem = "file does not hold one JSON array"
-    failure = F.raise_error(F.lit(problem)).cast("array<string>")
-
-    def values(text: Column, opens: Column) -> Column:
-        # Inside brackets of its own the text has to be one value, so anything that follows it is an error.
-        parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(T.ArrayType(T.StringType())))
-        items = F.get(parsed, F.lit(0))
-        return F.when(opens & (F.size(parsed) == 1) & items.isNotNull(), items).otherwise(failure)
-
     files = _kept_files(_reader(spark).text(_paths(path), wholetext=True), wanted, path, recursive)
     size = F.col("_metadata.file_size")
-    opens = F.col("value").rlike(r"^\s*\[")
-    small = files.filter(size <= WHOLE_FILE_BYTES).select(F.explode(values(F.col("value"), opens)).alias("value"))
+    small = files.filter(size <= WHOLE_FILE_BYTES).select(F.explode(_whole_array(F.col("value"))).alias("value"))
     if files.filter(size > WHOLE_FILE_BYTES).select(F.col("_metadata.file_path")).isEmpty():
         return small
-    texts = _array_texts(spark, path, wanted, recursive, problem, WHOLE_FILE_BYTES)
+    texts = _array_texts(spark, path, wanted, recursive, NOT_AN_ARRAY, WHOLE_FILE_BYTES)
     bracketed = F.concat(F.lit("["), "value", F.lit("]"))
-    return small.unionByName(texts.select(F.explode(values(bracketed, F.lit(True))).alias("value")))
+    return small.unionByName(texts.select(F.explode(_array_values(bracketed, F.lit(True))).alias("value")))
+
+
+def read_listed_arrays(listing: DataFrame) -> DataFrame:
+    """As ``read_json_arrays``, for the files of a listing, whatever their names; each is parsed as one row.
+
+    A file of zero bytes holds no array and is an error.
+    """
+    text = F.decode("content", "UTF-8")
+    return read_listed(listing).select(F.explode(_whole_array(text)).alias("value"))
 
 
 def read_json_array_lines(

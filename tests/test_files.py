@@ -311,3 +311,44 @@ def test_an_object_that_exists_is_not_overwritten(spark, tmp_path):
     with pytest.raises(PySparkException, match="exists"):
         sink.write_objects(rows, str(tmp_path))
     assert (tmp_path / "k").read_bytes() == b"old" and os.listdir(tmp_path) == ["k"]
+
+
+def test_listing_of_every_name_and_size(spark, tmp_path):
+    for place in ("a.json", "_h.json", ".x/_y/deep.json", "dt=1/_in.json", "sp ace,{1}.json", "_attempts-1/0-0"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(f'["{place}"]')
+    (tmp_path / "z.json").touch()
+    os.utime(tmp_path / "a.json", (5, 5))
+
+    def listed(wanted=FileRange(), recursive=True, path=tmp_path):
+        return {r.key.split(f"{tmp_path}/")[1]: r for r in source.scan_tree(spark, str(path), wanted, recursive, every=True).collect()}
+
+    top = {"a.json", "_h.json", "sp ace,{1}.json", "z.json"}
+    assert set(listed(recursive=False)) == top
+    assert set(listed()) == top | {".x/_y/deep.json", "dt=1/_in.json"}
+    assert (listed()["z.json"].size, listed()["a.json"].modified_ms, listed()["_h.json"].name) == (0, 5000, "_h.json")
+    assert set(listed(FileRange(("_",)))) == {"_h.json", "dt=1/_in.json"}
+    assert set(listed(FileRange(modified_to=5000))) == {"a.json"}
+    assert set(listed(path=tmp_path / "_h.json")) == {"_h.json"}
+    assert set(listed(path=f"file:{tmp_path}/")) == set(listed())
+    with pytest.raises(SpecError):
+        listed(path=tmp_path / "gone")
+    with pytest.raises(EmptyRangeError):
+        listed(FileRange(("nothing",)))
+    objects = source.list_objects(spark, str(tmp_path), FileRange((".x/", "_", "_h")), every=True)
+    assert sorted(r.name for r in objects.collect()) == ["_h.json", "_h.json", "deep.json"]
+
+
+def test_listed_files_are_read_whatever_their_names(spark, tmp_path, monkeypatch):
+    from ferryline.sources import listing
+
+    monkeypatch.setattr(listing, "BYTES_A_TASK", 10)
+    for name in ("a.json", "_h.json", ".d.json"):
+        (tmp_path / name).write_text(f'\n[ "{name}", {{"é": [1]}} ]')
+    found = source.scan_tree(spark, str(tmp_path), FileRange(), every=True)
+    assert sorted(r.value for r in source.read_listed_arrays(found).collect()) == sorted(["a.json", "_h.json", ".d.json"] + ['{"é":[1]}'] * 3)
+    (tmp_path / "z.json").touch()
+    found = source.scan_tree(spark, str(tmp_path), FileRange(), every=True)
+    assert [bytes(r.content) for r in source.read_listed(found).filter("key like '%z.json'").collect()] == [b""]
+    with pytest.raises(PySparkException, match="does not hold one JSON array"):
+        source.read_listed_arrays(found).collect()

@@ -340,3 +340,17 @@ def test_skipping_bad_values(spark, env, tmp_path):
     assert ("_skipped_records", 1) in {(r.name, r.counter_val) for r in log.table("counters").collect()}
     with pytest.raises(PySparkException):
         jobs.run(spark, spec(source="S3", sink="HDFS", sink_type="protobuf", hdfsSink={"parentPath": str(tmp_path / "pq2")}), env)
+
+
+def test_files_of_any_name_are_read_and_counted_from_one_listing(spark, env, tmp_path):
+    log = audit.AuditLog(spark, str(tmp_path / "audit"))
+    for name in ("_a.json", "deep/.b.json", "c.json"):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f'[{{"name":"{path.stem}"}}]')
+    folder = {"parentPath": str(tmp_path / "in"), "recursive": True, "hiddenNames": True}
+    jobs.run(spark, spec(source="HDFS", hdfsSource=folder), env, log)
+    assert names_in(spark, tmp_path / "dst") == [".b", "_a", "c"]
+    assert ("_read_files", 3) in {(r.name, r.counter_val) for r in log.table("counters").collect()}
+    with pytest.raises(SpecError, match="JSON arrays"):
+        jobs.run(spark, spec(source="HDFS", source_type="protobuf", hdfsSource=folder), env)
