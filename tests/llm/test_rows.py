@@ -256,4 +256,4 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
