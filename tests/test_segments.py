@@ -1,6 +1,7 @@
 """Row positions, splits and file cuts, checked against plain loops."""
 
 import random
+import time
 from collections import defaultdict
 from types import SimpleNamespace
 
@@ -274,6 +275,24 @@ def test_hot_key_is_spread(spark, monkeypatch):
     assert ranked.filter("k >= 0").agg(F.max("at")).head()[0] == 0
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_planning_does_not_grow_with_the_steps_of_the_search(spark, monkeypatch, short):
+    """Following the bucket back through every step would take a minute and more here, and all of a small driver's memory beyond."""
+    monkeypatch.setattr(ordinal, "ROWS_PER_BUCKET", 50)
+    if not short:
+        monkeypatch.setattr(ordinal, "checked_broadcast", lambda frame: frame)
+    rows = [(i % 4, i * 7919 % 5003, i) if i % 50 else (None, None, i) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "k int, a int, b int")
+    ranked = ordinal.with_ordinal(df, ["a", "b"], ["k"], "at")
+    started = time.monotonic()
+    ranked._jdf.queryExecution().optimizedPlan()
+    assert time.monotonic() - started < 15
+    got = {r.b: r.at for r in ranked.collect()}
+    for key in (None, 0, 1, 2, 3):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1], r[2]))
+        assert [got[r[2]] for r in own] == list(range(len(own)))
+
+
 def parts(n, pieces):
     """Contiguous chunks with ends at ceil(p * n / pieces)."""
     ends = [-(-p * n // pieces) for p in range(pieces + 1)]
