@@ -63,3 +63,12 @@ def test_the_package_stands_without_the_pipeline_operators(tmp_path, gone):
     listed = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, check=True).stdout.split()
     assert set(QUERIES) <= set(listed)
     assert ("ferryline/llm" in gone) == (set(QUERIES) == set(listed)) and "pipeline" not in listed
+
+
+def test_files_over_chunks_are_cut_at_60_000_bytes(spark, sf):
+    """A limit that suits the folder's size, so that workers have several files, each of many chunks."""
+    files = contract.queries()["segment_size_over_chunks"](spark, sf).collect()
+    last = {worker: max(f.segment_id for f in files if f.worker == worker) for worker in {f.worker for f in files}}
+    assert sum(last.values()) > 0
+    full = [f.bytes + 2 * f.n for f in files if f.segment_id < last[f.worker]]
+    assert all(60_000 <= size < 400_000 for size in full)
