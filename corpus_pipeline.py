@@ -45,8 +45,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(learned, langid.Pieces.load(BYTE_PIECES))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = langid.predict(docs, model, pred=pred, score=score, rate=rate)
-    floors = langid.rate_floors(langid.sampled(learned), model)
+    told = materialise(langid.predict(docs, model, pred=pred, score=score, rate=rate), "told")
+    floors = langid.rate_floors(told.filter(~langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()), pred, rate)
     unlike = F.lit(False)
     for lang, floor in floors.items():
         unlike = unlike | ((F.col(pred) == lang) & (F.col(rate) < floor))

@@ -6,9 +6,9 @@ A text's score in a language is the sum of its runs' log probabilities, its lang
 ``score`` the share of that language's likelihood (equal priors). Since a run's score depends on the run alone, each
 task works it out once for each distinct word of a batch.
 
-``fit`` learns from labelled rows: at most about ``SAMPLE_DOCS`` documents of each language, picked by a hash of the
-id, and of them at most ``SAMPLE_WORDS`` distinct runs, the most frequent first. Expectation maximisation starts from
-equal probabilities and runs ``ROUNDS`` rounds, one task for each language. All rows are scored, on their whole texts.
+``fit`` learns from all labelled rows. Their distinct runs are counted by language and written in parts; expectation
+maximisation starts from equal probabilities and runs ``ROUNDS`` rounds, in each of which every part works out how often
+its runs hold each piece, and only these sums come to the driver. All rows are scored, on their whole texts.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0, as is every text where nothing was
 learned; ties go to the language that comes first in alphabetical order; a row without an id or label is scored but
@@ -24,25 +24,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.llm.words import texts_of
+from ferryline.session import materialise
 
 LONGEST_PIECE = 8
 STRETCH = 32
-SAMPLE_DOCS = 2_000
-SAMPLE_WORDS = 60_000
 ROUNDS = 4
 MAX_LANGUAGES = 1_000
 # A text is unlike its language where a character is, on average, less likely by this factor's logarithm than in a median text.
 FLOOR_MARGIN = 1.5
 FLOOR_WIDTHS = 6.0
 _PRIOR = 0.02
-_KEPT_WORDS = 500_000
+# Bounds of what a task holds at a time: rows in hand, words it remembers the scores of.
+_ROWS_IN_HAND = 1_024
+_KEPT_WORDS = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,45 +125,32 @@ def forward(pieces: Pieces, table: np.ndarray, runs: list[bytes]) -> np.ndarray:
     return out
 
 
-def _expected(pieces: Pieces, chances: np.ndarray, runs: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """How often each piece occurs, on average over all segmentations weighed by their probability."""
+def _expected(pieces: Pieces, table: np.ndarray, runs: list[bytes], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each piece occurs in counted runs of a language each, on average over all segmentations weighed by their
+    probability, in the shape of ``table``.
+    """
     cells, lengths, order = _grid(runs)
-    weight, width = counts[order], cells.shape[1]
-    chances = np.append(chances, 0.0)
-    ids = np.full((width + 1, LONGEST_PIECE + 1, len(runs)), pieces.size, np.int32)
+    label, weight, width = labels[order], counts[order], cells.shape[1]
+    hits: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
     ahead, back = np.zeros((width + 1, len(runs))), np.zeros((width + 1, len(runs)))
     ahead[0] = 1
     for end in range(1, width + 1):
         alive = int(np.searchsorted(-lengths, -end, side="right"))
         for length, found in _pieces_ending(pieces, cells, alive, end):
-            ids[end, length, :alive] = found
-            ahead[end, :alive] += ahead[end - length, :alive] * chances[found]
+            hit = np.flatnonzero(found < pieces.size)
+            cell = found[hit] * table.shape[1] + label[hit]
+            chance = table.ravel()[cell]
+            ahead[end, hit] += ahead[end - length, hit] * chance
+            hits.append((end, length, hit, cell, chance))
     back[lengths, np.arange(len(runs))] = 1
-    total = ahead[lengths, np.arange(len(runs))]
-    expected = np.zeros(pieces.size + 1)
-    for end in range(width, 0, -1):
-        for length in range(1, min(LONGEST_PIECE, end) + 1):
-            found = ids[end, length]
-            share = chances[found] * back[end]
-            expected += np.bincount(found, ahead[end - length] * share * weight / total, pieces.size + 1)
-            back[end - length] += share
-    return expected[:-1]
-
-
-def _fit_language(pieces: Pieces, counted: Counter) -> np.ndarray:
-    """Piece probabilities from counted runs."""
-    stretches: Counter = Counter()
-    for run, n in counted.items():
-        for at in range(0, len(run), STRETCH):
-            stretches[run[at : at + STRETCH]] += n
-    runs, counts = list(stretches), np.array(list(stretches.values()), float)
-    chances = np.full(pieces.size, 1.0 / pieces.size)
-    for _ in range(ROUNDS if runs else 0):
-        expected = np.zeros(pieces.size)
-        for at in range(0, len(runs), 10_000):
-            expected += _expected(pieces, chances, runs[at : at + 10_000], counts[at : at + 10_000])
-        chances = (expected + _PRIOR) / (expected.sum() + _PRIOR * pieces.size)
-    return chances
+    scale = weight / ahead[lengths, np.arange(len(runs))]
+    shares = []
+    for end, length, hit, _, chance in reversed(hits):
+        share = chance * back[end, hit]
+        shares.append(ahead[end - length, hit] * share * scale[hit])
+        back[end - length, hit] += share
+    cells_hit = np.concatenate([cell for *_, cell, _ in reversed(hits)])
+    return np.bincount(cells_hit, np.concatenate(shares), table.size).reshape(table.shape)
 
 
 @dataclass(frozen=True)
@@ -177,46 +164,68 @@ def fit(labelled: DataFrame, pieces: Pieces, text: str = "text", lang: str = "la
     """Piece probabilities of each language of ``labelled`` (rows without a label or text are passed over)."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("label"))
     rows = rows.filter("body is not null and label is not null")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    languages = sorted(r["label"] for r in sizes.select("label").limit(MAX_LANGUAGES + 1).collect())
+    languages = sorted(r["label"] for r in rows.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return Model(pieces, [], np.zeros((pieces.size + 1, 0)))
-    share = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) * F.col("n") < F.lit(SAMPLE_DOCS << 30)
-    sample = rows.join(F.broadcast(sizes), "label").filter(share).select("label", "body")
+    numbers = {label: k for k, label in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_hand(batches):
             counts: defaultdict[str, Counter] = defaultdict(Counter)
             for label, body in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 counts[label].update(body.split())
-            flat = [(label, word, n) for label, own in counts.items() for word, n in own.items()]
-            columns = list(zip(*flat, strict=True)) or [[]] * 3
-            types = [pa.string(), pa.binary(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["label", "word", "n"])
-
-    words = sample.mapInArrow(count, "label string, word binary, n long").groupBy("label", "word").agg(F.sum("n").alias("n"))
-    ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word")))
-
-    def learn(own: pd.DataFrame) -> pd.DataFrame:
-        counted: Counter = Counter()
-        for word, n in zip(own["word"], own["n"], strict=True):
-            for run in letter_runs(bytes(word).decode()):
-                counted[run] += int(n)
-        chances = _fit_language(pieces, counted)
-        return pd.DataFrame({"label": [own["label"].iloc[0]], "chances": [chances]})
-
-    fitted = ranked.filter(F.col("rank") <= SAMPLE_WORDS).groupBy("label")
-    learned = fitted.applyInPandas(learn, "label string, chances array<double>")
-    by_label = {r["label"]: np.array(r["chances"]) for r in learned.collect()}
-    # A language whose sample has no word has no evidence of its own: every piece is as likely.
-    flat = np.full(pieces.size, 1.0 / pieces.size)
-    table = np.column_stack([by_label.get(label, flat) for label in languages])
+            stretches: Counter = Counter()
+            for label, own in counts.items():
+                for word, n in own.items():
+                    for run in letter_runs(word.decode()):
+                        for at in range(0, len(run), STRETCH):
+                            stretches[numbers[label], run[at : at + STRETCH]] += n
+            listed, run = zip(*stretches, strict=True) if stretches else ([], [])
+            arrays = [pa.array(listed, pa.int32()), pa.array(run, pa.binary()), pa.array(stretches.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["label", "run", "n"])
+
+    runs = rows.select("label", "body").mapInArrow(count, "label int, run binary, n long")
+    runs = materialise(runs.groupBy("label", "run").agg(F.sum("n").alias("n")), "runs")
+    table = np.full((pieces.size, len(languages)), 1.0 / pieces.size)
+    for _ in range(ROUNDS):
+        expected = np.zeros_like(table)
+        for r in _expected_pieces(runs, pieces, table).collect():
+            expected[np.frombuffer(r["pieces"], np.int32), r["label"]] = np.frombuffer(r["expected"], np.float64)
+        # A language without a run has no evidence of its own: every piece is as likely.
+        table = (expected + _PRIOR) / (expected.sum(axis=0) + _PRIOR * pieces.size)
     return Model(pieces, languages, np.vstack([table, np.zeros(len(languages))]))
 
 
+def _in_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, _ROWS_IN_HAND) for batch in batches for at in range(0, max(1, batch.num_rows), _ROWS_IN_HAND))
+
+
+def _expected_pieces(runs: DataFrame, pieces: Pieces, table: np.ndarray) -> DataFrame:
+    """For each language how often each piece occurs in its counted runs, as packed arrays of pieces and numbers."""
+    sent = runs.sparkSession.sparkContext.broadcast((pieces.listed, table))
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, chances = sent.value
+        own, sums = Pieces(listed), np.zeros_like(chances)
+        for batch in batches:
+            if batch.num_rows:
+                labels, counts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                sums += _expected(own, chances, batch.column(1).to_pylist(), labels, counts)
+        at, label = np.nonzero(sums)
+        arrays = [pa.array(label, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[at, label])]
+        yield pa.RecordBatch.from_arrays(arrays, ["label", "piece", "n"])
+
+    summed = runs.mapInArrow(expect, "label int, piece int, n double").groupBy("label", "piece").agg(F.sum("n").alias("n"))
+
+    def pack(own: pa.Table) -> pa.Table:
+        columns = [own["piece"].to_numpy().astype(np.int32).tobytes(), own["n"].to_numpy().astype(np.float64).tobytes()]
+        return pa.table({"label": own["label"][:1], "pieces": pa.array(columns[:1]), "expected": pa.array(columns[1:])})
+
+    return summed.groupBy("label").applyInArrow(pack, "label int, pieces binary, expected binary")
+
+
 class _Scorer:
     """Scores of distinct words, kept from batch to batch."""
 
@@ -268,7 +277,7 @@ def predict(
         listed, languages, chances = sent.value
         own = Model(Pieces(listed), languages, chances)
         scorer = _Scorer(own)
-        for batch in batches:
+        for batch in _in_hand(batches):
             codes = []
             for body in texts_of(batch, batch.schema.get_field_index(text)):
                 words = body.split()
@@ -296,19 +305,12 @@ def predict(
     return kept.mapInArrow(label, T.StructType([*kept.schema.fields, *fields]))
 
 
-def rate_floors(docs: DataFrame, model: Model, text: str = "text") -> dict[str, float]:
-    """For each language the rate (see ``predict``) below which a text is unlike the texts of ``docs`` told to be in it.
+def rate_floors(told: DataFrame, pred: str = "pred", rate: str = "rate") -> dict[str, float]:
+    """For each language the rate (see ``predict``) below which a text is unlike the texts of ``told`` that are told to be in it.
 
-    ``docs`` is a bounded sample. The floor lies ``FLOOR_MARGIN`` below the median, or ``FLOOR_WIDTHS`` times the distance of the
-    rate that one text in twenty falls short of where that is more.
+    The floor lies ``FLOOR_MARGIN`` below the median, or ``FLOOR_WIDTHS`` times the distance of the rate that one text in
+    twenty falls short of where that is more.
     """
-    told = predict(docs.select(text), model, text, "pred", "score", "rate").filter("rate is not null")
-    found = told.groupBy("pred").agg(F.percentile_approx("rate", [0.05, 0.5], 1_000).alias("q")).collect()
+    rates = told.filter(F.col(rate).isNotNull()).groupBy(F.col(pred).alias("pred"))
+    found = rates.agg(F.percentile_approx(rate, [0.05, 0.5], 1_000).alias("q")).collect()
     return {r["pred"]: r["q"][1] - max(FLOOR_MARGIN, FLOOR_WIDTHS * (r["q"][1] - r["q"][0])) for r in found}
-
-
-def sampled(labelled: DataFrame, lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """About ``SAMPLE_DOCS`` rows of each language, the same each time."""
-    sizes = labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_label")).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 30)) * F.col("_n") < F.lit(SAMPLE_DOCS << 30)
-    return labelled.join(F.broadcast(sizes.limit(MAX_LANGUAGES + 1)), F.col(lang) == F.col("_label")).filter(share).select(*labelled.columns)

@@ -1,6 +1,7 @@
 """Quality rules, language, top-k, counts and shards, and the pipeline."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -64,6 +65,30 @@ def test_language_of_held_out_rows(spark, sf, pieces):
     assert np.mean([r.lang == r.lang_pred for r in told]) >= 0.95 and all(0 <= r.score <= 1 for r in told)
 
 
+def test_language_model_learns_from_every_row(spark):
+    """Probabilities of pieces against expectation maximisation by hand, of two languages with thousands of rows."""
+    listed = [b" ", b"a", b"b", b"ab", b"ba"]
+    draw = random.Random(3)
+    rows = [(i, " ".join("".join(draw.choice("aab" if lang == "x" else "abb") for _ in range(draw.randint(1, 5))) for _ in range(2)), lang) for i in range(3_500) for lang in "xy"]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Pieces(listed))
+    assert model.languages == ["x", "y"]
+
+    def cut(run):
+        return [[]] if not run else [[k, *rest] for k, p in enumerate(listed) if run.startswith(p) for rest in cut(run[len(p) :])]
+
+    for column, lang in enumerate("xy"):
+        counts = Counter(b" " + word.encode() for _, text, own in rows if own == lang for word in text.split())
+        chances = np.full(len(listed), 1 / len(listed))
+        for _ in range(langid.ROUNDS):
+            expected = np.zeros(len(listed))
+            for run, n in counts.items():
+                ways = [(np.prod(chances[way]), way) for way in cut(run)]
+                for chance, way in ways:
+                    np.add.at(expected, way, n * chance / sum(c for c, _ in ways))
+            chances = (expected + langid._PRIOR) / (expected.sum() + langid._PRIOR * len(listed))
+        assert model.table[:-1, column] == pytest.approx(chances, rel=1e-9)
+
+
 def test_language_of_odd_rows(odd, empty, pieces):
     model = langid.fit(odd, pieces)
     assert model.languages == ["de", "en", "fr"]
