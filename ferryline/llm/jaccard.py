@@ -3,7 +3,8 @@
 A document's set holds its distinct shingles of five lower-cased words (64-bit hashes). Shingles are hashed into
 groups, and a set's counts by group are a point; two sets share at most the sum of the coordinate minima of their
 points, which also holds between a point and the upper corner of a box of points. An R-tree over the points of a
-block gives for each of them those that could share enough, and survivors are verified on whole texts. The number of
+block gives for each of them those that could share enough; of these go on that share enough by finer points, which have
+more groups than a set has shingles, and are verified on whole texts. The number of
 groups is a power of two that grows with the set, as the bound says little about sets much larger than it; points of
 neighbouring resolutions are compared by adding up neighbouring groups.
 
@@ -41,6 +42,8 @@ from ferryline.session import materialise
 WIDTH = 5
 PERCENT = 75
 LEAST_GROUPS, SHINGLES_A_GROUP = 256, 4
+# Points are kept with this many more bits than the trees are built on.
+FINER_BITS = 3
 SAMPLED = 10
 FREQUENT = 5
 ORDER_BITS = 1 << 26
@@ -48,7 +51,7 @@ TILE = 256
 POINT_BYTES_A_TASK = 24 << 20
 FANOUT = 16
 FILTER_BITS = 1 << 25
-_KEPT_WORDS = 1_000_000
+_KEPT_WORDS = 250_000
 
 KEY = ["n_shingles", "key1", "key2"]
 SETS_SCHEMA = "id long, n_shingles long, key1 long, key2 long, prefix array<long>, counts binary"
@@ -98,7 +101,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def group_bits(n: int) -> int:
-    """Log 2 of the number of groups of a set of ``n`` shingles; sizes within 4/3 of each other differ by one at most."""
+    """Log 2 of the number of groups of a tree's points at ``n`` shingles; sizes within 4/3 of each other differ by one at most."""
     return max(LEAST_GROUPS, n // SHINGLES_A_GROUP).bit_length() - 1
 
 
@@ -108,7 +111,7 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 
 
 def point(own: np.ndarray) -> np.ndarray:
-    bits = group_bits(len(own))
+    bits = group_bits(len(own)) + FINER_BITS
     return _narrow(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
 
 
@@ -151,7 +154,7 @@ def sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, hashes = sent.value, _WordHash()
-        for batch in (part.slice(at, 2048) for part in batches for at in range(0, part.num_rows, 2048)):
+        for batch in (part.slice(at, 512) for part in batches for at in range(0, part.num_rows, 512)):
             rows = []
             for name, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 own = shingles(text, hashes)
@@ -279,13 +282,21 @@ class _Members:
     components: np.ndarray
     points: list[np.ndarray]
     bits: np.ndarray
+    known: dict[tuple[int, int], np.ndarray]
+
+    def point(self, k: int, bits: int) -> np.ndarray:
+        """A member's point at a resolution; equal points are folded once."""
+        whole = self.points[k]
+        if (id(whole), bits) not in self.known:
+            self.known[id(whole), bits] = folded(whole, bits)
+        return self.known[id(whole), bits]
 
     @staticmethod
     def of(table: pa.Table) -> _Members:
         known: dict[bytes, np.ndarray] = {}
         points = [known[p] if p in known else known.setdefault(p, _point(p)) for p in table["counts"].to_pylist()]
         columns = (table[c].to_numpy() for c in ("id", "tile", "n_shingles", "component"))
-        return _Members(*columns, points, np.array([len(p).bit_length() - 1 for p in points]))
+        return _Members(*columns, points, np.array([len(p).bit_length() - 1 for p in points]), {})
 
 
 def _stacked(points: list[np.ndarray]) -> np.ndarray:
@@ -304,10 +315,19 @@ def _join_block(members: _Members, begin: int, end: int, tiles: tuple[int, int])
         held, asking = (x[(members.bits[x] == level) | (members.bits[x] == level + 1)] for x in (other, own))
         if not len(held) or not len(asking):
             continue
-        near = RTree(members.sizes[held], _stacked([folded(members.points[j], level) for j in held])).candidates
+        coarse, finer = int(level) - FINER_BITS, None
+        near = RTree(members.sizes[held], _stacked([members.point(j, coarse) for j in held])).candidates
         for k in asking:
-            for j in held[near(int(members.sizes[k]), folded(members.points[k], level))]:
-                if members.components[j] != members.components[k] and (tiles[0] != tiles[1] or members.ids[j] > members.ids[k]):
+            size = int(members.sizes[k])
+            at = near(size, members.point(k, coarse))
+            at = at[members.components[held[at]] != members.components[k]]
+            if not len(at):
+                continue
+            # What a tree's points allow between texts that share half their shingles, finer points mostly do not.
+            finer = _stacked([members.point(j, int(level)) for j in held]) if finer is None else finer
+            shared = np.minimum(finer[at], members.point(k, int(level))).sum(axis=1)
+            for j in held[at[shared >= least_overlap(size, members.sizes[held[at]])]]:
+                if tiles[0] != tiles[1] or members.ids[j] > members.ids[k]:
                     a, b = int(members.ids[j]), int(members.ids[k])
                     found.add((min(a, b), max(a, b)))
     return found
@@ -327,7 +347,7 @@ def across(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame
     rows = rows.withColumns({"low_tile": F.least("tile", "other"), "high_tile": F.greatest("tile", "other")})
     rows = materialise(rows.select("h", "low_tile", "high_tile", "tile", "id", "component"), "tiles")
     # Longer sets have more groups and are in more blocks.
-    width, places = F.greatest(F.lit(LEAST_GROUPS), F.col("n_shingles") / SHINGLES_A_GROUP), F.size("prefix")
+    width, places = F.greatest(F.lit(LEAST_GROUPS), F.col("n_shingles") / SHINGLES_A_GROUP) * (1 << FINER_BITS), F.size("prefix")
     wide = found.agg((F.sum(width * places) / F.sum(places)).alias("bytes")).head()["bytes"] or LEAST_GROUPS
     tasks = max(256, int(rows.count() * wide / POINT_BYTES_A_TASK) + 1)
     task = F.pmod(F.xxhash64("h", "low_tile", "high_tile"), F.lit(tasks)).cast("int")

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,17 @@ def test_components(spark):
     chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(chain).collect()} == {0}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_points_tell_texts_that_share_four_fifths_apart():
+    """A family whose members share 480 of 600 shingles (two thirds of their union) gives no pair; a near copy does."""
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 2**64, 600, np.uint64, endpoint=False)
+    family = [np.unique(np.concatenate([base[:480], draw.integers(0, 2**64, 120, np.uint64, endpoint=False)])) for _ in range(40)]
+    family.append(np.unique(np.append(family[0][:560], draw.integers(0, 2**64, 40, np.uint64, endpoint=False))))
+    rows = range(len(family))
+    table = pa.table({
+        "id": list(rows), "tile": [0] * len(family), "n_shingles": [len(s) for s in family], "component": list(rows),
+        "counts": [jaccard._packed(jaccard.point(s)) for s in family],
+    })
+    assert jaccard._join_block(jaccard._Members.of(table), 0, len(family), (0, 0)) == {(0, 40)}
