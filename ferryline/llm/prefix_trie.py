@@ -9,8 +9,9 @@ The compacted trie is a table of nodes, each an edge (above, below] of depths on
 under its handle, the prefix of that path whose length is the two-fattest number of the edge (the multiple of the
 highest power of two), and under its entry, the prefix of length above + 1. Conversations are inserted in batches:
 
-* all paths that are not in yet look for their exit node by fat binary search, at most log2(length) look-ups of a
-  handle each, and a last one of the entry of a child; a join with the owner's digests says at what depth they leave;
+* all paths that are not in yet look for their exit node by fat binary search, at most log2(length) - ``LAST_BITS`` look-ups
+  of a handle each, and a last one of the entries at the few depths that are left; a join with the owner's digests says at
+  what depth they leave and for which turn;
 * of the paths that leave an edge at one depth for one next turn, one is the batch's: it adds its leaf, and edges are
   split where paths leave them. The others find that leaf in the next batch.
 
@@ -41,6 +42,8 @@ CHUNK = 4_096
 # Ids of one ending in one row of text at most.
 IDS_A_ROW = 65_536
 MAX_BATCHES = 200
+# The search by two-fattest numbers ends where fewer than 2 ** LAST_BITS depths are left; those are looked up at once.
+LAST_BITS = 4
 ROOT = "0" * 32
 GROUP, MOST_SHARED = 100, 6
 
@@ -141,33 +144,39 @@ def _keyed(edges: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def locate(paths: DataFrame, nodes: DataFrame, steps: DataFrame, longest: int) -> DataFrame:
-    """(path, n, leaves, owner, above, below): the edge on which each path leaves the trie and at what depth.
+    """(path, n, owner, above, below, leaves, next): the edge on which each path leaves the trie, at what depth, and for which prefix.
 
     A path that leaves at the end of a node, or at the root, has that node's edge and ``leaves = below``; the root's is (0, 0].
+    ``next`` is the digest of the prefix one turn further than where a path leaves; null at its end.
     """
+    edge = [F.col("owner").alias("o"), F.col("above").alias("a"), F.col("below").alias("b")]
+    handles, entries = (nodes.select(F.col(c).alias("probe_at"), *edge) for c in ("handle", "entry"))
     here = steps.select("path", F.col("depth").alias("probe"), F.col("at").alias("probe_at"))
-    handles = nodes.select(F.col("handle").alias("probe_at"), F.col("owner").alias("o"), F.col("above").alias("a"), F.col("below").alias("b"))
-    zero = F.lit(0).cast("long")
+    zero, hit = F.lit(0).cast("long"), F.col("b").isNotNull()
     state = paths.select("path", "n", zero.alias("low"), F.col("n").alias("high"), F.lit(None).cast("long").alias("owner"), zero.alias("above"), zero.alias("below"))
-    for _ in range(max(1, longest.bit_length())):
+    # Each probe takes at least one factor of two from all numbers that are left between low and high.
+    for _ in range(max(0, longest.bit_length() - LAST_BITS)):
         probed = state.withColumn("probe", fattest(F.col("low"), F.col("high"))).join(here, ["path", "probe"], "left")
-        met = probed.join(handles, "probe_at", "left")
-        hit = F.col("b").isNotNull()
-        state = met.select(
+        state = probed.join(handles, "probe_at", "left").select(
             "path", "n",
             F.when(hit, F.least("b", "high")).otherwise(F.col("low")).alias("low"),
             F.when(hit | F.col("probe").isNull(), F.col("high")).otherwise(F.col("probe") - 1).alias("high"),
             *(F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("o", "owner"), ("a", "above"), ("b", "below"))),
         )
-    entries = nodes.select(F.col("entry").alias("probe_at"), F.col("owner").alias("o"), F.col("above").alias("a"), F.col("below").alias("b"))
-    child = state.withColumn("probe", F.col("below") + 1).join(here, ["path", "probe"], "left").join(entries, "probe_at", "left")
-    hit = F.col("b").isNotNull()
-    on = child.select("path", "n", *(F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("o", "owner"), ("a", "above"), ("b", "below"))))
-    on = materialise(on, "exits")
-    own = on.filter("owner is not null").join(steps.select("path", "depth", "at"), "path").filter("depth > above and depth <= below")
-    theirs = steps.select(F.col("path").alias("owner"), "depth", "at")
-    shared = own.join(theirs, ["owner", "depth", "at"]).groupBy("path").agg(F.max("depth").alias("leaves"))
-    return on.join(shared, "path", "left").withColumn("leaves", F.coalesce("leaves", "above"))
+    # Of the edges that a path enters at the depths left, the lowest is its last; without any it is the one found so far.
+    depths = here.withColumnRenamed("path", "p")
+    left = state.join(depths, (F.col("path") == F.col("p")) & (F.col("probe") > F.col("low")) & (F.col("probe") <= F.col("high") + 1), "left")
+    found = F.max(F.when(hit, F.struct("a", "b", "o")))
+    on = left.join(entries, "probe_at", "left").groupBy("path", "n", "owner", "above", "below").agg(found.alias("last"))
+    met = F.col("last").isNotNull()
+    on = on.select("path", "n", *(F.when(met, F.col(f"last.{new}")).otherwise(F.col(old)).alias(old) for new, old in (("o", "owner"), ("a", "above"), ("b", "below"))))
+    own = on.join(steps.select("path", "depth", "at"), "path").filter("depth > above and depth <= below + 1")
+    theirs = steps.select(F.col("path").alias("owner"), "depth", "at", F.lit(True).alias("same"))
+    same = F.col("same").isNotNull() & (F.col("depth") <= F.col("below"))
+    return own.join(theirs, ["owner", "depth", "at"], "left").groupBy("path", "n", "owner", "above", "below").agg(
+        F.coalesce(F.max(F.when(same, F.col("depth"))), F.col("above")).alias("leaves"),
+        F.min(F.when(~same, F.struct("depth", "at")))["at"].alias("next"),
+    )
 
 
 def build(paths: DataFrame, steps: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def build(paths: DataFrame, steps: DataFrame) -> DataFrame:
         if state["n"] == left:
             raise RuntimeError("a batch added no path")
         left = state["n"]
-        exits = materialise(_next_turn(locate(waiting, nodes, steps, state["longest"]), steps), "located")
+        exits = materialise(locate(waiting, nodes, steps, state["longest"]), "located")
         way = ["owner", "above", "below", "leaves", "next"]
         order = F.struct(F.xxhash64("path").alias("by"), F.col("path"), F.col("n"))
         batch = materialise(exits.groupBy(*way).agg(F.min(order).alias("one")).select(*way[:4], "one.path", "one.n"), "batch")
@@ -203,12 +212,6 @@ def build(paths: DataFrame, steps: DataFrame) -> DataFrame:
     raise RuntimeError("the paths did not all find their place")
 
 
-def _next_turn(exits: DataFrame, steps: DataFrame) -> DataFrame:
-    """With ``next``, the digest of the prefix one turn further than where a path leaves; null at its end."""
-    after = steps.select("path", (F.col("depth") - 1).alias("leaves"), F.col("at").alias("next"))
-    return exits.join(after, ["path", "leaves"], "left")
-
-
 def _ends_sha256(members: DataFrame) -> DataFrame:
     """(at, ends_sha256) of (at, conv_id): the ids of each ``at`` in ascending order, parted by commas.
 

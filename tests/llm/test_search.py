@@ -228,3 +228,14 @@ def test_two_fattest_numbers(spark):
     for low, high, f in frame.collect():
         inside = range(low + 1, high + 1)
         assert f == (max(inside, key=lambda n: n & -n) if inside else None)
+
+
+def test_one_look_up_ends_the_search_for_an_edge(spark, monkeypatch):
+    """The plan of a batch has to stay small, whatever is written in between."""
+    monkeypatch.setattr(prefix_trie, "materialise", lambda df, label: df)
+    steps = spark.createDataFrame([(1, d, f"{d:032x}") for d in range(61)] + [(2, d, f"{d + 100 * (d > 40):032x}") for d in range(51)], "path long, depth long, at string")
+    node = [(1, 0, 60, *(f"{d:032x}" for d in (0, 60, 32, 1)))]
+    nodes = spark.createDataFrame(node, "owner long, above long, below long, start string, end string, handle string, entry string")
+    found = prefix_trie.locate(spark.createDataFrame([(2, 50)], "path long, n long"), nodes, steps, 60)
+    assert [tuple(r) for r in found.select("path", "owner", "leaves").collect()] == [(2, 1, 40)]
+    assert found._jdf.queryExecution().analyzed().toString().count("Join ") <= 2 * (6 - 4) + 4
