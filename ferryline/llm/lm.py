@@ -264,11 +264,13 @@ def _softmax(
     total = weight @ np.ones(weight.shape[1], np.float32)
     out -= np.log(total)
     if slope is not None:
-        total *= -count
-        weight /= total[:, None]
-        flat[at] += np.float32(1 / count)
-        slope += states.T @ weight
-        grad += weight @ weights.T
+        # Rows are scaled where they are narrow.
+        flat[at] -= total
+        scale = (np.float32(-1 / count) / total)[:, None]
+        slope += (states * scale).T @ weight
+        shown = weight @ weights.T
+        shown *= scale
+        grad += shown
 
 
 def _starts(rows: int, width: int) -> np.ndarray:
@@ -358,23 +360,23 @@ class Network:
         shown = np.ascontiguousarray(shown.transpose(0, 2, 1))
         drive = np.empty((len(inputs), 3 * h, inputs.shape[1]), np.float32)
         ahead, back = np.zeros((h, inputs.shape[1]), np.float32), self.parts["back"]
+        d_pull = np.empty((3 * h, inputs.shape[1]), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             before, reset, hold, new, pulled = trail[t]
             ahead += shown[t]
             d_reset, d_hold, d_new = drive[t, :h], drive[t, h : 2 * h], drive[t, 2 * h :]
-            np.multiply(ahead, 1 - hold, out=d_new)
+            carried = ahead * hold
+            np.subtract(ahead, carried, out=d_new)
             np.multiply(d_new, hold, out=d_hold)
             d_hold *= before - new
             d_new *= 1 - new * new
-            np.multiply(d_new, pulled, out=d_reset)
-            d_reset *= reset
-            d_pull = drive[t].copy()
-            d_pull[2 * h :] *= reset
+            np.multiply(d_new, reset, out=d_pull[2 * h :])
+            np.multiply(d_pull[2 * h :], pulled, out=d_reset)
             d_reset *= 1 - reset
-            d_pull[:h] = d_reset
+            d_pull[: 2 * h] = drive[t, : 2 * h]
             slope["back"] += before @ d_pull.T
-            ahead *= hold
-            ahead += back @ d_pull
+            ahead = back @ d_pull
+            ahead += carried
             if fresh[t].any():
                 ahead *= ~fresh[t]
         flat_inputs, rows = inputs.ravel(), drive.transpose(0, 2, 1).reshape(-1, 3 * h)
@@ -516,12 +518,22 @@ def _average(own: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [own["chunk"].iloc[0]], "tokens": [total], "weights": [mean.astype(np.float32).tobytes()]})
 
 
-def fit(coded: DataFrame, layout: Layout) -> np.ndarray:
-    """The trained weights. Averages are taken in two steps, so that no task meets the weights of all others."""
+def training_tasks(tokens: int, cores: int) -> int:
+    """Tasks of a round over ``tokens``: one for each group of blocks, but no fewer than there are cores."""
+    return max(1, cores, math.ceil(tokens / GROUP_TOKENS))
+
+
+def fit(coded: DataFrame, layout: Layout, tokens: int) -> np.ndarray:
+    """The trained weights; ``tokens`` are learned from. Averages are taken in two steps, so that no task meets the weights of all others.
+
+    Tasks follow the tokens and not the files' splits: a window costs much the same for few lanes as for many, and small
+    tasks have few.
+    """
     flat = Network(layout).flat
+    tasks = training_tasks(tokens // ROUNDS, coded.sparkSession.sparkContext.defaultParallelism)
     for number in range(ROUNDS):
         own = coded.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == number).select("marks", "n_tokens", "codes")
-        trained = own.mapInArrow(_train(layout, flat), _WEIGHTS_SCHEMA)
+        trained = own.coalesce(tasks).mapInArrow(_train(layout, flat), _WEIGHTS_SCHEMA)
         part = F.pmod(F.xxhash64("weights"), F.lit(64))
         first = trained.withColumn("part", part).groupBy("chunk", "part").applyInPandas(lambda own: _average(own), _WEIGHTS_SCHEMA)
         rows = first.groupBy("chunk").applyInPandas(_average, _WEIGHTS_SCHEMA).collect()
@@ -563,5 +575,5 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     layout = Layout.of(counts)
     found = answers(words, _code_bucket(layout))
     coded = materialise(meet(found, block_codes(rows, buckets, lower=True), _code_block(layout, counts), CODED_SCHEMA), "coded")
-    flat = fit(coded, layout)
+    flat = fit(coded, layout, counts.tokens)
     return coded.mapInArrow(_score(layout, flat, counts.tokens), SCORED_SCHEMA)

@@ -202,3 +202,26 @@ def test_model_beats_word_counts_on_held_out_text(spark, sf):
     scored = lm.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out")
     base, score = scored.agg(F.sum("base_score"), F.sum("score")).head()
     assert score > base
+
+
+def test_tasks_of_training_follow_the_tokens():
+    """Not the files' splits: 22 of them held 27 M tokens of a round."""
+    assert lm.training_tasks(27_000_000, 6) == 6
+    assert lm.training_tasks(100 * lm.GROUP_TOKENS + 1, 6) == 101
+    assert lm.training_tasks(0, 0) == 1
+
+
+def test_a_round_has_few_tasks(spark, monkeypatch, tmp_path):
+    """A table of many small files is learned from in as many tasks as its tokens ask for."""
+    streams = [np.array([1, 2, 0], np.uint32)] * 4
+    row = ([True] * 4, [3] * 4, bytes(lm.join_arrays([np.concatenate(streams)])))
+    rows = [(block, *row) for block in range(96)]
+    spark.createDataFrame(rows, "block long, marks array<boolean>, n_tokens array<long>, codes binary").repartition(96).write.parquet(f"{tmp_path}/coded")
+    layout = lm.Layout.of(lm.Counts(100, 12, 10, [b"a", b"b", b"c"], [40, 20, 10], [5] * lm.LOOKS, [1] * lm.LOOKS))
+    monkeypatch.setattr(lm, "training_tasks", lambda tokens, cores: 2)
+    seen = []
+    kind = type(spark.range(0))
+    original = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (seen.append(self.rdd.getNumPartitions()), original(self, *a, **b))[1])
+    lm.fit(spark.read.parquet(f"{tmp_path}/coded"), layout, 1152)
+    assert seen == [2] * lm.ROUNDS
