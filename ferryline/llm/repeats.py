@@ -468,11 +468,25 @@ def _send_open(buckets: int):
 
 
 def _whole_characters(covered: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """``covered`` without characters that are covered in part."""
-    begins = (text & 0xC0) != 0x80
-    if not len(text) or not begins[0]:
+    """``covered`` without characters that are covered in part.
+
+    Those have a byte where the cover changes; from there they are followed to both ends. No array is wider than the text.
+    """
+    inner = (text & 0xC0) == 0x80
+    if not len(text) or inner[0]:
         return covered
-    return np.minimum.reduceat(covered, np.flatnonzero(begins))[np.cumsum(begins) - 1]
+    covered = covered.copy()
+    split = np.flatnonzero((covered[1:] != covered[:-1]) & inner[1:]) + 1
+    before, after = split, split
+    while len(before):
+        before = before - 1
+        covered[before] = False
+        before = before[inner[before]]
+    while len(after):
+        covered[after] = False
+        after = after[after + 1 < len(text)] + 1
+        after = after[inner[after]]
+    return covered
 
 
 def _cut(buckets: int, names: list[str], whole_characters: bool):
@@ -496,7 +510,8 @@ def _cut(buckets: int, names: list[str], whole_characters: bool):
         removed = np.concatenate(gone)
         np.add.at(change, removed, 1)
         np.add.at(change, removed + LENGTH, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change, out=change)[:-1] > 0
+        del change
         if whole_characters:
             covered = _whole_characters(covered, met.text)
         spans, kept, at = [], [], 0

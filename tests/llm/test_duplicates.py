@@ -1,5 +1,6 @@
 """Repeated passages and near duplicates against brute force."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,20 @@ def test_whole_characters_stay(spark, tmp_path):
         bytes(row.kept).decode()
 
 
+def test_whole_characters_take_little_memory():
+    """Characters are told by no array that is wider than the text: 16 bytes and more for one of text ended the pipeline."""
+    text = np.frombuffer(("aé日𝄞" * 100_000).encode(), np.uint8)
+    covered = np.arange(len(text)) // 703 % 3 == 1
+    tracemalloc.start()
+    found = repeats._whole_characters(covered, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(text)
+    begins = (text & 0xC0) != 0x80
+    assert (found == np.minimum.reduceat(covered, np.flatnonzero(begins))[np.cumsum(begins) - 1]).all()
+    assert (found != covered).any()
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.cut_repeats(empty).count() == 0
 
