@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.words import answers, block_codes, block_words, bucket_count, bucket_words, join_arrays, meet, split_arrays
+from ferryline.llm.words import answers, bucket_count, bucket_words, join_arrays, meet, split_arrays, words_and_codes
 from ferryline.session import materialise
 
 LEAST_VOCABULARY = 2048
@@ -54,6 +54,8 @@ _HIGHEST = np.float32(60)
 _CHUNKS = 8
 # Chances of so many (state, choice) pairs are worked out at a time, so that they stay in a core's cache.
 _AT_A_TIME = 1 << 17
+# So many rows of weights are brought up to date at a time, likewise.
+_ROWS = 1024
 _KEEP, _KEEP_SQUARE = 0.9, 0.999
 
 CODED_SCHEMA = (
@@ -243,23 +245,25 @@ def _code_block(layout: Layout, counts: Counts):
 
 
 def _softmax(
-    states: np.ndarray, weights: np.ndarray, picked: np.ndarray, out: np.ndarray, slope: np.ndarray | None, grad: np.ndarray | None, count: int
+    states: np.ndarray, weights: np.ndarray, picked: np.ndarray, out: np.ndarray, slope: np.ndarray | None, grad: np.ndarray | None, count: int, clip: bool
 ) -> None:
     """Adds the log chance of the picked column of each row to ``out``.
 
-    With ``slope`` also the gradients of the sum over ``count``: of the weights to ``slope``, of the states to ``grad``.
+    With ``slope`` also the gradients of the sum over ``count``: of the weights to ``slope``, of the states (without
+    their constant) to ``grad``. ``clip`` where a score could be above ``_HIGHEST``.
     """
     step = max(64, _AT_A_TIME // weights.shape[1])
     if len(states) > step:
         for at in range(0, len(states), step):
             cut = slice(at, at + step)
-            _softmax(states[cut], weights, picked[cut], out[cut], slope, None if grad is None else grad[cut], count)
+            _softmax(states[cut], weights, picked[cut], out[cut], slope, None if grad is None else grad[cut], count, clip)
         return
     scores = states @ weights
-    np.minimum(scores, _HIGHEST, out=scores)
+    if clip:
+        np.minimum(scores, _HIGHEST, out=scores)
     at = picked + _starts(len(states), weights.shape[1])
     flat = scores.ravel()
-    out += flat[at]
+    out += flat.take(at)
     weight = np.exp(scores, out=scores)
     total = weight @ np.ones(weight.shape[1], np.float32)
     out -= np.log(total)
@@ -268,7 +272,7 @@ def _softmax(
         flat[at] -= total
         scale = (np.float32(-1 / count) / total)[:, None]
         slope += (states * scale).T @ weight
-        shown = weight @ weights.T
+        shown = weight @ weights[:-1].T
         shown *= scale
         grad += shown
 
@@ -300,32 +304,37 @@ class Network:
             self.parts["class_w"][-1] = layout.log_class
             self.parts["word_w"][:, -1] = layout.log_member
 
-    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
+    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
         """States after each step (steps, lanes, hidden and a constant 1), the last state, and what the way back needs."""
         # Lanes lie side by side, so that each gate of all lanes is one stretch of memory.
         h, back = HIDDEN, np.ascontiguousarray(self.parts["back"].T)
-        into = self.parts["into"]
-        states, trail, state = np.ones((len(inputs), h + 1, inputs.shape[1]), np.float32), [], np.ascontiguousarray(state.T)
-        for t in range(len(inputs)):
-            if fresh[t].any():
+        into, (steps, lanes), begins = self.parts["into"], inputs.shape, fresh.any(axis=1).tolist()
+        states, state = np.ones((steps, h + 1, lanes), np.float32), np.ascontiguousarray(state.T)
+        # What the way back needs is kept for all steps; else each step uses the same memory.
+        gates, pulls = (np.empty((steps if keep else 1, 3 * h, lanes), np.float32) for _ in range(2))
+        before = np.empty((steps if keep else 0, h, lanes), np.float32)
+        for t in range(steps):
+            if begins[t]:
                 state = np.where(fresh[t], np.float32(0), state)
-            drive, pull = np.ascontiguousarray(into[inputs[t]].T), back @ state
-            gates = drive[: 2 * h] + pull[: 2 * h]
-            gates *= np.float32(0.5)
-            np.tanh(gates, out=gates)
-            gates += 1
-            gates *= np.float32(0.5)
-            reset, hold = gates[:h], gates[h:]
-            new = reset * pull[2 * h :]
-            new += drive[2 * h :]
+            if keep:
+                before[t] = state
+            gate, pull = gates[t if keep else 0], pulls[t if keep else 0]
+            gate[:] = into.take(inputs[t], axis=0).T
+            np.matmul(back, state, out=pull)
+            turn, new, after = gate[: 2 * h], gate[2 * h :], states[t, :h]
+            turn += pull[: 2 * h]
+            turn *= np.float32(0.5)
+            np.tanh(turn, out=turn)
+            turn += 1
+            turn *= np.float32(0.5)
+            np.multiply(turn[:h], pull[2 * h :], out=after)
+            new += after
             np.tanh(new, out=new)
-            after = state - new
-            after *= hold
+            np.subtract(state, new, out=after)
+            after *= turn[h:]
             after += new
-            if keep:
-                trail.append((state, reset, hold, new, pull[2 * h :]))
-            states[t, :h] = state = after
-        return states.transpose(0, 2, 1), state.T, trail
+            state = after
+        return states.transpose(0, 2, 1), state.T, (before, gates, pulls)
 
     def log_chance(self, states: np.ndarray, targets: np.ndarray, slope: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the chance of each target (of its group for words outside the vocabulary).
@@ -338,12 +347,14 @@ class Network:
         # Rows of a class stand together from here on.
         owner, own_states = owner[order].astype(np.int64), states[order]
         member, cuts = targets[order] - layout.begin[owner], np.searchsorted(owner, np.arange(len(layout.begin)))
-        out, grad = np.zeros(len(targets), np.float32), None if slope is None else np.zeros_like(own_states)
-        _softmax(own_states, p["class_w"], owner, out, None if slope is None else slope["class_w"], grad, len(targets))
+        out, grad = np.zeros(len(targets), np.float32), None if slope is None else np.zeros((len(targets), HIDDEN), np.float32)
+        # States lie between -1 and 1, which bounds the scores.
+        clip = bool(max(np.abs(p["class_w"]).sum(axis=0).max(), np.abs(p["word_w"]).sum(axis=1).max()) > _HIGHEST - 1)
+        _softmax(own_states, p["class_w"], owner, out, None if slope is None else slope["class_w"], grad, len(targets), clip)
         for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(layout.begin) > 1)).tolist():
             own, codes = slice(cuts[k], cuts[k + 1]), slice(layout.begin[k], layout.begin[k + 1])
             rows, shown = (None, None) if slope is None else (slope["word_w"][codes].T, grad[own])
-            _softmax(own_states[own], p["word_w"][codes].T, member[own], out[own], rows, shown, len(targets))
+            _softmax(own_states[own], p["word_w"][codes].T, member[own], out[own], rows, shown, len(targets), clip)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         return out[place], None if grad is None else grad[place]
@@ -353,36 +364,37 @@ class Network:
         h = HIDDEN
         grown = np.zeros_like(self.flat)
         slope = _views(self, grown)
-        states, last, trail = self.run(inputs, fresh, state, keep=True)
-        shown = np.zeros(states.shape[:2] + (h,), np.float32)
-        _, grad = self.log_chance(states[live], targets[live], slope)
-        shown[live] = grad[:, :h]
-        shown = np.ascontiguousarray(shown.transpose(0, 2, 1))
-        drive = np.empty((len(inputs), 3 * h, inputs.shape[1]), np.float32)
-        ahead, back = np.zeros((h, inputs.shape[1]), np.float32), self.parts["back"]
-        d_pull = np.empty((3 * h, inputs.shape[1]), np.float32)
+        states, last, (before, gates, pulls) = self.run(inputs, fresh, state, keep=True)
+        ahead = np.zeros(states.shape[:2] + (h,), np.float32)
+        _, ahead[live] = self.log_chance(states[live], targets[live], slope)
+        ahead = np.ascontiguousarray(ahead.transpose(0, 2, 1))
+        # What of a step's gradient reaches its gates is the same whatever comes back from later steps, so it is worked
+        # out for all steps together: the share of the drive into the new state, then those of the three pulls.
+        reset, hold, new = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+        share = (1 - hold) * (1 - new * new)
+        back, drive = self.parts["back"], np.empty_like(gates)
+        np.multiply(share, reset, out=drive[:, 2 * h :])
+        np.multiply(drive[:, 2 * h :], pulls[:, 2 * h :], out=drive[:, :h])
+        drive[:, :h] *= 1 - reset
+        np.subtract(before, new, out=drive[:, h : 2 * h])
+        drive[:, h : 2 * h] *= hold * (1 - hold)
+        begins = fresh.any(axis=1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
-            before, reset, hold, new, pulled = trail[t]
-            ahead += shown[t]
-            d_reset, d_hold, d_new = drive[t, :h], drive[t, h : 2 * h], drive[t, 2 * h :]
-            carried = ahead * hold
-            np.subtract(ahead, carried, out=d_new)
-            np.multiply(d_new, hold, out=d_hold)
-            d_hold *= before - new
-            d_new *= 1 - new * new
-            np.multiply(d_new, reset, out=d_pull[2 * h :])
-            np.multiply(d_pull[2 * h :], pulled, out=d_reset)
-            d_reset *= 1 - reset
-            d_pull[: 2 * h] = drive[t, : 2 * h]
-            slope["back"] += before @ d_pull.T
-            ahead = back @ d_pull
-            ahead += carried
-            if fresh[t].any():
-                ahead *= ~fresh[t]
+            pull = drive[t].reshape(3, h, -1)
+            pull *= ahead[t]
+            if t:
+                earlier = back @ drive[t]
+                earlier += ahead[t] * hold[t]
+                if begins[t]:
+                    earlier *= ~fresh[t]
+                ahead[t - 1] += earlier
+        slope["back"] += np.matmul(before, drive.transpose(0, 2, 1)).sum(axis=0)
+        np.multiply(ahead, share, out=drive[:, 2 * h :])
         flat_inputs, rows = inputs.ravel(), drive.transpose(0, 2, 1).reshape(-1, 3 * h)
-        order = np.argsort(flat_inputs, kind="stable")
-        first = np.flatnonzero(np.append(True, flat_inputs[order][1:] != flat_inputs[order][:-1]))
-        slope["into"][flat_inputs[order][first]] += np.add.reduceat(rows[order], first, axis=0)
+        order = np.argsort(flat_inputs.astype(np.uint16 if self.layout.start < 1 << 16 else np.int64), kind="stable")
+        ordered = flat_inputs[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        slope["into"][ordered[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
         return grown, last
 
 
@@ -462,21 +474,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield group
 
 
-def _advance(slope: np.ndarray, mean: np.ndarray, square: np.ndarray, rows: np.ndarray | slice, step: float) -> np.ndarray:
-    """What the weights of ``rows`` change by; their running means are brought up to date."""
-    new = mean[rows] * np.float32(_KEEP)
-    new += slope * np.float32(1 - _KEEP)
-    mean[rows] = new
-    spread = square[rows] * np.float32(_KEEP_SQUARE)
-    slope *= slope
-    slope *= np.float32(1 - _KEEP_SQUARE)
-    spread += slope
-    square[rows] = spread
-    np.sqrt(spread, out=spread)
-    spread += np.float32(1e-8)
-    new /= spread
-    new *= np.float32(step)
-    return new
+def _advance(part: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, step: float) -> None:
+    """Moves the weights of ``part`` and brings their running means up to date, some rows at a time. ``slope`` is used up."""
+    for at in range(0, len(part), _ROWS):
+        cut = slice(at, at + _ROWS)
+        own, new, spread = slope[cut], mean[cut], square[cut]
+        new *= np.float32(_KEEP)
+        new += own * np.float32(1 - _KEEP)
+        own *= own
+        own *= np.float32(1 - _KEEP_SQUARE)
+        spread *= np.float32(_KEEP_SQUARE)
+        spread += own
+        np.sqrt(spread, out=own)
+        own += np.float32(1e-8)
+        np.divide(new, own, out=own)
+        own *= np.float32(step)
+        part[cut] += own
 
 
 def _train(layout: Layout, flat: np.ndarray):
@@ -495,11 +508,15 @@ def _train(layout: Layout, flat: np.ndarray):
                 grown, state = network.slopes(inputs, fresh, targets, state[: inputs.shape[1]], live)
                 number += 1
                 step = RATE * math.sqrt(1 - _KEEP_SQUARE**number) / (1 - _KEEP**number)
-                slope, read = _views(network, grown), np.unique(inputs)
+                slope, read = _views(network, grown), np.flatnonzero(np.bincount(inputs.ravel(), minlength=len(network.parts["into"])))
                 for name, part in network.parts.items():
+                    if name != "into":
+                        _advance(part, slope[name], mean[name], square[name], step)
+                        continue
                     # Rows of words that the window does not read stay as they are.
-                    rows = read if name == "into" else slice(None)
-                    part[rows] += _advance(slope[name][rows], mean[name], square[name], rows, step)
+                    rows = [a.take(read, axis=0) for a in (part, slope[name], mean[name], square[name])]
+                    _advance(*rows, step)
+                    part[read], mean[name][read], square[name][read] = rows[0], rows[2], rows[3]
                 tokens += int(live.sum())
         if tokens:
             chunk = np.array_split(network.flat, _CHUNKS)
@@ -570,10 +587,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), learned_from(F.col(doc_id)).alias("mark"))
     buckets = bucket_count(rows, "text")
-    words = materialise(block_words(rows, buckets, lower=True), "words")
+    words, codes = words_and_codes(rows, buckets, lower=True)
     counts = count_words(words, rows.filter("mark").count())
     layout = Layout.of(counts)
     found = answers(words, _code_bucket(layout))
-    coded = materialise(meet(found, block_codes(rows, buckets, lower=True), _code_block(layout, counts), CODED_SCHEMA), "coded")
+    coded = materialise(meet(found, codes, _code_block(layout, counts), CODED_SCHEMA), "coded")
     flat = fit(coded, layout, counts.tokens)
     return coded.mapInArrow(_score(layout, flat, counts.tokens), SCORED_SCHEMA)

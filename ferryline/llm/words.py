@@ -9,8 +9,8 @@ as sequences of places in the word list. Equal words of all blocks meet in a buc
 A row holds all words of a block that lie in a bucket, packed together: there are never more rows than pairs of block
 and word, and far fewer as long as blocks have many words of each bucket.
 
-Both parts come from scans of their own, so the input has to give the same rows in the same order each time: a
-table, not the outcome of a shuffle. A block's name holds a checksum of its words, and ``meet`` refuses answers
+Where both parts come from scans of their own, the input has to give the same rows in the same order each time: a
+table, not the outcome of a shuffle; ``words_and_codes`` reads it once. A block's name holds a checksum of its words, and ``meet`` refuses answers
 that are not for the block's own words.
 """
 
@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.session import materialise
+
 BLOCK_BYTES = 8 << 20
 LEAST_BUCKETS = 128
 BUCKET_BYTES = 8 << 20
@@ -144,6 +146,36 @@ def _buckets(words: list[bytes], count: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(count)
 
 
+def _word_rows(name: int, words: list[bytes], codes: np.ndarray, block: _Block, buckets: int) -> pa.RecordBatch:
+    dealt = _buckets(words, buckets)
+    order = np.argsort(dealt, kind="stable")
+    marked = np.repeat(np.array(block.marks, bool), [len(c) for c in block.codes])
+    counts = np.bincount(codes[marked], minlength=len(words)) if len(words) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(np.diff(dealt[order], append=np.uint32(buckets))) + 1
+    rows = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(words) else []
+    columns = [
+        pa.array([int(dealt[r[0]]) for r in rows], pa.int32()),
+        pa.array([name] * len(rows), pa.int64()),
+        pa.array([len(r) for r in rows], pa.int32()),
+        pa.array([zipped(b" ".join([words[i] for i in r])) for r in rows], pa.binary()),
+        pa.array([pack(counts[r]) for r in rows], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n_words", "words", "counts"])
+
+
+def _code_row(name: int, words: list[bytes], codes: np.ndarray, block: _Block, buckets: int) -> pa.RecordBatch:
+    columns = [
+        pa.array([name]),
+        pa.array([len(words)], pa.int32()),
+        pa.array([pack(_buckets(words, buckets))], pa.binary()),
+        pa.array([block.ids], pa.list_(pa.int64())),
+        pa.array([block.marks], pa.list_(pa.bool_())),
+        pa.array([[len(c) for c in block.codes]], pa.list_(pa.int32())),
+        pa.array([pack(codes)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["block", "n_words", "buckets", "doc_ids", "marks", "lengths", "codes"])
+
+
 def block_words(docs: DataFrame, buckets: int, lower: bool = False) -> DataFrame:
     """The distinct words of each block by bucket. ``docs`` has the columns id, text and mark.
 
@@ -152,20 +184,7 @@ def block_words(docs: DataFrame, buckets: int, lower: bool = False) -> DataFrame
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, words, codes, block in _blocks(batches, lower):
-            dealt = _buckets(words, buckets)
-            order = np.argsort(dealt, kind="stable")
-            marked = np.repeat(np.array(block.marks, bool), [len(c) for c in block.codes])
-            counts = np.bincount(codes[marked], minlength=len(words)) if len(words) else np.zeros(0, np.int64)
-            ends = np.flatnonzero(np.diff(dealt[order], append=np.uint32(buckets))) + 1
-            rows = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(words) else []
-            columns = [
-                pa.array([int(dealt[r[0]]) for r in rows], pa.int32()),
-                pa.array([name] * len(rows), pa.int64()),
-                pa.array([len(r) for r in rows], pa.int32()),
-                pa.array([zipped(b" ".join([words[i] for i in r])) for r in rows], pa.binary()),
-                pa.array([pack(counts[r]) for r in rows], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n_words", "words", "counts"])
+            yield _word_rows(name, words, codes, block, buckets)
 
     return docs.mapInArrow(emit, WORDS_SCHEMA)
 
@@ -175,20 +194,31 @@ def block_codes(docs: DataFrame, buckets: int, lower: bool = False) -> DataFrame
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, words, codes, block in _blocks(batches, lower):
-            columns = [
-                pa.array([name]),
-                pa.array([len(words)], pa.int32()),
-                pa.array([pack(_buckets(words, buckets))], pa.binary()),
-                pa.array([block.ids], pa.list_(pa.int64())),
-                pa.array([block.marks], pa.list_(pa.bool_())),
-                pa.array([[len(c) for c in block.codes]], pa.list_(pa.int32())),
-                pa.array([pack(codes)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "n_words", "buckets", "doc_ids", "marks", "lengths", "codes"])
+            yield _code_row(name, words, codes, block, buckets)
 
     return docs.mapInArrow(emit, CODES_SCHEMA)
 
 
+def words_and_codes(docs: DataFrame, buckets: int, lower: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``block_words`` and ``block_codes`` from one scan of the texts, laid down in one table."""
+    types = {
+        "bucket": pa.int32(), "block": pa.int64(), "n_words": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "buckets": pa.binary(),
+        "doc_ids": pa.list_(pa.int64()), "marks": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(),
+    }
+    shared = ("block", "n_words")
+    own = [f for f in CODES_SCHEMA.split(", ") if f.split()[0] not in shared]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, words, codes, block in _blocks(batches, lower):
+            for part in (_word_rows(name, words, codes, block, buckets), _code_row(name, words, codes, block, buckets)):
+                has = dict(zip(part.schema.names, part.columns, strict=True))
+                yield pa.RecordBatch.from_arrays([has[c] if c in has else pa.nulls(part.num_rows, t) for c, t in types.items()], list(types))
+
+    parts = materialise(docs.mapInArrow(emit, ", ".join([WORDS_SCHEMA, *own])), "parts")
+    names = ([f.split()[0] for f in schema.split(", ")] for schema in (WORDS_SCHEMA, CODES_SCHEMA))
+    return tuple(parts.filter(which).select(*c) for which, c in zip(("bucket is not null", "bucket is null"), names, strict=True))
+
+
 def bucket_words(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of a bucket; for the words of all its rows in a row, which they are and how often marked."""
     listed = [w for packed in rows["words"].to_pylist() for w in unzipped(packed).split(b" ")]

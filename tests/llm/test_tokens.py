@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ferryline.llm import bpe, lm, packing
+from ferryline.llm import bpe, lm, packing, words
 from tests.llm.conftest import ODD_ROWS
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -225,3 +225,31 @@ def test_a_round_has_few_tasks(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (seen.append(self.rdd.getNumPartitions()), original(self, *a, **b))[1])
     lm.fit(spark.read.parquet(f"{tmp_path}/coded"), layout, 1152)
     assert seen == [2] * lm.ROUNDS
+
+
+def test_texts_are_split_into_words_once(odd, monkeypatch):
+    """One scan gives the words and the codes; each scan of its own cost a tenth of the whole."""
+    kind, seen = type(odd), []
+    original = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (seen.append(self.columns), original(self, *a, **b))[1])
+    lm.score_documents(odd).collect()
+    assert sum("text" in columns for columns in seen) == 1
+
+
+def test_words_and_codes_of_one_scan(odd):
+    rows = odd.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") < 12).alias("mark"))
+    for got, expected in zip(words.words_and_codes(rows, 7, True), (words.block_words(rows, 7, True), words.block_codes(rows, 7, True)), strict=True):
+        assert got.schema.simpleString() == expected.schema.simpleString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_clipped_scores_count_alike():
+    """Scores are held down only where one could be too high; elsewhere that changes nothing."""
+    random = np.random.default_rng(3)
+    states, weights = random.uniform(-1, 1, (50, lm.HIDDEN + 1)).astype(np.float32), random.normal(0, 1, (lm.HIDDEN + 1, 9)).astype(np.float32)
+    picked, found = random.integers(0, 9, 50), []
+    for clip in (False, True):
+        out, slope, grad = np.zeros(50, np.float32), np.zeros_like(weights), np.zeros((50, lm.HIDDEN), np.float32)
+        lm._softmax(states, weights, picked, out, slope, grad, 50, clip)
+        found.append(np.concatenate([out, slope.ravel(), grad.ravel()]))
+    assert (found[0] == found[1]).all()
